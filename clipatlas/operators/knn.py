@@ -7,12 +7,14 @@ rows that remain are ranked by Spark in two steps. The vectors are never shuffle
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,11 @@ _SLACK = 1e-9
 _RANK_SLOTS = 64
 
 
-@dataclass
-class QueryBlock:
+# Tasks get the code of this module with the job, so that workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class QueryBlock(NamedTuple):
     """Query vectors of bounded size, as every task receives them."""
 
     ids: pa.Array
@@ -201,7 +206,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], vec_col: str, dims: int) -> Itera
 def _score(base: DataFrame, block: QueryBlock, k: int, metric: str, vec_col: str, order: list[str],
            id_field: T.StructField, cell_col: str | None) -> DataFrame:
     """The best k rows of every task for every query of the block."""
-    shared = base.sparkSession.sparkContext.broadcast(block)
+    shared = base.sparkSession.sparkContext.broadcast(tuple(block))
     dims = block.vectors.shape[1]
     hidden = {vec_col, cell_col}
     fields = [f for f in base.schema.fields if f.name not in hidden]
@@ -210,7 +215,7 @@ def _score(base: DataFrame, block: QueryBlock, k: int, metric: str, vec_col: str
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _TaskTopK(shared.value, k, metric, vec_col, order, cell_col)
+        top = _TaskTopK(QueryBlock(*shared.value), k, metric, vec_col, order, cell_col)
         for table in _blocks(batches, vec_col, dims):
             top.add(table)
         result = top.result()

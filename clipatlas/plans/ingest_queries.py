@@ -228,6 +228,9 @@ def decode_queries_query(spark: SparkSession, sf: str) -> DataFrame:
     return decoded.select("request_id", "kind", "mime_type", n_bytes)
 
 
+_BREAKS_SQL = r"[\x00-/:-@\[-`{-~]+"
+
+
 def _hash_embedding_sql(rows: str) -> str:
     """Non-zero entries of the hash embedding of ``rows(id, text)``."""
     return f"""
