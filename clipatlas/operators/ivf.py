@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from clipatlas.functions.vectors import norm, usable
 from clipatlas.operators.knn import SCENE_ORDER, QueryBlock, knn_join
-from clipatlas.operators.search import SCENE_RESULTS, scene_search
+from clipatlas.operators.search import (
+    PROMPT_BRANCH_RESULTS,
+    PROMPT_RESULTS,
+    SCENE_RESULTS,
+    prompt_search,
+    scene_search,
+)
 
 # Cell of the rows without a direction (zero vectors). Every search looks into it.
 NO_CELL = -1
@@ -40,14 +46,15 @@ def ivf_build(
 ) -> None:
     """Cluster the vectors and store all rows with a usable one under ``path``, by cell.
 
-    The centroids are fitted on a sample of bounded size; every row is assigned. Rows are written in
-    ranges of (cell, task of origin): small cells share a writing task, and a cell that holds a large
-    part of the table, such as many copies of one vector, is spread over several.
+    The centroids are fitted on a sample of bounded size; every row is assigned. ``rows`` is read
+    several times, so it should be a stored table.
     """
     spark = rows.sparkSession
     vec = F.col(vec_col)
     facts = rows.select(vec_col).filter(usable(vec)).agg(
-        F.count("*").alias("n"), F.min(F.size(vec)).alias("least"), F.max(F.size(vec)).alias("dims"),
+        F.count("*").alias("n"),
+        F.min(F.size(vec)).alias("least"),
+        F.max(F.size(vec)).alias("dims"),
         F.count_if(_directed(norm(vec))).alias("directed"),
     ).first()
     if facts.n and facts.least != facts.dims:
@@ -56,28 +63,48 @@ def ivf_build(
     if nlist * (facts.dims or 0) * 8 > CENTROID_BYTES:
         raise ValueError(f"{nlist} centroids of {facts.dims} numbers exceed {CENTROID_BYTES} bytes")
 
-    kept = rows.filter(usable(vec)).withColumn("norm", norm(vec))
-    if facts.directed:
+    model = None
+    # The fit needs two different vectors at least; with fewer, all rows stay outside the cells.
+    if facts.directed > 1:
+        directed = rows.filter(usable(vec)).filter(_directed(norm(vec))).select(array_to_vector(vec).alias("features"))
         share = min(1.0, nlist * training_rows_per_cell / facts.directed)
-        directed = kept.filter(_directed(F.col("norm"))).select(array_to_vector(vec).alias("features"))
         training = directed if share == 1.0 else directed.sample(share, seed)
-        means = KMeans(k=nlist, distanceMeasure="cosine", seed=seed, maxIter=10, predictionCol="cell")
-        model = means.fit(training)
-        # The model accepts no zero vector; those rows get a stand-in and then the cell of their own.
-        ones = F.array_repeat(F.lit(1.0), facts.dims)
-        cells = model.transform(
-            kept.withColumn("features", array_to_vector(F.when(_directed(F.col("norm")), vec).otherwise(ones)))
-        ).drop("features")
-        cells = cells.withColumn("cell", F.when(_directed(F.col("norm")), F.col("cell")).otherwise(F.lit(NO_CELL)))
-        centroids = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    else:
-        cells, centroids = kept.withColumn("cell", F.lit(NO_CELL)), []
+        model = KMeans(k=max(2, nlist), distanceMeasure="cosine", seed=seed, maxIter=10, predictionCol="cell").fit(training)
+        model.write().overwrite().save(f"{path}/model")
+    about = [(vec_col, facts.dims, model is not None)]
+    spark.createDataFrame(about, "vec_col string, dims int, clustered boolean").write.parquet(f"{path}/about")
+    _store(rows, path, vec_col, facts.dims, model)
 
+
+def ivf_append(rows: DataFrame, path: str) -> None:
+    """Add rows to a clustered table, into the cells it already has."""
+    about, model = _opened(rows.sparkSession, path)
+    _store(rows, path, about.vec_col, about.dims, model)
+
+
+def _opened(spark: SparkSession, path: str) -> tuple[Row, KMeansModel | None]:
+    about = spark.read.parquet(f"{path}/about").first()
+    return about, KMeansModel.load(f"{path}/model") if about.clustered else None
+
+
+def _store(rows: DataFrame, path: str, vec_col: str, dims: int | None, model: KMeansModel | None) -> None:
+    """Assign a cell to every row with a usable vector and append the rows to their cells.
+
+    Rows are written in ranges of (cell, task of origin): small cells share a writing task, and a
+    cell that holds a large part of the table, such as many copies of one vector, is spread over
+    several.
+    """
+    vec = F.col(vec_col)
+    cells = rows.filter(usable(vec, dims)).withColumn("norm", norm(vec)).withColumn("cell", F.lit(NO_CELL))
+    if model is not None:
+        # The model accepts no zero vector; such rows get a stand-in and keep the cell of their own.
+        directed = _directed(F.col("norm"))
+        stand_in = F.array_repeat(F.lit(1.0), dims)
+        features = array_to_vector(F.when(directed, vec).otherwise(stand_in))
+        found = model.transform(cells.drop("cell").withColumn("features", features)).drop("features")
+        cells = found.withColumn("cell", F.when(directed, F.col("cell")).otherwise(F.lit(NO_CELL)))
     spread = cells.withColumn("_task", F.spark_partition_id()).repartitionByRange("cell", "_task").drop("_task")
-    spread.write.partitionBy("cell").mode("overwrite").parquet(f"{path}/rows")
-    spark.createDataFrame(centroids, "cell int, centroid array<double>").write.mode("overwrite").parquet(
-        f"{path}/centroids"
-    )
+    spread.write.partitionBy("cell").mode("append").parquet(f"{path}/rows")
 
 
 def ivf_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -91,11 +118,10 @@ def ivf_cells(spark: SparkSession, path: str) -> DataFrame:
     return sizes.withColumn("share", F.col("n_rows") / total)
 
 
-def _centroids(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Cell numbers and unit centroids. Their size was checked when the table was built."""
-    stored = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
-    cells = np.array([r.cell for r in stored], dtype=np.int64)
-    return cells, _unit(np.array([r.centroid for r in stored], dtype=np.float64).reshape(len(stored), -1))
+def _centroids(spark: SparkSession, path: str) -> np.ndarray:
+    """Unit centroids; the row number is the cell. Their size was checked when they were fitted."""
+    _, model = _opened(spark, path)
+    return _unit(np.array(model.clusterCenters())) if model is not None else np.zeros((0, 0))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -114,8 +140,7 @@ def _probed(centroids: np.ndarray, queries: np.ndarray, nprobe: int) -> np.ndarr
 
 def ivf_candidates(spark: SparkSession, path: str, query: Sequence[float], nprobe: int) -> DataFrame:
     """Rows of the cells nearest to the query; the other cells' folders are not read."""
-    cells, centroids = _centroids(spark, path)
-    chosen = cells[_probed(centroids, np.array([query], dtype=np.float64), nprobe)[0]]
+    chosen = np.flatnonzero(_probed(_centroids(spark, path), np.array([query], dtype=np.float64), nprobe)[0])
     return ivf_rows(spark, path).filter(F.col("cell").isin([NO_CELL, *chosen.tolist()]))
 
 
@@ -131,6 +156,20 @@ def ivf_search(
     return scene_search(ivf_candidates(spark, path, query, nprobe), query, k, bucket=bucket)
 
 
+def ivf_prompt_search(
+    spark: SparkSession,
+    by_video: str,
+    by_text: str,
+    query: Sequence[float],
+    branch_k: int = PROMPT_BRANCH_RESULTS,
+    k: int = PROMPT_RESULTS,
+    nprobe: int = 8,
+) -> DataFrame:
+    """Approximate ``prompt_search`` on two clustered tables of the prompts, one per vector column."""
+    video_rows, text_rows = (ivf_candidates(spark, p, query, nprobe) for p in (by_video, by_text))
+    return prompt_search(video_rows, query, branch_k, k, by_text=text_rows)
+
+
 def ivf_search_batch(
     spark: SparkSession,
     path: str,
@@ -143,10 +182,10 @@ def ivf_search_batch(
     key: list[str] | None = None,
 ) -> DataFrame:
     """Approximate nearest-neighbour join: each row is scored for the queries that probe its cell."""
-    cells, centroids = _centroids(spark, path)
+    centroids = _centroids(spark, path)
 
     def probe(block: QueryBlock) -> QueryBlock:
-        return QueryBlock(block.ids, block.vectors, cells, _probed(centroids, block.vectors, nprobe))
+        return QueryBlock(block.ids, block.vectors, _probed(centroids, block.vectors, nprobe))
 
     rows = ivf_rows(spark, path).drop("norm")
     return knn_join(

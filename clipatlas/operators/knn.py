@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clipatlas.functions.vectors import usable
+from clipatlas.workdir import work_folder
 
 SCENE_ORDER = ("video_id", "timestamp_start", "title")
 QUERY_BLOCK_BYTES = 64 << 20
@@ -40,9 +41,8 @@ class QueryBlock(NamedTuple):
 
     ids: pa.Array
     vectors: np.ndarray
-    # For a clustered table: the cells each query looks into, and the cell numbers of the columns.
-    cells: np.ndarray | None = None
-    allowed: np.ndarray | None = None
+    # For a clustered table: for each query, which cells it looks into.
+    probed: np.ndarray | None = None
 
 
 def to_matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +140,8 @@ class _TaskTopK:
             return
         cell = table.column(self.cell_col).to_numpy()
         for value in np.unique(cell):
-            column = np.flatnonzero(self.block.cells == value)
-            # Rows outside every cell are scored for all queries.
-            yield np.flatnonzero(cell == value), every[self.block.allowed[:, column[0]]] if len(column) else every
+            # Rows outside the cells, with a negative number, are scored for all queries.
+            yield np.flatnonzero(cell == value), every if value < 0 else every[self.block.probed[:, value]]
 
     def _best_of(self, rows, norms, tie, members, part):
         close, slack = self.scorer.estimate(rows[members], norms[members], part)
@@ -268,6 +267,13 @@ def query_blocks(queries: DataFrame, query_id: str, query_vec: str, limit: int)
             yield QueryBlock(ids.filter(pa.array(whole)), vectors[whole])
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a stored table: computed once, and of a size Spark knows before it plans a join."""
+    path = work_folder(df.sparkSession, "winners")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def knn_join(
     base: DataFrame,
     queries: DataFrame,
@@ -286,8 +292,8 @@ def knn_join(
     """The ``k`` nearest rows of ``base`` for every query: ``query_id, rank, distance`` and the row.
 
     Equal distances are ranked by ``order``. ``key`` names columns that identify a base row: then
-    only these and ``order`` travel with the vectors, and the other columns are joined to the
-    winners. Queries larger than ``block_bytes`` are joined block by block, one scan of ``base``
+    only these and ``order`` travel with the vectors; the winners are written to the work folder and
+    the other columns joined to them, by broadcast if the written table is small. Queries larger than ``block_bytes`` are joined block by block, one scan of ``base``
     each. ``probe`` turns a block into one restricted to cells (see ``ivf``).
     """
     if metric not in ("cosine", "euclidean"):
@@ -320,6 +326,7 @@ def knn_join(
     others = [c for c in payload if c not in travel]
     if not others:
         return hits
+    hits = _written(hits)
     rows = base.select(*[F.col(c).alias(f"_k_{c}") for c in key], *others)
     same = [hits[c].eqNullSafe(rows[f"_k_{c}"]) for c in key]
     return hits.join(rows, same).select(query_id, "rank", "distance", *payload)

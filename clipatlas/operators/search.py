@@ -19,6 +19,7 @@ SCENE_RESULTS = 5
 PROMPT_RESULTS = 3
 PROMPT_BRANCH_RESULTS = 3
 
+PROMPT_VECTORS = ("video_embedding", "prompt_embedding")
 _PROMPT_COLUMNS = ["id", "gcs_video_path", "prompt_text", "created_at"]
 
 
@@ -94,14 +95,35 @@ def scene_search_batch(
     return scene_results(hits, bucket, lead=["query_id", "rank"])
 
 
-def search_candidates(prompts: DataFrame, query: Sequence[float], branch_k: int = PROMPT_BRANCH_RESULTS) -> DataFrame:
-    """Nearest prompts by video vector and by text vector, one below the other, duplicates kept."""
+def prompt_matches(prompts: DataFrame, query: Sequence[float]) -> DataFrame:
+    """Distance of every prompt by video vector and by text vector, in one scan.
 
-    def branch(vec_col: str) -> DataFrame:
-        hits = _nearest(prompts.select(*_PROMPT_COLUMNS, vec_col), vec_col, query, branch_k, "cosine", ["id"])
+    A missing vector gives no row.
+    """
+    branches = [
+        F.struct(F.lit(c).alias("matched_on"), _cosine_or_null(c, query).alias("distance")) for c in PROMPT_VECTORS
+    ]
+    scored = prompts.select(*_PROMPT_COLUMNS, F.inline(F.array(*branches)))
+    return scored.filter(F.col("distance").isNotNull())
+
+
+def search_candidates(
+    prompts: DataFrame,
+    query: Sequence[float],
+    branch_k: int = PROMPT_BRANCH_RESULTS,
+    by_text: DataFrame | None = None,
+) -> DataFrame:
+    """Nearest prompts by video vector and by text vector, one below the other, duplicates kept.
+
+    ``by_text`` gives other rows for the second search, such as those of another clustered table.
+    """
+
+    def branch(rows: DataFrame, vec_col: str) -> DataFrame:
+        hits = _nearest(rows.select(*_PROMPT_COLUMNS, vec_col), vec_col, query, branch_k, "cosine", ["id"])
         return hits.select(*_PROMPT_COLUMNS, F.lit(vec_col).alias("matched_on"), "distance")
 
-    return branch("video_embedding").unionByName(branch("prompt_embedding"))
+    by_video, by_prompt = PROMPT_VECTORS
+    return branch(prompts, by_video).unionByName(branch(prompts if by_text is None else by_text, by_prompt))
 
 
 def best_match_per_id(matches: DataFrame) -> DataFrame:
@@ -124,9 +146,10 @@ def prompt_search(
     query: Sequence[float],
     branch_k: int = PROMPT_BRANCH_RESULTS,
     k: int = PROMPT_RESULTS,
+    by_text: DataFrame | None = None,
 ) -> DataFrame:
     """Prompts whose video or text vector is nearest to the query vector, best first."""
-    return _prompt_results(best_match_per_id(search_candidates(prompts, query, branch_k)), k)
+    return _prompt_results(best_match_per_id(search_candidates(prompts, query, branch_k, by_text)), k)
 
 
 def _cosine_or_null(vec_col: str, query: Sequence[float]) -> Column:
@@ -139,7 +162,7 @@ def prompt_search_single_pass(prompts: DataFrame, query: Sequence[float], k: int
     A row that ``k`` rows beat within a branch is beaten by the same rows overall, so taking the
     smaller distance first loses nothing.
     """
-    best = F.least(_cosine_or_null("video_embedding", query), _cosine_or_null("prompt_embedding", query))
+    best = F.least(*[_cosine_or_null(c, query) for c in PROMPT_VECTORS])
     scored = prompts.select(*_PROMPT_COLUMNS, best.alias("best_distance"))
     return _prompt_results(scored.filter(F.col("best_distance").isNotNull()), k)
 

@@ -16,7 +16,7 @@ from clipatlas.plans.relations import (
     stored_scenes,
     table,
 )
-from clipatlas.schemas import PROMPTS, SCENE_TEXT_COLUMNS
+from clipatlas.schemas import PROMPTS, SCENE_REQUIRED, SCENE_TEXT_COLUMNS
 from clipatlas.sources.requests import decode_queries, plan_requests, select_query_input
 from clipatlas.sources.responses import parse_responses, to_scene_rows
 from clipatlas.sources.tables import (
@@ -26,6 +26,7 @@ from clipatlas.sources.tables import (
     read_prompts,
     read_scenes,
     scene_columns,
+    split_required,
 )
 from clipatlas.streaming.ingest import ingested, stream_ingest
 from clipatlas.workdir import work_folder
@@ -236,7 +237,7 @@ def _hash_embedding_sql(rows: str) -> str:
     return f"""
       SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS value FROM (
         SELECT id, ('0x' || left(md5(word), 8))::BIGINT % {HASH_DIMS} AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (
-          SELECT id, unnest(string_split_regex(lower(text), '[\x00-/:-@\[-`{{-~]+')) AS word FROM ({rows}))
+          SELECT id, unnest(string_split_regex(lower(text), '{_BREAKS_SQL}')) AS word FROM ({rows}))
         WHERE word <> '' GROUP BY 1, 2)"""
 
 
@@ -288,3 +289,17 @@ def stream_ingest_query(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return ingested(spark, _drained(spark, sf), "rejects").select("response_id", "source")
+
+
+@query(
+    "required_fields",
+    check_sql(
+        """SELECT title, video_id IS NOT NULL AND source IS NOT NULL AND timestamp_start IS NOT NULL
+        AND timestamp_end IS NOT NULL AS accepted FROM scenes""",
+        "scenes",
+    ),
+)
+def required_fields(spark: SparkSession, sf: str) -> DataFrame:
+    accepted, rejected = split_required(relation(spark, sf, "scenes"), SCENE_REQUIRED)
+    kept = accepted.select("title", F.lit(True).alias("accepted"))
+    return kept.unionByName(rejected.select("title", F.lit(False).alias("accepted")))

@@ -9,6 +9,7 @@ from clipatlas.functions.vectors import (
     cosine_distance,
     cosine_similarity,
     decode_embedding,
+    distance_to,
     encode_embedding,
     euclidean_distance,
     usable,
@@ -16,7 +17,9 @@ from clipatlas.functions.vectors import (
 from clipatlas.operators import ivf
 from clipatlas.operators.knn import knn_join
 from clipatlas.operators.search import (
+    PROMPT_VECTORS,
     best_match_per_id,
+    prompt_matches,
     prompt_search,
     prompt_search_score,
     prompt_search_single_pass,
@@ -208,8 +211,7 @@ def search_candidates_query(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def best_match_per_id_query(spark: SparkSession, sf: str) -> DataFrame:
-    prompts = relation(spark, sf, "prompts")
-    matches = search_candidates(prompts, query_vector(spark, sf), branch_k=prompts.count())
+    matches = prompt_matches(relation(spark, sf, "prompts"), query_vector(spark, sf))
     best = best_match_per_id(matches).select("id", "gcs_video_path", "prompt_text", "best_distance")
     return _rounded(best, "best_distance")
 
@@ -249,23 +251,19 @@ def prompt_search_single_pass_query(spark: SparkSession, sf: str) -> DataFrame:
 )
 def prompt_search_score_query(spark: SparkSession, sf: str) -> DataFrame:
     prompts = relation(spark, sf, "prompts")
-    distance = F.lit(1.0) - cosine_similarity(F.col("video_embedding"), _query_column(spark, sf))
+    distance = distance_to(F.col("video_embedding"), query_vector(spark, sf), "cosine")
     return prompts.select("id", prompt_search_score(distance).alias("score"))
 
 
-def _query_column(spark: SparkSession, sf: str) -> F.Column:
-    return F.array(*[F.lit(x) for x in query_vector(spark, sf)])
-
-
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, ...], str] = {}
 
 
-def _index(spark: SparkSession, sf: str) -> str:
-    """Folder of the scenes as a clustered table, built once per application."""
-    at = (spark.sparkContext.applicationId, sf)
+def _index(spark: SparkSession, sf: str, name: str = "scenes", vec_col: str = "embedding") -> str:
+    """Folder of a relation as a clustered table, built once per application."""
+    at = (spark.sparkContext.applicationId, sf, name, vec_col)
     if at not in _INDEXES:
         path = work_folder(spark, "cells")
-        ivf.ivf_build(relation(spark, sf, "scenes"), path)
+        ivf.ivf_build(relation(spark, sf, name), path, vec_col)
         _INDEXES[at] = path
     return _INDEXES[at]
 
@@ -316,3 +314,25 @@ def ivf_recall_query(spark: SparkSession, sf: str) -> DataFrame:
     exact = knn_join(narrow, vectors, k=5)
     found = ivf.ivf_search_batch(spark, _index(spark, sf), vectors, nprobe=8)
     return ivf.ivf_recall(exact, found, ["title"])
+
+
+@query("ivf_prompt_search", _PROMPT_CHECK)
+def ivf_prompt_search_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Probing every cell of both clustered tables, which has to give the exact result."""
+    by_video, by_text = (_index(spark, sf, "prompts", c) for c in PROMPT_VECTORS)
+    return _prompts_shown(ivf.ivf_prompt_search(spark, by_video, by_text, query_vector(spark, sf), nprobe=4096))
+
+
+@query(
+    "ivf_append",
+    check_sql("SELECT video_id, count(*) AS n_scenes, count(DISTINCT title) AS n_titles FROM scenes GROUP BY video_id", "scenes"),
+)
+def ivf_append_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster the hosted scenes, add the others to the same cells, and read everything back."""
+    scenes = relation(spark, sf, "scenes")
+    hosted = F.coalesce(F.col("source").startswith("http"), F.lit(False))
+    path = work_folder(spark, "cells")
+    ivf.ivf_build(scenes.filter(hosted), path, nlist=16)
+    ivf.ivf_append(scenes.filter(~hosted), path)
+    counted = ivf.ivf_rows(spark, path).groupBy("video_id")
+    return counted.agg(F.count("*").alias("n_scenes"), F.countDistinct("title").alias("n_titles"))

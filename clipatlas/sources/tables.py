@@ -40,19 +40,24 @@ def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> Data
     return spark.createDataFrame([], schema)
 
 
+def split_required(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that have every required column, and the others. Parquet does not enforce this itself."""
+    missing = F.exists(F.array(*[F.col(c).isNull() for c in required]), lambda absent: absent)
+    return rows.filter(~missing), rows.filter(missing)
+
+
 def append_scenes(scenes: DataFrame, path: str, by_video: bool = False) -> None:
-    """Append scene rows in one bulk write.
+    """Append scene rows in one bulk write, without a shuffle.
 
-    ``by_video`` sorts the written rows so that a filter on ``video_id`` skips most row groups.
-    The range runs on from the video to its scenes, so the rows of one large video are spread over
-    several tasks. Otherwise adaptive execution evens out the file sizes.
+    ``by_video`` sorts the written rows so that a filter on ``video_id`` skips most row groups. The
+    range runs on from the video to its scenes and to the task a row comes from, so neither a large
+    video nor many copies of one scene end up in a single task.
     """
     rows = scenes.select(*SCENES.fieldNames())
     if by_video:
-        order = ["video_id", "timestamp_start", "title", "description"]
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    else:
-        rows = rows.hint("rebalance")
+        order = ["video_id", "timestamp_start", "title"]
+        rows = rows.withColumn("_task", F.spark_partition_id()).repartitionByRange(*order, "_task")
+        rows = rows.drop("_task").sortWithinPartitions(*order)
     rows.write.mode("append").parquet(path)
 
 
