@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipatlas.functions.vectors import norm, usable
 from clipatlas.operators.knn import SCENE_ORDER, QueryBlock, knn_join
@@ -71,8 +73,10 @@ def ivf_build(
         training = directed if share == 1.0 else directed.sample(share, seed)
         model = KMeans(k=max(2, nlist), distanceMeasure="cosine", seed=seed, maxIter=10, predictionCol="cell").fit(training)
         model.write().overwrite().save(f"{path}/model")
-    about = [(vec_col, facts.dims, model is not None)]
-    spark.createDataFrame(about, "vec_col string, dims int, clustered boolean").write.parquet(f"{path}/about")
+    stored = T.StructType([*rows.schema.fields, T.StructField("norm", T.DoubleType()), T.StructField("cell", T.IntegerType())])
+    about = [(vec_col, facts.dims, model is not None, stored.json())]
+    columns = "vec_col string, dims int, clustered boolean, stored string"
+    spark.createDataFrame(about, columns).write.parquet(f"{path}/about")
     _store(rows, path, vec_col, facts.dims, model)
 
 
@@ -103,12 +107,14 @@ def _store(rows: DataFrame, path: str, vec_col: str, dims: int | None, model: KM
         features = array_to_vector(F.when(directed, vec).otherwise(stand_in))
         found = model.transform(cells.drop("cell").withColumn("features", features)).drop("features")
         cells = found.withColumn("cell", F.when(directed, F.col("cell")).otherwise(F.lit(NO_CELL)))
+    cells = cells.select(*rows.columns, "norm", "cell")
     spread = cells.withColumn("_task", F.spark_partition_id()).repartitionByRange("cell", "_task").drop("_task")
     spread.write.partitionBy("cell").mode("append").parquet(f"{path}/rows")
 
 
 def ivf_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows")
+    stored = spark.read.parquet(f"{path}/about").first().stored
+    return spark.read.schema(T.StructType.fromJson(json.loads(stored))).parquet(f"{path}/rows")
 
 
 def ivf_cells(spark: SparkSession, path: str) -> DataFrame:

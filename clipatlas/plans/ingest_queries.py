@@ -40,7 +40,7 @@ def _vector_facts(name: str) -> list[F.Column]:
 
 
 def _vector_sql(name: str) -> str:
-    return f"len({name}) AS {name}_dims, round(list_sum({name}::DOUBLE[]), 6) AS {name}_total"
+    return f"len({name}) AS {name}_dims, round(list_sum({name}::DOUBLE[]), 6) + 0 AS {name}_total"
 
 
 @query("scan_scenes", check_sql(f"SELECT {_ALL_TEXT}, {_vector_sql('embedding')} FROM scenes", "scenes"))
@@ -235,7 +235,7 @@ _BREAKS_SQL = r"[\x00-/:-@\[-`{-~]+"
 def _hash_embedding_sql(rows: str) -> str:
     """Non-zero entries of the hash embedding of ``rows(id, text)``."""
     return f"""
-      SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS value FROM (
+      SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) + 0 AS value FROM (
         SELECT id, ('0x' || left(md5(word), 8))::BIGINT % {HASH_DIMS} AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (
           SELECT id, unnest(string_split_regex(lower(text), '{_BREAKS_SQL}')) AS word FROM ({rows}))
         WHERE word <> '' GROUP BY 1, 2)"""

@@ -65,7 +65,7 @@ def _shown(results: DataFrame) -> DataFrame:
 
 def _scene_search_check(distance: str) -> str:
     return check_sql(
-        f"""SELECT {_TEXT}, {_URL} AS video_url, round(d, 6) AS distance, round(1 - d, 6) AS similarity
+        f"""SELECT {_TEXT}, {_URL} AS video_url, round(d, 6) + 0 AS distance, round(1 - d, 6) + 0 AS similarity
         FROM (SELECT *, {distance} AS d FROM scenes)
         ORDER BY d, {_ORDER} LIMIT 5""",
         "scenes",
@@ -102,7 +102,7 @@ def usable_embedding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairwise(name: str, expression: str) -> str:
-    return check_sql(f"SELECT id, round({expression}, 6) AS {name} FROM prompts", "prompts")
+    return check_sql(f"SELECT id, round({expression}, 6) + 0 AS {name} FROM prompts", "prompts")
 
 
 @query("cosine_similarity", _pairwise("similarity", _cosine("video_embedding", "prompt_embedding")))
@@ -125,8 +125,8 @@ def euclidean_distance_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "embedding_codec",
-    """SELECT vec_id, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 6) AS total,
-       round(embedding[1]::DOUBLE, 6) AS first_value FROM embeddings""",
+    """SELECT vec_id, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 6) + 0 AS total,
+       round(embedding[1]::DOUBLE, 6) + 0 AS first_value FROM embeddings""",
 )
 def embedding_codec(spark: SparkSession, sf: str) -> DataFrame:
     vectors = relation(spark, sf, "query_vectors")
@@ -150,7 +150,7 @@ def _join_check(distance: str, columns: str) -> str:
     )
 
 
-_NARROW = "query_id, rank, video_id, timestamp_start, title, round(d, 6) AS distance"
+_NARROW = "query_id, rank, video_id, timestamp_start, title, round(d, 6) + 0 AS distance"
 
 
 @query("knn_join", _join_check("1 - " + _cosine("s.embedding", "q.query_embedding"), _NARROW))
@@ -170,7 +170,7 @@ def knn_join_euclidean(spark: SparkSession, sf: str) -> DataFrame:
     "search_batch",
     _join_check(
         "1 - " + _cosine("s.embedding", "q.query_embedding"),
-        f"query_id, rank, {_TEXT}, {_URL} AS video_url, round(d, 6) AS distance, round(1 - d, 6) AS similarity",
+        f"query_id, rank, {_TEXT}, {_URL} AS video_url, round(d, 6) + 0 AS distance, round(1 - d, 6) + 0 AS similarity",
     ),
 )
 def search_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,7 +195,7 @@ def _created() -> F.Column:
 
 @query(
     "search_candidates",
-    check_sql(f"SELECT id, matched_on, round(distance, 6) AS distance FROM ({_CANDIDATES})", "prompts"),
+    check_sql(f"SELECT id, matched_on, round(distance, 6) + 0 AS distance FROM ({_CANDIDATES})", "prompts"),
 )
 def search_candidates_query(spark: SparkSession, sf: str) -> DataFrame:
     found = search_candidates(relation(spark, sf, "prompts"), query_vector(spark, sf))
@@ -206,7 +206,7 @@ def search_candidates_query(spark: SparkSession, sf: str) -> DataFrame:
     "best_match_per_id",
     check_sql(
         f"""SELECT id, any_value(gcs_video_path) AS gcs_video_path, any_value(prompt_text) AS prompt_text,
-        round(min(distance), 6) AS best_distance FROM ({_BRANCHES}) GROUP BY id""",
+        round(min(distance), 6) + 0 AS best_distance FROM ({_BRANCHES}) GROUP BY id""",
         "prompts",
     ),
 )
@@ -220,7 +220,7 @@ _PROMPT_TOP = f"""SELECT id, any_value(gcs_video_path) AS gcs_video_path, any_va
   any_value(created_at) AS created_at, min(distance) AS best_distance
   FROM ({_CANDIDATES}) GROUP BY id ORDER BY best_distance, id LIMIT 3"""
 _PROMPT_CHECK = check_sql(
-    f"""SELECT id, gcs_video_path, prompt_text, {_CREATED}, round(best_distance, 6) AS best_distance,
+    f"""SELECT id, gcs_video_path, prompt_text, {_CREATED}, round(best_distance, 6) + 0 AS best_distance,
     '{_HOST}' || replace(gcs_video_path, 'gs://', '') AS video_url FROM ({_PROMPT_TOP})""",
     "prompts",
 )
@@ -245,7 +245,7 @@ def prompt_search_single_pass_query(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "prompt_search_score",
     check_sql(
-        f"SELECT id, round(1 - (1 - {_cosine('video_embedding', _Q)}), 3) AS score FROM prompts",
+        f"SELECT id, round(1 - (1 - {_cosine('video_embedding', _Q)}), 3) + 0 AS score FROM prompts",
         "prompts",
     ),
 )
@@ -271,7 +271,7 @@ def _index(spark: SparkSession, sf: str, name: str = "scenes", vec_col: str = "e
 @query(
     "ivf_build",
     check_sql(
-        """SELECT title, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm,
+        """SELECT title, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0 AS norm,
         1 AS times_stored FROM scenes WHERE len(embedding) > 0""",
         "scenes",
     ),
