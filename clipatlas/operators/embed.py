@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,34 +21,24 @@ _BREAKS = r"[\x00-/:-@\[-`{-~]+"
 
 
 def token_buckets(text: Column, dims: int = HASH_DIMS) -> Column:
-    """Bucket of every word of a text: the leading 32 bits of its MD5, modulo ``dims``."""
+    """Bucket of every word of a text, as text: the leading 32 bits of its MD5, modulo ``dims``."""
     words = F.filter(F.split(F.lower(text), _BREAKS), lambda w: w != "")
     return F.transform(
-        words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
+        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dims).cast("string")
     )
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, although ``use`` names it many times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def hash_embedding(text: Column, dims: int = HASH_DIMS) -> Column:
+def hash_embedding(rows: DataFrame, text_col: str, out_col: str, dims: int = HASH_DIMS) -> DataFrame:
     """Word counts per bucket, scaled to length 1; zeros for a text without words, [] for NULL.
 
     Needs no model, so it runs wherever Spark does.
     """
-
-    def counts(buckets: Column) -> Column:
-        every = F.sequence(F.lit(0), F.lit(dims - 1))
-        return F.transform(every, lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-
-    def scaled(n: Column) -> Column:
-        length = F.aggregate(n, F.lit(0.0), lambda acc, x: acc + x * x, lambda acc: F.sqrt(acc))
-        return _bound(length, lambda size: F.transform(n, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0))))
-
-    vector = _bound(token_buckets(text, dims), lambda buckets: _bound(counts(buckets), scaled))
-    return F.when(text.isNull(), F.array().cast(VECTOR)).otherwise(vector)
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], "_buckets", "_counts")
+    scaler = Normalizer(inputCol="_counts", outputCol="_scaled")
+    buckets = F.coalesce(token_buckets(F.col(text_col), dims), F.array().cast("array<string>"))
+    scaled = scaler.transform(counter.transform(rows.withColumn("_buckets", buckets)))
+    vector = F.when(F.col(text_col).isNull(), F.array().cast(VECTOR)).otherwise(vector_to_array("_scaled"))
+    return scaled.withColumn(out_col, vector).drop("_buckets", "_counts", "_scaled")
 
 
 def embed(
@@ -61,7 +53,7 @@ def embed(
     ``load`` returns the model and is called once per task. Without it the hash embedding is used.
     """
     if load is None:
-        return rows.withColumn(out_col, hash_embedding(F.col(text_col), dims))
+        return hash_embedding(rows, text_col, out_col, dims)
 
     @F.pandas_udf(VECTOR)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -29,6 +29,7 @@ _SCORE_BLOCK = 1 << 22
 _PAIR_BLOCK_BYTES = 64 << 20
 # Matrix products may differ in the last bits from the pairwise sums that decide the ranks.
 _SLACK = 1e-9
+_CUT_ROWS = 4096
 _RANK_SLOTS = 64
 
 
@@ -59,6 +60,38 @@ def _norms(m: np.ndarray) -> np.ndarray:
     return np.sqrt((m * m).sum(axis=1))
 
 
+def _digests(m: np.ndarray) -> np.ndarray:
+    """A number per row that is equal for equal rows, by wrapping integer arithmetic."""
+    factors = np.random.default_rng(1).integers(1, 2**63, size=m.shape[1], dtype=np.uint64) | np.uint64(1)
+    return (np.ascontiguousarray(m).view(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
+
+
+def _distinct(rows, digest, members, k):
+    """Distinct vectors among ``members``, which come in tie order.
+
+    Gives the first row of each vector, the first k rows of each one after the other, and how many
+    these are. Rows of one vector score alike, so no more than the first k can be among the best.
+    """
+    _, first, group = np.unique(digest[members], return_index=True, return_inverse=True)
+    alone = len(first) == len(members)
+    if not alone and not np.array_equal(rows[members], rows[members[first]][group], equal_nan=True):
+        alone = True  # Two different vectors share a digest; treat all as distinct.
+    if alone:
+        return members, members, np.ones(len(members), dtype=np.int64)
+    by = np.argsort(group, kind="stable")
+    sizes = np.bincount(group)
+    rank = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return members[first], members[by[rank < k]], np.minimum(sizes, k)
+
+
+def _expand(query, which, close, copies, counts):
+    """Replace each distinct vector by its rows."""
+    n = counts[which]
+    starts = (np.cumsum(counts) - counts)[which]
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(query, n), copies[np.repeat(starts, n) + within], np.repeat(close, n)
+
+
 class _Scorer:
     """Closeness of rows to queries: cosine similarity, or the negated euclidean distance."""
 
@@ -91,6 +124,8 @@ class _Scorer:
 
 def _first_k(query: np.ndarray, close: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
     """Positions of the best k entries of each query, by closeness and then by ``tie``."""
+    if not len(query):
+        return np.arange(0)
     order = np.lexsort((tie, -close, query))
     ranked = query[order]
     starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
@@ -116,21 +151,31 @@ class _TaskTopK:
         self.block, self.k, self.vec_col, self.order, self.cell_col = block, k, vec_col, order, cell_col
         self.scorer = _Scorer(block.vectors, metric)
         self.best: pa.Table | None = None
+        # Closeness of the k-th best row of each query so far.
         self.cut = np.full(len(block.vectors), -np.inf)
 
     def add(self, table: pa.Table) -> None:
         rows, whole = to_matrix(table.column(self.vec_col).combine_chunks(), self.block.vectors.shape[1])
-        norms, tie = _norms(rows), _positions(table, self.order)
+        norms, tie, digest = _norms(rows), _positions(table, self.order), _digests(rows)
         found = []
         for members, queries in self._units(table):
             members = members[whole[members]]
-            width = max(1, _SCORE_BLOCK // max(1, len(members)))
-            for at in range(0, len(queries) if len(members) else 0, width):
+            if not len(members) or not len(queries):
+                continue
+            members = members[np.argsort(tie[members])]
+            distinct, copies, counts = _distinct(rows, digest, members, self.k)
+            width = max(1, _SCORE_BLOCK // len(distinct))
+            for at in range(0, len(queries), width):
                 part = queries[at : at + width]
-                found.append(self._best_of(rows, norms, tie, members, part))
+                query, which, close = self._best_of(rows, norms, tie, distinct, part)
+                query, row, close = _expand(query, which, close, copies, counts)
+                keep = _first_k(query, close, tie[row], self.k)
+                found.append((query[keep], row[keep], close[keep]))
+                self._raise_cut(query[keep], close[keep])
         if found:
             query, row, close = (np.concatenate(x) for x in zip(*found))
-            self._merge(table, query, row, close)
+            keep = _first_k(query, close, tie[row], self.k)
+            self._merge(table, query[keep], row[keep], close[keep])
 
     def _units(self, table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows and the queries they are scored against: all with all, or cell by cell."""
@@ -143,21 +188,23 @@ class _TaskTopK:
             # Rows outside the cells, with a negative number, are scored for all queries.
             yield np.flatnonzero(cell == value), every if value < 0 else every[self.block.probed[:, value]]
 
-    def _best_of(self, rows, norms, tie, members, part):
-        close, slack = self.scorer.estimate(rows[members], norms[members], part)
-        low = close - slack
-        cut = np.full(len(part), -np.inf)
-        if len(members) >= self.k:
-            cut = np.partition(low, len(members) - self.k, axis=0)[len(members) - self.k]
-        row, col = np.nonzero(close + slack >= np.maximum(cut, self._known_cut(part))[None, :])
-        row, query = members[row], part[col]
+    def _best_of(self, rows, norms, tie, distinct, part):
+        """The best k of the distinct vectors for each query: query, place in ``distinct``, closeness."""
+        close, slack = self.scorer.estimate(rows[distinct], norms[distinct], part)
+        cut = self._known_cut(part)
+        # The k-th best of some rows is a lower bound for the k-th best of all.
+        some = (close - slack)[: max(_CUT_ROWS, 4 * self.k)]
+        if len(some) >= self.k and np.isneginf(cut).any():
+            cut = np.maximum(cut, np.partition(some, len(some) - self.k, axis=0)[len(some) - self.k])
+        which, col = np.nonzero(close + slack >= cut[None, :])
+        query, row = part[col], distinct[which]
         exact = np.empty(len(row))
         step = max(1, _PAIR_BLOCK_BYTES // (8 * rows.shape[1]))
         for at in range(0, len(row), step):
             r, q = row[at : at + step], query[at : at + step]
             exact[at : at + step] = self.scorer.exact(rows[r], norms[r], q)
-        keep = _first_k(query, exact, tie[row], self.k) if len(row) else np.arange(0)
-        return query[keep], row[keep], exact[keep]
+        keep = _first_k(query, exact, tie[row], self.k)
+        return query[keep], which[keep], exact[keep]
 
     def _known_cut(self, part: np.ndarray) -> np.ndarray:
         """Closeness a row needs to enter the kept rows, in the scale of the estimate."""
@@ -166,6 +213,14 @@ class _TaskTopK:
             return cut - _SLACK
         return -cut * cut * (1 + _SLACK)
 
+    def _raise_cut(self, query: np.ndarray, close: np.ndarray) -> None:
+        """Queries with k rows among the given ones need at least the worst of these."""
+        counts = np.bincount(query, minlength=len(self.cut))
+        worst = np.full(len(self.cut), np.inf)
+        np.minimum.at(worst, query, close)
+        full = counts >= self.k
+        self.cut[full] = np.maximum(self.cut[full], worst[full])
+
     def _merge(self, table: pa.Table, query: np.ndarray, row: np.ndarray, close: np.ndarray) -> None:
         names = [n for n in table.column_names if n not in (self.vec_col, self.cell_col)]
         fresh = table.select(names).take(pa.array(row))
@@ -174,11 +229,7 @@ class _TaskTopK:
         q, c = both.column("_q").to_numpy(), both.column("_close").to_numpy()
         keep = _first_k(q, c, _positions(both, self.order), self.k)
         self.best = both.take(pa.array(keep)).combine_chunks()
-        q, c = q[keep], c[keep]
-        counts = np.bincount(q, minlength=len(self.cut))
-        worst = np.full(len(self.cut), np.inf)
-        np.minimum.at(worst, q, c)
-        self.cut = np.where(counts >= self.k, worst, -np.inf)
+        self._raise_cut(q[keep], c[keep])
 
     def result(self) -> pa.Table | None:
         if self.best is None:

@@ -24,9 +24,10 @@ _PROMPT_COLUMNS = ["id", "gcs_video_path", "prompt_text", "created_at"]
 
 
 def _nearest(rows: DataFrame, vec_col: str, query: Sequence[float], k: int, metric: str, order) -> DataFrame:
-    """The ``k`` rows nearest to one vector, with their ``distance``."""
+    """The ``k`` rows nearest to one vector, with their ``distance``. A ``norm`` column is made use of."""
+    length = F.col("norm") if "norm" in rows.columns else None
     scored = rows.filter(usable(F.col(vec_col), len(query))).withColumn(
-        "distance", distance_to(F.col(vec_col), query, metric)
+        "distance", distance_to(F.col(vec_col), query, metric, length)
     )
     return scored.filter(F.col("distance").isNotNull()).orderBy("distance", *order).limit(k)
 
@@ -119,7 +120,8 @@ def search_candidates(
     """
 
     def branch(rows: DataFrame, vec_col: str) -> DataFrame:
-        hits = _nearest(rows.select(*_PROMPT_COLUMNS, vec_col), vec_col, query, branch_k, "cosine", ["id"])
+        stored = [c for c in ("norm",) if c in rows.columns]
+        hits = _nearest(rows.select(*_PROMPT_COLUMNS, vec_col, *stored), vec_col, query, branch_k, "cosine", ["id"])
         return hits.select(*_PROMPT_COLUMNS, F.lit(vec_col).alias("matched_on"), "distance")
 
     by_video, by_prompt = PROMPT_VECTORS

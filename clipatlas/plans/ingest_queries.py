@@ -13,6 +13,7 @@ from clipatlas.plans.relations import (
     check_sql,
     relation,
     responses,
+    spread,
     stored_scenes,
     table,
 )
@@ -133,7 +134,7 @@ def scenes_from_responses(spark: SparkSession, sf: str) -> DataFrame:
 def append_scenes_query(spark: SparkSession, sf: str) -> DataFrame:
     """Two appends, one per half of the sources, read back as one table."""
     path = work_folder(spark, "appended")
-    scenes = relation(spark, sf, "scenes")
+    scenes = relation(spark, sf, "scenes", heavy=True)
     hosted = F.coalesce(F.col("source").startswith("http"), F.lit(False))
     append_scenes(scenes.filter(hosted), path)
     append_scenes(scenes.filter(~hosted), path)
@@ -242,13 +243,13 @@ def _hash_embedding_sql(rows: str) -> str:
 
 
 def _entries(rows: DataFrame, name: str) -> DataFrame:
-    long = rows.select("id", F.posexplode(name).alias("bucket", "value")).filter(F.col("value") > 0)
+    long = rows.select("id", F.posexplode_outer(name).alias("bucket", "value")).filter(F.col("value") > 0)
     return long.select("id", F.col("bucket").cast("bigint").alias("bucket"), F.round("value", 6).alias("value"))
 
 
 @query("embed_text", _hash_embedding_sql("SELECT doc_id AS id, text FROM documents"))
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text")
     return _entries(embed(documents, "text", "embedding"), "embedding")
 
 
@@ -257,7 +258,7 @@ def embed_text(spark: SparkSession, sf: str) -> DataFrame:
     check_sql(_hash_embedding_sql("SELECT title AS id, description AS text FROM scenes"), "scenes"),
 )
 def embed_descriptions(spark: SparkSession, sf: str) -> DataFrame:
-    scenes = relation(spark, sf, "scenes").select(F.col("title").alias("id"), "description")
+    scenes = relation(spark, sf, "scenes", heavy=True).select(F.col("title").alias("id"), "description")
     return _entries(embed(scenes, "description", "embedding"), "embedding")
 
 

@@ -104,9 +104,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def relation(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer files than there are cores, dealt out to all of them.
+
+    For work that takes long per row. A table of many files keeps its own partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def relation(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    """A derived relation. ``heavy`` announces work that takes long per row."""
     text = RELATIONS[name]
     used = {t: table(spark, sf, t) for t in _TABLES if "{" + t + "}" in text}
+    if heavy:
+        used = {t: spread(df) for t, df in used.items()}
     df = spark.sql(text, **used)
     for c in _VECTORS:
         if c in df.columns:
@@ -127,7 +139,7 @@ def stored_scenes(spark: SparkSession, sf: str) -> str:
     at = (spark.sparkContext.applicationId, sf)
     if at not in _STORED:
         path = work_folder(spark, "scenes")
-        append_scenes(relation(spark, sf, "scenes"), path, by_video=True)
+        append_scenes(relation(spark, sf, "scenes", heavy=True), path, by_video=True)
         _STORED[at] = path
     return _STORED[at]
 
@@ -144,7 +156,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         *[F.coalesce(F.col(fields.get(f, f)), F.lit("")).alias(f) for f in RESPONSE_SCENE_FIELDS]
     )
     documents = (
-        relation(spark, sf, "scenes")
+        relation(spark, sf, "scenes", heavy=True)
         .withColumn("hundred", F.expr("substring(title, 1, length(title) - 2)"))
         .groupBy("video_id", "summary", "hundred")
         .agg(

@@ -77,12 +77,12 @@ _COSINE_SEARCH = _scene_search_check("1 - " + _cosine("embedding", _Q))
 
 @query("scene_search", _COSINE_SEARCH)
 def scene_search_query(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(scene_search(relation(spark, sf, "scenes"), query_vector(spark, sf), bucket="bucket"))
+    return _shown(scene_search(relation(spark, sf, "scenes", heavy=True), query_vector(spark, sf), bucket="bucket"))
 
 
 @query("euclidean_search", _scene_search_check(_euclidean("embedding", _Q)))
 def euclidean_search(spark: SparkSession, sf: str) -> DataFrame:
-    scenes = relation(spark, sf, "scenes")
+    scenes = relation(spark, sf, "scenes", heavy=True)
     return _shown(scene_search(scenes, query_vector(spark, sf), metric="euclidean", bucket="bucket"))
 
 
@@ -155,13 +155,13 @@ _NARROW = "query_id, rank, video_id, timestamp_start, title, round(d, 6) + 0 AS
 
 @query("knn_join", _join_check("1 - " + _cosine("s.embedding", "q.query_embedding"), _NARROW))
 def knn_join_query(spark: SparkSession, sf: str) -> DataFrame:
-    scenes = relation(spark, sf, "scenes").select("video_id", "timestamp_start", "title", "embedding")
+    scenes = relation(spark, sf, "scenes", heavy=True).select("video_id", "timestamp_start", "title", "embedding")
     return _rounded(knn_join(scenes, relation(spark, sf, "query_vectors"), k=5), "distance")
 
 
 @query("knn_join_euclidean", _join_check(_euclidean("s.embedding", "q.query_embedding"), _NARROW))
 def knn_join_euclidean(spark: SparkSession, sf: str) -> DataFrame:
-    scenes = relation(spark, sf, "scenes").select("video_id", "timestamp_start", "title", "embedding")
+    scenes = relation(spark, sf, "scenes", heavy=True).select("video_id", "timestamp_start", "title", "embedding")
     joined = knn_join(scenes, relation(spark, sf, "query_vectors"), k=5, metric="euclidean")
     return _rounded(joined, "distance")
 
@@ -174,7 +174,7 @@ def knn_join_euclidean(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def search_batch(spark: SparkSession, sf: str) -> DataFrame:
-    scenes, vectors = relation(spark, sf, "scenes"), relation(spark, sf, "query_vectors")
+    scenes, vectors = relation(spark, sf, "scenes", heavy=True), relation(spark, sf, "query_vectors")
     return _shown(scene_search_batch(scenes, vectors, bucket="bucket", key=["title"]))
 
 
@@ -263,7 +263,7 @@ def _index(spark: SparkSession, sf: str, name: str = "scenes", vec_col: str = "e
     at = (spark.sparkContext.applicationId, sf, name, vec_col)
     if at not in _INDEXES:
         path = work_folder(spark, "cells")
-        ivf.ivf_build(relation(spark, sf, name), path, vec_col)
+        ivf.ivf_build(relation(spark, sf, name, heavy=True), path, vec_col)
         _INDEXES[at] = path
     return _INDEXES[at]
 
@@ -309,7 +309,7 @@ def ivf_search_batch_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ivf_recall")
 def ivf_recall_query(spark: SparkSession, sf: str) -> DataFrame:
-    scenes, vectors = relation(spark, sf, "scenes"), relation(spark, sf, "query_vectors")
+    scenes, vectors = relation(spark, sf, "scenes", heavy=True), relation(spark, sf, "query_vectors")
     narrow = scenes.select("video_id", "timestamp_start", "title", "embedding")
     exact = knn_join(narrow, vectors, k=5)
     found = ivf.ivf_search_batch(spark, _index(spark, sf), vectors, nprobe=8)
