@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from clipatlas.schemas import VECTOR
 
-# A model: a batch of texts in, as many vectors out.
-Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
+# A model: a batch of texts (or images) in, as many vectors out.
+Embedder = Callable[[Sequence], Sequence[Sequence[float]]]
 
 HASH_DIMS = 64
 # Everything else counts as part of a word, in any script.
@@ -65,3 +65,23 @@ def embed(
             yield vectors
 
     return rows.withColumn(out_col, run(F.col(text_col)))
+
+
+def embed_queries(
+    decoded: DataFrame,
+    load: Callable[[], Embedder] | None = None,
+    load_image: Callable[[], Embedder] | None = None,
+    dims: int = HASH_DIMS,
+) -> DataFrame:
+    """Attach ``query_embedding`` to decoded search requests.
+
+    Text goes through ``load`` or the hash embedding and images through ``load_image``. Without a
+    model for images theirs stays empty, and an empty vector finds nothing.
+    """
+    texts = embed(decoded.filter(F.col("kind") == "text"), "query", "query_embedding", load, dims)
+    images = decoded.filter(F.col("kind") == "image")
+    if load_image is None:
+        images = images.withColumn("query_embedding", F.array().cast(VECTOR))
+    else:
+        images = embed(images, "image", "query_embedding", load_image)
+    return texts.unionByName(images)

@@ -294,7 +294,15 @@ def _rank(scored: DataFrame, k: int, order: list[str]) -> DataFrame:
 def query_blocks(queries: DataFrame, query_id: str, query_vec: str, limit: int) -> Iterator[QueryBlock]:
     """The query table in blocks no larger than ``limit`` bytes, measured before any is fetched."""
     vec = F.col(query_vec).cast("array<double>")
-    narrow = queries.select(F.col(query_id).alias("id"), vec.alias("v")).filter(usable(F.col("v")))
+    # Kept while it is read, since the vectors may come from a model.
+    kept = queries.select(F.col(query_id).alias("id"), vec.alias("v")).persist()
+    try:
+        yield from _measured_blocks(kept.filter(usable(F.col("v"))), limit)
+    finally:
+        kept.unpersist()
+
+
+def _measured_blocks(narrow: DataFrame, limit: int) -> Iterator[QueryBlock]:
     facts = narrow.agg(
         F.count("*").alias("n"),
         F.countDistinct("id").alias("ids"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipatlas.functions.labels import tags_split
@@ -169,6 +169,30 @@ def prompt_search_single_pass(prompts: DataFrame, query: Sequence[float], k: int
     return _prompt_results(scored.filter(F.col("best_distance").isNotNull()), k)
 
 
+def prompt_search_batch(
+    prompts: DataFrame,
+    queries: DataFrame,
+    branch_k: int = PROMPT_BRANCH_RESULTS,
+    k: int = PROMPT_RESULTS,
+    query_id: str = "query_id",
+    query_vec: str = "query_embedding",
+) -> DataFrame:
+    """``prompt_search`` for a table of queries, in one job per vector column."""
+    found = [
+        knn_join(
+            prompts.select(*_PROMPT_COLUMNS, c), queries, branch_k, base_col=c,
+            query_id=query_id, query_vec=query_vec, order=("id",),
+        )
+        for c in PROMPT_VECTORS
+    ]
+    best = found[0].unionByName(found[1]).groupBy(query_id, "id").agg(
+        *[F.any_value(c).alias(c) for c in _PROMPT_COLUMNS if c != "id"], F.min("distance").alias("best_distance")
+    )
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy("best_distance", "id"))
+    top = best.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k)
+    return top.withColumn("video_url", prompt_video_url(F.col("gcs_video_path")))
+
+
 def prompt_search_score(distance: Column) -> Column:
     """Shown score: 1 - distance to three places; a missing distance counts as 0."""
     return F.round(F.lit(1.0) - F.coalesce(distance, F.lit(0.0)), 3)

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipatlas.operators.embed import HASH_DIMS, embed
+from clipatlas.operators.embed import HASH_DIMS, embed, embed_queries
+from clipatlas.operators.search import scene_search_batch
 from clipatlas.plans.registry import query
 from clipatlas.plans.relations import (
     check_sql,
@@ -304,3 +305,48 @@ def required_fields(spark: SparkSession, sf: str) -> DataFrame:
     accepted, rejected = split_required(relation(spark, sf, "scenes"), SCENE_REQUIRED)
     kept = accepted.select("title", F.lit(True).alias("accepted"))
     return kept.unionByName(rejected.select("title", F.lit(False).alias("accepted")))
+
+
+def _words_sql(rows: str) -> str:
+    return f"""SELECT id, ('0x' || left(md5(word), 8))::BIGINT % {HASH_DIMS} AS bucket, count(*) AS n FROM (
+      SELECT id, unnest(string_split_regex(lower(text), '{_BREAKS_SQL}')) AS word FROM ({rows}))
+      WHERE word <> '' GROUP BY 1, 2"""
+
+
+def _dense_sql(rows: str) -> str:
+    """One list of word counts per bucket for every row of ``rows(id, text)``."""
+    return f"""SELECT g.id, list(coalesce(w.n, 0)::DOUBLE ORDER BY g.bucket) AS v
+      FROM (SELECT id, bucket FROM ({rows}), range({HASH_DIMS}) AS b(bucket)) g
+      LEFT JOIN ({_words_sql(rows)}) w USING (id, bucket) GROUP BY g.id"""
+
+
+_TEXTS = f"SELECT request_id AS id, query AS text FROM ({_INPUT}) WHERE NOT query LIKE 'data:image/%,%'"
+_DESCRIPTIONS = "SELECT DISTINCT description AS id, description AS text FROM scenes"
+
+
+@query(
+    "text_search",
+    check_sql(
+        f"""SELECT request_id, rank, round(d, 6) + 0 AS distance FROM (
+          SELECT request_id, d, row_number() OVER (PARTITION BY request_id ORDER BY d) AS rank FROM scenes s JOIN (
+            SELECT q.id AS request_id, t.id AS description,
+              CASE WHEN list_sum(q.v) = 0 OR list_sum(t.v) = 0 THEN 1 ELSE 1 - list_cosine_similarity(q.v, t.v) END AS d
+            FROM ({_dense_sql(_TEXTS)}) q, ({_dense_sql(_DESCRIPTIONS)}) t) USING (description))
+        WHERE rank <= 5""",
+        "scenes",
+        "search_requests",
+    ),
+)
+def text_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Search requests from the form to the results, over scenes embedded by the same model.
+
+    Scenes of one description tie, and vectors that tie on paper may differ in the last bit, so the
+    distances are compared and not the scenes.
+    """
+    path = work_folder(spark, "embedded")
+    append_scenes(embed(relation(spark, sf, "scenes", heavy=True), "description", "embedding"), path)
+    decoded = decode_queries(select_query_input(relation(spark, sf, "search_requests")))
+    found = scene_search_batch(
+        read_scenes(spark, path), embed_queries(decoded).withColumnRenamed("request_id", "query_id"), key=["title"]
+    )
+    return found.select(F.col("query_id").alias("request_id"), "rank", F.round("distance", 6).alias("distance"))

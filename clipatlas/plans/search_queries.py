@@ -21,6 +21,7 @@ from clipatlas.operators.search import (
     best_match_per_id,
     prompt_matches,
     prompt_search,
+    prompt_search_batch,
     prompt_search_score,
     prompt_search_single_pass,
     scene_search,
@@ -336,3 +337,31 @@ def ivf_append_query(spark: SparkSession, sf: str) -> DataFrame:
     ivf.ivf_append(scenes.filter(~hosted), path)
     counted = ivf.ivf_rows(spark, path).groupBy("video_id")
     return counted.agg(F.count("*").alias("n_scenes"), F.countDistinct("title").alias("n_titles"))
+
+
+_BATCH_BRANCH = """SELECT query_id, id, gcs_video_path, prompt_text, d FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM (
+    SELECT p.*, q.query_id, 1 - {cosine} AS d FROM prompts p, query_vectors q)) WHERE r <= 3"""
+_BATCH = " UNION ALL ".join(
+    _BATCH_BRANCH.format(cosine=_cosine(f"p.{c}", "q.query_embedding")) for c in PROMPT_VECTORS
+)
+
+
+@query(
+    "prompt_search_batch",
+    check_sql(
+        f"""SELECT query_id, rank, id, prompt_text, round(d, 6) + 0 AS best_distance,
+        '{_HOST}' || replace(gcs_video_path, 'gs://', '') AS video_url FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (
+            SELECT query_id, id, any_value(gcs_video_path) AS gcs_video_path,
+              any_value(prompt_text) AS prompt_text, min(d) AS d FROM ({_BATCH}) GROUP BY 1, 2))
+        WHERE rank <= 3""",
+        "prompts",
+        "query_vectors",
+    ),
+)
+def prompt_search_batch_query(spark: SparkSession, sf: str) -> DataFrame:
+    found = prompt_search_batch(relation(spark, sf, "prompts", heavy=True), relation(spark, sf, "query_vectors"))
+    return _rounded(found, "best_distance").select(
+        "query_id", "rank", "id", "prompt_text", "best_distance", "video_url"
+    )
