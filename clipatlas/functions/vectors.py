@@ -42,18 +42,14 @@ def euclidean_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def cosine_to(a: Column, query: Sequence[float], length: Column | None = None) -> Column:
-    """Cosine similarity to one fixed vector. ``length`` is the stored norm of ``a``, if there is one."""
-    fixed = math.sqrt(sum(x * x for x in query))
-    return _guarded(dot(a, vector(query)), (norm(a) if length is None else length) * F.lit(fixed))
-
-
-def distance_to(a: Column, query: Sequence[float], metric: str, length: Column | None = None) -> Column:
-    if metric == "cosine":
-        return F.lit(1.0) - cosine_to(a, query, length)
-    if metric == "euclidean":
-        return euclidean_distance(a, vector(query))
-    raise ValueError(f"unknown metric {metric!r}")
+def cosine_to(a: Column, query: Sequence[float]) -> Column:
+    """Cosine similarity to one fixed vector, whose norm is worked out once."""
+    return _guarded(dot(a, vector(query)), norm(a) * F.lit(math.sqrt(sum(x * x for x in query))))
+
+
+def distance_to(a: Column, query: Sequence[float]) -> Column:
+    """Cosine distance to one fixed vector."""
+    return F.lit(1.0) - cosine_to(a, query)
 
 
 def usable(a: Column, dims: int | None = None) -> Column:

@@ -8,14 +8,14 @@ rows that remain are ranked by Spark in two steps. The vectors are never shuffle
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ _PAIR_BLOCK_BYTES = 64 << 20
 # Matrix products may differ in the last bits from the pairwise sums that decide the ranks.
 _SLACK = 1e-9
 _CUT_ROWS = 4096
+_FEW_QUERIES = 64
 _RANK_SLOTS = 64
 
 
@@ -156,10 +157,18 @@ class _TaskTopK:
 
     def add(self, table: pa.Table) -> None:
         rows, whole = to_matrix(table.column(self.vec_col).combine_chunks(), self.block.vectors.shape[1])
-        norms, tie, digest = _norms(rows), _positions(table, self.order), _digests(rows)
+        if not whole.all():
+            table, rows = table.filter(pa.array(whole)), rows[whole]
+        norms = _norms(rows)
+        if self.cell_col is None and len(self.cut) <= _FEW_QUERIES and len(rows):
+            # For few queries most rows can be left out before any is sorted.
+            part = np.arange(len(self.cut))
+            close, slack = self.scorer.estimate(rows, norms, part)
+            near = (close + slack >= self._cut_for(close - slack, part)[None, :]).any(axis=1)
+            table, rows, norms = table.filter(pa.array(near)), rows[near], norms[near]
+        tie, digest = _positions(table, self.order), _digests(rows)
         found = []
         for members, queries in self._units(table):
-            members = members[whole[members]]
             if not len(members) or not len(queries):
                 continue
             members = members[np.argsort(tie[members])]
@@ -191,12 +200,7 @@ class _TaskTopK:
     def _best_of(self, rows, norms, tie, distinct, part):
         """The best k of the distinct vectors for each query: query, place in ``distinct``, closeness."""
         close, slack = self.scorer.estimate(rows[distinct], norms[distinct], part)
-        cut = self._known_cut(part)
-        # The k-th best of some rows is a lower bound for the k-th best of all.
-        some = (close - slack)[: max(_CUT_ROWS, 4 * self.k)]
-        if len(some) >= self.k and np.isneginf(cut).any():
-            cut = np.maximum(cut, np.partition(some, len(some) - self.k, axis=0)[len(some) - self.k])
-        which, col = np.nonzero(close + slack >= cut[None, :])
+        which, col = np.nonzero(close + slack >= self._cut_for(close - slack, part)[None, :])
         query, row = part[col], distinct[which]
         exact = np.empty(len(row))
         step = max(1, _PAIR_BLOCK_BYTES // (8 * rows.shape[1]))
@@ -206,6 +210,15 @@ class _TaskTopK:
         keep = _first_k(query, exact, tie[row], self.k)
         return query[keep], which[keep], exact[keep]
 
+    def _cut_for(self, low: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Closeness a row needs for each query, given what rows of the block have at least."""
+        cut = self._known_cut(part)
+        # The k-th best of some rows is a lower bound for the k-th best of all.
+        some = low[: max(_CUT_ROWS, 4 * self.k)]
+        if len(some) >= self.k and np.isneginf(cut).any():
+            cut = np.maximum(cut, np.partition(some, len(some) - self.k, axis=0)[len(some) - self.k])
+        return cut
+
     def _known_cut(self, part: np.ndarray) -> np.ndarray:
         """Closeness a row needs to enter the kept rows, in the scale of the estimate."""
         cut = self.cut[part]
@@ -256,6 +269,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], vec_col: str, dims: int) -> Itera
 def _score(base: DataFrame, block: QueryBlock, k: int, metric: str, vec_col: str, order: list[str],
            id_field: T.StructField, cell_col: str | None) -> DataFrame:
     """The best k rows of every task for every query of the block."""
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown metric {metric!r}")
     shared = base.sparkSession.sparkContext.broadcast(tuple(block))
     dims = block.vectors.shape[1]
     hidden = {vec_col, cell_col}
@@ -326,6 +341,29 @@ def _measured_blocks(narrow: DataFrame, limit: int) -> Iterator[QueryBlock]:
             yield QueryBlock(ids.filter(pa.array(whole)), vectors[whole])
 
 
+def nearest(
+    rows: DataFrame,
+    query: Sequence[float],
+    k: int,
+    metric: str = "cosine",
+    vec_col: str = "embedding",
+    order: tuple[str, ...] = SCENE_ORDER,
+) -> DataFrame:
+    """The ``k`` rows nearest to one vector, best first, with their ``distance`` and without the vector.
+
+    The vector travels with the job; no table of queries is read.
+    """
+    block = QueryBlock(pa.array([0], pa.int32()), np.array([query], dtype=np.float64))
+    typed = rows.withColumn(vec_col, F.col(vec_col).cast("array<double>"))
+    scored = _score(typed, block, k, metric, vec_col, list(order), T.StructField("_query", T.IntegerType()), None)
+    found = scored.withColumn("distance", _distance(metric)).drop("_close", "_query")
+    return found.orderBy("distance", *order).limit(k)
+
+
+def _distance(metric: str) -> Column:
+    return F.lit(1.0) - F.col("_close") if metric == "cosine" else -F.col("_close")
+
+
 def _written(df: DataFrame) -> DataFrame:
     """``df`` as a stored table: computed once, and of a size Spark knows before it plans a join."""
     path = work_folder(df.sparkSession, "winners")
@@ -355,8 +393,6 @@ def knn_join(
     the other columns joined to them, by broadcast if the written table is small. Queries larger than ``block_bytes`` are joined block by block, one scan of ``base``
     each. ``probe`` turns a block into one restricted to cells (see ``ivf``).
     """
-    if metric not in ("cosine", "euclidean"):
-        raise ValueError(f"unknown metric {metric!r}")
     id_field = queries.schema[query_id]
     hidden = [c for c in (base_col, cell_col) if c]
     payload = [c for c in base.columns if c not in hidden]
@@ -377,9 +413,7 @@ def knn_join(
             F.lit(0).cast("bigint").alias("rank"),
         )
 
-    close = F.col("_close")
-    distance = F.lit(1.0) - close if metric == "cosine" else -close
-    hits = winners.select(F.col("_query").alias(query_id), "rank", distance.alias("distance"), *travel)
+    hits = winners.select(F.col("_query").alias(query_id), "rank", _distance(metric).alias("distance"), *travel)
     if key is None:
         return hits
     others = [c for c in payload if c not in travel]

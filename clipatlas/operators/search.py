@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clipatlas.functions.labels import tags_split
 from clipatlas.functions.links import prompt_video_url, scene_video_url
 from clipatlas.functions.vectors import distance_to, usable
-from clipatlas.operators.knn import SCENE_ORDER, knn_join
+from clipatlas.operators.knn import SCENE_ORDER, knn_join, nearest
 from clipatlas.schemas import SCENE_TEXT_COLUMNS
 from clipatlas.sources.tables import ROW_PLACE, read_scenes
 
@@ -23,15 +23,6 @@ PROMPT_VECTORS = ("video_embedding", "prompt_embedding")
 _PROMPT_COLUMNS = ["id", "gcs_video_path", "prompt_text", "created_at"]
 
 
-def _nearest(rows: DataFrame, vec_col: str, query: Sequence[float], k: int, metric: str, order) -> DataFrame:
-    """The ``k`` rows nearest to one vector, with their ``distance``. A ``norm`` column is made use of."""
-    length = F.col("norm") if "norm" in rows.columns else None
-    scored = rows.filter(usable(F.col(vec_col), len(query))).withColumn(
-        "distance", distance_to(F.col(vec_col), query, metric, length)
-    )
-    return scored.filter(F.col("distance").isNotNull()).orderBy("distance", *order).limit(k)
-
-
 def scene_results(hits: DataFrame, bucket: str | None = None, lead: Sequence[str] = ()) -> DataFrame:
     """Shape found scenes for display: text columns, split tags, video address, both scores."""
     return hits.select(
@@ -55,7 +46,7 @@ def scene_search(
     Ties are ranked by ``video_id, timestamp_start, title``. ``similarity`` is 1 - distance, which
     is the cosine similarity for the cosine metric.
     """
-    hits = _nearest(scenes, "embedding", query, k, metric, SCENE_ORDER)
+    hits = nearest(scenes, query, k, metric)
     return scene_results(hits, bucket).orderBy("distance", *SCENE_ORDER)
 
 
@@ -72,10 +63,8 @@ def scene_search_stored(
     The first reads the vectors and the tie-break columns only and finds where the winners lie. The
     second reads the text columns of the at most ``k`` files that hold a winner.
     """
-    places = _nearest(
-        read_scenes(spark, path, place=True).select(*ROW_PLACE, *SCENE_ORDER, "embedding"),
-        "embedding", query, k, metric, SCENE_ORDER,
-    ).select(*ROW_PLACE, "distance").collect()
+    narrow = read_scenes(spark, path, place=True).select(*ROW_PLACE, *SCENE_ORDER, "embedding")
+    places = nearest(narrow, query, k, metric).select(*ROW_PLACE, "distance").collect()
     files = sorted({p["_file"] for p in places})
     winners = spark.createDataFrame(places, "_file string, _row bigint, distance double")
     rows = read_scenes(spark, path, place=True).filter(F.col("_metadata.file_path").isin(files))
@@ -120,8 +109,7 @@ def search_candidates(
     """
 
     def branch(rows: DataFrame, vec_col: str) -> DataFrame:
-        stored = [c for c in ("norm",) if c in rows.columns]
-        hits = _nearest(rows.select(*_PROMPT_COLUMNS, vec_col, *stored), vec_col, query, branch_k, "cosine", ["id"])
+        hits = nearest(rows.select(*_PROMPT_COLUMNS, vec_col), query, branch_k, vec_col=vec_col, order=("id",))
         return hits.select(*_PROMPT_COLUMNS, F.lit(vec_col).alias("matched_on"), "distance")
 
     by_video, by_prompt = PROMPT_VECTORS
@@ -155,7 +143,7 @@ def prompt_search(
 
 
 def _cosine_or_null(vec_col: str, query: Sequence[float]) -> Column:
-    return F.when(usable(F.col(vec_col), len(query)), distance_to(F.col(vec_col), query, "cosine"))
+    return F.when(usable(F.col(vec_col), len(query)), distance_to(F.col(vec_col), query))
 
 
 def prompt_search_single_pass(prompts: DataFrame, query: Sequence[float], k: int = PROMPT_RESULTS) -> DataFrame:

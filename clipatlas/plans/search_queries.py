@@ -252,7 +252,7 @@ def prompt_search_single_pass_query(spark: SparkSession, sf: str) -> DataFrame:
 )
 def prompt_search_score_query(spark: SparkSession, sf: str) -> DataFrame:
     prompts = relation(spark, sf, "prompts")
-    distance = distance_to(F.col("video_embedding"), query_vector(spark, sf), "cosine")
+    distance = distance_to(F.col("video_embedding"), query_vector(spark, sf))
     return prompts.select("id", prompt_search_score(distance).alias("score"))
 
 

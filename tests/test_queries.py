@@ -50,7 +50,8 @@ def test_entry(spark):
 SCALAR = [
     "timestamp_seconds", "timestamp_seconds_lenient", "scene_duration", "source_class", "scene_video_url", "youtube_embed_url",
     "playback_url", "tags_split", "tags_clean", "short_asset_id", "format_duration", "plan_requests", "decode_queries",
-    "parse_responses", "cosine_similarity", "embed_text", "stats", "list_assets", "scene_search",
+    "parse_responses", "cosine_similarity", "embed_text", "stats", "list_assets",
+    "prompt_search_single_pass", "best_match_per_id",
 ]
 
 

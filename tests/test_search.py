@@ -84,7 +84,9 @@ def test_prompt_search_in_one_pass(spark, sf, prompts, vec_id):
     q = vector(spark, sf, vec_id)
     two = prompt_search(prompts, q).collect()
     one = prompt_search_single_pass(prompts, q).collect()
-    assert [(r.id, r.best_distance, r.video_url) for r in one] == [(r.id, r.best_distance, r.video_url) for r in two]
+    # The two sum in different orders, so the last bits may differ.
+    assert [(r.id, r.video_url) for r in one] == [(r.id, r.video_url) for r in two]
+    assert [r.best_distance for r in one] == pytest.approx([r.best_distance for r in two], abs=1e-12)
     assert search_candidates(prompts, q).count() == 6
 
 
