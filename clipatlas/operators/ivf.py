@@ -94,9 +94,9 @@ def _opened(spark: SparkSession, path: str) -> tuple[Row, KMeansModel | None]:
 def _store(rows: DataFrame, path: str, vec_col: str, dims: int | None, model: KMeansModel | None) -> None:
     """Assign a cell to every row with a usable vector and append the rows to their cells.
 
-    Rows are written in ranges of (cell, task of origin): small cells share a writing task, and a
-    cell that holds a large part of the table, such as many copies of one vector, is spread over
-    several.
+    Rows are gathered by cell and the writing tasks evened out by adaptive execution: small cells
+    share a task, and a cell that holds a large part of the table, such as many copies of one
+    vector, is split by where its rows come from.
     """
     vec = F.col(vec_col)
     cells = rows.filter(usable(vec, dims)).withColumn("norm", norm(vec)).withColumn("cell", F.lit(NO_CELL))
@@ -107,9 +107,8 @@ def _store(rows: DataFrame, path: str, vec_col: str, dims: int | None, model: KM
         features = array_to_vector(F.when(directed, vec).otherwise(stand_in))
         found = model.transform(cells.drop("cell").withColumn("features", features)).drop("features")
         cells = found.withColumn("cell", F.when(directed, F.col("cell")).otherwise(F.lit(NO_CELL)))
-    cells = cells.select(*rows.columns, "norm", "cell")
-    spread = cells.withColumn("_task", F.spark_partition_id()).repartitionByRange("cell", "_task").drop("_task")
-    spread.write.partitionBy("cell").mode("append").parquet(f"{path}/rows")
+    gathered = cells.select(*rows.columns, "norm", "cell").hint("rebalance", "cell")
+    gathered.write.partitionBy("cell").mode("append").parquet(f"{path}/rows")
 
 
 def ivf_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -132,12 +132,12 @@ def test_cells_hold_every_usable_row_once(spark, cells):
 def test_large_cell_is_spread_over_tasks(spark, cells):
     odd, _ = cells
     path = work_folder(spark, "t")
-    small = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(small, "false")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "20000")
     try:
-        ivf.ivf_build(odd.repartition(4), path, nlist=4)
+        ivf.ivf_build(odd.repartition(6), path, nlist=4)
     finally:
-        spark.conf.unset(small)
+        spark.conf.unset(size)
     largest = max(ivf.ivf_cells(spark, path).collect(), key=lambda r: r.n_rows).cell
     rows = ivf.ivf_rows(spark, path).filter(F.col("cell") == largest)
     assert rows.select(F.input_file_name().alias("f")).distinct().count() > 1
