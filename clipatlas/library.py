@@ -16,7 +16,7 @@ from clipatlas.operators.embed import HASH_DIMS, Embedder, embed, embed_queries
 from clipatlas.operators.search import PROMPT_RESULTS, SCENE_RESULTS, prompt_search_batch, scene_search_batch
 from clipatlas.schemas import PROMPTS, SCENES
 from clipatlas.sources.requests import decode_queries, split_requests
-from clipatlas.sources.tables import append_prompts, append_scenes
+from clipatlas.sources.tables import ROW_PLACE, append_prompts, append_scenes, with_place
 from clipatlas.streaming.ingest import scenes_and_rejects, stream_ingest
 
 
@@ -40,20 +40,27 @@ class Library:
         self.load, self.load_image, self.dims = load, load_image, dims
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
+
+    def _exists(self, name: str) -> bool:
         try:
-            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
+            self._read(name, SCENES)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return False
+        return True
+
+    def _table(self, name: str, schema: T.StructType) -> DataFrame:
+        return self._read(name, schema) if self._exists(name) else self.spark.createDataFrame([], schema)
 
     @property
     def scenes(self) -> DataFrame:
-        return self._read("scenes", SCENES)
+        return self._table("scenes", SCENES)
 
     @property
     def prompts(self) -> DataFrame:
-        return self._read("prompts", PROMPTS)
+        return self._table("prompts", PROMPTS)
 
     def add_responses(self, documents: DataFrame) -> DataFrame:
         """Store the scenes of the valid documents; returns the rejected ones."""
@@ -87,7 +94,10 @@ class Library:
 
     def search(self, queries: DataFrame, k: int = SCENE_RESULTS, metric: str = "cosine") -> DataFrame:
         """Nearest scenes for queries ``(query_id, query)``, each a text or an image address."""
-        return scene_search_batch(self.scenes, self._vectors(queries), k, metric, self.bucket)
+        stored = self._exists("scenes")
+        scenes = with_place(self.scenes) if stored else self.scenes
+        key = ROW_PLACE if stored else None
+        return scene_search_batch(scenes, self._vectors(queries), k, metric, self.bucket, key)
 
     def prompt_search(self, queries: DataFrame, k: int = PROMPT_RESULTS) -> DataFrame:
         """Nearest prompts for queries ``(query_id, query)``."""

@@ -390,15 +390,16 @@ def knn_join(
 
     Equal distances are ranked by ``order``. ``key`` names columns that identify a base row: then
     only these and ``order`` travel with the vectors; the winners are written to the work folder and
-    the other columns joined to them, by broadcast if the written table is small. Queries larger than ``block_bytes`` are joined block by block, one scan of ``base``
-    each. ``probe`` turns a block into one restricted to cells (see ``ivf``).
+    the other columns joined to them, by broadcast if the written table is small. Queries larger
+    than ``block_bytes`` are joined block by block, one scan of ``base`` each. ``probe`` turns a block
+    into one restricted to cells (see ``ivf``).
     """
     id_field = queries.schema[query_id]
     hidden = [c for c in (base_col, cell_col) if c]
     payload = [c for c in base.columns if c not in hidden]
     travel = payload if key is None else list(dict.fromkeys([*key, *order]))
-    narrow = base.select(*travel, F.col(base_col).cast("array<double>").alias(base_col),
-                         *([cell_col] if cell_col else []))
+    vectors = F.col(base_col).cast("array<double>").alias(base_col)
+    narrow = base.select(*travel, vectors, *([cell_col] if cell_col else []))
 
     winners = None
     for block in query_blocks(queries, query_id, query_vec, block_bytes):

@@ -12,7 +12,7 @@ from clipatlas.functions.links import prompt_video_url, scene_video_url
 from clipatlas.functions.vectors import distance_to, usable
 from clipatlas.operators.knn import SCENE_ORDER, knn_join, nearest
 from clipatlas.schemas import SCENE_TEXT_COLUMNS
-from clipatlas.sources.tables import ROW_PLACE, read_scenes
+from clipatlas.sources.tables import ROW_PLACE, read_scenes, with_place
 
 # How many results a search returns.
 SCENE_RESULTS = 5
@@ -63,11 +63,12 @@ def scene_search_stored(
     The first reads the vectors and the tie-break columns only and finds where the winners lie. The
     second reads the text columns of the at most ``k`` files that hold a winner.
     """
-    narrow = read_scenes(spark, path, place=True).select(*ROW_PLACE, *SCENE_ORDER, "embedding")
+    stored = with_place(read_scenes(spark, path))
+    narrow = stored.select(*ROW_PLACE, *SCENE_ORDER, "embedding")
     places = nearest(narrow, query, k, metric).select(*ROW_PLACE, "distance").collect()
     files = sorted({p["_file"] for p in places})
     winners = spark.createDataFrame(places, "_file string, _row bigint, distance double")
-    rows = read_scenes(spark, path, place=True).filter(F.col("_metadata.file_path").isin(files))
+    rows = stored.filter(F.col("_metadata.file_path").isin(files))
     hits = rows.drop("embedding").join(F.broadcast(winners), ROW_PLACE)
     return scene_results(hits, bucket).orderBy("distance", *SCENE_ORDER)
 
@@ -80,7 +81,10 @@ def scene_search_batch(
     bucket: str | None = None,
     key: list[str] | None = None,
 ) -> DataFrame:
-    """``scene_search`` for a table of queries ``(query_id, query_embedding)``, in one job."""
+    """``scene_search`` for a table of queries ``(query_id, query_embedding)``, in one job.
+
+    ``key`` keeps the text columns out of the scoring; for stored scenes it can be ``ROW_PLACE``.
+    """
     hits = knn_join(scenes, queries, k, metric, key=key)
     return scene_results(hits, bucket, lead=["query_id", "rank"])
 

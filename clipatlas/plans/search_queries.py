@@ -38,6 +38,7 @@ from clipatlas.plans.relations import (
     stored_scenes,
 )
 from clipatlas.schemas import SCENE_TEXT_COLUMNS
+from clipatlas.sources.tables import ROW_PLACE, read_scenes, with_place
 from clipatlas.workdir import work_folder
 
 _HOST = "https://storage.mtls.cloud.google.com/"
@@ -175,8 +176,8 @@ def knn_join_euclidean(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def search_batch(spark: SparkSession, sf: str) -> DataFrame:
-    scenes, vectors = relation(spark, sf, "scenes", heavy=True), relation(spark, sf, "query_vectors")
-    return _shown(scene_search_batch(scenes, vectors, bucket="bucket", key=["title"]))
+    scenes = with_place(read_scenes(spark, stored_scenes(spark, sf)))
+    return _shown(scene_search_batch(scenes, relation(spark, sf, "query_vectors"), bucket="bucket", key=ROW_PLACE))
 
 
 _BRANCHES = f"""

@@ -12,18 +12,17 @@ from clipatlas.schemas import PROMPTS, SCENE_TEXT_COLUMNS, SCENES
 ROW_PLACE = ["_file", "_row"]
 
 
-def read_scenes(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
-    """The scene table. ``place`` adds the ``ROW_PLACE`` columns."""
-    df = spark.read.schema(SCENES).parquet(path)
-    if not place:
-        return df
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.row_index").alias("_row"),
+def with_place(stored: DataFrame) -> DataFrame:
+    """Adds the ``ROW_PLACE`` columns to rows read from parquet files."""
+    return stored.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
 
 
+def read_scenes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCENES).parquet(path)
+
+
 def scene_columns(scenes: DataFrame) -> DataFrame:
     """The text columns, without the vector."""
     return scenes.select(*SCENE_TEXT_COLUMNS)
