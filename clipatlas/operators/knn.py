@@ -27,8 +27,6 @@ QUERY_BLOCK_BYTES = 64 << 20
 _ROW_BLOCK_BYTES = 32 << 20
 _SCORE_BLOCK = 1 << 22
 _PAIR_BLOCK_BYTES = 64 << 20
-# Matrix products may differ in the last bits from the pairwise sums that decide the ranks.
-_SLACK = 1e-9
 _CUT_ROWS = 4096
 _FEW_QUERIES = 64
 _RANK_SLOTS = 64
@@ -61,6 +59,12 @@ def _norms(m: np.ndarray) -> np.ndarray:
     return np.sqrt((m * m).sum(axis=1))
 
 
+def _units(m: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zeros for rows without a direction."""
+    with np.errstate(all="ignore"):
+        return np.nan_to_num(m / norms[:, None], nan=0.0, posinf=0.0, neginf=0.0)
+
+
 def _digests(m: np.ndarray) -> np.ndarray:
     """A number per row that is equal for equal rows, by wrapping integer arithmetic."""
     factors = np.random.default_rng(1).integers(1, 2**63, size=m.shape[1], dtype=np.uint64) | np.uint64(1)
@@ -94,24 +98,57 @@ def _expand(query, which, close, copies, counts):
 
 
 class _Scorer:
-    """Closeness of rows to queries: cosine similarity, or the negated euclidean distance."""
+    """Closeness of rows to queries: cosine similarity, or the negated euclidean distance.
+
+    A matrix product tells cheaply which rows may be among the best. It is off by no more than a
+    known slack, and the rows it lets through are scored again by ``exact``.
+    """
 
     def __init__(self, queries: np.ndarray, metric: str):
         self.queries, self.metric = queries, metric
         self.norms = _norms(queries)
+        dims = queries.shape[1]
+        if metric == "cosine":
+            # Single precision over unit vectors, with twice the usual bound on the rounding.
+            self.right = _units(queries, self.norms).astype(np.float32)
+            self.slack = (dims + 8) * 2.0**-23
+        else:
+            # |x - q|^2 = |x|^2 + |q|^2 - 2xq, with |x|^2 as one more dimension of x.
+            self.right = np.c_[queries, np.ones(len(queries))]
+            self.slack = (dims + 8) * 2.0**-50
+
+    def left(self, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Rows as the matrix product takes them."""
+        if self.metric == "cosine":
+            return _units(rows, norms).astype(np.float32)
+        with np.errstate(all="ignore"):
+            return np.c_[2 * rows, -(1 - self.slack) * norms * norms]
 
-    def estimate(self, rows: np.ndarray, norms: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Closeness by matrix product, and how far it may be off for each row and query."""
-        q, qn = self.queries[part], self.norms[part]
+    def may_reach(self, left: np.ndarray, part: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """For each row and query of ``part``, whether the closeness may be at least ``cut``."""
         with np.errstate(all="ignore"):
-            product = rows @ q.T
             if self.metric == "cosine":
-                scale = norms[:, None] * qn[None, :]
-                close = np.where(scale > 0, product / scale, 0.0)
-                return np.nan_to_num(close, nan=0.0), np.full((len(rows), len(part)), _SLACK)
-            sizes = (norms * norms)[:, None] + (qn * qn)[None, :]
-            close = 2 * product - sizes
-            return np.nan_to_num(close, nan=-np.inf, neginf=-np.inf), _SLACK * (1 + sizes)
+                need = (cut - self.slack).astype(np.float32)
+            else:
+                size = self.norms[part] ** 2
+                need = -cut * cut * (1 + self.slack) + (1 - self.slack) * size
+            # Written so that a product that is no number passes.
+            return ~(left @ self.right[part].T < need[None, :])
+
+    def at_least(self, left: np.ndarray, part: np.ndarray, k: int) -> np.ndarray:
+        """For each query of ``part``, a closeness that at least k of the rows reach."""
+        if len(left) < k:
+            return np.full(len(part), -np.inf)
+        with np.errstate(all="ignore"):
+            low = (left @ self.right[part].T).astype(np.float64)
+            if self.metric == "cosine":
+                low -= self.slack
+            else:
+                sizes = -left[:, -1:] / (1 - self.slack) + (self.norms[part] ** 2)[None, :]
+                low = low - (self.norms[part] ** 2)[None, :] - 2 * self.slack * sizes
+                low = -np.sqrt(np.maximum(-low, 0))
+            low = np.nan_to_num(low, nan=-np.inf, neginf=-np.inf)
+            return np.partition(low, len(low) - k, axis=0)[len(low) - k]
 
     def exact(self, rows: np.ndarray, norms: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """Closeness of row i to query i. Depends on the two vectors only, so equal vectors tie."""
@@ -162,9 +199,8 @@ class _TaskTopK:
         norms = _norms(rows)
         if self.cell_col is None and len(self.cut) <= _FEW_QUERIES and len(rows):
             # For few queries most rows can be left out before any is sorted.
-            part = np.arange(len(self.cut))
-            close, slack = self.scorer.estimate(rows, norms, part)
-            near = (close + slack >= self._cut_for(close - slack, part)[None, :]).any(axis=1)
+            part, left = np.arange(len(self.cut)), self.scorer.left(rows, norms)
+            near = self.scorer.may_reach(left, part, self._cut_for(left, part)).any(axis=1)
             table, rows, norms = table.filter(pa.array(near)), rows[near], norms[near]
         tie, digest = _positions(table, self.order), _digests(rows)
         found = []
@@ -173,10 +209,11 @@ class _TaskTopK:
                 continue
             members = members[np.argsort(tie[members])]
             distinct, copies, counts = _distinct(rows, digest, members, self.k)
+            left = self.scorer.left(rows[distinct], norms[distinct])
             width = max(1, _SCORE_BLOCK // len(distinct))
             for at in range(0, len(queries), width):
                 part = queries[at : at + width]
-                query, which, close = self._best_of(rows, norms, tie, distinct, part)
+                query, which, close = self._best_of(rows, norms, tie, distinct, left, part)
                 query, row, close = _expand(query, which, close, copies, counts)
                 keep = _first_k(query, close, tie[row], self.k)
                 found.append((query[keep], row[keep], close[keep]))
@@ -197,10 +234,9 @@ class _TaskTopK:
             # Rows outside the cells, with a negative number, are scored for all queries.
             yield np.flatnonzero(cell == value), every if value < 0 else every[self.block.probed[:, value]]
 
-    def _best_of(self, rows, norms, tie, distinct, part):
+    def _best_of(self, rows, norms, tie, distinct, left, part):
         """The best k of the distinct vectors for each query: query, place in ``distinct``, closeness."""
-        close, slack = self.scorer.estimate(rows[distinct], norms[distinct], part)
-        which, col = np.nonzero(close + slack >= self._cut_for(close - slack, part)[None, :])
+        which, col = np.nonzero(self.scorer.may_reach(left, part, self._cut_for(left, part)))
         query, row = part[col], distinct[which]
         exact = np.empty(len(row))
         step = max(1, _PAIR_BLOCK_BYTES // (8 * rows.shape[1]))
@@ -210,21 +246,13 @@ class _TaskTopK:
         keep = _first_k(query, exact, tie[row], self.k)
         return query[keep], which[keep], exact[keep]
 
-    def _cut_for(self, low: np.ndarray, part: np.ndarray) -> np.ndarray:
-        """Closeness a row needs for each query, given what rows of the block have at least."""
-        cut = self._known_cut(part)
-        # The k-th best of some rows is a lower bound for the k-th best of all.
-        some = low[: max(_CUT_ROWS, 4 * self.k)]
-        if len(some) >= self.k and np.isneginf(cut).any():
-            cut = np.maximum(cut, np.partition(some, len(some) - self.k, axis=0)[len(some) - self.k])
-        return cut
-
-    def _known_cut(self, part: np.ndarray) -> np.ndarray:
-        """Closeness a row needs to enter the kept rows, in the scale of the estimate."""
+    def _cut_for(self, left: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Closeness a row needs for each query to be among the best k."""
         cut = self.cut[part]
-        if self.scorer.metric == "cosine":
-            return cut - _SLACK
-        return -cut * cut * (1 + _SLACK)
+        if np.isneginf(cut).any():
+            # The k-th best of some rows is a lower bound for the k-th best of all.
+            cut = np.maximum(cut, self.scorer.at_least(left[: max(_CUT_ROWS, 4 * self.k)], part, self.k))
+        return cut
 
     def _raise_cut(self, query: np.ndarray, close: np.ndarray) -> None:
         """Queries with k rows among the given ones need at least the worst of these."""

@@ -118,3 +118,30 @@ def test_bad_queries_are_refused(data, spark):
         knn_join(base, vectors.union(short), 5)
     with pytest.raises(ValueError, match="metric"):
         knn_join(base, vectors, 5, "dot")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_close_neighbours_far_from_the_origin(spark, metric):
+    """Differences far below the single precision of the preselection still decide the ranks."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=20) * 1e5
+    rows = [("v", "0", f"t{i:04}", "", [float(x) for x in centre + rng.normal(size=20) * 1e-2]) for i in range(600)]
+    queries = [(i, [float(x) for x in centre + rng.normal(size=20) * 1e-2]) for i in range(5)]
+    got = knn_join(
+        spark.createDataFrame(rows, SCHEMA).repartition(3),
+        spark.createDataFrame(queries, "query_id int, query_embedding array<double>"), 4, metric,
+    )
+    titles = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        titles.setdefault(r.query_id, []).append(r.title)
+    for qid, q in queries:
+        m = np.array([r[4] for r in rows], dtype=np.longdouble)
+        b = np.array(q, dtype=np.longdouble)
+        if metric == "euclidean":
+            want = np.argsort(((m - b) ** 2).sum(axis=1))[:4]
+            assert titles[qid] == [rows[i][2] for i in want]
+        else:
+            close = (m * b).sum(axis=1) / np.sqrt((m * m).sum(axis=1) * (b * b).sum())
+            place = {rows[i][2]: c for i, c in enumerate(close)}
+            best = np.sort(close)[::-1][:4]
+            assert all(abs(place[t] - c) < 1e-15 for t, c in zip(titles[qid], best))
