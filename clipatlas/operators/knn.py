@@ -431,9 +431,13 @@ def knn_join(
 
     winners = None
     for block in query_blocks(queries, query_id, query_vec, block_bytes):
+        rows = narrow
         if probe is not None:
             block = probe(block)
-        scored = _score(narrow, block, k, metric, base_col, list(order), id_field, cell_col)
+            wanted = np.flatnonzero(block.probed.any(axis=0)).tolist()
+            # Reads the folders of the cells some query looks into, and the rows outside the cells.
+            rows = narrow.filter(F.col(cell_col).isin(wanted) | (F.col(cell_col) < 0))
+        scored = _score(rows, block, k, metric, base_col, list(order), id_field, cell_col)
         ranked = _rank(scored, k, list(order))
         winners = ranked if winners is None else winners.unionByName(ranked)
     if winners is None:

@@ -167,6 +167,14 @@ def test_batch_and_single_probe_the_same_cells(spark, sf, cells):
         assert [r.title for r in batch if r.query_id == i] == [r.title for r in single]
 
 
+def test_batch_reads_only_probed_folders(spark, sf, cells):
+    _, path = cells
+    vectors = relation(spark, sf, "query_vectors").filter("query_id = 9")
+    found = ivf.ivf_search_batch(spark, path, vectors, nprobe=2)
+    assert found.count() == 5
+    assert "PartitionFilters: [(cell" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_only_probed_folders_are_read(spark, sf, cells):
     _, path = cells
     found = ivf.ivf_candidates(spark, path, vector(spark, sf, 5), nprobe=2)
