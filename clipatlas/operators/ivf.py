@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clipatlas.functions.vectors import norm, usable
-from clipatlas.operators.knn import SCENE_ORDER, QueryBlock, knn_join
+from clipatlas.operators.blocks import QueryBlock
+from clipatlas.operators.knn import SCENE_ORDER, knn_join
 from clipatlas.operators.search import (
     PROMPT_BRANCH_RESULTS,
     PROMPT_RESULTS,

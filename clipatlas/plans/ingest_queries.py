@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipatlas.functions.vectors import encode_embedding, usable
 from clipatlas.operators.embed import HASH_DIMS, embed, embed_queries
 from clipatlas.operators.search import scene_search_batch
 from clipatlas.plans.registry import query
@@ -25,6 +26,7 @@ from clipatlas.sources.tables import (
     append_prompts,
     append_scenes,
     ensure_tables,
+    from_text_vectors,
     read_prompts,
     read_scenes,
     scene_columns,
@@ -56,6 +58,25 @@ def scan_scenes_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return scene_columns(read_scenes(spark, stored_scenes(spark, sf)))
 
 
+@query(
+    "scan_scenes_text_vectors",
+    check_sql(
+        f"""SELECT {_ALL_TEXT}, {_vector_sql('embedding')} FROM scenes
+        WHERE right(title, 1) NOT IN ('7', '8', '9')""",
+        "scenes",
+    ),
+)
+def scan_scenes_text_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The variant with vectors as JSON text; texts that are broken, empty or missing drop out."""
+    last = F.expr("right(title, 1)")
+    text = F.when(last == "7", F.lit("[0.5, oops")).when(last == "8", F.lit("")).when(
+        last != "9", encode_embedding(F.col("embedding"))
+    )
+    stored = relation(spark, sf, "scenes").withColumn("embedding_json", text).drop("embedding")
+    scenes = from_text_vectors(stored).filter(usable(F.col("embedding")))
+    return scenes.select(*SCENE_TEXT_COLUMNS, *_vector_facts("embedding"))
+
+
 _PROMPT_VECTORS = f"{_vector_sql('video_embedding')}, {_vector_sql('prompt_embedding')}"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clipatlas.functions.vectors import decode_embedding
 from clipatlas.schemas import PROMPTS, SCENE_TEXT_COLUMNS, SCENES
 
 # Where a row lies in its parquet file. It identifies a row of a table without a key.
@@ -23,6 +24,11 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCENES).parquet(path)
 
 
+def from_text_vectors(rows: DataFrame, text_col: str = "embedding_json") -> DataFrame:
+    """Scene rows from the variant that keeps the vector as JSON text; NULL where it does not decode."""
+    return rows.withColumn("embedding", decode_embedding(F.col(text_col))).select(*SCENES.fieldNames())
+
+
 def scene_columns(scenes: DataFrame) -> DataFrame:
     """The text columns, without the vector."""
     return scenes.select(*SCENE_TEXT_COLUMNS)

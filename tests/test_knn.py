@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from clipatlas.operators import knn
+from clipatlas.operators import blocks, knn
 from clipatlas.operators.knn import knn_join
 
 SCHEMA = "video_id string, timestamp_start string, title string, note string, embedding array<double>"
@@ -84,8 +84,8 @@ def test_small_blocks_give_the_same(data, monkeypatch):
     # Queries in several blocks, one scan each.
     assert listed(knn_join(base, vectors, 5, block_bytes=6 * 8 * 10)) == want
     # Rows, scores and pairs in small pieces within a task.
-    for name, value in (("_ROW_BLOCK_BYTES", 480), ("_SCORE_BLOCK", 64), ("_PAIR_BLOCK_BYTES", 200)):
-        monkeypatch.setattr(knn, name, value)
+    for name, value in (("ROW_BLOCK_BYTES", 480), ("_SCORE_BLOCK", 64), ("_PAIR_BLOCK_BYTES", 200)):
+        monkeypatch.setattr(blocks, name, value)
     assert listed(knn_join(base, vectors, 5)) == want
 
 
