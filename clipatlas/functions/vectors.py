@@ -64,4 +64,6 @@ def encode_embedding(a: Column) -> Column:
 def decode_embedding(text: Column) -> Column:
     """Vector from its JSON text; NULL when the text is no array of numbers."""
     decoded = F.from_json(text, "array<double>")
-    return F.when(F.forall(decoded, lambda x: x.isNotNull()), decoded)
+    # Through an array of one, so that the text is decoded once and not once per mention.
+    whole = F.transform(F.array(decoded), lambda v: F.when(F.forall(v, lambda x: x.isNotNull()), v))
+    return F.get(whole, F.lit(0))

@@ -100,8 +100,15 @@ def check_sql(body: str, *relations: str) -> str:
     return f"WITH {ctes} {body}" if ctes else body
 
 
+_READ: dict[tuple[str, ...], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. The schema is read from the files once per application; the rows are not kept."""
+    at = (spark.sparkContext.applicationId, sf, name)
+    if at not in _READ:
+        _READ[at] = spark.read.parquet(f"{sf}/{name}.parquet")
+    return _READ[at]
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -176,7 +183,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 1, F.to_json(F.struct("tags", "scenes")))
         .when(kind == 2, F.to_json(F.struct("summary", "tags", F.lit("none").alias("scenes"))))
         .when(kind == 3, F.to_json(F.struct("summary", "tags", untitled.alias("scenes"))))
-        .when(kind == 4, F.concat(whole, F.lit(" [END OF VIDEO REACHED: 00:10]")))
+        .when(kind == 4, F.concat(whole, F.lit(" and that was all")))
         .when(kind == 5, F.to_json(F.struct(F.lit(5).alias("summary"), "tags", "scenes")))
         .otherwise(whole)
     )

@@ -29,7 +29,7 @@ BAD = {
     "list": "[" + json.dumps(document()) + "]",
     "two": json.dumps(document()) + json.dumps(document()),
     "two with comma": json.dumps(document()) + "," + json.dumps(document()),
-    "words after": json.dumps(document()) + " [END OF VIDEO REACHED: 01:00]",
+    "words after": json.dumps(document()) + " and that was all",
     "bracket after": json.dumps(document()) + "]",
     "single quotes": str(document()),
     "no summary": json.dumps({k: v for k, v in document().items() if k != "summary"}),
