@@ -27,6 +27,7 @@ from clipatlas.operators.search import (
 NO_CELL = -1
 CENTROID_BYTES = 256 << 20
 TRAINING_ROWS_PER_CELL = 256
+_ABOUT = "vec_col string, dims int, clustered boolean, stored string"
 
 
 def _directed(length: Column) -> Column:
@@ -58,7 +59,6 @@ def ivf_build(
         F.count("*").alias("n"),
         F.min(F.size(vec)).alias("least"),
         F.max(F.size(vec)).alias("dims"),
-        F.count_if(_directed(norm(vec))).alias("directed"),
     ).first()
     if facts.n and facts.least != facts.dims:
         raise ValueError("vectors differ in length")
@@ -67,29 +67,33 @@ def ivf_build(
         raise ValueError(f"{nlist} centroids of {facts.dims} numbers exceed {CENTROID_BYTES} bytes")
 
     model = None
-    # The fit needs two different vectors at least; with fewer, all rows stay outside the cells.
-    if facts.directed > 1:
+    if facts.n:
         directed = rows.filter(usable(vec)).filter(_directed(norm(vec))).select(array_to_vector(vec).alias("features"))
-        share = min(1.0, nlist * training_rows_per_cell / facts.directed)
+        share = min(1.0, nlist * training_rows_per_cell / facts.n)
         training = directed if share == 1.0 else directed.sample(share, seed)
-        model = KMeans(k=max(2, nlist), distanceMeasure="cosine", seed=seed, maxIter=10, predictionCol="cell").fit(training)
-        model.write().overwrite().save(f"{path}/model")
+        # Without two vectors to tell apart, all rows stay outside the cells and are always searched.
+        if len(training.head(2)) == 2:
+            means = KMeans(k=max(2, nlist), distanceMeasure="cosine", seed=seed, maxIter=10, predictionCol="cell")
+            model = means.fit(training)
+            model.write().overwrite().save(f"{path}/model")
     stored = T.StructType([*rows.schema.fields, T.StructField("norm", T.DoubleType()), T.StructField("cell", T.IntegerType())])
     about = [(vec_col, facts.dims, model is not None, stored.json())]
-    columns = "vec_col string, dims int, clustered boolean, stored string"
-    spark.createDataFrame(about, columns).write.parquet(f"{path}/about")
+    spark.createDataFrame(about, _ABOUT).write.parquet(f"{path}/about")
     _store(rows, path, vec_col, facts.dims, model)
 
 
 def ivf_append(rows: DataFrame, path: str) -> None:
     """Add rows to a clustered table, into the cells it already has."""
-    about, model = _opened(rows.sparkSession, path)
-    _store(rows, path, about.vec_col, about.dims, model)
+    about = _about(rows.sparkSession, path)
+    _store(rows, path, about.vec_col, about.dims, _model(about, path))
 
 
-def _opened(spark: SparkSession, path: str) -> tuple[Row, KMeansModel | None]:
-    about = spark.read.parquet(f"{path}/about").first()
-    return about, KMeansModel.load(f"{path}/model") if about.clustered else None
+def _about(spark: SparkSession, path: str) -> Row:
+    return spark.read.schema(_ABOUT).parquet(f"{path}/about").first()
+
+
+def _model(about: Row, path: str) -> KMeansModel | None:
+    return KMeansModel.load(f"{path}/model") if about.clustered else None
 
 
 def _store(rows: DataFrame, path: str, vec_col: str, dims: int | None, model: KMeansModel | None) -> None:
@@ -113,8 +117,11 @@ def _store(rows: DataFrame, path: str, vec_col: str, dims: int | None, model: KM
 
 
 def ivf_rows(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(f"{path}/about").first().stored
-    return spark.read.schema(T.StructType.fromJson(json.loads(stored))).parquet(f"{path}/rows")
+    return _rows(spark, path, _about(spark, path))
+
+
+def _rows(spark: SparkSession, path: str, about: Row) -> DataFrame:
+    return spark.read.schema(T.StructType.fromJson(json.loads(about.stored))).parquet(f"{path}/rows")
 
 
 def ivf_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -124,9 +131,9 @@ def ivf_cells(spark: SparkSession, path: str) -> DataFrame:
     return sizes.withColumn("share", F.col("n_rows") / total)
 
 
-def _centroids(spark: SparkSession, path: str) -> np.ndarray:
+def _centroids(about: Row, path: str) -> np.ndarray:
     """Unit centroids; the row number is the cell. Their size was checked when they were fitted."""
-    _, model = _opened(spark, path)
+    model = _model(about, path)
     return _unit(np.array(model.clusterCenters())) if model is not None else np.zeros((0, 0))
 
 
@@ -146,8 +153,9 @@ def _probed(centroids: np.ndarray, queries: np.ndarray, nprobe: int) -> np.ndarr
 
 def ivf_candidates(spark: SparkSession, path: str, query: Sequence[float], nprobe: int) -> DataFrame:
     """Rows of the cells nearest to the query; the other cells' folders are not read."""
-    chosen = np.flatnonzero(_probed(_centroids(spark, path), np.array([query], dtype=np.float64), nprobe)[0])
-    return ivf_rows(spark, path).filter(F.col("cell").isin([NO_CELL, *chosen.tolist()]))
+    about = _about(spark, path)
+    chosen = np.flatnonzero(_probed(_centroids(about, path), np.array([query], dtype=np.float64), nprobe)[0])
+    return _rows(spark, path, about).filter(F.col("cell").isin([NO_CELL, *chosen.tolist()]))
 
 
 def ivf_search(
@@ -188,14 +196,24 @@ def ivf_search_batch(
     key: list[str] | None = None,
 ) -> DataFrame:
     """Approximate nearest-neighbour join: each row is scored for the queries that probe its cell."""
-    centroids = _centroids(spark, path)
+    about = _about(spark, path)
+    centroids = _centroids(about, path)
 
     def probe(block: QueryBlock) -> QueryBlock:
         return QueryBlock(block.ids, block.vectors, _probed(centroids, block.vectors, nprobe))
 
-    rows = ivf_rows(spark, path).drop("norm")
+    rows = _rows(spark, path, about).drop("norm")
     return knn_join(
-        rows, queries, k, query_id=query_id, query_vec=query_vec, order=order, key=key, cell_col="cell", probe=probe
+        rows,
+        queries,
+        k,
+        base_col=about.vec_col,
+        query_id=query_id,
+        query_vec=query_vec,
+        order=order,
+        key=key,
+        cell_col="cell",
+        probe=probe,
     )
 
 
