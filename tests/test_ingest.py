@@ -1,5 +1,6 @@
 import json
 import os
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -126,3 +127,16 @@ def test_stream_equals_batch_and_repeats_nothing(spark, sf):
 def test_work_folder(spark):
     a, b = work_folder(spark, "x"), work_folder(spark, "x")
     assert a != b and "/x-" in a
+
+
+def test_work_folder_of_a_cluster():
+    def session(master, shared):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda name, default: shared if name == "spark.checkpoint.dir" else default),
+            sparkContext=SimpleNamespace(master=master),
+        )
+
+    assert work_folder(session("yarn", "hdfs://shared/"), "x").startswith("hdfs://shared/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(session("yarn", None), "x")
+    assert work_folder(session("local[2]", None), "x").startswith("/")
