@@ -29,12 +29,12 @@ def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     files = (
         token_counts.list_files(spark, f"{folder}/flat").withColumn("name", name)
-        .join(named.select(name.alias("name")), "name", "left_semi").select("path", "length")
+        .join(named.select(name.alias("name")).hint("merge"), "name", "left_semi").select("path", "length")
     )
     found = token_counts.count_tokens(files, END_ID)
     return (
         order.select(name.alias("name"), "place", "doc_id")
-        .join(found.withColumn("name", F.substring_index("path", "/", -1)).drop("path"), ["name", "place"], "left")
+        .join(found.withColumn("name", F.substring_index("path", "/", -1)).drop("path").hint("merge"), ["name", "place"], "left")
         .select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.col("name").alias("file"), "place", F.col("first").alias("first_token"), "ended")
     )
 

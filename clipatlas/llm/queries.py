@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clipatlas.llm import corpus_queries
+from clipatlas.llm import corpus_queries, duplicate_queries, native_queries
 from clipatlas.llm.registry import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "corpus_queries"]
+__all__ = ["CHECKS", "QUERIES", "corpus_queries", "duplicate_queries", "native_queries"]

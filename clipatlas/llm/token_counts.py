@@ -88,7 +88,7 @@ def count_tokens(files: DataFrame, end_id: int, width: int = 2, block_bytes: int
     )
     totals = found.groupBy("path").agg(F.sum(F.size("ends")).cast("long").alias("place"), F.max(F.when(F.size("ends") > 0, F.element_at("ends", -1))).alias("end"))
     left = (
-        files.select("path", tokens.cast("long").alias("tokens")).join(totals, "path")
+        files.select("path", tokens.cast("long").alias("tokens")).join(totals.hint("merge"), "path")  # grows with the files: no broadcast
         .select("path", "place", (F.coalesce("end", F.lit(-1).cast("long")) + 1).alias("first"), "tokens")
         .where(F.col("first") < F.col("tokens"))
         .select("path", "place", "first", (F.col("tokens") - F.col("first")).alias("n_tokens"), F.lit(False).alias("ended"))
