@@ -24,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from clipatlas.llm import vocabulary
 
@@ -49,9 +50,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
     import regex
 
     cut = regex.compile(pattern)
-    name = TaskContext.get().partitionId() << 32
-    ids, positions, indexes, size = [], [], _Indexes(), 0
+    name, ids, positions, indexes, size = 0, [], [], _Indexes(), 0
     for batch in batches:
+        if batch.num_rows and not name:
+            name = (batch.column("part")[0].as_py() << 32) + 1
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py() or ""
             found = cut.findall(text)
@@ -220,7 +222,8 @@ def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def encode(docs: DataFrame, sent: Broadcast, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit numbers) for every row of ``docs``, whole texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The partition of the input, also where a union numbers the tasks anew.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
     words = texts.mapInArrow(_words(pattern), "word binary, block long, index int")
     ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(sent, pattern), _SCHEMA)
     positions = texts.mapInArrow(_positions(pattern), _SCHEMA)
@@ -261,4 +264,4 @@ def decode(encoded: DataFrame, sent: Broadcast, column: str = "ids") -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([decoded(x.as_py()) for x in batch.column(place)], pa.binary())], [*names, "decoded"])
 
-    return encoded.mapInArrow(task, encoded.schema.add("decoded", "binary"))
+    return encoded.mapInArrow(task, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))

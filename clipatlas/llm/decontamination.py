@@ -92,8 +92,9 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, fold
     fine = bins_per_shingle(measured["smallest"] or 1, threshold)
 
     hashed = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.sort_array(shingle_hashes("w")).alias("hashes"))
-    # bits: log2 of the bins of the partition; unused: the low bits of a hash that do not name a bin
-    partitioned = hashed.where(F.size("hashes") > 0).select(
+    # unused: the low bits of a hash that do not name a bin. No filter on the arrays here: it would be pushed below
+    # them, and the words be cut anew for each shingle. Texts without shingles explode to nothing.
+    partitioned = hashed.select(
         "doc_id", "hashes", F.greatest(F.lit(1), 64 - F.least(F.lit(63), F.ceil(F.log2(F.size("hashes"))).cast("int") + fine)).alias("unused")
     )
     minima = partitioned.select(

@@ -45,7 +45,7 @@ def test_small_blocks(spark, encoding, monkeypatch):
     check(spark, encoding, [(i, f"text {i % 7} and some more words, number {i} " * (i % 5)) for i in range(60)])
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=200), min_size=1, max_size=60))
 def test_any_text(spark, encoding, texts):
     check(spark, encoding, list(enumerate(texts)))

