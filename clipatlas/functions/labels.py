@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clipatlas.functions.blanks import strip
+
 # Shown labels and the column each one shows.
 NOTE_LABELS = {
     "Justification": "editing_justification",
@@ -38,10 +40,6 @@ def tags_clean(tags: Column) -> Column:
     return F.filter(F.transform(tags_split(tags), strip), lambda t: t != "")
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def scene_details() -> Column:
     """Map of label to note with the empty notes left out."""
     pairs = [c for label, name in NOTE_LABELS.items() for c in (F.lit(label), F.col(name))]

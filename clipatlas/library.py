@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from clipatlas.functions.links import PROMPT_VIDEO_PREFIX, storage_uri
-from clipatlas.operators import catalog, stats
+from clipatlas.functions.links import PROMPT_VIDEO_PREFIX, playback_url, scene_video_url, storage_uri
+from clipatlas.operators import catalog, ivf, stats
 from clipatlas.operators.embed import HASH_DIMS, Embedder, embed, embed_queries
-from clipatlas.operators.search import PROMPT_RESULTS, SCENE_RESULTS, prompt_search_batch, scene_search_batch
-from clipatlas.schemas import PROMPTS, SCENES
+from clipatlas.operators.search import (
+    PROMPT_RESULTS,
+    SCENE_RESULTS,
+    prompt_search_batch,
+    scene_results,
+    scene_search_batch,
+    scene_search_places,
+)
+from clipatlas.schemas import PROMPTS, RESPONSE_RECORD, SCENES
 from clipatlas.sources.requests import decode_queries, split_requests
-from clipatlas.sources.tables import ROW_PLACE, append_prompts, append_scenes, with_place
-from clipatlas.streaming.ingest import scenes_and_rejects, stream_ingest
+from clipatlas.sources.tables import ROW_PLACE, append_prompts, append_scenes, stored_or_empty
+from clipatlas.streaming.ingest import store_documents, stream_ingest
 
 
 class Library:
-    """Scenes under ``root/scenes``, prompts under ``root/prompts``.
+    """Scenes under ``root/scenes``, prompts under ``root/prompts``, rejected responses under ``root/rejects``.
+
+    After ``build_index`` the scenes are also kept clustered by their vectors, under ``root/cells``; everything
+    that is stored later is added there.
 
     ``load`` and ``load_image`` return the models for texts and images; the hash embedding stands in
     for the first. ``bucket`` is where videos stored under the source ``gcs`` lie.
@@ -39,43 +48,36 @@ class Library:
         self.spark, self.root, self.bucket = spark, root.rstrip("/"), bucket
         self.load, self.load_image, self.dims = load, load_image, dims
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
-
-    def _exists(self, name: str) -> bool:
-        try:
-            self._read(name, SCENES)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return False
-        return True
-
-    def _table(self, name: str, schema: T.StructType) -> DataFrame:
-        return self._read(name, schema) if self._exists(name) else self.spark.createDataFrame([], schema)
-
     @property
     def scenes(self) -> DataFrame:
-        return self._table("scenes", SCENES)
+        return stored_or_empty(self.spark, f"{self.root}/scenes", SCENES)
 
     @property
     def prompts(self) -> DataFrame:
-        return self._table("prompts", PROMPTS)
+        return stored_or_empty(self.spark, f"{self.root}/prompts", PROMPTS)
 
-    def add_responses(self, documents: DataFrame) -> DataFrame:
-        """Store the scenes of the valid documents; returns the rejected ones."""
-        scenes, rejects = scenes_and_rejects(documents, self.load, self.dims)
-        append_scenes(scenes, f"{self.root}/scenes")
-        return rejects
+    @property
+    def rejects(self) -> DataFrame:
+        return stored_or_empty(self.spark, f"{self.root}/rejects", RESPONSE_RECORD)
+
+    def add_responses(self, documents: DataFrame, batch: str | None = None) -> DataFrame:
+        """Store the scenes of the accepted documents and the others as rejects, and return the rejects.
+
+        A batch that is stored again under the same name replaces what it stored before.
+        """
+        batch = f"batch={batch or uuid.uuid4().hex}"
+        store_documents(documents, self.root, batch, self.load, self.dims)
+        return self.spark.read.schema(documents.schema).parquet(f"{self.root}/rejects/{batch}")
 
-    def add_analyses(self, requests: DataFrame, responses: DataFrame) -> DataFrame:
+    def add_analyses(self, requests: DataFrame, responses: DataFrame, batch: str | None = None) -> DataFrame:
         """Store the responses ``(request_id, response)`` to analysis requests.
 
         Video id and source come from the request. Returns the rejected documents; requests without
         an address have no response to store.
         """
         work, _ = split_requests(requests)
-        return self.add_responses(responses.join(work.select("request_id", "video_id", "source"), "request_id"))
+        known = responses.join(work.select("request_id", "video_id", "source"), "request_id")
+        return self.add_responses(known, batch)
 
     def stream_responses(self, source: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         """Store responses as they arrive; rejected ones go to ``root/rejects``."""
@@ -92,12 +94,31 @@ class Library:
     def _vectors(self, queries: DataFrame) -> DataFrame:
         return embed_queries(decode_queries(queries), self.load, self.load_image, self.dims)
 
-    def search(self, queries: DataFrame, k: int = SCENE_RESULTS, metric: str = "cosine") -> DataFrame:
-        """Nearest scenes for queries ``(query_id, query)``, each a text or an image address."""
-        stored = self._exists("scenes")
-        scenes = with_place(self.scenes) if stored else self.scenes
-        key = ROW_PLACE if stored else None
-        return scene_search_batch(scenes, self._vectors(queries), k, metric, self.bucket, key)
+    def build_index(self, nlist: int | None = None, training_fraction: float | None = None) -> None:
+        """Keep the scenes clustered by their vectors from now on. Building again replaces the clusters."""
+        ivf.ivf_build(self.scenes, f"{self.root}/cells", nlist=nlist, training_fraction=training_fraction)
+
+    def search(
+        self, queries: DataFrame, k: int = SCENE_RESULTS, metric: str = "cosine", nprobe: int | None = None
+    ) -> DataFrame:
+        """Nearest scenes for queries ``(query_id, query)``, each a text or an image address.
+
+        With ``nprobe`` only so many clusters are looked through for each query, by cosine; see ``build_index``.
+        """
+        if nprobe is not None:
+            if metric != "cosine":
+                raise ValueError("clusters are searched by cosine")
+            hits = ivf.ivf_search_batch(self.spark, f"{self.root}/cells", self._vectors(queries), k, nprobe, key=ROW_PLACE)
+            return scene_results(hits, self.bucket, lead=["query_id", "rank"])
+        scenes = stored_or_empty(self.spark, f"{self.root}/scenes", SCENES, placed=True)
+        return scene_search_batch(scenes, self._vectors(queries), k, metric, self.bucket, ROW_PLACE)
+
+    def find(self, query: str, k: int = SCENE_RESULTS, metric: str = "cosine") -> DataFrame:
+        """Nearest scenes for one query. Texts are read only from the files that hold one of them."""
+        one = self.spark.createDataFrame([(0, query)], "query_id int, query string")
+        vector = self._vectors(one).select("query_embedding").first()
+        scenes = stored_or_empty(self.spark, f"{self.root}/scenes", SCENES, placed=True)
+        return scene_search_places(scenes, list(vector[0]) if vector else [], k, metric, self.bucket)
 
     def prompt_search(self, queries: DataFrame, k: int = PROMPT_RESULTS) -> DataFrame:
         """Nearest prompts for queries ``(query_id, query)``."""
@@ -109,5 +130,23 @@ class Library:
     def asset(self, video_id: str) -> DataFrame:
         return catalog.asset_detail(self.scenes, video_id, self.bucket)
 
+    def first_scenes(self) -> DataFrame:
+        """The earliest scene of every video, with the link that plays it."""
+        first = catalog.first_scene(self.scenes)
+        url = scene_video_url(F.col("source"), F.col("video_id"), self.bucket)
+        return first.withColumn("play_url", playback_url(url, F.col("video_id"), F.col("timestamp_start")))
+
+    def compact(self, root: str) -> Library:
+        """A copy of the scenes, prompts and rejects in ``root``, in few files; scenes of a video lie together.
+
+        Streams keep writing where they are; move them to the copy by starting them there with the old checkpoint
+        once the copy is made.
+        """
+        copy = Library(self.spark, root, self.bucket, self.load, self.load_image, self.dims)
+        append_scenes(self.scenes, f"{copy.root}/scenes/compacted", by_video=True, required=())
+        for name, rows in (("prompts", self.prompts), ("rejects", self.rejects)):
+            rows.hint("rebalance").write.parquet(f"{copy.root}/{name}/compacted")
+        return copy
+
     def stats(self) -> DataFrame:
         return stats.stats(self.scenes, self.prompts)

@@ -28,6 +28,8 @@ class QueryBlock(NamedTuple):
     vectors: np.ndarray
     # For a clustered table: for each query, which cells it looks into.
     probed: np.ndarray | None = None
+    # For each query a closeness that its k-th best row reaches for sure.
+    cuts: np.ndarray | None = None
 
 
 def to_matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +177,7 @@ class TaskTopK:
         self.scorer = _Scorer(block.vectors, metric)
         self.best: pa.Table | None = None
         # Closeness of the k-th best row of each query so far.
-        self.cut = np.full(len(block.vectors), -np.inf)
+        self.cut = np.full(len(block.vectors), -np.inf) if block.cuts is None else block.cuts.copy()
 
     def add(self, table: pa.Table) -> None:
         rows, whole = to_matrix(table.column(self.vec_col).combine_chunks(), self.block.vectors.shape[1])
@@ -229,6 +231,7 @@ class TaskTopK:
             r, q = row[at : at + step], query[at : at + step]
             exact[at : at + step] = self.scorer.exact(rows[r], norms[r], q)
         keep = _first_k(query, exact, tie[row], self.k)
+        keep = keep[exact[keep] >= self.cut[query[keep]]]
         return query[keep], which[keep], exact[keep]
 
     def _cut_for(self, left: np.ndarray, part: np.ndarray) -> np.ndarray:

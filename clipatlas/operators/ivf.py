@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import sys
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -20,14 +24,16 @@ from clipatlas.operators.search import (
     PROMPT_RESULTS,
     SCENE_RESULTS,
     prompt_search,
-    scene_search,
+    scene_search_places,
 )
+from clipatlas.sources.tables import ROW_PLACE, with_place
+
+# Which cells a query looks into is also worked out in tasks; the code goes to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Cell of the rows without a direction (zero vectors). Every search looks into it.
 NO_CELL = -1
-CENTROID_BYTES = 256 << 20
-TRAINING_ROWS_PER_CELL = 256
-_ABOUT = "vec_col string, dims int, clustered boolean, stored string"
+_ABOUT = "vec_col string, dims int, clustered boolean, stored string, version string"
 
 
 def _directed(length: Column) -> Column:
@@ -36,8 +42,8 @@ def _directed(length: Column) -> Column:
 
 
 def default_cells(rows: int) -> int:
-    """About the square root of the row count, as usual for inverted files, up to 4096."""
-    return int(min(4096, max(1, round(rows**0.5))))
+    """About the square root of the row count, as usual for inverted files."""
+    return int(max(1, round(rows**0.5)))
 
 
 def ivf_build(
@@ -46,12 +52,13 @@ def ivf_build(
     vec_col: str = "embedding",
     nlist: int | None = None,
     seed: int = 7,
-    training_rows_per_cell: int = TRAINING_ROWS_PER_CELL,
+    training_fraction: float | None = None,
 ) -> None:
     """Cluster the vectors and store all rows with a usable one under ``path``, by cell.
 
-    The centroids are fitted on a sample of bounded size; every row is assigned. ``rows`` is read
-    several times, so it should be a stored table.
+    The centroids are fitted on all rows, unless a share of them is asked for; every row is assigned. ``rows``
+    is read several times, so it should be a stored table. All files of a build lie in a folder of its own,
+    and the description that names it is written last: a build that fails leaves what was there before.
     """
     spark = rows.sparkSession
     vec = F.col(vec_col)
@@ -63,29 +70,49 @@ def ivf_build(
     if facts.n and facts.least != facts.dims:
         raise ValueError("vectors differ in length")
     nlist = nlist or default_cells(facts.n)
-    if nlist * (facts.dims or 0) * 8 > CENTROID_BYTES:
-        raise ValueError(f"{nlist} centroids of {facts.dims} numbers exceed {CENTROID_BYTES} bytes")
+    version = f"build-{uuid.uuid4().hex}"
 
     model = None
     if facts.n:
         directed = rows.filter(usable(vec)).filter(_directed(norm(vec))).select(array_to_vector(vec).alias("features"))
-        share = min(1.0, nlist * training_rows_per_cell / facts.n)
-        training = directed if share == 1.0 else directed.sample(share, seed)
+        training = directed if training_fraction is None else directed.sample(training_fraction, seed)
         # Without two vectors to tell apart, all rows stay outside the cells and are always searched.
         if len(training.head(2)) == 2:
             means = KMeans(k=max(2, nlist), distanceMeasure="cosine", seed=seed, maxIter=10, predictionCol="cell")
             model = means.fit(training)
-            model.write().overwrite().save(f"{path}/model")
+            model.write().save(f"{path}/{version}/model")
     stored = T.StructType([*rows.schema.fields, T.StructField("norm", T.DoubleType()), T.StructField("cell", T.IntegerType())])
-    about = [(vec_col, facts.dims, model is not None, stored.json())]
-    spark.createDataFrame(about, _ABOUT).write.parquet(f"{path}/about")
-    _store(rows, path, vec_col, facts.dims, model)
+    about = Row(vec_col=vec_col, dims=facts.dims, clustered=model is not None, stored=stored.json(), version=version)
+    _store(rows, path, about, model, "build")
+    spark.createDataFrame([about], _ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
 
+def ivf_append(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add rows to a clustered table, into the cells it already has.
 
-def ivf_append(rows: DataFrame, path: str) -> None:
-    """Add rows to a clustered table, into the cells it already has."""
-    about = _about(rows.sparkSession, path)
-    _store(rows, path, about.vec_col, about.dims, _model(about, path))
+    Rows without a vector are not kept, as in ``ivf_build``; vectors of another length raise, and nothing is
+    stored. A batch that is added again under its name replaces what it added before. A table that was built
+    from no vectors takes the length of the first ones added.
+    """
+    spark = rows.sparkSession
+    about = _about(spark, path)
+    size = F.size(F.col(about.vec_col))
+    facts = rows.filter(size > 0).agg(F.min(size).alias("least"), F.max(size).alias("most")).first()
+    if facts.least is not None and not facts.least == facts.most == (about.dims or facts.least):
+        raise ValueError("vectors differ in length")
+    if about.dims is None and facts.least is not None:
+        about = Row(**{**about.asDict(), "dims": facts.least})
+        spark.createDataFrame([about], _ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    _store(rows, path, about, _model(about, path), batch or uuid.uuid4().hex)
+
+
+def ivf_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.schema(_ABOUT).parquet(f"{path}/about").isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def _about(spark: SparkSession, path: str) -> Row:
@@ -93,17 +120,17 @@ def _about(spark: SparkSession, path: str) -> Row:
 
 
 def _model(about: Row, path: str) -> KMeansModel | None:
-    return KMeansModel.load(f"{path}/model") if about.clustered else None
+    return KMeansModel.load(f"{path}/{about.version}/model") if about.clustered else None
 
 
-def _store(rows: DataFrame, path: str, vec_col: str, dims: int | None, model: KMeansModel | None) -> None:
-    """Assign a cell to every row with a usable vector and append the rows to their cells.
+def _store(rows: DataFrame, path: str, about: Row, model: KMeansModel | None, batch: str) -> None:
+    """Assign a cell to every row with a usable vector and store the rows by cell, in a folder of the batch.
 
     Rows are gathered by cell and the writing tasks evened out by adaptive execution: small cells
     share a task, and a cell that holds a large part of the table, such as many copies of one
     vector, is split by where its rows come from.
     """
-    vec = F.col(vec_col)
+    vec, dims = F.col(about.vec_col), about.dims
     cells = rows.filter(usable(vec, dims)).withColumn("norm", norm(vec)).withColumn("cell", F.lit(NO_CELL))
     if model is not None:
         # The model accepts no zero vector; such rows get a stand-in and keep the cell of their own.
@@ -113,7 +140,8 @@ def _store(rows: DataFrame, path: str, vec_col: str, dims: int | None, model: KM
         found = model.transform(cells.drop("cell").withColumn("features", features)).drop("features")
         cells = found.withColumn("cell", F.when(directed, F.col("cell")).otherwise(F.lit(NO_CELL)))
     gathered = cells.select(*rows.columns, "norm", "cell").hint("rebalance", "cell")
-    gathered.write.partitionBy("cell").mode("append").parquet(f"{path}/rows")
+    folder = f"batch=b{uuid.uuid5(uuid.NAMESPACE_OID, batch).hex}"
+    gathered.write.partitionBy("cell").mode("overwrite").parquet(f"{path}/{about.version}/rows/{folder}")
 
 
 def ivf_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +149,8 @@ def ivf_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, path: str, about: Row) -> DataFrame:
-    return spark.read.schema(T.StructType.fromJson(json.loads(about.stored))).parquet(f"{path}/rows")
+    stored = T.StructType.fromJson(json.loads(about.stored))
+    return spark.read.schema(stored).parquet(f"{path}/{about.version}/rows").select(*stored.fieldNames())
 
 
 def ivf_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -132,7 +161,7 @@ def ivf_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _centroids(about: Row, path: str) -> np.ndarray:
-    """Unit centroids; the row number is the cell. Their size was checked when they were fitted."""
+    """Unit centroids; the row number is the cell."""
     model = _model(about, path)
     return _unit(np.array(model.clusterCenters())) if model is not None else np.zeros((0, 0))
 
@@ -166,8 +195,11 @@ def ivf_search(
     nprobe: int = 8,
     bucket: str | None = None,
 ) -> DataFrame:
-    """Approximate ``scene_search`` by cosine; exact when ``nprobe`` covers every cell."""
-    return scene_search(ivf_candidates(spark, path, query, nprobe), query, k, bucket=bucket)
+    """Approximate ``scene_search`` by cosine; exact when ``nprobe`` covers every cell.
+
+    Texts are read from the files that hold a winner only.
+    """
+    return scene_search_places(with_place(ivf_candidates(spark, path, query, nprobe)), query, k, bucket=bucket)
 
 
 def ivf_prompt_search(
@@ -200,9 +232,10 @@ def ivf_search_batch(
     centroids = _centroids(about, path)
 
     def probe(block: QueryBlock) -> QueryBlock:
-        return QueryBlock(block.ids, block.vectors, _probed(centroids, block.vectors, nprobe))
+        return block._replace(probed=_probed(centroids, block.vectors, nprobe))
 
     rows = _rows(spark, path, about).drop("norm")
+    rows = with_place(rows) if key == ROW_PLACE else rows
     return knn_join(
         rows,
         queries,

@@ -1,8 +1,11 @@
 """Exact nearest-neighbour join of a query table with a table of vectors.
 
-Every task scores its rows against the whole query block with one matrix product per block of rows
-and keeps only the best k rows of each query, so a task never emits more than k rows per query. The
-rows that remain are ranked by Spark in two steps. The vectors are never shuffled.
+Every task scores its rows against blocks of queries with one matrix product per block of rows and keeps
+only the best k rows of each query, so a task never emits more than k rows per query. The rows that
+remain are ranked by Spark in two steps. The vectors of the table are never shuffled.
+
+Rows are ranked by closeness and then by the columns named, in the tasks and after them alike; the distance
+that is shown is worked out last.
 """
 
 from __future__ import annotations
@@ -19,16 +22,27 @@ from pyspark.sql import types as T
 
 from clipatlas.functions.vectors import usable
 from clipatlas.operators.blocks import QueryBlock, TaskTopK, row_blocks, to_matrix
-from clipatlas.workdir import work_folder
+from clipatlas.workdir import file_system, work_folder
 
 SCENE_ORDER = ("video_id", "timestamp_start", "title")
 QUERY_BLOCK_BYTES = 64 << 20
 _RANK_SLOTS = 64
+# What a found row is taken to need for each of its columns while it waits in a task.
+_COLUMN_BYTES = 64
+# Rows that a task holds while it goes through several query blocks.
+HELD_ROW_BYTES = 256 << 20
+# With more cores than this, some rows are searched first, which bounds what the many tasks emit.
+BOUND_FROM_CORES, BOUND_ROWS = 256, 50_000
 
 # The function the tasks run is defined here; it goes to the workers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _task_schema(base: DataFrame, hidden: set[str | None], id_field: T.StructField) -> T.StructType:
+    fields = [f for f in base.schema.fields if f.name not in hidden]
+    return T.StructType([*fields, T.StructField("_close", T.DoubleType()), T.StructField("_query", id_field.dataType)])
+
+
 def _score(
     base: DataFrame,
     block: QueryBlock,
@@ -39,26 +53,76 @@ def _score(
     id_field: T.StructField,
     cell_col: str | None,
 ) -> DataFrame:
-    """The best k rows of every task for every query of the block."""
-    if metric not in ("cosine", "euclidean"):
-        raise ValueError(f"unknown metric {metric!r}")
+    """The best k rows of every task for every query of one block, which is sent to all tasks."""
     shared = base.sparkSession.sparkContext.broadcast(tuple(block))
     dims = block.vectors.shape[1]
-    hidden = {vec_col, cell_col}
-    fields = [f for f in base.schema.fields if f.name not in hidden]
-    schema = T.StructType(
-        [*fields, T.StructField("_close", T.DoubleType()), T.StructField("_query", id_field.dataType)]
-    )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = TaskTopK(QueryBlock(*shared.value), k, metric, vec_col, order, cell_col)
         for table in row_blocks(batches, vec_col, dims):
             top.add(table)
-        result = top.result()
-        if result is not None:
-            yield from result.to_batches(max_chunksize=10_000)
+        yield from _emitted(top)
+
+    return base.filter(usable(F.col(vec_col), dims)).mapInArrow(task, _task_schema(base, {vec_col, cell_col}, id_field))
 
-    return base.filter(usable(F.col(vec_col), dims)).mapInArrow(task, schema)
+
+def _emitted(top: TaskTopK) -> Iterator[pa.RecordBatch]:
+    result = top.result()
+    if result is not None:
+        yield from result.to_batches(max_chunksize=10_000)
+
+
+def _score_stored(
+    base: DataFrame,
+    folder: str,
+    n_blocks: int,
+    dims: int,
+    k: int,
+    metric: str,
+    vec_col: str,
+    order: list[str],
+    id_field: T.StructField,
+    cell_col: str | None,
+    probe,
+) -> DataFrame:
+    """As ``_score`` for many blocks, which the tasks read from the shared folder, one after the other.
+
+    One scan of the table serves all blocks. A task holds rows of bounded size and one block at a time.
+    """
+
+    def stored_block(i: int) -> QueryBlock | None:
+        from pyarrow import fs, parquet
+
+        system, path = file_system(f"{folder}/block={i}")
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        table = parquet.read_table(path, filesystem=system, partitioning=None, columns=["id", "v", "cut"])
+        vectors, whole = to_matrix(table.column("v").combine_chunks(), dims)
+        ids, cuts = table.column("id").combine_chunks(), table.column("cut").to_numpy()
+        block = QueryBlock(ids.filter(pa.array(whole)), vectors[whole], None, cuts[whole].copy())
+        return block if probe is None else probe(block)
+
+    def search(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for i in range(n_blocks):
+            block = stored_block(i)
+            if block is not None and len(block.vectors):
+                top = TaskTopK(block, k, metric, vec_col, order, cell_col)
+                for table in held:
+                    top.add(table)
+                yield from _emitted(top)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for table in row_blocks(batches, vec_col, dims):
+            held.append(table)
+            size += table.nbytes
+            if size >= HELD_ROW_BYTES:
+                yield from search(held)
+                held, size = [], 0
+        if held:
+            yield from search(held)
+
+    return base.filter(usable(F.col(vec_col), dims)).mapInArrow(task, _task_schema(base, {vec_col, cell_col}, id_field))
 
 
 def _rank(scored: DataFrame, k: int, order: list[str]) -> DataFrame:
@@ -77,41 +141,6 @@ def _rank(scored: DataFrame, k: int, order: list[str]) -> DataFrame:
     )
 
 
-def query_blocks(queries: DataFrame, query_id: str, query_vec: str, limit: int) -> Iterator[QueryBlock]:
-    """The query table in blocks no larger than ``limit`` bytes, measured before any is fetched."""
-    vec = F.col(query_vec).cast("array<double>")
-    # Kept while it is read, since the vectors may come from a model.
-    kept = queries.select(F.col(query_id).alias("id"), vec.alias("v")).persist()
-    try:
-        yield from _measured_blocks(kept.filter(usable(F.col("v"))), limit)
-    finally:
-        kept.unpersist()
-
-
-def _measured_blocks(narrow: DataFrame, limit: int) -> Iterator[QueryBlock]:
-    facts = narrow.agg(
-        F.count("*").alias("n"),
-        F.countDistinct("id").alias("ids"),
-        F.min(F.size("v")).alias("least"),
-        F.max(F.size("v")).alias("dims"),
-    ).first()
-    if not facts.n:
-        return
-    if facts.least != facts.dims:
-        raise ValueError("query vectors differ in length")
-    if facts.ids != facts.n:
-        raise ValueError("query ids are not unique")
-    # Half full on average, so that an uneven hash does not pass the limit.
-    n_blocks = 1 if facts.n * facts.dims * 8 <= limit else -(-2 * facts.n * facts.dims * 8 // limit)
-    for i in range(n_blocks):
-        part = narrow if n_blocks == 1 else narrow.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i)
-        table = part.toArrow()
-        if table.num_rows:
-            vectors, whole = to_matrix(table.column("v").combine_chunks(), facts.dims)
-            ids = table.column("id").combine_chunks()
-            yield QueryBlock(ids.filter(pa.array(whole)), vectors[whole])
-
-
 def nearest(
     rows: DataFrame,
     query: Sequence[float],
@@ -119,20 +148,28 @@ def nearest(
     metric: str = "cosine",
     vec_col: str = "embedding",
     order: tuple[str, ...] = SCENE_ORDER,
+    closeness: bool = False,
 ) -> DataFrame:
     """The ``k`` rows nearest to one vector, best first, with their ``distance`` and without the vector.
 
-    The vector travels with the job; no table of queries is read.
+    The vector travels with the job; no table of queries is read. ``closeness`` keeps ``_close``, the number
+    that the rows are ranked by.
     """
+    _check_metric(metric)
     block = QueryBlock(pa.array([0], pa.int32()), np.array([query], dtype=np.float64))
     typed = rows.withColumn(vec_col, F.col(vec_col).cast("array<double>"))
     scored = _score(typed, block, k, metric, vec_col, list(order), T.StructField("_query", T.IntegerType()), None)
-    found = scored.withColumn("distance", _distance(metric)).drop("_close", "_query")
-    return found.orderBy("distance", *order).limit(k)
+    found = scored.drop("_query").orderBy(F.desc("_close"), *order).limit(k).withColumn("distance", distance_of("_close", metric))
+    return found if closeness else found.drop("_close")
 
 
-def _distance(metric: str) -> Column:
-    return F.lit(1.0) - F.col("_close") if metric == "cosine" else -F.col("_close")
+def distance_of(close: str, metric: str = "cosine") -> Column:
+    return F.lit(1.0) - F.col(close) if metric == "cosine" else -F.col(close)
+
+
+def _check_metric(metric: str) -> None:
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown metric {metric!r}")
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -142,6 +179,74 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _winners(
+    narrow: DataFrame,
+    queries: DataFrame,
+    k: int,
+    metric: str,
+    base_col: str,
+    query_id: str,
+    query_vec: str,
+    order: list[str],
+    travel: list[str],
+    block_bytes: int,
+    cell_col: str | None,
+    probe,
+    bounded: bool = False,
+) -> DataFrame:
+    """Ranked rows ``_query, rank, _close`` and the travelling columns. ``bounded``: they are themselves a bound."""
+    id_field = queries.schema[query_id]
+    vec = F.col(query_vec).cast("array<double>")
+    # Kept while it is read, since the vectors may come from a model.
+    kept = queries.select(F.col(query_id).alias("id"), vec.alias("v")).persist()
+    try:
+        usable_queries = kept.filter(usable(F.col("v")))
+        facts = usable_queries.agg(
+            F.count("*").alias("n"), F.countDistinct("id").alias("ids"),
+            F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("dims"),
+        ).first()
+        if not facts.n:
+            return narrow.select(*travel).limit(0).select(
+                "*", F.lit(0.0).alias("_close"), F.lit(None).cast(id_field.dataType).alias("_query"),
+                F.lit(0).cast("bigint").alias("rank"),
+            )
+        if facts.least != facts.dims:
+            raise ValueError("query vectors differ in length")
+        if facts.ids != facts.n:
+            raise ValueError("query ids are not unique")
+
+        cuts = usable_queries.withColumn("cut", F.lit(float("-inf")))
+        if not bounded and narrow.sparkSession.sparkContext.defaultParallelism > BOUND_FROM_CORES:
+            some = _winners(
+                narrow.limit(BOUND_ROWS), kept, k, metric, base_col, "id", "v", order, travel, block_bytes, cell_col, probe, True
+            )
+            least = some.filter(F.col("rank") == k).select(F.col("_query").alias("id"), F.col("_close").alias("least"))
+            cuts = usable_queries.join(least, "id", "left").select("id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("cut"))
+
+        size = facts.n * (facts.dims * 8 + k * _COLUMN_BYTES * len(travel))
+        if size <= block_bytes:
+            table = cuts.toArrow()  # at most block_bytes
+            vectors, whole = to_matrix(table.column("v").combine_chunks(), facts.dims)
+            ids, cut = table.column("id").combine_chunks(), table.column("cut").to_numpy()
+            block = QueryBlock(ids.filter(pa.array(whole)), vectors[whole], None, cut[whole].copy())
+            rows = narrow
+            if probe is not None:
+                block = probe(block)
+                wanted = np.flatnonzero(block.probed.any(axis=0)).tolist()
+                # Reads the folders of the cells some query looks into, and the rows outside the cells.
+                rows = narrow.filter(F.col(cell_col).isin(wanted) | (F.col(cell_col) < 0))
+            scored = _score(rows, block, k, metric, base_col, order, id_field, cell_col)
+        else:
+            n_blocks = -(-2 * size // block_bytes)  # half full on average, so that an uneven hash does not pass the limit
+            folder = work_folder(narrow.sparkSession, "queries")
+            dealt = cuts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+            dealt.repartition("block").write.partitionBy("block").parquet(folder)
+            scored = _score_stored(narrow, folder, n_blocks, facts.dims, k, metric, base_col, order, id_field, cell_col, probe)
+    finally:
+        kept.unpersist()
+    return _rank(scored, k, order)
+
+
 def knn_join(
     base: DataFrame,
     queries: DataFrame,
@@ -156,46 +261,41 @@ def knn_join(
     block_bytes: int = QUERY_BLOCK_BYTES,
     cell_col: str | None = None,
     probe=None,
+    closeness: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``base`` for every query: ``query_id, rank, distance`` and the row.
 
-    Equal distances are ranked by ``order``. ``key`` names columns that identify a base row: then
-    only these and ``order`` travel with the vectors; the winners are written to the work folder and
-    the other columns joined to them, by broadcast if the written table is small. Queries larger
-    than ``block_bytes`` are joined block by block, one scan of ``base`` each. ``probe`` turns a block
-    into one restricted to cells (see ``ivf``).
+    Equal closeness is ranked by ``order``. ``key`` names columns that identify a base row: then only these
+    and ``order`` travel with the vectors; the winners are written to the work folder and the other columns
+    joined to them, by broadcast if the written table is small, from the cells of the winners if there are
+    cells. Queries up to ``block_bytes``, with what their results need in a task, are sent to all tasks; more
+    are dealt into blocks in the work folder, which the tasks read, so there is one scan of ``base`` for any
+    number of queries and none of them pass the driver. ``probe`` turns a block into one restricted to cells
+    (see ``ivf``). ``closeness`` keeps ``_close``, the number that the rows are ranked by.
     """
-    id_field = queries.schema[query_id]
+    _check_metric(metric)
     hidden = [c for c in (base_col, cell_col) if c]
     payload = [c for c in base.columns if c not in hidden]
     travel = payload if key is None else list(dict.fromkeys([*key, *order]))
     vectors = F.col(base_col).cast("array<double>").alias(base_col)
-    narrow = base.select(*travel, vectors, *([cell_col] if cell_col else []))
-
-    winners = None
-    for block in query_blocks(queries, query_id, query_vec, block_bytes):
-        rows = narrow
-        if probe is not None:
-            block = probe(block)
-            wanted = np.flatnonzero(block.probed.any(axis=0)).tolist()
-            # Reads the folders of the cells some query looks into, and the rows outside the cells.
-            rows = narrow.filter(F.col(cell_col).isin(wanted) | (F.col(cell_col) < 0))
-        scored = _score(rows, block, k, metric, base_col, list(order), id_field, cell_col)
-        ranked = _rank(scored, k, list(order))
-        winners = ranked if winners is None else winners.unionByName(ranked)
-    if winners is None:
-        winners = narrow.select(*travel).limit(0).select(
-            "*", F.lit(0.0).alias("_close"), F.lit(None).cast(id_field.dataType).alias("_query"),
-            F.lit(0).cast("bigint").alias("rank"),
-        )
-
-    hits = winners.select(F.col("_query").alias(query_id), "rank", _distance(metric).alias("distance"), *travel)
-    if key is None:
-        return hits
-    others = [c for c in payload if c not in travel]
+    others = [] if key is None else [c for c in payload if c not in travel]
+    placed = [F.col(cell_col).alias("_cell")] if cell_col and others else []
+    narrow = base.select(*travel, *placed, vectors, *([cell_col] if cell_col else []))
+    travelling = [*travel, *(["_cell"] if placed else [])]
+    winners = _winners(
+        narrow, queries, k, metric, base_col, query_id, query_vec, list(order), travelling, block_bytes, cell_col, probe
+    )
+
+    shown = ["_close"] if closeness else []
+    hits = winners.select(F.col("_query").alias(query_id), "rank", distance_of("_close", metric).alias("distance"), *shown, *travelling)
     if not others:
         return hits
     hits = _written(hits)
-    rows = base.select(*[F.col(c).alias(f"_k_{c}") for c in key], *others)
+    rows = base
+    if placed:
+        # At most as many numbers as there are cells; the other folders are not read again.
+        cells = [r["_cell"] for r in hits.select("_cell").distinct().collect()]
+        rows = base.filter(F.col(cell_col).isin(cells))
+    rows = rows.select(*[F.col(c).alias(f"_k_{c}") for c in key], *others)
     same = [hits[c].eqNullSafe(rows[f"_k_{c}"]) for c in key]
-    return hits.join(rows, same).select(query_id, "rank", "distance", *payload)
+    return hits.join(rows, same).select(query_id, "rank", "distance", *shown, *payload)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clipatlas.functions.labels import tags_split
 from clipatlas.functions.links import prompt_video_url, scene_video_url
 from clipatlas.functions.vectors import distance_to, usable
-from clipatlas.operators.knn import SCENE_ORDER, knn_join, nearest
+from clipatlas.operators.knn import SCENE_ORDER, distance_of, knn_join, nearest
 from clipatlas.schemas import SCENE_TEXT_COLUMNS
 from clipatlas.sources.tables import ROW_PLACE, read_scenes, with_place
 
@@ -46,8 +46,8 @@ def scene_search(
     Ties are ranked by ``video_id, timestamp_start, title``. ``similarity`` is 1 - distance, which
     is the cosine similarity for the cosine metric.
     """
-    hits = nearest(scenes, query, k, metric)
-    return scene_results(hits, bucket).orderBy("distance", *SCENE_ORDER)
+    hits = scene_results(nearest(scenes, query, k, metric, closeness=True), bucket, lead=["_close"])
+    return hits.orderBy(F.desc("_close"), *SCENE_ORDER).drop("_close")
 
 
 def scene_search_stored(
@@ -58,19 +58,29 @@ def scene_search_stored(
     metric: str = "cosine",
     bucket: str | None = None,
 ) -> DataFrame:
-    """``scene_search`` on a stored table in two steps.
+    """``scene_search`` on a stored table, by ``scene_search_places``."""
+    return scene_search_places(with_place(read_scenes(spark, path)), query, k, metric, bucket)
+
+
+def scene_search_places(
+    stored: DataFrame,
+    query: Sequence[float],
+    k: int = SCENE_RESULTS,
+    metric: str = "cosine",
+    bucket: str | None = None,
+) -> DataFrame:
+    """``scene_search`` in two steps, on stored scenes with their place.
 
     The first reads the vectors and the tie-break columns only and finds where the winners lie. The
     second reads the text columns of the at most ``k`` files that hold a winner.
     """
-    stored = with_place(read_scenes(spark, path))
     narrow = stored.select(*ROW_PLACE, *SCENE_ORDER, "embedding")
-    places = nearest(narrow, query, k, metric).select(*ROW_PLACE, "distance").collect()
-    files = sorted({p["_file"] for p in places})
-    winners = spark.createDataFrame(places, "_file string, _row bigint, distance double")
-    rows = stored.filter(F.col("_metadata.file_path").isin(files))
-    hits = rows.drop("embedding").join(F.broadcast(winners), ROW_PLACE)
-    return scene_results(hits, bucket).orderBy("distance", *SCENE_ORDER)
+    found = nearest(narrow, query, k, metric).select(*ROW_PLACE, "distance").collect()
+    places = [(*place, rank) for rank, place in enumerate(found)]
+    files = sorted({place[0] for place in places})
+    winners = stored.sparkSession.createDataFrame(places, "_file string, _row bigint, distance double, _rank int")
+    rows = stored.filter(F.col("_file").isin(files)).drop("embedding")
+    return scene_results(rows.join(F.broadcast(winners), ROW_PLACE).orderBy("_rank"), bucket)
 
 
 def scene_search_batch(
@@ -112,9 +122,14 @@ def search_candidates(
     ``by_text`` gives other rows for the second search, such as those of another clustered table.
     """
 
+    return _candidates(prompts, query, branch_k, by_text).drop("_close")
+
+
+def _candidates(prompts: DataFrame, query: Sequence[float], branch_k: int, by_text: DataFrame | None) -> DataFrame:
     def branch(rows: DataFrame, vec_col: str) -> DataFrame:
-        hits = nearest(rows.select(*_PROMPT_COLUMNS, vec_col), query, branch_k, vec_col=vec_col, order=("id",))
-        return hits.select(*_PROMPT_COLUMNS, F.lit(vec_col).alias("matched_on"), "distance")
+        narrow = rows.select(*_PROMPT_COLUMNS, vec_col)
+        hits = nearest(narrow, query, branch_k, vec_col=vec_col, order=("id",), closeness=True)
+        return hits.select(*_PROMPT_COLUMNS, F.lit(vec_col).alias("matched_on"), "distance", "_close")
 
     by_video, by_prompt = PROMPT_VECTORS
     return branch(prompts, by_video).unionByName(branch(prompts if by_text is None else by_text, by_prompt))
@@ -130,8 +145,14 @@ def best_match_per_id(matches: DataFrame) -> DataFrame:
     )
 
 
+def _closest_per(matches: DataFrame, *by: str) -> DataFrame:
+    """One row per id, and per column of ``by``, with its largest closeness, which ranks it."""
+    columns = [F.any_value(c).alias(c) for c in _PROMPT_COLUMNS if c != "id"]
+    return matches.groupBy(*by, "id").agg(*columns, F.max("_close").alias("_close"))
+
+
 def _prompt_results(best: DataFrame, k: int) -> DataFrame:
-    top = best.orderBy("best_distance", "id").limit(k)
+    top = best.orderBy(F.desc("_close"), "id").limit(k).withColumn("best_distance", distance_of("_close")).drop("_close")
     return top.withColumn("video_url", prompt_video_url(F.col("gcs_video_path")))
 
 
@@ -143,7 +164,7 @@ def prompt_search(
     by_text: DataFrame | None = None,
 ) -> DataFrame:
     """Prompts whose video or text vector is nearest to the query vector, best first."""
-    return _prompt_results(best_match_per_id(search_candidates(prompts, query, branch_k, by_text)), k)
+    return _prompt_results(_closest_per(_candidates(prompts, query, branch_k, by_text)), k)
 
 
 def _cosine_or_null(vec_col: str, query: Sequence[float]) -> Column:
@@ -153,12 +174,13 @@ def _cosine_or_null(vec_col: str, query: Sequence[float]) -> Column:
 def prompt_search_single_pass(prompts: DataFrame, query: Sequence[float], k: int = PROMPT_RESULTS) -> DataFrame:
     """``prompt_search`` in one scan, for unique ids and a ``branch_k`` of at least ``k``.
 
-    A row that ``k`` rows beat within a branch is beaten by the same rows overall, so taking the
-    smaller distance first loses nothing.
+    Both vectors of a prompt become rows of one table. An id has two of them at most, so the ids of the best
+    ``2 * k`` rows hold the best ``k`` ids.
     """
-    best = F.least(*[_cosine_or_null(c, query) for c in PROMPT_VECTORS])
-    scored = prompts.select(*_PROMPT_COLUMNS, best.alias("best_distance"))
-    return _prompt_results(scored.filter(F.col("best_distance").isNotNull()), k)
+    both = F.explode(F.array(*[F.col(c).cast("array<double>") for c in PROMPT_VECTORS]))
+    rows = prompts.select(*_PROMPT_COLUMNS, both.alias("vector"))
+    hits = nearest(rows, query, 2 * k, vec_col="vector", order=("id",), closeness=True)
+    return _prompt_results(_closest_per(hits), k)
 
 
 def prompt_search_batch(
@@ -173,15 +195,14 @@ def prompt_search_batch(
     found = [
         knn_join(
             prompts.select(*_PROMPT_COLUMNS, c), queries, branch_k, base_col=c,
-            query_id=query_id, query_vec=query_vec, order=("id",),
+            query_id=query_id, query_vec=query_vec, order=("id",), closeness=True,
         )
         for c in PROMPT_VECTORS
     ]
-    best = found[0].unionByName(found[1]).groupBy(query_id, "id").agg(
-        *[F.any_value(c).alias(c) for c in _PROMPT_COLUMNS if c != "id"], F.min("distance").alias("best_distance")
-    )
-    place = F.row_number().over(Window.partitionBy(query_id).orderBy("best_distance", "id"))
+    best = _closest_per(found[0].unionByName(found[1]), query_id)
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("_close"), "id"))
     top = best.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k)
+    top = top.withColumn("best_distance", distance_of("_close")).drop("_close")
     return top.withColumn("video_url", prompt_video_url(F.col("gcs_video_path")))
 
 

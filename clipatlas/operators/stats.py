@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipatlas.functions.labels import tags_clean
 from clipatlas.functions.links import source_class
-from clipatlas.functions.timecodes import scene_duration
+from clipatlas.functions.timecodes import SECONDS, scene_duration
 from clipatlas.operators.catalog import with_category, with_tags
 
 TOP_TAGS = 10
@@ -40,14 +40,14 @@ def scene_totals(scenes: DataFrame) -> DataFrame:
         F.countDistinct("video_id").alias("total_assets"),
         F.count("*").alias("total_scenes"),
         F.coalesce(
-            F.sum(scene_duration(F.col("timestamp_start"), F.col("timestamp_end"))), F.lit(0).cast("bigint")
+            F.sum(scene_duration(F.col("timestamp_start"), F.col("timestamp_end"))), F.lit(0).cast(SECONDS)
         ).alias("total_duration_seconds"),
     )
     assets, n, seconds = (F.col(c) for c in totals.columns)
     return totals.select(
         "*",
         _ratio(n, assets, 1).alias("average_scenes_per_asset"),
-        _ratio(seconds, n, 0).cast("bigint").alias("avg_scene_duration_seconds"),
+        _ratio(seconds.cast("double"), n, 0).cast(SECONDS).alias("avg_scene_duration_seconds"),
     )
 
 
@@ -114,14 +114,12 @@ def stats(scenes: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
     )
 
 
-def stats_document(long_form: DataFrame, max_entries: int = 100_000) -> DataFrame:
-    """The long form folded into one row: single figures as columns, breakdowns as maps.
+def stats_document(long_form: DataFrame) -> DataFrame:
+    """The figures of bounded number in one row: single ones as columns, source classes and top tags as maps.
 
-    One row can only hold a bounded number of categories, so the size is checked first; a larger
-    result has to be read in long form.
+    Categories have no bound; they stay in the long form, as its rows with the metric ``category_breakdown``.
     """
-    if long_form.limit(max_entries + 1).count() > max_entries:
-        raise ValueError(f"more than {max_entries} entries: read the long form")
+    long_form = long_form.filter(F.col("metric") != "category_breakdown")
 
     def figure(metric: str, kind: str) -> Column:
         return F.max(F.when(F.col("metric") == metric, F.col("value"))).cast(kind).alias(metric)
@@ -134,10 +132,9 @@ def stats_document(long_form: DataFrame, max_entries: int = 100_000) -> DataFram
         figure("total_assets", "bigint"),
         figure("total_scenes", "bigint"),
         figure("average_scenes_per_asset", "double"),
-        breakdown("category_breakdown"),
         breakdown("source_breakdown"),
-        figure("total_duration_seconds", "bigint"),
-        figure("avg_scene_duration_seconds", "bigint"),
+        figure("total_duration_seconds", SECONDS),
+        figure("avg_scene_duration_seconds", SECONDS),
         breakdown("top_tags"),
         figure("total_prompt_videos", "bigint"),
     )

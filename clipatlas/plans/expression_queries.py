@@ -51,7 +51,7 @@ def _embed_sql(url: str, start: str) -> str:
 
 @query("timestamp_seconds", _of_scenes(f"{seconds_sql('timestamp_start')} AS s, {seconds_sql('timestamp_end')} AS e"))
 def timestamp_seconds(spark: SparkSession, sf: str) -> DataFrame:
-    start, end = (timecodes.timestamp_seconds(F.col(c)) for c in ("timestamp_start", "timestamp_end"))
+    start, end = (timecodes.timestamp_seconds(F.col(c)).cast("bigint") for c in ("timestamp_start", "timestamp_end"))
     return relation(spark, sf, "scenes").select("title", start.alias("s"), end.alias("e"))
 
 
@@ -64,7 +64,7 @@ def timestamp_seconds_lenient(spark: SparkSession, sf: str) -> DataFrame:
 @query("scene_duration", _of_scenes(f"{DURATION_SQL} AS seconds"))
 def scene_duration(spark: SparkSession, sf: str) -> DataFrame:
     length = timecodes.scene_duration(F.col("timestamp_start"), F.col("timestamp_end"))
-    return relation(spark, sf, "scenes").select("title", length.alias("seconds"))
+    return relation(spark, sf, "scenes").select("title", length.cast("bigint").alias("seconds"))
 
 
 _CLOCK = """CASE WHEN {s} >= 3600 THEN CAST({s} // 3600 AS VARCHAR) || 'h ' ELSE '' END ||

@@ -152,15 +152,20 @@ def scenes_from_responses(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("append_scenes", check_sql(f"SELECT {_ALL_TEXT}, {_vector_sql('embedding')} FROM scenes", "scenes"))
+@query(
+    "append_scenes",
+    check_sql(f"SELECT {_ALL_TEXT}, {_vector_sql('embedding')}, source IS NOT NULL AS accepted FROM scenes", "scenes"),
+)
 def append_scenes_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Two appends, one per half of the sources, read back as one table."""
+    """Two appends, one per half of the sources, read back as one table; scenes without a source are rejects."""
     path = work_folder(spark, "appended")
     scenes = relation(spark, sf, "scenes", heavy=True)
     hosted = F.coalesce(F.col("source").startswith("http"), F.lit(False))
-    append_scenes(scenes.filter(hosted), path)
-    append_scenes(scenes.filter(~hosted), path)
-    return read_scenes(spark, path).select(*SCENE_TEXT_COLUMNS, *_vector_facts("embedding"))
+    append_scenes(scenes.filter(hosted), f"{path}/scenes", rejects=f"{path}/rejects")
+    append_scenes(scenes.filter(~hosted), f"{path}/scenes", rejects=f"{path}/rejects")
+    stored, rejects = (read_scenes(spark, f"{path}/{name}") for name in ("scenes", "rejects"))
+    both = stored.withColumn("accepted", F.lit(True)).unionByName(rejects.withColumn("accepted", F.lit(False)))
+    return both.select(*SCENE_TEXT_COLUMNS, *_vector_facts("embedding"), "accepted")
 
 
 @query(
@@ -193,7 +198,7 @@ def append_prompts_query(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def ensure_tables_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Create both tables, ask again, fill them, and count."""
+    """Create both tables, ask again, fill them, count, and remove them."""
     database = f"clipatlas_{uuid.uuid4().hex}"
     ensure_tables(spark, database, work_folder(spark, "database"))
     listing = ensure_tables(spark, database)
@@ -208,7 +213,10 @@ def ensure_tables_query(spark: SparkSession, sf: str) -> DataFrame:
         n_rows = n_rows.withColumn("table_name", F.lit(name))
         counts = n_rows if counts is None else counts.unionByName(n_rows)
     columns = listing.groupBy("table_name").agg(F.count("*").cast("int").alias("n_columns"))
-    return columns.join(counts, "table_name").select("table_name", "n_columns", "n_rows")
+    found = columns.join(counts, "table_name").select("table_name", "n_columns", "n_rows")
+    rows = [tuple(r) for r in found.collect()]  # one for each of the two tables
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return spark.createDataFrame(rows, found.schema)
 
 
 @query(
@@ -271,7 +279,7 @@ def _entries(rows: DataFrame, name: str) -> DataFrame:
 
 @query("embed_text", _hash_embedding_sql("SELECT doc_id AS id, text FROM documents"))
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    documents = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text")
+    documents = spread(table(spark, sf, "documents"), spark.sparkContext.applicationId, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return _entries(embed(documents, "text", "embedding"), "embedding")
 
 
@@ -365,7 +373,7 @@ def text_search(spark: SparkSession, sf: str) -> DataFrame:
     distances are compared and not the scenes.
     """
     path = work_folder(spark, "embedded")
-    append_scenes(embed(relation(spark, sf, "scenes", heavy=True), "description", "embedding"), path)
+    append_scenes(embed(relation(spark, sf, "scenes", heavy=True), "description", "embedding"), path, required=())
     decoded = decode_queries(select_query_input(relation(spark, sf, "search_requests")))
     found = scene_search_batch(
         read_scenes(spark, path), embed_queries(decoded).withColumnRenamed("request_id", "query_id"), key=["title"]

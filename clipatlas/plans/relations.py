@@ -12,7 +12,8 @@ from clipatlas.schemas import RESPONSE_SCENE_FIELDS
 from clipatlas.sources.tables import append_scenes
 from clipatlas.workdir import work_folder
 
-# One row per event. The title is unique: twelve digits hold any event id.
+# One row per event; every vector of the table is that of some scene. The title is unique: twelve digits hold
+# any event id.
 SCENES_SQL = """
 SELECT 'vid_' || cast(e.user_id AS string) || '.mp4' AS video_id,
   CASE WHEN e.event_id % 59 = 0 THEN NULL WHEN e.event_id % 53 = 0 THEN 'local'
@@ -39,7 +40,8 @@ SELECT 'vid_' || cast(e.user_id AS string) || '.mp4' AS video_id,
   CASE WHEN e.event_id % 31 = 0 THEN NULL WHEN e.event_id % 37 = 0 THEN ''
        ELSE e.event_type || ', k' || cast(e.event_id % 7 AS string) || ',u' || cast(e.user_id % 5 AS string) || ',' END AS tags,
   m.embedding AS embedding
-FROM {events} e JOIN {embeddings} m ON m.vec_id = e.event_id % 500
+FROM (SELECT *, event_id % (SELECT count(*) FROM {embeddings}) AS vec_no FROM {events}) e
+JOIN {embeddings} m ON m.vec_id = e.vec_no
 """
 
 PROMPTS_SQL = """
@@ -47,7 +49,8 @@ SELECT 'p' || lpad(cast(a.vec_id AS string), 12, '0') AS id,
   'gs://bucket/genAI_videos/' || cast(a.vec_id AS string) || '.mp4' AS gcs_video_path,
   'prompt ' || cast(a.vec_id AS string) AS prompt_text,
   a.embedding AS video_embedding, b.embedding AS prompt_embedding, e.ts AS created_at
-FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = (a.vec_id * 7 + 3) % 500
+FROM (SELECT *, (vec_id * 7 + 3) % (SELECT count(*) FROM {embeddings}) AS other_no FROM {embeddings}) a
+JOIN {embeddings} b ON b.vec_id = a.other_no
 JOIN {events} e ON e.event_id = a.vec_id
 """
 
@@ -111,13 +114,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return _READ[at]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer files than there are cores, dealt out to all of them.
+_SPLITS: dict[tuple[str, ...], int] = {}
 
-    For work that takes long per row. A table of many files keeps its own partitions.
+
+def spread(df: DataFrame, *at: str) -> DataFrame:
+    """Rows of a given table that Spark reads in fewer splits than there are cores, dealt out to all of them.
+
+    For work that takes long per row. How a table is split follows from ``spark.sql.files.maxPartitionBytes`` and
+    its row groups; only a table of a few row groups is dealt out anew. The splits are counted once per table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if at not in _SPLITS:
+        _SPLITS[at] = df.rdd.getNumPartitions()
+    return df.repartition(cores) if _SPLITS[at] < cores else df
 
 
 def relation(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
@@ -125,7 +134,7 @@ def relation(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> Da
     text = RELATIONS[name]
     used = {t: table(spark, sf, t) for t in _TABLES if "{" + t + "}" in text}
     if heavy:
-        used = {t: spread(df) for t, df in used.items()}
+        used = {t: spread(df, spark.sparkContext.applicationId, sf, t) for t, df in used.items()}
     df = spark.sql(text, **used)
     for c in _VECTORS:
         if c in df.columns:
@@ -146,7 +155,7 @@ def stored_scenes(spark: SparkSession, sf: str) -> str:
     at = (spark.sparkContext.applicationId, sf)
     if at not in _STORED:
         path = work_folder(spark, "scenes")
-        append_scenes(relation(spark, sf, "scenes", heavy=True), path, by_video=True)
+        append_scenes(relation(spark, sf, "scenes", heavy=True), path, by_video=True, required=())
         _STORED[at] = path
     return _STORED[at]
 

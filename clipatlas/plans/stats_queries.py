@@ -11,18 +11,17 @@ from clipatlas.plans.relations import check_sql, relation
 
 
 def _whole_sql(part: str) -> str:
-    return (
-        f"CASE WHEN regexp_full_match({part}, '\\s*[+-]?[0-9](_?[0-9]){{0,11}}\\s*') "
-        f"THEN CAST(regexp_replace({part}, '[\\s_]', '', 'g') AS BIGINT) END"
-    )
+    """A whole number of any length, in a wide integer."""
+    bare = f"regexp_replace({part}, '^[\\s\\x{{a0}}\\x{{3000}}]+|[\\s\\x{{a0}}\\x{{3000}}]+$', '', 'g')"
+    return f"CASE WHEN regexp_full_match({bare}, '[+-]?[0-9]+(_[0-9]+)*') THEN TRY_CAST(replace({bare}, '_', '') AS HUGEINT) END"
 
 
 def seconds_sql(c: str) -> str:
     p = [_whole_sql(f"string_split({c}, ':')[{i}]") for i in (1, 2, 3)]
     n = f"len(string_split({c}, ':'))"
     return (
-        f"coalesce(CASE WHEN {n} = 2 THEN ({p[0]}) * 60 + ({p[1]}) "
-        f"WHEN {n} = 3 THEN ({p[0]}) * 3600 + ({p[1]}) * 60 + ({p[2]}) ELSE {p[0]} END, 0)"
+        f"CAST(coalesce(CASE WHEN {n} = 2 THEN ({p[0]}) * 60 + ({p[1]}) "
+        f"WHEN {n} = 3 THEN ({p[0]}) * 3600 + ({p[1]}) * 60 + ({p[2]}) ELSE {p[0]} END, 0) AS BIGINT)"
     )
 
 
@@ -32,7 +31,8 @@ CLASS_SQL = """CASE WHEN lower(coalesce(source, '')) LIKE 'http%' OR lower(coale
 _CATEGORY = "SELECT category, count(*) AS n FROM scenes WHERE category <> '' GROUP BY category"
 _SOURCE = f"""SELECT {CLASS_SQL} AS source_class, CAST(sum(n) AS BIGINT) AS n
   FROM (SELECT source, count(DISTINCT video_id) AS n FROM scenes GROUP BY source) GROUP BY 1"""
-_TAGS = """SELECT tag, count(*) AS n FROM (SELECT trim(unnest(string_split(tags, ','))) AS tag FROM scenes
+_TAGS = """SELECT tag, count(*) AS n FROM (
+  SELECT regexp_replace(unnest(string_split(tags, ',')), '^[\\s\\x{a0}\\x{3000}]+|[\\s\\x{a0}\\x{3000}]+$', '', 'g') AS tag FROM scenes
   WHERE tags <> '') WHERE tag <> '' GROUP BY tag"""
 _TOP = f"SELECT * FROM ({_TAGS}) ORDER BY n DESC, tag LIMIT 10"
 _AVERAGE = """CASE WHEN count(*) > 0 THEN round_even(count(*) / count(DISTINCT video_id), 1) ELSE 0 END"""
@@ -71,12 +71,12 @@ def source_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("total_duration", _of_scenes(f"SELECT {_SECONDS} AS total_duration_seconds FROM scenes"))
 def total_duration(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.scene_totals(relation(spark, sf, "scenes")).select("total_duration_seconds")
+    return stats.scene_totals(relation(spark, sf, "scenes")).select(F.col("total_duration_seconds").cast("bigint").alias("total_duration_seconds"))
 
 
 @query("avg_scene_duration", _of_scenes(f"SELECT CAST({_MEAN} AS BIGINT) AS avg_scene_duration_seconds FROM scenes"))
 def avg_scene_duration(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.scene_totals(relation(spark, sf, "scenes")).select("avg_scene_duration_seconds")
+    return stats.scene_totals(relation(spark, sf, "scenes")).select(F.col("avg_scene_duration_seconds").cast("bigint").alias("avg_scene_duration_seconds"))
 
 
 @query("tag_frequency", _of_scenes(_TAGS))
@@ -136,7 +136,6 @@ def stats_long(spark: SparkSession, sf: str) -> DataFrame:
     "stats_document",
     check_sql(
         f"""SELECT {', '.join(f'CAST({e} AS DOUBLE) AS {m}' for m, e in _FIGURES.items())},
-        (SELECT string_agg(category || '=' || n, '|' ORDER BY category) FROM ({_CATEGORY})) AS category_breakdown,
         (SELECT string_agg(source_class || '=' || n, '|' ORDER BY source_class) FROM ({_SOURCE})) AS source_breakdown,
         (SELECT string_agg(tag || '=' || n, '|' ORDER BY tag) FROM ({_TOP})) AS top_tags,
         (SELECT CAST(count(*) AS DOUBLE) FROM prompts) AS total_prompt_videos FROM scenes""",
@@ -151,7 +150,7 @@ def stats_document(spark: SparkSession, sf: str) -> DataFrame:
         entries = F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
         return F.array_join(F.sort_array(entries), "|").alias(name)
 
-    maps = ("category_breakdown", "source_breakdown", "top_tags")
+    maps = ("source_breakdown", "top_tags")
     return document.select(
         *[shown(c) if c in maps else F.col(c).cast("double").alias(c) for c in document.columns]
     )

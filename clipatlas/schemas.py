@@ -63,16 +63,8 @@ PROMPTS = _struct(
     required=["id", "gcs_video_path", "prompt_text"],
 )
 
-VIDEO_ANALYSIS = T.StructType(
-    [
-        T.StructField("summary", T.StringType()),
-        T.StructField("tags", T.ArrayType(T.StringType())),
-        T.StructField(
-            "scenes",
-            T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in RESPONSE_SCENE_FIELDS])),
-        ),
-    ]
-)
+# The text of an arriving record that is no JSON object; NULL for the others.
+BROKEN_RECORD = "broken_record"
 
 # One arriving model response: which video it is about, and the JSON text.
 RESPONSE_RECORD = T.StructType(
@@ -81,5 +73,6 @@ RESPONSE_RECORD = T.StructType(
         T.StructField("video_id", T.StringType()),
         T.StructField("source", T.StringType()),
         T.StructField("response", T.StringType()),
+        T.StructField(BROKEN_RECORD, T.StringType()),
     ]
 )

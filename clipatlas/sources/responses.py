@@ -65,15 +65,6 @@ def parse_responses(documents: DataFrame, text_col: str = "response") -> DataFra
     )
 
 
-def split_responses(documents: DataFrame, text_col: str = "response") -> tuple[DataFrame, DataFrame]:
-    """Valid documents with their ``analysis``, and the rejected ones as they came."""
-    parsed = parse_responses(documents, text_col)
-    return (
-        parsed.filter("valid").drop("valid"),
-        parsed.filter("NOT valid").drop("valid", "analysis"),
-    )
-
-
 def to_scene_rows(valid: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per scene in document order, with the video-level summary and joined tags on each.
 

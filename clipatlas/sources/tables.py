@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clipatlas.functions.vectors import decode_embedding
-from clipatlas.schemas import PROMPTS, SCENE_TEXT_COLUMNS, SCENES
+from clipatlas.schemas import PROMPTS, SCENE_REQUIRED, SCENE_TEXT_COLUMNS, SCENES
 
 # Where a row lies in its parquet file. It identifies a row of a table without a key.
 ROW_PLACE = ["_file", "_row"]
@@ -38,32 +41,61 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROMPTS).parquet(path)
 
 
-def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
-    """The named catalog table, or no rows when it does not exist."""
-    if spark.catalog.tableExists(name):
-        return spark.table(name)
-    return spark.createDataFrame([], schema)
+def stored_or_empty(spark: SparkSession, path: str, schema: T.StructType, placed: bool = False) -> DataFrame:
+    """The rows of all files below a folder, or none when it does not exist. The folder is listed once.
+
+    ``placed`` adds the ``ROW_PLACE`` columns.
+    """
+    try:
+        stored = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        return with_place(stored) if placed else stored
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        empty = spark.createDataFrame([], schema)
+        return empty.withColumns({"_file": F.lit(""), "_row": F.lit(0).cast("bigint")}) if placed else empty
 
 
-def split_required(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+def split_required(rows: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows that have every required column, and the others. Parquet does not enforce this itself."""
     missing = F.exists(F.array(*[F.col(c).isNull() for c in required]), lambda absent: absent)
     return rows.filter(~missing), rows.filter(missing)
 
 
-def append_scenes(scenes: DataFrame, path: str, by_video: bool = False) -> None:
+def scene_writer(rows: DataFrame) -> DataFrameWriter:
+    """Writes scenes so that a filter on ``video_id`` can skip files and row groups.
+
+    The rows of a task are sorted by video, without a shuffle, and each file has a bloom filter of its videos.
+    """
+    rows = rows.select(*SCENES.fieldNames()).sortWithinPartitions("video_id", "timestamp_start", "title")
+    return rows.write.option("parquet.bloom.filter.enabled#video_id", "true").option(
+        "parquet.bloom.filter.expected.ndv#video_id", 100_000
+    )
+
+
+def append_scenes(
+    scenes: DataFrame, path: str, by_video: bool = False, required: Sequence[str] = SCENE_REQUIRED, rejects: str | None = None
+) -> None:
     """Append scene rows in one bulk write, without a shuffle.
 
-    ``by_video`` sorts the written rows so that a filter on ``video_id`` skips most row groups. The
-    range runs on from the video to its scenes and to the task a row comes from, so neither a large
-    video nor many copies of one scene end up in a single task.
+    A row without one of the ``required`` columns goes to the folder ``rejects``; without such a folder it makes
+    the write fail. The variant of the table that allows NULL requires nothing. ``by_video`` also gathers the
+    rows of a video. The range runs on from the video to its scenes and to the task a row comes from, so neither
+    a large video nor many copies of one scene end up in a single task.
     """
     rows = scenes.select(*SCENES.fieldNames())
+    if required:
+        if rejects is not None:
+            rows, others = split_required(rows, required)
+            others.write.mode("append").parquet(rejects)
+        else:
+            present = F.forall(F.array(*[F.col(c).isNotNull() for c in required]), lambda there: there)
+            rows = rows.filter(present | F.raise_error(F.lit(f"a scene lacks one of {', '.join(required)}")).cast("boolean"))
     if by_video:
         order = ["video_id", "timestamp_start", "title"]
         rows = rows.withColumn("_task", F.spark_partition_id()).repartitionByRange(*order, "_task")
-        rows = rows.drop("_task").sortWithinPartitions(*order)
-    rows.write.mode("append").parquet(path)
+        rows = rows.drop("_task")
+    scene_writer(rows).mode("append").parquet(path)
 
 
 def stamp_prompts(prompts: DataFrame) -> DataFrame:

@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clipatlas.operators.embed import HASH_DIMS, embed
-from clipatlas.schemas import RESPONSE_RECORD, SCENES
+from clipatlas.operators.ivf import ivf_append, ivf_exists
+from clipatlas.schemas import BROKEN_RECORD, RESPONSE_RECORD, SCENES
 from clipatlas.sources.responses import parse_responses, to_scene_rows
+from clipatlas.sources.tables import scene_writer
+
+
+def parsed_documents(documents: DataFrame) -> DataFrame:
+    """The documents with ``analysis`` and whether they are ``accepted``.
+
+    A document is accepted as a whole: a valid response, about a video and a source that are named. Start and
+    end times, which the scene table requires too, are texts in every valid response.
+    """
+    named = F.col("video_id").isNotNull() & F.col("source").isNotNull()
+    return parse_responses(documents).withColumn("accepted", F.col("valid") & named).drop("valid")
 
 
-def scenes_and_rejects(documents: DataFrame, load=None, dims: int = HASH_DIMS) -> tuple[DataFrame, DataFrame]:
-    """The batch form of the ingestion: scene rows with embeddings, and rejected documents."""
-    parsed = parse_responses(documents)
-    rows = to_scene_rows(parsed.filter("valid"))
+def scenes_and_rejects(parsed: DataFrame, load=None, dims: int = HASH_DIMS) -> tuple[DataFrame, DataFrame]:
+    """Scene rows with embeddings, and the rejected documents as they came, of ``parsed_documents``."""
+    rows = to_scene_rows(parsed.filter("accepted"))
     scenes = embed(rows, "description", "embedding", load, dims).select(*SCENES.fieldNames())
-    rejects = parsed.filter("NOT valid").select(*documents.columns)
-    return scenes, rejects
+    return scenes, parsed.filter("NOT accepted").drop("accepted", "analysis")
+
+
+def store_documents(documents: DataFrame, target: str, batch: str, load=None, dims: int = HASH_DIMS) -> None:
+    """Store a batch of documents in folders of its own, ``target/scenes/<batch>`` and ``target/rejects/<batch>``.
+
+    A batch that is stored again under its name replaces its folders, so no scene is stored twice. The
+    documents are parsed once. If the scenes have a clustered table at ``target/cells``, the batch is added there
+    as well, under the same name.
+    """
+    spark = documents.sparkSession
+    parsed = parsed_documents(documents).persist()
+    try:
+        scenes, rejects = scenes_and_rejects(parsed, load, dims)
+        rejects.hint("rebalance").write.mode("overwrite").parquet(f"{target}/rejects/{batch}")
+        scene_writer(scenes.hint("rebalance")).mode("overwrite").parquet(f"{target}/scenes/{batch}")
+        if ivf_exists(spark, f"{target}/cells"):
+            ivf_append(spark.read.schema(SCENES).parquet(f"{target}/scenes/{batch}"), f"{target}/cells", batch.replace("/", "-"))
+    finally:
+        parsed.unpersist()
 
 
 def stream_ingest(
@@ -32,22 +63,21 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Start the ingestion from JSON-lines files in ``source``.
 
-    Each micro-batch writes folders of its own, ``target/scenes/ingest_batch=<n>`` and
-    ``target/rejects/ingest_batch=<n>``. A batch repeated after a failure replaces its folders, so no
-    scene is stored twice.
+    Each micro-batch writes folders of its own, ``ingest=<id>/ingest_batch=<n>`` below ``target/scenes`` and
+    ``target/rejects``. The id is that of the streaming query, which lives in the checkpoint: a batch repeated
+    after a failure replaces its folders, and another stream, or one that lost its checkpoint, writes to others.
+    A line that is no JSON object becomes a reject with its text.
     """
     arriving = (
-        spark.readStream.schema(RESPONSE_RECORD).option("maxFilesPerTrigger", max_files_per_trigger).json(source)
+        spark.readStream.schema(RESPONSE_RECORD)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .option("columnNameOfCorruptRecord", BROKEN_RECORD)
+        .json(source)
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        documents = batch.persist()
-        try:
-            scenes, rejects = scenes_and_rejects(documents, load, dims)
-            for rows, name in ((scenes, "scenes"), (rejects, "rejects")):
-                rows.hint("rebalance").write.mode("overwrite").parquet(f"{target}/{name}/ingest_batch={batch_id}")
-        finally:
-            documents.unpersist()
+        stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first().value)["id"]
+        store_documents(batch, target, f"ingest={stream}/ingest_batch={batch_id}", load, dims)
 
     writer = arriving.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     if available_now:
@@ -56,7 +86,7 @@ def stream_ingest(
 
 
 def ingested(spark: SparkSession, target: str, name: str = "scenes") -> DataFrame:
-    """What has been stored so far, with the number of the micro-batch."""
+    """What streams have stored so far, with the stream and the number of the micro-batch."""
     schema = {"scenes": SCENES, "rejects": RESPONSE_RECORD}[name]
     return spark.read.schema(schema).parquet(f"{target}/{name}").withColumn(
         "ingest_batch", F.col("ingest_batch").cast("bigint")

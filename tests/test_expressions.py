@@ -23,12 +23,20 @@ def test_timestamp_seconds(spark):
     cases = {
         None: 0, "": 0, "01:23": 83, "1:02:03": 3723, "45": 45, "1:2:3:4": 1, "xx:10": 0, "1.5:10": 0,
         " 5 ": 5, "1_0": 10, "-1:56": -4, "1__0": 0, "_1": 0, "+2:03": 123, "1:": 0, ":5": 0, "1:2:x": 0, "x": 0,
-        "9" * 30: 0, "\t7\n:1": 421,
+        "9" * 30: 10**30 - 1, "\t7\n:1": 421, "0000000000007": 7, "1000000000000": 10**12, "0" * 50 + "12:" + "0" * 20 + "3": 723,
+        "1:1000000000000000:0": 3600 + 60 * 10**15, "1_000_000_000_000_000": 10**15, "\u30005\u00a0": 5, "\u20287:\x1f1": 421,
+        "\u0661\u0662:\uff10\uff13": 723, "\u0663_\u0660": 30, "1 2": 0, "\u200b5": 0,
     }
     got = apply(spark, "t string", [(k,) for k in cases], timecodes.timestamp_seconds)
     assert got == list(cases.values())
 
 
+def test_seconds_of_many_scenes_are_added_exactly(spark):
+    df = spark.createDataFrame([("0", str(10**20 + i)) for i in range(100)], "s string, e string")
+    total = df.agg(F.sum(timecodes.scene_duration(F.col("s"), F.col("e")))).first()[0]
+    assert total == sum(10**20 + i for i in range(100))
+
+
 def test_timestamp_seconds_lenient(spark):
     cases = {None: 0.0, "": 0.0, "1.5:10": 100.0, ":10": 10.0, "xx": 0.0, "xx:10": None, "1:02:03": 3723.0,
              "1e1": 10.0, " : 5 ": 5.0, "1:2:3:4": 1.0, "1_0:1": None, ".5": 0.5}
@@ -121,6 +129,9 @@ def test_storage_uri(spark):
 def test_tags(spark):
     got = apply(spark, "t string", [("a, b,,",), ("",), (None,), (" ",)], labels.tags_split, labels.tags_clean)
     assert got == [(["a", " b", "", ""], ["a", "b"]), ([], []), ([], []), ([" "], [])]
+    blanks = ["\u3000b ", "\u00a0b", "b\u2028", "\x1fb\x1c", "\u2003b\u205f", "\u200bb"]
+    got = apply(spark, "t string", [("a," + b,) for b in blanks], labels.tags_clean)
+    assert got == [["a", "b"]] * 5 + [["a", "\u200bb"]]
 
 
 def short_id(text):

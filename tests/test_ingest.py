@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipatlas.operators.embed import embed
 from clipatlas.plans.relations import relation, responses
-from clipatlas.schemas import PROMPTS, SCENE_REQUIRED, SCENES
+from clipatlas.schemas import PROMPTS, RESPONSE_SCENE_FIELDS, SCENE_REQUIRED, SCENES
 from clipatlas.sources.tables import (
     append_prompts,
     append_scenes,
@@ -16,9 +16,8 @@ from clipatlas.sources.tables import (
     read_prompts,
     read_scenes,
     split_required,
-    table_or_empty,
 )
-from clipatlas.streaming.ingest import ingested, scenes_and_rejects, stream_ingest
+from clipatlas.streaming.ingest import ingested, parsed_documents, scenes_and_rejects, stream_ingest
 from clipatlas.workdir import work_folder
 
 
@@ -30,14 +29,14 @@ def test_append_adds_exactly_its_rows(spark, sf):
     scenes = relation(spark, sf, "scenes")
     path = work_folder(spark, "t")
     for i in (1, 2):
-        append_scenes(scenes, path, by_video=i == 2)
+        append_scenes(scenes, path, by_video=i == 2, required=())
         assert read_scenes(spark, path).count() == i * scenes.count()
     assert sorted_rows(read_scenes(spark, path).distinct()) == sorted_rows(scenes.select(*SCENES.fieldNames()))
 
 
 def test_filter_on_video_reaches_the_files(spark, sf):
     path = work_folder(spark, "t")
-    append_scenes(relation(spark, sf, "scenes"), path, by_video=True)
+    append_scenes(relation(spark, sf, "scenes"), path, by_video=True, required=())
     one = read_scenes(spark, path).filter(F.col("video_id") == "vid_3.mp4").select("title")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(video_id,vid_3.mp4)" in plan
@@ -60,7 +59,7 @@ def test_tables_are_created_once(spark):
     first = ensure_tables(spark, "made_twice", folder)
     assert sorted_rows(first) == sorted_rows(ensure_tables(spark, "made_twice", folder))
     assert first.count() == len(SCENES) + len(PROMPTS)
-    assert table_or_empty(spark, "made_twice.prompts", PROMPTS).count() == 0
+    assert spark.table("made_twice.prompts").count() == 0
 
 
 def test_required_fields(spark, sf):
@@ -68,6 +67,14 @@ def test_required_fields(spark, sf):
     kept, rejected = split_required(scenes, SCENE_REQUIRED)
     assert kept.count() + rejected.count() == scenes.count()
     assert rejected.count() == scenes.filter("source IS NULL").count() > 0
+    path = work_folder(spark, "t")
+    append_scenes(scenes, f"{path}/scenes", rejects=f"{path}/rejects")
+    assert read_scenes(spark, f"{path}/scenes").count() == kept.count()
+    assert read_scenes(spark, f"{path}/rejects").count() == rejected.count()
+    with pytest.raises(Exception, match="lacks one of"):
+        append_scenes(scenes, f"{path}/strict")
+    append_scenes(kept, f"{path}/strict")
+    assert read_scenes(spark, f"{path}/strict").count() == kept.count()
 
 
 def test_hash_embedding(spark):
@@ -100,14 +107,14 @@ def test_stream_equals_batch_and_repeats_nothing(spark, sf):
         stream_ingest(spark, inbox, target, progress, max_files_per_trigger=1, available_now=True).awaitTermination()
 
     drain()
-    scenes, rejects = scenes_and_rejects(documents)
+    scenes, rejects = scenes_and_rejects(parsed_documents(documents))
     want, refused = sorted_rows(scenes), sorted_rows(rejects)
     stored = ingested(spark, target)
-    assert sorted_rows(stored.drop("ingest_batch")) == want
+    assert sorted_rows(stored.drop("ingest_batch", "ingest")) == want
     assert stored.select("ingest_batch").distinct().count() == 3
-    assert sorted_rows(ingested(spark, target, "rejects").drop("ingest_batch")) == refused
+    assert sorted_rows(ingested(spark, target, "rejects").drop("ingest_batch", "ingest", "broken_record")) == refused
     drain()
-    assert sorted_rows(ingested(spark, target).drop("ingest_batch")) == want
+    assert sorted_rows(ingested(spark, target).drop("ingest_batch", "ingest")) == want
 
     # A batch whose commit was lost is done again and replaces what it had written.
     os.remove(f"{progress}/commits/2")
@@ -115,7 +122,7 @@ def test_stream_equals_batch_and_repeats_nothing(spark, sf):
     if os.path.exists(crc):
         os.remove(crc)
     drain()
-    assert sorted_rows(ingested(spark, target).drop("ingest_batch")) == want
+    assert sorted_rows(ingested(spark, target).drop("ingest_batch", "ingest")) == want
 
     late = {"response_id": "late", "video_id": "v", "source": "gcs", "response": "not json"}
     with open(f"{inbox}/late.json", "w") as f:
@@ -124,6 +131,38 @@ def test_stream_equals_batch_and_repeats_nothing(spark, sf):
     assert len(sorted_rows(ingested(spark, target, "rejects"))) == len(refused) + 1
 
 
+def one_scene(title):
+    scene = {**dict.fromkeys(RESPONSE_SCENE_FIELDS, ""), "title": title}
+    return json.dumps({"summary": "s", "tags": ["t"], "scenes": [scene]})
+
+
+def test_streams_do_not_replace_each_other(spark):
+    inboxes = [work_folder(spark, f"inbox{i}") for i in (1, 2)]
+    target, progress = work_folder(spark, "target"), [work_folder(spark, f"progress{i}") for i in (1, 2, 3)]
+
+    def drain(inbox, checkpoint):
+        stream_ingest(spark, inbox, target, checkpoint, available_now=True).awaitTermination()
+
+    for i, inbox in enumerate(inboxes):
+        os.makedirs(inbox)
+        lines = [
+            json.dumps({"response_id": f"r{i}", "video_id": f"v{i}", "source": "gcs", "response": one_scene(f"good {i}")}),
+            json.dumps({"response_id": f"n{i}", "source": None, "response": one_scene("of nobody")}),
+            f"broken {i} {{",
+        ]
+        with open(f"{inbox}/a.json", "w") as f:
+            f.write("\n".join(lines) + "\n")
+        drain(inbox, progress[i])
+    stored, rejects = ingested(spark, target), ingested(spark, target, "rejects")
+    assert sorted(r.title for r in stored.collect()) == ["good 0", "good 1"]
+    assert sorted((r.response_id or "", r.broken_record or "") for r in rejects.collect()) == [
+        ("", "broken 0 {"), ("", "broken 1 {"), ("n0", ""), ("n1", ""),
+    ]
+    # A stream that lost its checkpoint reads its inbox again; it adds to what is there and replaces nothing.
+    drain(inboxes[0], progress[2])
+    assert sorted(r.title for r in ingested(spark, target).collect()) == ["good 0", "good 0", "good 1"]
+
+
 def test_work_folder(spark):
     a, b = work_folder(spark, "x"), work_folder(spark, "x")
     assert a != b and "/x-" in a

@@ -1,6 +1,7 @@
 """The nearest-neighbour join against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clipatlas.operators import blocks, knn
@@ -81,14 +82,52 @@ def test_matches_brute_force(data, metric, k):
 def test_small_blocks_give_the_same(data, monkeypatch):
     rows, queries, base, vectors = data
     want = brute(rows, queries, 5, "cosine")
-    # Queries in several blocks, one scan each.
-    assert listed(knn_join(base, vectors, 5, block_bytes=6 * 8 * 10)) == want
+    # Queries in many blocks that the tasks read, with one scan for all of them.
+    monkeypatch.setattr(knn, "HELD_ROW_BYTES", 8000)
+    several = knn_join(base, vectors, 5, block_bytes=12_000)
+    assert listed(several) == want
+    plan = several._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
     # Rows, scores and pairs in small pieces within a task.
     for name, value in (("ROW_BLOCK_BYTES", 480), ("_SCORE_BLOCK", 64), ("_PAIR_BLOCK_BYTES", 200)):
         monkeypatch.setattr(blocks, name, value)
     assert listed(knn_join(base, vectors, 5)) == want
 
 
+@pytest.mark.parametrize("block_bytes", [12_000, 1 << 26])
+def test_bounds_from_some_rows_lose_nothing(data, monkeypatch, block_bytes):
+    rows, queries, base, vectors = data
+    monkeypatch.setattr(knn, "BOUND_FROM_CORES", 0)
+    monkeypatch.setattr(knn, "BOUND_ROWS", 200)
+    for metric in ("cosine", "euclidean"):
+        assert listed(knn_join(base, vectors, 5, metric, block_bytes=block_bytes)) == brute(rows, queries, 5, metric)
+
+
+def test_one_scan_for_sixteen_blocks(spark, data, tmp_path):
+    rows, queries, base, vectors = data
+    base.write.parquet(f"{tmp_path}/base")
+    size = len(queries) * (6 * 8 + 5 * knn._COLUMN_BYTES * 4)
+    stored = spark.read.parquet(f"{tmp_path}/base")
+    found = knn_join(stored, vectors, 5, block_bytes=size // 8 + 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
+    assert listed(found) == brute(rows, queries, 5, "cosine")
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_rank_does_not_depend_on_the_partitions(spark, parts):
+    """Closeness that differs by less than 1e-16, which the distance rounds to the same number."""
+    eps = 2.0**-53
+    vectors = [("a", [1e-3, 1.0]), ("b", [1e-3 + eps * 1e-4, 1.0]), ("c", [1e-3 + eps * 3e-4, 1.0]), ("d", [1e-3 - eps * 2e-4, 1.0])]
+    rows = [("v", "0", name, "", v) for name, v in vectors] + [("v", "0", f"x{i}", "", [-1.0, i / 9]) for i in range(20)]
+    base = spark.createDataFrame(rows, SCHEMA).repartition(parts, "title")
+    query = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_embedding array<double>")
+    exact = {r[2]: r[4][0] / np.sqrt((np.array(r[4]) ** 2).sum()) for r in rows}
+    want = sorted(exact, key=lambda t: (-exact[t], t))[:3]
+    assert [r.title for r in knn.nearest(base, [1.0, 0.0], 3).collect()] == want
+    assert [r.title for r in knn_join(base, query, 3).orderBy("rank").collect()] == want
+
+
 def test_key_brings_the_same_rows(data):
     rows, queries, base, vectors = data
     assert listed(knn_join(base, vectors, 5, key=["title"])) == brute(rows, queries, 5, "cosine")
@@ -96,7 +135,8 @@ def test_key_brings_the_same_rows(data):
 
 def test_a_task_emits_at_most_k_rows_per_query(data):
     _, queries, base, vectors = data
-    block = next(knn.query_blocks(vectors, "query_id", "query_embedding", 1 << 20))
+    ids, points = zip(*queries)
+    block = blocks.QueryBlock(pa.array(ids, pa.int32()), np.array(points))
     scored = knn._score(base, block, 5, "cosine", "embedding", list(knn.SCENE_ORDER), vectors.schema["query_id"], None)
     assert scored.count() <= 5 * len(queries) * base.rdd.getNumPartitions()
 

@@ -61,3 +61,38 @@ def test_library(spark):
     library.stream_responses(inbox, work_folder(spark, "progress"), available_now=True).awaitTermination()
     assert library.asset("late.mp4").first().video_url.endswith("/bk/late.mp4")
     assert library.scenes.count() == 4
+    assert library.rejects.count() == 1
+
+    # One query at a time finds the same, and so do the clusters when all are looked through.
+    want = [(r.title, r.distance) for r in library.search(queries.filter("query_id = 1"), k=3).orderBy("rank").collect()]
+    assert [(r.title, r.distance) for r in library.find("red car", k=3).collect()] == want
+    library.build_index(nlist=2)
+    again = [(r.title, r.distance) for r in library.search(queries.filter("query_id = 1"), k=3, nprobe=9).orderBy("rank").collect()]
+    assert again == want
+    first = {r.video_id: r.play_url for r in library.first_scenes().collect()}
+    assert first["cars.mp4"].startswith("https://storage.mtls.cloud.google.com/b/in/cars.mp4") and "embed" in first["https://youtu.be/dogs"]
+
+    # What is stored later reaches the clusters once, also when its batch is repeated.
+    more = spark.createDataFrame([("m.mp4", "gcs", response("a purple tree")), (None, "gcs", response("of nobody"))],
+                                 "video_id string, source string, response string")
+    for _ in range(2):
+        assert [r.video_id for r in library.add_responses(more, batch="tree").collect()] == [None]
+    assert library.scenes.count() == 5 and library.rejects.count() == 2
+    trees = spark.createDataFrame([(1, "purple tree")], "query_id int, query string")
+    assert [r.title for r in library.search(trees, k=2, nprobe=9).orderBy("rank").collect()][0] == "a purple tree"
+    assert library.search(trees, k=10, nprobe=9).count() == 5
+    copy = library.compact(work_folder(spark, "copy"))
+    assert copy.scenes.count() == 5 and copy.rejects.count() == 2 and copy.prompts.count() == 2
+
+
+def test_asset_skips_files_of_other_videos(spark):
+    library = Library(spark, work_folder(spark, "library"))
+    for i in range(6):
+        docs = spark.createDataFrame([(f"v{i}{j}", "gcs", response(f"scene {i} {j}")) for j in range(0, 90, 9)], "video_id string, source string, response string")
+        library.add_responses(docs)
+    one = library.asset("v345")
+    assert one.count() == 1
+    rows = library.scenes.filter("video_id = 'v345'").select("title")
+    rows.collect()
+    scan = rows._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().get("numOutputRows").get().value() <= 10 < library.scenes.count()

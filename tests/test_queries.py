@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from clipatlas.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN"}
-QUERIES, CHECKS = contract.queries(), contract.oracle_sql()
+QUERIES, CHECKS = registry.QUERIES, registry.CHECKS
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +41,8 @@ def test_query(spark, sf, duck, name):
 
 
 def test_checks_belong_to_queries():
-    assert set(CHECKS) <= set(QUERIES)
+    assert set(CHECKS) == set(QUERIES)
+    assert QUERIES.items() <= contract.queries().items() and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
@@ -51,7 +53,7 @@ SCALAR = [
     "timestamp_seconds", "timestamp_seconds_lenient", "scene_duration", "source_class", "scene_video_url", "youtube_embed_url",
     "playback_url", "tags_split", "tags_clean", "short_asset_id", "format_duration", "plan_requests", "decode_queries",
     "parse_responses", "cosine_similarity", "embed_text", "stats", "list_assets",
-    "prompt_search_single_pass", "best_match_per_id",
+    "best_match_per_id",
 ]
 
 
