@@ -11,7 +11,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     least = both.groupBy("src").agg(F.min("dst").alias("least"))
     root: Column = F.least("src", "least")
-    return both.join(least, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), root.alias("dst")).distinct()
+    return both.join(least, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), root.alias("dst"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

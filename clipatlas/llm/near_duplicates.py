@@ -7,8 +7,12 @@
 3. Candidates of a bucket are first the pairs of its members with its smallest node (a star, one row for each
    member). Candidates that the estimate does not rule out are confirmed on their full shingle sets.
 4. Components of confirmed links are contracted. Only pairs of one bucket that still lie in different
-   components, and were not in a star, are looked at further, in blocks of a task; what the estimate keeps of
-   them is confirmed on full sets too. So no link between components is lost and no group sends all its pairs.
+   components, and were not in a star, are looked at further, in blocks of a task: first by the estimate, which
+   names the nodes with such a partner, then on the full sets of these nodes. A task sends links that join two
+   components, never pairs, so no link between components is lost and no group sends all its pairs.
+
+Full sets are made only of nodes that are candidates. A bitmap of fixed size over hashes of their ids goes to
+the tasks that read the texts, so the texts themselves are never shuffled.
 
 With four minima in each of 32 bands, a pair at the threshold of 0.75 misses all buckets with a probability
 of 5e-6. The estimate has a standard deviation of 0.04 there; candidates below 0.56 are ruled out (4.7
@@ -41,6 +45,8 @@ _FLOOR = 0.56
 _BLOCK = 2048
 _PIECE = 4096
 _LOW_BITS = 0x1111111111111111
+#: Bits of the map of candidates. With many more candidates it lets every text through, and only costs time.
+_MAP_BITS = 1 << 22
 
 _SIGNATURES = "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, signature array<long>"
 
@@ -78,11 +84,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader = ShingleReader()
-    for batch in batches:
-        for i, shingles in enumerate(reader.sets(t.as_py() for t in batch.column("text"))):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+def _shingle_sets(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles of the documents whose doc_id is among ``nodes``, and of a few others."""
+    slot = F.pmod(F.xxhash64(F.col("node")), F.lit(_MAP_BITS))
+    words = (
+        nodes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits")).collect()  # at most _MAP_BITS / 64 rows
+    )
+    bitmap = np.zeros(_MAP_BITS // 64, np.uint64)
+    for row in words:
+        bitmap[row["word"]] = row["bits"] & 0xFFFFFFFFFFFFFFFF
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = ShingleReader()
+        for batch in batches:
+            slots = np.asarray(batch.column("slot")).astype(np.uint64)
+            marked = (sent.value[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(marked.astype(bool)))
+            sets = list(reader.sets(t.as_py() for t in batch.column("text")))
+            arrays = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), arrays], ["node", "shingles"])
+
+    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text")
+    return named.withColumn("slot", slot).mapInArrow(task, "node long, shingles array<long>")
 
 
 def equal_nibbles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,8 +142,8 @@ def _equal_nibbles(a: str, b: str) -> Column:
     return F.lit(HASHES) - total
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket in different components that the estimate keeps. Rows come sorted by bucket and block pair."""
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each pair of blocks, which come sorted by bucket and blocks."""
     held: list[pa.RecordBatch] = []
     current = None
     for batch in batches:
@@ -129,35 +154,84 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if begin == end:
                 continue
             if held and (keys[begin] != current).any():
-                yield from _pairs(held)
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
             current = keys[begin]
             held.append(batch.slice(begin, end - begin))
     if held:
-        yield from _pairs(held)
-
-
-def _pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(parts).combine_chunks()
-    node, component, chunk, left, right, pivot = (np.asarray(table.column(c)) for c in ("node", "component", "chunk", "left", "right", "pivot"))
-    signature = np.asarray(table.column("signature").combine_chunks().flatten()).view(np.uint64).reshape(-1, _WORDS)
-    cross = left[0] != right[0]
-    for i in range(len(node)):
-        if node[i] == pivot[i] or cross and chunk[i] != left[i]:
-            continue
-        other = chunk == right[i] if cross else np.arange(len(node)) > i
-        near = np.flatnonzero(other & (component != component[i]) & (node != pivot[i]))
-        if len(near):
-            near = near[equal_nibbles(signature[i], signature[near]) >= _LEAST_EQUAL]
-        if len(near):
-            pairs = np.sort(np.stack([np.full(len(near), node[i]), node[near]]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-
-def _confirmed(candidates: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Cell:
+    """The members of one or two blocks of a bucket; ``near`` gives the partners of one by the estimate."""
+
+    def __init__(self, table: pa.Table) -> None:
+        names = ("node", "component", "chunk", "left", "right", "pivot")
+        self.node, self.component, self.chunk, left, right, pivot = (np.asarray(table.column(c)) for c in names)
+        flat = table.column("signature").combine_chunks().flatten()
+        self.signature = np.asarray(flat).view(np.uint64).reshape(-1, _WORDS)
+        self.left, self.right, self.cross = left[0], right[0], left[0] != right[0]
+        self.open = self.node != pivot
+
+    def near(self, i: int, component: np.ndarray) -> np.ndarray:
+        """Members after ``i`` (of the other block, if there are two) that are likely partners in other components."""
+        if not self.open[i] or self.cross and self.chunk[i] != self.left:
+            return np.empty(0, np.int64)
+        start = 0 if self.cross else i + 1
+        other = self.open[start:] & (component[start:] != component[i])
+        if self.cross:
+            other &= self.chunk[start:] == self.right
+        found = np.flatnonzero(other) + start
+        return found[equal_nibbles(self.signature[i], self.signature[found]) >= _LEAST_EQUAL] if len(found) else found
+
+
+def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes that have a likely partner in another component of their bucket."""
+    for table in _by_cell(batches):
+        cell = _Cell(table)
+        marked = np.zeros(len(cell.node), bool)
+        for i in range(len(cell.node)):
+            found = cell.near(i, cell.component)
+            marked[found] = True
+            marked[i] |= len(found) > 0
+        if marked.any():
+            yield pa.RecordBatch.from_arrays([pa.array(cell.node[marked])], ["node"])
+
+
+def _links_between(threshold: int):
+    """Links, confirmed on full sets, that join components of a bucket; no two join the same components in a cell."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_cell(batches):
+            cell = _Cell(table)
+            component = cell.component.copy()
+            column = table.column("shingles").combine_chunks()
+            offsets, flat = np.asarray(column.offsets), np.asarray(column.values).view(np.uint64)  # sorted as unsigned
+            sizes = np.diff(offsets)
+            links = []
+            for i in range(len(cell.node)):
+                found = cell.near(i, component)
+                own = flat[offsets[i] : offsets[i + 1]]
+                for begin in range(0, len(found), 256):
+                    part = found[begin : begin + 256]
+                    rows = np.concatenate([flat[offsets[j] : offsets[j + 1]] for j in part.tolist()])
+                    place = np.minimum(np.searchsorted(own, rows), len(own) - 1)
+                    starts = np.cumsum(sizes[part]) - sizes[part]
+                    shared = np.add.reduceat(own[place] == rows, starts, dtype=np.int64)
+                    alike = 100 * shared >= threshold * (sizes[i] + sizes[part] - shared)
+                    for j in part[alike].tolist():
+                        if component[j] != component[i]:
+                            links.append((min(cell.node[i], cell.node[j]), max(cell.node[i], cell.node[j])))
+                            component[component == component[j]] = component[i]
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return task
+
+
+def _confirmed(candidates: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Of the candidate pairs a, b those whose full shingle sets are alike enough."""
-    nodes = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInArrow(_shingle_sets, "node long, shingles array<long>")
     both = (
         candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -199,7 +273,10 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, folder: str, thr
         .where(_equal_nibbles("of_a", "of_b") >= _LEAST_EQUAL)
         .select("a", "b").distinct()
     )
-    links = kept_at("star-links", _confirmed(kept_at("star", star), docs, threshold))
+    star = kept_at("star", star)
+    in_star = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    star_sets = kept_at("star-sets", _shingle_sets(spark, docs, in_star))
+    links = kept_at("star-links", _confirmed(star, star_sets, threshold))
     components = connected_components(spark, links, f"{folder}/star-components")
 
     # Buckets that the star links did not contract to one component.
@@ -213,16 +290,22 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, folder: str, thr
     )
     blocks = F.ceil(F.col("members") / _BLOCK).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = (
+    in_cells = (
         placed.join(open_keys, "key", "left_semi").withColumn("blocks", blocks)
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .select("key", "node", "component", "pivot", "chunk", other)
         .select("key", "node", "component", "pivot", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
-        .join(signatures, "node")
-        .repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
     )
-    rest = kept_at("rest", cells.mapInArrow(_compare, "a long, b long").distinct())
-    more = kept_at("rest-links", _confirmed(rest, docs, threshold))
+    in_cells = kept_at("cells", in_cells)
+
+    def by_cell(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
+
+    partners = by_cell(in_cells.join(signatures, "node")).mapInArrow(_with_partners, "node long").distinct()
+    partners = kept_at("partners", partners)
+    rest_sets = kept_at("rest-sets", _shingle_sets(spark, docs, partners))
+    rest = in_cells.join(partners, "node", "left_semi").join(signatures, "node").join(rest_sets, "node")
+    more = kept_at("rest-links", by_cell(rest).mapInArrow(_links_between(threshold), "a long, b long").distinct())
     if not more.isEmpty():
         components = connected_components(spark, links.unionByName(more), f"{folder}/components")
 
