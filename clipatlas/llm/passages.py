@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 #: Words that a run of repeated units must have to be removed.
 MIN_WORDS = 25
 _UNITS_AT_A_TIME = 20_000
-_UNITS = "doc_id long, version long, place int, start int, stop int, words int, d0 long, d1 long, again array<int>"
+_UNITS = "doc_id long, version long, place int, upto int, start int, stop int, words int, d0 long, d1 long, again boolean"
 _LAST = (1 << 63) - 1
 
 
@@ -41,7 +41,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     boundary = re.compile(r"\s*\n\s*|(?<=[.!?])\s+")
     names = [c.split()[0] for c in _UNITS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.bool_()]
 
     def full(rows: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
@@ -53,22 +53,21 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             version, place, start = crc32(text.encode("utf-8", "surrogatepass")), 0, 0
-            seen: dict[bytes, list] = {}
+            seen: set[bytes] = set()
             cuts = [m.span() for m in boundary.finditer(text)]
             cuts.append((len(text), len(text)))
             for stop, after in cuts:
                 words = text[start:stop].lower().split()
                 if words:
                     digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-                    row = seen.get(digest)
-                    if row is None:
-                        seen[digest] = [doc_id, version, place, start, stop, len(words), *struct.unpack("<qq", digest), None]
+                    again, last = digest in seen, rows[-1] if place else None
+                    if again and last[9]:
+                        last[3], last[5], last[6] = place, stop, last[6] + len(words)
                     else:
-                        row[8] = row[8] or []
-                        row[8] += (place, start, stop)
+                        rows.append([doc_id, version, place, place, start, stop, len(words), *struct.unpack("<qq", digest), again])
+                    seen.add(digest)
                     place += 1
                 start = after
-            rows.extend(seen.values())
             while len(rows) >= _UNITS_AT_A_TIME:
                 yield full(rows[:_UNITS_AT_A_TIME])
                 rows = rows[_UNITS_AT_A_TIME:]
@@ -80,33 +79,28 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, folder: str, min_words:
     """doc_id, version, start, stop, words, first_doc_id: what ``without_repeats`` removes, one row for each run.
 
     ``version`` tells texts apart that share a doc_id; ``first_doc_id`` is the document that keeps the first
-    unit of the run. A unit that a document repeats is one row of it, with the places it has again. A digest is a
-    row for each task in the grouping, whatever its number of occurrences, and the join back can be split, so a
-    line that a third of the documents share is no hot task.
+    unit of the run. Units next to each other that their document had before are one row. A digest is a row for
+    each task in the grouping, whatever its number of occurrences, and the join back can be split, so a line that
+    a third of the documents share is no hot task.
     """
     docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").mapInArrow(_units, _UNITS).write.parquet(f"{folder}/units")
     units = spark.read.parquet(f"{folder}/units")
     # Of a unit that a document repeats only the first can be the earliest, so the smallest doc_id decides.
     earliest = (
-        units.groupBy("d0", "d1")
+        units.where(~F.col("again")).groupBy("d0", "d1")
         .agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
         .where(F.col("first_doc_id") != F.col("last_doc_id"))
         .select("d0", "d1", "first_doc_id")
     )
-    repeated = F.col("again").isNotNull()
-    shared = units.join(earliest, ["d0", "d1"]).where(repeated | (F.col("doc_id") != F.col("first_doc_id")))
-    own = units.where(repeated).join(earliest, ["d0", "d1"], "left_anti").withColumn("first_doc_id", F.col("doc_id"))
-    both = shared.unionByName(own.select(shared.columns))
-    kept = ["doc_id", "version", "words", "first_doc_id"]
-    here = both.where(F.col("doc_id") != F.col("first_doc_id")).select(*kept, "place", "start", "stop")
-    triples = F.transform(
-        F.sequence(F.lit(0), F.size("again") - 1, F.lit(3)),
-        lambda i: F.struct(F.get("again", i).alias("place"), F.get("again", i + 1).alias("start"), F.get("again", i + 2).alias("stop")),
+    other = F.col("first_doc_id").isNotNull() & (F.col("doc_id") != F.col("first_doc_id"))
+    marked = (
+        units.join(earliest, ["d0", "d1"], "left").where(F.col("again") | other)
+        .select("doc_id", "version", "place", "upto", "start", "stop", "words", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"))
+        .distinct()
     )
-    later = both.where(repeated).select(*kept, F.inline(triples))
-    marked = here.unionByName(later).distinct()
     in_text = Window.partitionBy("doc_id", "version").orderBy("place")
-    runs = marked.withColumn("run", F.col("place") - F.row_number().over(in_text))
+    apart = F.coalesce(F.lag("upto").over(in_text) + 1 != F.col("place"), F.lit(True))
+    runs = marked.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(in_text))
     return (
         runs.groupBy("doc_id", "version", "run")
         .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min_by("first_doc_id", "place").alias("first_doc_id"))
