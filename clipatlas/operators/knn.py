@@ -159,7 +159,9 @@ def nearest(
     block = QueryBlock(pa.array([0], pa.int32()), np.array([query], dtype=np.float64))
     typed = rows.withColumn(vec_col, F.col(vec_col).cast("array<double>"))
     scored = _score(typed, block, k, metric, vec_col, list(order), T.StructField("_query", T.IntegerType()), None)
-    found = scored.drop("_query").orderBy(F.desc("_close"), *order).limit(k).withColumn("distance", distance_of("_close", metric))
+    # The distance is worked out below the sort: above it, it would keep Spark from taking the top k.
+    shown = scored.drop("_query").withColumn("distance", distance_of("_close", metric))
+    found = shown.orderBy(F.desc("_close"), *order).limit(k)
     return found if closeness else found.drop("_close")
 
 

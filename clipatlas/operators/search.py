@@ -46,8 +46,7 @@ def scene_search(
     Ties are ranked by ``video_id, timestamp_start, title``. ``similarity`` is 1 - distance, which
     is the cosine similarity for the cosine metric.
     """
-    hits = scene_results(nearest(scenes, query, k, metric, closeness=True), bucket, lead=["_close"])
-    return hits.orderBy(F.desc("_close"), *SCENE_ORDER).drop("_close")
+    return scene_results(nearest(scenes, query, k, metric), bucket)
 
 
 def scene_search_stored(
