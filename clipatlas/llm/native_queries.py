@@ -39,7 +39,7 @@ WITH cut AS (
   FROM benchmark WHERE text IS NOT NULL),
 runs AS (
   SELECT DISTINCT side, id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s
   FROM cut WHERE NOT (len(w) = 1 AND w[1] = '')),
 sizes AS (SELECT id, count(*) AS item_shingles FROM runs WHERE side = 'i' GROUP BY id),
 held AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM runs d JOIN runs i ON d.s = i.s AND d.side = 'd' AND i.side = 'i' GROUP BY ALL)
