@@ -288,7 +288,10 @@ def learn_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, words
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, words: WordVectors, network: Network) -> DataFrame:
-    """The columns of ``docs`` and ``quality_score``, which replaces a column of that name. No shuffle; texts stay in place."""
+    """The columns of ``docs`` and ``quality_score``, which replaces a column of that name. No shuffle; texts stay in place.
+
+    Scores are rounded, since a product of matrices differs in its last bits with the number of rows in a batch.
+    """
     sent = spark.sparkContext.broadcast((words.vectors, words.weights, vars(network)))
     docs = docs.drop("quality_score")
     schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
@@ -299,6 +302,6 @@ def score_quality(spark: SparkSession, docs: DataFrame, words: WordVectors, netw
         learned, net = WordVectors(vectors, weights), Network(**layers)
         for batch in batches:
             pooled = np.array([_pooled(read(t.as_py()), learned) for t in batch.column("text")], np.float32).reshape(batch.num_rows, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.scores(pooled), pa.float64())], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(net.scores(pooled), 9), pa.float64())], [*batch.schema.names, "quality_score"])
 
     return docs.mapInArrow(task, schema)
