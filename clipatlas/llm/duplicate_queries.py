@@ -22,7 +22,7 @@ def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_repeated_passages")
 def passages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of all documents that repeat an earlier passage."""
-    spans = passages.repeated_spans(spark, table(spark, sf_dir, "documents"), work_folder(spark, "passages"))
+    spans = passages.whole_repeats(spark, table(spark, sf_dir, "documents"), work_folder(spark, "passages"))
     return spans.select("doc_id", "start", "stop", "words", "first_doc_id")
 
 

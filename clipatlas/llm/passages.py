@@ -1,10 +1,21 @@
-"""Repeated passages, removed by unit hashing.
+"""Repeated passages, removed by unit hashing and by windows of words.
 
-A unit is a line, cut further after a full stop, exclamation or question mark that white space follows, so a
-passage that shares its line with other text is found as well. Units are normalised (lower case, runs of white
-space as one space) and hashed to 128 bits. Digests are grouped over all documents; the earliest occurrence,
-by doc_id and then place, stays. The others are marked, and a run of marked units next to each other is
-removed if it has ``MIN_WORDS`` words or more: single short sentences repeat by chance and stay.
+A unit is a line, cut further after a full stop, exclamation or question mark that white space follows. Units
+are normalised (lower case, runs of white space as one space) and hashed to 128 bits. Digests are grouped over
+all documents; the earliest occurrence, by doc_id and then place, stays. The others are marked, and a run of
+marked units next to each other is removed if it has ``MIN_WORDS`` words or more: single short sentences repeat
+by chance and stay.
+
+Units depend on what surrounds a passage, so windows do the rest: every run of ``MIN_WORDS`` words, wherever it
+begins, that an earlier document has word for word, or the same document without overlap before, is marked as
+well, and all words under marked windows are removed. A character of a script without blanks is a word there.
+
+The texts are read twice and never shuffled. Each window is stood for by the smallest hash of the shorter runs of
+words in it (winnowing), which neighbouring windows share; windows next to each other with one such hash are a
+stretch. Equal windows have equal hashes, and only hashes that occur more than once are looked at further. Where
+all stretches of a hash are equal, a stretch is a row; where they differ, at the ends of passages, each of its
+windows is. Rows are compared by 128 bits. What occurs more than once is told by bitmaps of fixed size, which
+only let too much through.
 
 Offsets are code points of the original text. Defined cases: a null or empty text has no units and stays as
 it is; rows equal in doc_id and text are one document and lose the same spans; rows without doc_id rank
@@ -16,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,67 +35,229 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 #: Words that a run of repeated units must have to be removed.
 MIN_WORDS = 25
-_UNITS_AT_A_TIME = 20_000
-_UNITS = "doc_id long, version long, place int, upto int, start int, stop int, words int, d0 long, d1 long, again boolean"
+#: Bits of the map of hashes that occur again. With many more of them it lets more through, and only costs time.
+_MAP_BITS = 1 << 25
+_ROWS_AT_A_TIME = 20_000
+_ROWS = "doc_id long, version long, whole boolean, place int, upto int, start int, stop int, word int, words int, d0 long, d1 long, again boolean"
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 6, pa.int64(), pa.int64(), pa.bool_()]
 _LAST = (1 << 63) - 1
+_BOUNDARY = r"\s*\n\s*|(?<=[.!?])\s+"
+#: Thai to Khmer and Chinese, Japanese: scripts that put no blanks between words.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_TOKEN = rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+"
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_KNOWN_WORDS = 200_000
 
 
 def _version(text: Column) -> Column:
     return F.crc32(text)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
-    import struct
-    from zlib import crc32
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return values ^ (values >> np.uint64(29))
 
-    import xxhash
 
-    boundary = re.compile(r"\s*\n\s*|(?<=[.!?])\s+")
-    names = [c.split()[0] for c in _UNITS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.bool_()]
+class _Words(dict):
+    """word -> its row in ``hashes``."""
 
-    def full(rows: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
+    def __init__(self) -> None:
+        self.hashes = np.zeros((1024, 2), np.uint64)
 
-    rows: list[list] = []
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        row = self[word] = len(self)
+        if row == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        digest = xxhash.xxh3_128_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+        self.hashes[row] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
+        return row
+
+
+class _Runs:
+    """Hashes of runs of words, from sums over all words before a place."""
+
+    def __init__(self, base: int) -> None:
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.powers = np.ones((2, 1), np.uint64)
+
+    def sums(self, hashes: np.ndarray) -> np.ndarray:
+        while self.powers.shape[1] <= len(hashes):
+            n = self.powers.shape[1]
+            ahead = np.array([[pow(b, n, 1 << 64)] for b in self.bases], np.uint64)
+            self.powers = np.concatenate([self.powers, self.powers * ahead], axis=1)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.powers[0, : len(hashes)], dtype=np.uint64)])
+
+    def of(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        size = (stop - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return _mixed((sums[stop] - sums[start]) * self.powers[1, start] + size)
+
+
+def _sliding(values: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values, have = of(values[:-step], values[step:]), have + step
+    return values
+
+
+class _Reader:
+    """Units and windows of texts, for one task."""
+
+    def __init__(self, min_words: int, whole: bool) -> None:
+        import re
+
+        self.min_words, self.whole = min_words, whole
+        self.run = (min_words + 1) // 2
+        self.boundary, self.token, self.unspaced = re.compile(_BOUNDARY), re.compile(_TOKEN), re.compile(f"[{_UNSPACED}]")
+        self.known, self.runs = _Words(), [_Runs(b) for b in _BASES]
+
+    def units(self, text: str) -> Iterator[tuple[int, int, int, bytes]]:
+        """start, stop, number of words and digest."""
+        import xxhash
+
+        start = 0
+        cuts = [m.span() for m in self.boundary.finditer(text)]
+        cuts.append((len(text), len(text)))
+        for stop, after in cuts:
+            words = text[start:stop].lower().split()
+            if words:
+                yield start, stop, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+            start = after
+
+    def stretches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes of each word; of each stretch the hash, the first window and the window after the last."""
+        plain = text.isascii() or not self.unspaced.search(text)
+        words = (text.split() if plain else self.token.findall(text)) if self.whole else []
+        if len(words) < self.min_words:
+            none = np.zeros(0, np.int64)
+            return np.zeros((0, 2), np.uint64), none.view(np.uint64), none, none
+        if len(self.known) > _KNOWN_WORDS:
+            self.known = _Words()
+        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        hashes = self.known.hashes[rows]
+        start = np.arange(len(words) - self.run + 1)
+        least = _sliding(self.runs[0].of(self.runs[0].sums(hashes[:, 0]), start, start + self.run), self.min_words - self.run + 1)
+        begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        return hashes, least[begins], begins, np.append(begins[1:], len(least))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py()
-            if not text:
-                continue
-            version, place, start = crc32(text.encode("utf-8", "surrogatepass")), 0, 0
-            seen: set[bytes] = set()
-            cuts = [m.span() for m in boundary.finditer(text)]
-            cuts.append((len(text), len(text)))
-            for stop, after in cuts:
-                words = text[start:stop].lower().split()
-                if words:
-                    digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-                    again, last = digest in seen, rows[-1] if place else None
-                    if again and last[9]:
-                        last[3], last[5], last[6] = place, stop, last[6] + len(words)
-                    else:
-                        rows.append([doc_id, version, place, place, start, stop, len(words), *struct.unpack("<qq", digest), again])
-                    seen.add(digest)
-                    place += 1
-                start = after
-            while len(rows) >= _UNITS_AT_A_TIME:
-                yield full(rows[:_UNITS_AT_A_TIME])
-                rows = rows[_UNITS_AT_A_TIME:]
+            if text:
+                yield doc_id, text
+
+
+def _hashes(batches: Iterator[pa.RecordBatch], min_words: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """The hash of each unit and stretch, and for stretches what tells them apart."""
+    reader = _Reader(min_words, whole)
+    parts: list[np.ndarray] = []
+
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.concatenate(parts, axis=1)], ["hash", "content"])
+
+    for _, text in _texts(batches):
+        hashes, least, begins, ends = reader.stretches(text)
+        if len(least):
+            content = reader.runs[0].of(reader.runs[0].sums(hashes[:, 0]), begins, ends + min_words - 1)
+            parts.append(np.stack([least, content]))
+            long = ends - begins >= min_words  # may hold a passage that follows itself
+            if long.any():
+                parts.append(np.stack([least[long], ~content[long]]))
+        units = np.frombuffer(b"".join(u[3][:8] for u in reader.units(text)), np.uint64)
+        parts.append(np.stack([units, np.zeros_like(units)]))
+        if sum(p.shape[1] for p in parts) >= _ROWS_AT_A_TIME:
+            yield full()
+            parts.clear()
+    if parts:
+        yield full()
+
+
+def _repeated_hashes(docs: DataFrame, min_words: int, whole: bool) -> np.ndarray:
+    """Two bitmaps: the hashes that occur more than once, and those of them with stretches that differ."""
+    rows = docs.mapInArrow(lambda batches: _hashes(batches, min_words, whole), "hash long, content long")
+    differ = F.min("content") != F.max("content")
+    twice = rows.groupBy("hash").agg(F.count("*").alias("n"), differ.alias("differ")).where(F.col("n") > 1)
+    bit, one = F.col("hash").bitwiseAND(_MAP_BITS - 1), F.expr("shiftleft(1L, cast(hash & 63 AS int))")
+    words = (
+        twice.select(F.shiftright(bit, 6).cast("int").alias("word"), one.alias("bit"), F.when(F.col("differ"), one).otherwise(F.lit(0).cast("long")).alias("edge"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits"), F.bit_or("edge").alias("edges"))
+    )
+    bitmaps = np.zeros((2, _MAP_BITS // 64), np.uint64)
+    for row in words.toLocalIterator():  # at most the words of the map
+        bitmaps[:, row["word"]] = row["bits"] & 0xFFFFFFFFFFFFFFFF, row["edges"] & 0xFFFFFFFFFFFFFFFF
+    return bitmaps
+
+
+def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(_MAP_BITS - 1)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _rows(batches: Iterator[pa.RecordBatch], bitmaps: np.ndarray, min_words: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Units, stretches and windows whose hash occurs again; those next to each other that their text had before are one row."""
+    import struct
+    from zlib import crc32
+
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    reader = _Reader(min_words, whole)
+
+    def full(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS, strict=True)], names)
+
+    rows: list[list] = []
+    for doc_id, text in _texts(batches):
+        version, word, own = crc32(text.encode("utf-8", "surrogatepass")), 0, len(rows)
+        seen: set[bytes] = set()
+        units = list(reader.units(text))
+        marks = _held(bitmaps[0], np.frombuffer(b"".join(u[3][:8] for u in units), np.uint64)).tolist()
+        for place, ((start, stop, words, digest), held) in enumerate(zip(units, marks, strict=True)):
+            if held:
+                again, last = digest in seen, rows[-1] if len(rows) > own else None
+                if again and last and last[-1] and last[4] == place - 1:
+                    last[4], last[6], last[8] = place, stop, last[8] + words
+                else:
+                    rows.append([doc_id, version, False, place, place, start, stop, word, words, *struct.unpack("<qq", digest), again])
+                seen.add(digest)
+            word += words
+        hashes, least, begins, ends = reader.stretches(text)
+        twice, edge = _held(bitmaps[0], least), _held(bitmaps[1], least)
+        if twice.any():
+            size = np.where(edge, ends - begins, 1)[twice]
+            first = np.repeat(begins[twice], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            upto = np.where(np.repeat(edge[twice], size), first, np.repeat(ends[twice] - 1, size))
+            d0, d1 = (r.of(r.sums(hashes[:, i]), first, upto + min_words) for i, r in enumerate(reader.runs))
+            _, earlier, of = np.unique(d0, return_index=True, return_inverse=True)
+            again = first - first[earlier][of] >= min_words
+            spans = [m.span() for m in reader.token.finditer(text)]
+            # The number of the word between blanks, for each word.
+            blanks = np.cumsum([0, *(a > b for (_, b), (a, _) in zip(spans, spans[1:]))]).tolist()
+            own = len(rows)
+            for place, end, one, two, had in zip(first.tolist(), upto.tolist(), d0.view(np.int64).tolist(), d1.view(np.int64).tolist(), again.tolist(), strict=True):
+                stop, last = end + min_words - 1, rows[-1] if len(rows) > own else None
+                if had and last and last[-1] and last[4] == place - 1:
+                    last[4], last[6], last[8] = end, spans[stop][1], blanks[stop] + 1 - last[7]
+                else:
+                    rows.append([doc_id, version, True, place, end, spans[place][0], spans[stop][1], blanks[place], blanks[stop] + 1 - blanks[place], one, two, had])
+        while len(rows) >= _ROWS_AT_A_TIME:
+            yield full(rows[:_ROWS_AT_A_TIME])
+            rows = rows[_ROWS_AT_A_TIME:]
     if rows:
         yield full(rows)
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, folder: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, version, start, stop, words, first_doc_id: what ``without_repeats`` removes, one row for each run.
+def _runs(spark: SparkSession, docs: DataFrame, folder: str, min_words: int, whole: bool) -> DataFrame:
+    """doc_id, version, start, stop, word, words, first_doc_id of the runs of marked units and, if ``whole``, of marked windows.
 
-    ``version`` tells texts apart that share a doc_id; ``first_doc_id`` is the document that keeps the first
-    unit of the run. Units next to each other that their document had before are one row. A digest is a row for
-    each task in the grouping, whatever its number of occurrences, and the join back can be split, so a line that
-    a third of the documents share is no hot task.
+    A digest is a row for each task in the grouping, whatever its number of occurrences, and the join back can be
+    split, so a line that a third of the documents share is no hot task.
     """
-    docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").mapInArrow(_units, _UNITS).write.parquet(f"{folder}/units")
+    narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
+    sent = spark.sparkContext.broadcast(_repeated_hashes(narrow, min_words, whole))
+    narrow.mapInArrow(lambda batches: _rows(batches, sent.value, min_words, whole), _ROWS).write.parquet(f"{folder}/units")
     units = spark.read.parquet(f"{folder}/units")
     # Of a unit that a document repeats only the first can be the earliest, so the smallest doc_id decides.
     earliest = (
@@ -95,17 +269,49 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, folder: str, min_words:
     other = F.col("first_doc_id").isNotNull() & (F.col("doc_id") != F.col("first_doc_id"))
     marked = (
         units.join(earliest, ["d0", "d1"], "left").where(F.col("again") | other)
-        .select("doc_id", "version", "place", "upto", "start", "stop", "words", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"))
-        .distinct()
+        .select("doc_id", "version", "whole", "place", "upto", "start", "stop", "word", "words", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"))
+        .repartition("doc_id", "version").dropDuplicates(["doc_id", "version", "whole", "place"])
     )
-    in_text = Window.partitionBy("doc_id", "version").orderBy("place")
-    apart = F.coalesce(F.lag("upto").over(in_text) + 1 != F.col("place"), F.lit(True))
+    in_text = Window.partitionBy("doc_id", "version", "whole").orderBy("place")
+    reach = F.when(F.col("whole"), min_words).otherwise(1)
+    apart = F.coalesce(F.lag("upto").over(in_text) + reach < F.col("place"), F.lit(True))
     runs = marked.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(in_text))
     return (
-        runs.groupBy("doc_id", "version", "run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min_by("first_doc_id", "place").alias("first_doc_id"))
-        .where(F.col("words") >= min_words)
-        .select(F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("doc_id"), "version", "start", "stop", "words", F.when(F.col("first_doc_id") != _LAST, F.col("first_doc_id")).alias("first_doc_id"))
+        runs.groupBy("doc_id", "version", "whole", "run")
+        .agg(
+            F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("word").alias("word"),
+            (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"), F.min_by("first_doc_id", "place").alias("first_doc_id"),
+        )
+        .where(F.col("whole") | (F.col("words") >= min_words))
+    )
+
+
+def _shown(runs: DataFrame) -> DataFrame:
+    named = lambda c: F.when(F.col(c) != _LAST, F.col(c)).alias(c)
+    return runs.select(named("doc_id"), "version", "start", "stop", F.col("words").cast("long").alias("words"), named("first_doc_id"))
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, folder: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """Like ``whole_repeats``, by the runs of units alone."""
+    return _shown(_runs(spark, docs, folder, min_words, whole=False))
+
+
+def whole_repeats(spark: SparkSession, docs: DataFrame, folder: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, version, start, stop, words, first_doc_id: what ``without_repeats`` removes, one row for each span.
+
+    ``version`` tells texts apart that share a doc_id; ``first_doc_id`` is the document that keeps the first unit
+    or window of the span. ``words`` counts between blanks. Runs of units and of windows that overlap are one span.
+    """
+    in_text = Window.partitionBy("doc_id", "version").orderBy("start", "stop", "whole")
+    before = in_text.rowsBetween(Window.unboundedPreceding, -1)
+    runs = _runs(spark, docs, folder, min_words, whole=True)
+    apart = F.coalesce(F.max("stop").over(before) < F.col("start"), F.lit(True))
+    spans = runs.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(in_text))
+    return _shown(
+        spans.groupBy("doc_id", "version", "span").agg(
+            F.min("start").alias("start"), F.max("stop").alias("stop"),
+            (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"), F.min_by("first_doc_id", F.struct("start", "stop", "whole")).alias("first_doc_id"),
+        )
     )
 
 

@@ -30,7 +30,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that an earlier document has."""
-    spans = passages.repeated_spans(spark, docs, work_folder(spark, "pipeline-passages"))
+    spans = passages.whole_repeats(spark, docs, work_folder(spark, "pipeline-passages"))
     return passages.without_repeats(docs, spans)
 
 
