@@ -33,7 +33,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Cell of the rows without a direction (zero vectors). Every search looks into it.
 NO_CELL = -1
-_ABOUT = "vec_col string, dims int, clustered boolean, stored string, version string"
+_ABOUT = "vec_col string, dims int, clustered boolean, stored string, version string, nprobe int"
+# Cells that a search looks into are set at the build so that it finds this share of the nearest distinct vectors,
+# on average over so many stored vectors that are searched for.
+_RECALL, _MEASURED = 0.95, 200
 
 
 def _directed(length: Column) -> Column:
@@ -58,7 +61,8 @@ def ivf_build(
 
     The centroids are fitted on all rows, unless a share of them is asked for; every row is assigned. ``rows``
     is read several times, so it should be a stored table. All files of a build lie in a folder of its own,
-    and the description that names it is written last: a build that fails leaves what was there before.
+    and the description that names it is written last: a build that fails leaves what was there before. It holds
+    the number of cells that a search has to look into, as measured on the stored rows.
     """
     spark = rows.sparkSession
     vec = F.col(vec_col)
@@ -82,8 +86,9 @@ def ivf_build(
             model = means.fit(training)
             model.write().save(f"{path}/{version}/model")
     stored = T.StructType([*rows.schema.fields, T.StructField("norm", T.DoubleType()), T.StructField("cell", T.IntegerType())])
-    about = Row(vec_col=vec_col, dims=facts.dims, clustered=model is not None, stored=stored.json(), version=version)
+    about = Row(vec_col=vec_col, dims=facts.dims, clustered=model is not None, stored=stored.json(), version=version, nprobe=None)
     _store(rows, path, about, model, "build")
+    about = Row(**{**about.asDict(), "nprobe": _measured_probes(spark, path, about)})
     spark.createDataFrame([about], _ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
@@ -171,8 +176,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _probed(centroids: np.ndarray, queries: np.ndarray, nprobe: int) -> np.ndarray:
-    """For each query, which centroids are among its ``nprobe`` nearest."""
+def _probed(centroids: np.ndarray, queries: np.ndarray, nprobe: int | None) -> np.ndarray:
+    """For each query, which centroids are among its ``nprobe`` nearest; None stands for all."""
     chosen = np.zeros((len(queries), len(centroids)), dtype=bool)
     if len(centroids):
         order = np.argsort(-(_unit(queries) @ centroids.T), axis=1, kind="stable")[:, :nprobe]
@@ -180,10 +185,31 @@ def _probed(centroids: np.ndarray, queries: np.ndarray, nprobe: int) -> np.ndarr
     return chosen
 
 
-def ivf_candidates(spark: SparkSession, path: str, query: Sequence[float], nprobe: int) -> DataFrame:
-    """Rows of the cells nearest to the query; the other cells' folders are not read."""
+def _measured_probes(spark: SparkSession, path: str, about: Row) -> int | None:
+    """Cells that ``_RECALL`` of the nearest distinct vectors lie in, those of the query itself left out; None for all.
+
+    The driver sees ``_MEASURED`` vectors, and for each the cells of its neighbours.
+    """
+    if not about.clustered:
+        return None
+    vec = F.col(about.vec_col)
+    distinct = (
+        _rows(spark, path, about).filter(F.col("cell") != NO_CELL).groupBy(vec.alias("vector")).agg(F.min("cell").alias("in_cell"))
+        .withColumn("id", F.xxhash64("vector"))
+    )
+    asked = distinct.orderBy("id").limit(_MEASURED).select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("query_embedding")).collect()
+    queries = spark.createDataFrame(asked, "query_id long, query_embedding array<double>")
+    found = knn_join(distinct, queries, SCENE_RESULTS + 1, base_col="vector", order=("id",)).filter("id != query_id")
+    order = np.argsort(-(_unit(np.array([q.query_embedding for q in asked])) @ _centroids(about, path).T), axis=1, kind="stable")
+    places = {q.query_id: np.argsort(cells) for q, cells in zip(asked, order, strict=True)}
+    needed = sorted(int(places[hit.query_id][hit.in_cell]) + 1 for hit in found.select("query_id", "in_cell").collect())
+    return needed[int(np.ceil(_RECALL * len(needed))) - 1] if needed else None
+
+
+def ivf_candidates(spark: SparkSession, path: str, query: Sequence[float], nprobe: int | None = None) -> DataFrame:
+    """Rows of the cells nearest to the query, as many as measured at the build unless ``nprobe`` is given; the other cells' folders are not read."""
     about = _about(spark, path)
-    chosen = np.flatnonzero(_probed(_centroids(about, path), np.array([query], dtype=np.float64), nprobe)[0])
+    chosen = np.flatnonzero(_probed(_centroids(about, path), np.array([query], dtype=np.float64), nprobe or about.nprobe)[0])
     return _rows(spark, path, about).filter(F.col("cell").isin([NO_CELL, *chosen.tolist()]))
 
 
@@ -192,7 +218,7 @@ def ivf_search(
     path: str,
     query: Sequence[float],
     k: int = SCENE_RESULTS,
-    nprobe: int = 8,
+    nprobe: int | None = None,
     bucket: str | None = None,
 ) -> DataFrame:
     """Approximate ``scene_search`` by cosine; exact when ``nprobe`` covers every cell.
@@ -209,7 +235,7 @@ def ivf_prompt_search(
     query: Sequence[float],
     branch_k: int = PROMPT_BRANCH_RESULTS,
     k: int = PROMPT_RESULTS,
-    nprobe: int = 8,
+    nprobe: int | None = None,
 ) -> DataFrame:
     """Approximate ``prompt_search`` on two clustered tables of the prompts, one per vector column."""
     video_rows, text_rows = (ivf_candidates(spark, p, query, nprobe) for p in (by_video, by_text))
@@ -221,7 +247,7 @@ def ivf_search_batch(
     path: str,
     queries: DataFrame,
     k: int = SCENE_RESULTS,
-    nprobe: int = 8,
+    nprobe: int | None = None,
     query_id: str = "query_id",
     query_vec: str = "query_embedding",
     order: tuple[str, ...] = SCENE_ORDER,
@@ -229,10 +255,10 @@ def ivf_search_batch(
 ) -> DataFrame:
     """Approximate nearest-neighbour join: each row is scored for the queries that probe its cell."""
     about = _about(spark, path)
-    centroids = _centroids(about, path)
+    centroids, probes = _centroids(about, path), nprobe or about.nprobe
 
     def probe(block: QueryBlock) -> QueryBlock:
-        return block._replace(probed=_probed(centroids, block.vectors, nprobe))
+        return block._replace(probed=_probed(centroids, block.vectors, probes))
 
     rows = _rows(spark, path, about).drop("norm")
     rows = with_place(rows) if key == ROW_PLACE else rows
