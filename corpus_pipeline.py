@@ -35,10 +35,11 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
+    """Documents that contain no item of the benchmark. Rows without doc_id are known by their text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.contained_items(spark, docs, items, work_folder(spark, "pipeline-contained"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256))))
+    found = decontamination.contained_items(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), items, work_folder(spark, "pipeline-contained"))
+    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
