@@ -1,7 +1,8 @@
 import json
 
 from clipatlas.schemas import RESPONSE_SCENE_FIELDS, SCENE_TEXT_COLUMNS
-from clipatlas.sources.responses import split_responses, to_scene_rows
+from clipatlas.sources.responses import to_scene_rows
+from clipatlas.streaming.ingest import parsed_documents, scenes_and_rejects
 
 
 def scene(**changes):
@@ -49,7 +50,10 @@ BAD = {
 def test_whole_documents_are_accepted_or_rejected(spark):
     rows = [(n, "v", "gcs", t) for n, t in {**GOOD, **BAD}.items()]
     df = spark.createDataFrame(rows, "response_id string, video_id string, source string, response string")
-    valid, rejects = split_responses(df)
+    parsed = parsed_documents(df)
+    valid = parsed.filter("accepted")
+    stored, rejects = scenes_and_rejects(parsed)
+    assert stored.count() == sum(len(json.loads(t)["scenes"]) for t in GOOD.values())
     assert {r.response_id for r in valid.collect()} == set(GOOD)
     assert {r.response_id: r.response for r in rejects.collect()} == BAD
 
