@@ -15,7 +15,9 @@ import corpus_pipeline
 from clipatlas.llm.queries import CHECKS, QUERIES
 from tests.llm.test_near_duplicates import brute as near_brute
 from tests.llm.test_decontamination import brute as contained_brute
+from clipatlas.llm import passages
 from tests.llm.test_passages import brute as passages_brute
+from tests.llm.test_whole_passages import windows
 
 COLUMNS = {
     "op1": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
@@ -86,16 +88,17 @@ def test_near_duplicate_stage(stages):
 
 
 def test_passage_stage(stages):
+    """What goes is what runs of units and windows of 25 words cover, and the white space after it."""
     before, after = texts(stages[2]), dict(texts(stages[3]))
-    cut = {}
+    cut = windows(before, 25, passages._TOKEN)
     for d, start, stop, _, _ in passages_brute(before, 25):
-        cut.setdefault(d, []).append((start, stop))
-    assert set(after) == {d for d, _ in before}
+        cut.setdefault(d, set()).update(range(start, stop))
+    assert set(after) == {d for d, _ in before} and cut
     for d, text in before:
         if d not in cut:
             assert after[d] == text
         else:
-            assert len(after[d]) <= len(text) - sum(b - a for a, b in cut[d])
+            assert "".join(after[d].split()) == "".join("".join(c for i, c in enumerate(text) if i not in cut[d]).split())
 
 
 def test_decontamination_stage(spark, sf, stages):

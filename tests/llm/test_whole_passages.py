@@ -9,11 +9,11 @@ from tests.llm.test_passages import brute
 LONG = " ".join(f"alpha{i} beta{i * i}," for i in range(30))
 
 
-def windows(rows, size):
+def windows(rows, size, token=r"\S+"):
     """doc_id -> places of the words that a window of ``size`` words covers which is there before."""
     first, covered = {}, {}
     for d, text in sorted(rows):
-        spans = [m.span() for m in re.finditer(r"\S+", text)]
+        spans = [m.span() for m in re.finditer(token, text)]
         words = [text[a:b].lower() for a, b in spans]
         for i in range(len(words) - size + 1):
             where = first.setdefault(tuple(words[i : i + size]), (d, i))
