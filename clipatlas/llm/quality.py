@@ -36,6 +36,8 @@ SAMPLE = 20_000
 #: A document with this score or more is accepted.
 ACCEPTED = 0.3
 HIDDEN, EPOCHS, RATE, BATCH = 32, 60, 3e-3, 256
+#: Steps of the fit at least, for few rows, and how strongly the weights of an input are shrunk.
+LEAST_STEPS, SHRINK = 3000, 0.2
 #: Sums of one chunk are added in so many groups first.
 _GROUPS = 32
 #: Words whose slot a task remembers.
@@ -216,8 +218,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _loss(logits: np.ndarray, truth: np.ndarray) -> float:
+    z = np.clip(logits, -40, 40)
+    return float(np.mean(np.log1p(np.exp(z)) - truth * z))
+
+
 def fit_network(features: np.ndarray, labels: np.ndarray, kept: np.ndarray) -> Network:
-    """Two layers by Adam on the rows not ``kept``; the temperature by the likelihood of the kept ones."""
+    """Two layers by Adam on the rows not ``kept``, with the weights of an input shrunk together, so that inputs that say
+    nothing go to zero. Of all passes the one with the greatest likelihood of the kept rows stays; so does the temperature."""
     width = features.shape[1]
     share = float(labels.mean()) if len(labels) else 0.5
     constant = Network(np.zeros(width), np.ones(width), np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
@@ -230,7 +238,9 @@ def fit_network(features: np.ndarray, labels: np.ndarray, kept: np.ndarray) -> N
     draw = np.random.default_rng(11)
     p = [draw.normal(0, np.sqrt(2 / width), (width, HIDDEN)), np.zeros(HIDDEN), draw.normal(0, np.sqrt(2 / HIDDEN), HIDDEN), np.zeros(1)]
     m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(EPOCHS):
+    aside, truth = (features[kept] - center) / scale, labels[kept]
+    best, least = None, np.inf
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(x)))):
         order = draw.permutation(len(x))
         for begin in range(0, len(x), BATCH):
             rows = order[begin : begin + BATCH]
@@ -247,17 +257,18 @@ def fit_network(features: np.ndarray, labels: np.ndarray, kept: np.ndarray) -> N
                 q *= 0.999
                 q += 0.001 * g * g
                 a -= RATE * (s / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
+            length = np.linalg.norm(p[0], axis=1, keepdims=True)
+            p[0] *= np.maximum(0, 1 - RATE * SHRINK * HIDDEN**0.5 / np.maximum(length, 1e-12))
+        loss = _loss(np.maximum(aside @ p[0] + p[1], 0) @ p[2] + p[3][0], truth) if len(truth) else -t
+        if loss < least:
+            best, least = [a.copy() for a in p], loss
+    p = best
     network = Network(center, scale, p[0], p[1], p[2], float(p[3][0]))
     if not kept.any():
         return network
-    logits, truth = network.logits(features[kept]), labels[kept]
-
-    def loss(temperature: float) -> float:
-        z = np.clip(logits / temperature, -40, 40)
-        return float(np.mean(np.log1p(np.exp(z)) - truth * z))
-
-    best = min(np.geomspace(0.25, 8, 61), key=loss)
-    return Network(center, scale, p[0], p[1], p[2], float(p[3][0]), float(best))
+    logits = network.logits(features[kept])
+    warmth = min(np.geomspace(0.25, 8, 61), key=lambda temperature: _loss(logits / temperature, truth))
+    return Network(center, scale, p[0], p[1], p[2], float(p[3][0]), float(warmth))
 
 
 def _features_of(spark: SparkSession, docs: DataFrame, words: WordVectors, extra: str) -> DataFrame:
