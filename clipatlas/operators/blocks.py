@@ -26,12 +26,20 @@ class QueryBlock(NamedTuple):
 
     ids: pa.Array
     vectors: np.ndarray
-    # For a clustered table: for each query, which cells it looks into.
-    probed: np.ndarray | None = None
+    # For a clustered table: pairs of a cell and the place of a query that looks into it, by cell.
+    probed: tuple[np.ndarray, np.ndarray] | None = None
     # For each query a closeness that its k-th best row reaches for sure.
     cuts: np.ndarray | None = None
 
 
+def probed_pairs(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """From the cells of each query the pairs that a ``QueryBlock`` keeps."""
+    lengths = cells.value_lengths().fill_null(0).to_numpy()
+    of_query, cell = np.repeat(np.arange(len(lengths)), lengths), cells.flatten().to_numpy()
+    order = np.argsort(cell, kind="stable")
+    return cell[order], of_query[order]
+
+
 def to_matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of an Arrow list column as a matrix, and a mask of the rows without NULL elements."""
     flat = column.flatten()
@@ -217,9 +225,13 @@ class TaskTopK:
             yield np.arange(table.num_rows), every
             return
         cell = table.column(self.cell_col).to_numpy()
-        for value in np.unique(cell):
+        cells, queries = self.block.probed
+        order = np.argsort(cell, kind="stable")
+        values, starts = np.unique(cell[order], return_index=True)
+        for value, members in zip(values, np.split(order, starts[1:]), strict=True):
             # Rows outside the cells, with a negative number, are scored for all queries.
-            yield np.flatnonzero(cell == value), every if value < 0 else every[self.block.probed[:, value]]
+            begin, end = np.searchsorted(cells, (value, value + 1))
+            yield members, every if value < 0 else queries[begin:end]
 
     def _best_of(self, rows, norms, tie, distinct, left, part):
         """The best k of the distinct vectors for each query: query, place in ``distinct``, closeness."""

@@ -1,31 +1,43 @@
-"""Clustered vector tables: rows stored by their nearest centroid, searched a few cells at a time."""
+"""Clustered vector tables: rows stored by their nearest centroid, searched a few cells at a time.
+
+The centroids are a table (see ``centroids``). Beside its rows a build, and every batch that is added, keeps for each cell
+how many rows it has and the least cosine of any of them to the centroid, which bounds how near a row of the cell
+can be to a query: that makes a search exact that opens only the cells which may still hold a nearer row.
+
+What a clustered table consists of is told by commits (see ``commits``): files of a build or a batch are visible once all
+are written, and a batch that is added again replaces what it added before.
+"""
 
 from __future__ import annotations
 
 import json
+import math
 import sys
 import uuid
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.errors import AnalysisException
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clipatlas.functions.vectors import norm, usable
-from clipatlas.operators.blocks import QueryBlock
-from clipatlas.operators.knn import SCENE_ORDER, knn_join
+from clipatlas.operators import centroids as levels
+from clipatlas.operators.knn import QUERY_BLOCK_BYTES, SCENE_ORDER, chunks_of, deal, knn_join, nearest, written
 from clipatlas.operators.search import (
     PROMPT_BRANCH_RESULTS,
+    PROMPT_COLUMNS,
     PROMPT_RESULTS,
     SCENE_RESULTS,
+    best_prompts,
+    nearest_places,
     prompt_search,
-    scene_search_places,
+    scenes_at,
 )
+from clipatlas.sources.commits import Snapshot, commit, fresh
 from clipatlas.sources.tables import ROW_PLACE, with_place
 
 # Which cells a query looks into is also worked out in tasks; the code goes to the workers by value.
@@ -33,10 +45,50 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Cell of the rows without a direction (zero vectors). Every search looks into it.
 NO_CELL = -1
-_ABOUT = "vec_col string, dims int, clustered boolean, stored string, version string, nprobe int"
+# What the commits of a clustered table by itself call it.
+_CURRENT = "current"
 # Cells that a search looks into are set at the build so that it finds this share of the nearest distinct vectors,
-# on average over so many stored vectors that are searched for.
-_RECALL, _MEASURED = 0.95, 200
+# on average over so many stored vectors that are searched for, among those of so many rows.
+_RECALL, _MEASURED, _MEASURED_ROWS = 0.95, 200, 1_000_000
+# Sampled rows at least, if there are so many.
+_LEAST_SAMPLE = 4096
+# Up to this size centroids are sent to the tasks that assign rows; more are dealt out with the rows.
+SENT_CENTROIDS = 32 << 20
+# More than the rounding of an angle that is worked out from a cosine.
+_ANGLE_SLACK = 1e-7
+_REACH = "cell int, n_rows long, toward double"
+
+
+class About(NamedTuple):
+    """What a clustered table is."""
+
+    vec_col: str
+    dims: int | None
+    # Column names and types of the stored rows, as JSON.
+    stored: str
+    version: str
+    # Cells that a search looks into unless it says how many; None for all.
+    nprobe: int | None
+    # Cells with a centroid; 0 if the vectors could not be told apart.
+    n_cells: int
+
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self.stored))
+
+
+class Clustered(NamedTuple):
+    """A clustered table as of one moment: its description, and the folders that hold rows and the reach of cells."""
+
+    spark: SparkSession
+    path: str
+    about: About
+    rows: list[str]
+    reach: list[str]
+    # Rows that are stored elsewhere and not in a cell yet, with their place. Every search looks at them.
+    loose: DataFrame | None = None
+    # Values of the column ``origin`` whose rows have been replaced since; no search finds them.
+    stale: tuple[str, ...] = ()
 
 
 def _directed(length: Column) -> Column:
@@ -59,11 +111,29 @@ def ivf_build(
 ) -> None:
     """Cluster the vectors and store all rows with a usable one under ``path``, by cell.
 
-    The centroids are fitted on all rows, unless a share of them is asked for; every row is assigned. ``rows``
-    is read several times, so it should be a stored table. All files of a build lie in a folder of its own,
-    and the description that names it is written last: a build that fails leaves what was there before. It holds
-    the number of cells that a search has to look into, as measured on the stored rows.
+    The centroids are fitted on a sample of ``centroids.PER_CENTROID`` rows for each, or on the share of all rows
+    that is asked for; every row is assigned. ``rows`` is read several times, so it should be a stored table. All files
+    of a build lie in a folder of its own, and the commit that names it comes last: a build that fails leaves what was
+    there before. It holds the number of cells that a search has to look into, as measured on the stored rows.
     """
+    about, folders = ivf_write_build(rows, path, vec_col, nlist, seed, training_fraction)
+    ivf_commit(rows.sparkSession, path, _CURRENT, about, folders)
+
+
+def ivf_commit(spark: SparkSession, root: str, name: str, about: About, folders: dict[str, str], covers: list[str] | None = None) -> None:
+    """Make a build the clustered table in use under a name."""
+    commit(spark, root, "index", name, named(name, folders), {}, json.dumps(about), covers)
+
+
+def named(name: str, folders: dict[str, str]) -> dict[str, str]:
+    """What a commit calls the folders of the clustered table ``name``."""
+    return {f"{name}.{kind}": folder for kind, folder in folders.items()}
+
+
+def ivf_write_build(
+    rows: DataFrame, path: str, vec_col: str, nlist: int | None = None, seed: int = 7, training_fraction: float | None = None
+) -> tuple[About, dict[str, str]]:
+    """The files of ``ivf_build``, for a caller that commits them: what they are, and their folders."""
     spark = rows.sparkSession
     vec = F.col(vec_col)
     facts = rows.select(vec_col).filter(usable(vec)).agg(
@@ -75,21 +145,17 @@ def ivf_build(
         raise ValueError("vectors differ in length")
     nlist = nlist or default_cells(facts.n)
     version = f"build-{uuid.uuid4().hex}"
-
-    model = None
+    n_cells = 0
     if facts.n:
-        directed = rows.filter(usable(vec)).filter(_directed(norm(vec))).select(array_to_vector(vec).alias("features"))
-        training = directed if training_fraction is None else directed.sample(training_fraction, seed)
-        # Without two vectors to tell apart, all rows stay outside the cells and are always searched.
-        if len(training.head(2)) == 2:
-            means = KMeans(k=max(2, nlist), distanceMeasure="cosine", seed=seed, maxIter=10, predictionCol="cell")
-            model = means.fit(training)
-            model.write().save(f"{path}/{version}/model")
-    stored = T.StructType([*rows.schema.fields, T.StructField("norm", T.DoubleType()), T.StructField("cell", T.IntegerType())])
-    about = Row(vec_col=vec_col, dims=facts.dims, clustered=model is not None, stored=stored.json(), version=version, nprobe=None)
-    _store(rows, path, about, model, "build")
-    about = Row(**{**about.asDict(), "nprobe": _measured_probes(spark, path, about)})
-    spark.createDataFrame([about], _ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        wanted = max(_LEAST_SAMPLE, levels.PER_CENTROID * nlist)
+        share = min(1.0, wanted / facts.n) if training_fraction is None else training_fraction
+        directed = rows.filter(usable(vec)).filter(_directed(norm(vec))).select(vec.cast("array<double>").alias("vector"))
+        n_cells = levels.fit((directed if share == 1.0 else directed.sample(share, seed)).distinct(), facts.dims, nlist, f"{path}/{version}", seed)
+    stored = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("norm", "toward")], T.StructField("cell", T.IntegerType())])
+    about = About(vec_col, facts.dims, stored.json(), version, None, n_cells)
+    folders = ivf_write(rows, path, about)
+    built = Clustered(spark, path, about, [folders["rows"]], [folders["reach"]])
+    return ivf_measured(built), folders
 
 
 def ivf_append(rows: DataFrame, path: str, batch: str | None = None) -> None:
@@ -100,122 +166,242 @@ def ivf_append(rows: DataFrame, path: str, batch: str | None = None) -> None:
     from no vectors takes the length of the first ones added.
     """
     spark = rows.sparkSession
-    about = _about(spark, path)
+    table = ivf_open(spark, path)
+    about = ivf_fitting(rows, table.about)
+    if about != table.about:
+        ivf_commit(spark, path, _CURRENT, about, _base(table))
+    commit(spark, path, "batch", batch or uuid.uuid4().hex, named(_CURRENT, ivf_write(rows, path, about)), {_CURRENT: about.version})
+
+
+def _base(table: Clustered) -> dict[str, str]:
+    """Folders of the build itself, without the batches added."""
+    return {"rows": table.rows[0], "reach": table.reach[0]}
+
+
+def ivf_fitting(rows: DataFrame, about: About) -> About:
+    """Raise unless the vectors have the length of the table's. A table without vectors takes their length."""
     size = F.size(F.col(about.vec_col))
     facts = rows.filter(size > 0).agg(F.min(size).alias("least"), F.max(size).alias("most")).first()
     if facts.least is not None and not facts.least == facts.most == (about.dims or facts.least):
         raise ValueError("vectors differ in length")
-    if about.dims is None and facts.least is not None:
-        about = Row(**{**about.asDict(), "dims": facts.least})
-        spark.createDataFrame([about], _ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
-    _store(rows, path, about, _model(about, path), batch or uuid.uuid4().hex)
+    return about._replace(dims=about.dims or facts.least)
 
 
 def ivf_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return not spark.read.schema(_ABOUT).parquet(f"{path}/about").isEmpty()
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
+    return Snapshot(spark, path).index(_CURRENT) is not None
+
+
+def ivf_open(spark: SparkSession, path: str) -> Clustered:
+    """The table as of now."""
+    table = ivf_of(Snapshot(spark, path), _CURRENT, path)
+    if table is None:
+        raise ValueError(f"no clustered table at {path}")
+    return table
 
 
-def _about(spark: SparkSession, path: str) -> Row:
-    return spark.read.schema(_ABOUT).parquet(f"{path}/about").first()
+def ivf_of(snapshot: Snapshot, name: str, path: str) -> Clustered | None:
+    """The table in use under a name as of a snapshot, with the batches that were added to it; None if there is none."""
+    index = snapshot.index(name)
+    if index is None:
+        return None
+    about = About(*json.loads(index.about))
+    parts = [index, *(r for r in snapshot.rows if r.indexes.get(name) == about.version)]
+    rows, reach = ([r.folders[f"{name}.{kind}"] for r in parts] for kind in ("rows", "reach"))
+    return Clustered(snapshot.spark, path, about, rows, reach)
 
 
-def _model(about: Row, path: str) -> KMeansModel | None:
-    return KMeansModel.load(f"{path}/{about.version}/model") if about.clustered else None
+def _centroids(table: Clustered) -> DataFrame:
+    """cell, coarse, centre: unit vectors; none if the table is not clustered."""
+    if not table.about.n_cells:
+        return table.spark.createDataFrame([], levels.CENTROIDS)
+    return table.spark.read.schema(levels.CENTROIDS).parquet(f"{table.path}/{table.about.version}/centroids")
 
 
-def _store(rows: DataFrame, path: str, about: Row, model: KMeansModel | None, batch: str) -> None:
-    """Assign a cell to every row with a usable vector and store the rows by cell, in a folder of the batch.
+def ivf_write(rows: DataFrame, path: str, about: About) -> dict[str, str]:
+    """Assign a cell to every row with a usable vector and write the rows by cell, and the reach of the cells.
 
     Rows are gathered by cell and the writing tasks evened out by adaptive execution: small cells
     share a task, and a cell that holds a large part of the table, such as many copies of one
-    vector, is split by where its rows come from.
+    vector, is split by where its rows come from. Nothing is visible until the folders are committed.
     """
+    spark, home = rows.sparkSession, f"{path}/{about.version}"
     vec, dims = F.col(about.vec_col), about.dims
-    cells = rows.filter(usable(vec, dims)).withColumn("norm", norm(vec)).withColumn("cell", F.lit(NO_CELL))
-    if model is not None:
-        # The model accepts no zero vector; such rows get a stand-in and keep the cell of their own.
-        directed = _directed(F.col("norm"))
-        stand_in = F.array_repeat(F.lit(1.0), dims)
-        features = array_to_vector(F.when(directed, vec).otherwise(stand_in))
-        found = model.transform(cells.drop("cell").withColumn("features", features)).drop("features")
-        cells = found.withColumn("cell", F.when(directed, F.col("cell")).otherwise(F.lit(NO_CELL)))
-    gathered = cells.select(*rows.columns, "norm", "cell").hint("rebalance", "cell")
-    folder = f"batch=b{uuid.uuid5(uuid.NAMESPACE_OID, batch).hex}"
-    gathered.write.partitionBy("cell").mode("overwrite").parquet(f"{path}/{about.version}/rows/{folder}")
-
-
-def ivf_rows(spark: SparkSession, path: str) -> DataFrame:
-    return _rows(spark, path, _about(spark, path))
+    kept = rows.filter(usable(vec, dims)).withColumn("norm", norm(vec))
+    if about.n_cells:
+        placed = _assigned(kept, path, about)
+    else:
+        placed = kept.withColumns({"toward": F.lit(0.0), "cell": F.lit(NO_CELL)})
+    folders = {"rows": fresh("rows"), "reach": fresh("reach")}
+    gathered = placed.select(*rows.columns, "norm", "toward", "cell").hint("rebalance", "cell")
+    gathered.write.partitionBy("cell").parquet(f"{home}/{folders['rows']}")
+    read = _read_rows(spark, path, about, [folders["rows"]])
+    cells = read.groupBy("cell").agg(F.count("*").alias("n_rows"), F.min("toward").alias("toward"))
+    cells.write.parquet(f"{home}/{folders['reach']}")
+    return folders
+
+
+def _assigned(kept: DataFrame, path: str, about: About) -> DataFrame:
+    """Rows with their ``cell`` and ``toward``, the cosine to its centroid."""
+    spark, dims, home = kept.sparkSession, about.dims, f"{path}/{about.version}"
+    vec, directed = F.col(about.vec_col).cast("array<double>"), _directed(F.col("norm"))
+    coarse = levels.load_coarse(spark, home)
+    table = spark.read.schema(levels.CENTROIDS).parquet(f"{home}/centroids")
+    if about.n_cells * dims * 8 <= SENT_CENTROIDS:
+        place = levels.two_levels(coarse, table.orderBy("cell").collect())(F.when(directed, vec))
+        placed = kept.withColumn("_place", place)
+        return placed.withColumns({"cell": F.col("_place.cell"), "toward": F.col("_place.toward")}).drop("_place")
+    rows = kept.withColumn("_coarse", coarse.place(F.when(directed, vec)))
+    sizes = {r["_coarse"]: r["count"] for r in rows.groupBy("_coarse").count().collect()}  # one row for each coarse centroid
+    parts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, chunks_of(n, dims))]) if sizes else F.lit(None).cast("map<int,int>")
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts[F.col("_coarse")]).cast("int")
+    dealt = rows.withColumn("_part", part)
+    asked = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(parts[F.col("coarse")], F.lit(1)) - 1)))
+    schema = T.StructType([*kept.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("toward", T.DoubleType())])
+    vec_col, nothing = about.vec_col, spark.createDataFrame([], schema).toArrow()
+
+    def task(some: pa.Table, below: pa.Table) -> pa.Table:
+        if not some.num_rows:
+            return nothing
+        cell, toward = levels.place_below(some.column(vec_col).combine_chunks(), below, dims)
+        return some.drop_columns(["_coarse", "_part"]).append_column("cell", pa.array(cell, pa.int32())).append_column("toward", pa.array(toward))
+
+    return dealt.groupBy("_coarse", "_part").cogroup(asked.groupBy("coarse", "_part")).applyInArrow(task, schema)
+
+
+def _read_rows(spark: SparkSession, path: str, about: About, folders: list[str]) -> DataFrame:
+    home = f"{path}/{about.version}"
+    read = spark.read.schema(about.schema).option("basePath", f"{home}/rows").parquet(*[f"{home}/{f}" for f in folders])
+    return read.select(*about.schema.fieldNames())
+
+
+def _rows(table: Clustered, placed: bool = False) -> DataFrame:
+    """All rows: those of the cells, and the loose ones as rows outside the cells. ``placed`` adds the ``ROW_PLACE`` columns."""
+    rows = _read_rows(table.spark, table.path, table.about, table.rows)
+    rows = with_place(rows) if placed else rows
+    if table.stale:
+        rows = rows.filter(~F.col("origin").isin(*table.stale))
+    if table.loose is None:
+        return rows
+    vec = F.col(table.about.vec_col)
+    outside = {"norm": norm(vec), "toward": F.lit(0.0), "cell": F.lit(NO_CELL)}
+    return rows.unionByName(table.loose.filter(usable(vec, table.about.dims)).withColumns(outside).select(*rows.columns))
+
+
+def _opened(spark: SparkSession, path: str | Clustered) -> Clustered:
+    return path if isinstance(path, Clustered) else ivf_open(spark, path)
+
+
+def ivf_rows(spark: SparkSession, path: str | Clustered) -> DataFrame:
+    return _rows(_opened(spark, path)).drop("toward")
+
+
+def ivf_reach(table: Clustered) -> DataFrame:
+    """cell, n_rows, toward: for each cell how many rows it has, and the least cosine of any to the centroid."""
+    home = f"{table.path}/{table.about.version}"
+    read = table.spark.read.schema(_REACH).parquet(*[f"{home}/{f}" for f in table.reach])
+    return read.groupBy("cell").agg(F.sum("n_rows").alias("n_rows"), F.min("toward").alias("toward"))
+
+
+def ivf_cells(spark: SparkSession, path: str | Clustered) -> DataFrame:
+    """Rows per cell and the share of the largest, to judge how even the clustering is."""
+    sizes = ivf_reach(_opened(spark, path)).select("cell", "n_rows")
+    total = sizes.agg(F.sum("n_rows")).scalar()
+    return sizes.withColumn("share", F.col("n_rows") / total)
 
 
-def _rows(spark: SparkSession, path: str, about: Row) -> DataFrame:
-    stored = T.StructType.fromJson(json.loads(about.stored))
-    return spark.read.schema(stored).parquet(f"{path}/{about.version}/rows").select(*stored.fieldNames())
+def _measured_probes(table: Clustered) -> int | None:
+    """Cells that ``_RECALL`` of the nearest distinct vectors lie in, those of the query itself left out; None for all.
 
+    Asked are ``_MEASURED`` vectors of the build and as many of the batches added since, and the larger need of the two
+    counts, so that rows of another distribution are found as well. They are taken from the different vectors of a
+    share of the rows that the hash of a vector decides, so that it is there with all its copies or not at all. The
+    driver sees those asked, and for each the centroids that its neighbours lie at.
+    """
+    about = table.about
+    if not about.n_cells:
+        return None
+    n = ivf_reach(table).agg(F.sum("n_rows")).first()[0]
+    share = min(1.0, _MEASURED_ROWS / max(1, n))
+    parts = [table._replace(rows=table.rows[:1], loose=None), table._replace(rows=table.rows[1:], loose=None)]
+    some = None
+    for added, part in enumerate(parts):
+        if part.rows:
+            rows = _rows(part).filter(F.col("cell") != NO_CELL).select(F.col(about.vec_col).alias("vector"), "cell", F.lit(added).alias("added"))
+            some = rows if some is None else some.unionByName(rows)
+    if share < 1:
+        some = some.filter(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    distinct = some.groupBy("vector").agg(F.min("cell").alias("in_cell"), F.min("added").alias("added")).withColumn("id", F.xxhash64("vector"))
+    distinct = written(distinct, "distinct")
+    asked = []
+    for added in range(2 if len(table.rows) > 1 else 1):
+        first = distinct.filter(F.col("added") == added).orderBy("id").limit(_MEASURED)
+        asked += first.select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("query_embedding"), "added").collect()
+    queries = table.spark.createDataFrame([r[:2] for r in asked], "query_id long, query_embedding array<double>")
+    found = knn_join(distinct.drop("added"), queries, SCENE_RESULTS + 1, base_col="vector", order=("id",)).filter("id != query_id")
+    hits = found.select("query_id", "in_cell").collect()
+    if not hits:
+        return None
+    place = {q.query_id: i for i, q in enumerate(asked)}
+    vectors = levels.unit(np.array([q.query_embedding for q in asked]))
+    own = {r.cell: np.array(r.centre) for r in _centroids(table).filter(F.col("cell").isin(sorted({h.in_cell for h in hits}))).collect()}
+    # How near the centroid of each hit is to the query, and then how many centroids are nearer.
+    of = np.array([place[h.query_id] for h in hits])
+    near = np.einsum("ij,ij->i", vectors[of], np.array([own[h.in_cell] for h in hits]))
 
-def ivf_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Rows per cell and the share of the largest, to judge how even the clustering is."""
-    sizes = ivf_rows(spark, path).groupBy("cell").agg(F.count("*").alias("n_rows"))
-    total = sizes.agg(F.sum("n_rows")).scalar()
-    return sizes.withColumn("share", F.col("n_rows") / total)
+    def nearer(batches):
+        total = np.zeros(len(of), np.int64)
+        for batch in batches:
+            centres = np.array(batch.column("centre").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            for at in range(0, len(centres), 4096):
+                total += ((vectors @ centres[at : at + 4096].T)[of] > near[:, None] + 1e-12).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(of))), pa.array(total)], ["hit", "n"])
 
+    counts = _centroids(table).select("centre").mapInArrow(nearer, "hit long, n long").groupBy("hit").agg(F.sum("n").alias("n"))
+    needs = {r.hit: int(r.n) + 1 for r in counts.collect()}
+    most = 0
+    for added in range(2):
+        needed = sorted(n for hit, n in needs.items() if asked[of[hit]].added == added)
+        if needed:
+            most = max(most, needed[int(np.ceil(_RECALL * len(needed))) - 1])
+    return most
 
-def _centroids(about: Row, path: str) -> np.ndarray:
-    """Unit centroids; the row number is the cell."""
-    model = _model(about, path)
-    return _unit(np.array(model.clusterCenters())) if model is not None else np.zeros((0, 0))
 
+def ivf_measure(spark: SparkSession, path: str) -> int | None:
+    """Measure again how many cells a search has to look into, after rows were appended, and keep the result."""
+    table = ivf_open(spark, path)
+    about = ivf_measured(table)
+    ivf_commit(spark, path, _CURRENT, about, _base(table))
+    return about.nprobe
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
+def ivf_measured(table: Clustered) -> About:
+    """The description of a table with the probes measured on the rows it has now."""
+    return table.about._replace(nprobe=_measured_probes(table))
 
-def _probed(centroids: np.ndarray, queries: np.ndarray, nprobe: int | None) -> np.ndarray:
-    """For each query, which centroids are among its ``nprobe`` nearest; None stands for all."""
-    chosen = np.zeros((len(queries), len(centroids)), dtype=bool)
-    if len(centroids):
-        order = np.argsort(-(_unit(queries) @ centroids.T), axis=1, kind="stable")[:, :nprobe]
-        np.put_along_axis(chosen, order, True, axis=1)
-    return chosen
 
+def _probes(table: Clustered, nprobe: int | None) -> int | None:
+    """How many cells to look into; None for all."""
+    n = nprobe or table.about.nprobe
+    return n if n is not None and n < table.about.n_cells else None
 
-def _measured_probes(spark: SparkSession, path: str, about: Row) -> int | None:
-    """Cells that ``_RECALL`` of the nearest distinct vectors lie in, those of the query itself left out; None for all.
 
-    The driver sees ``_MEASURED`` vectors, and for each the cells of its neighbours.
-    """
-    if not about.clustered:
-        return None
-    vec = F.col(about.vec_col)
-    distinct = (
-        _rows(spark, path, about).filter(F.col("cell") != NO_CELL).groupBy(vec.alias("vector")).agg(F.min("cell").alias("in_cell"))
-        .withColumn("id", F.xxhash64("vector"))
-    )
-    asked = distinct.orderBy("id").limit(_MEASURED).select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("query_embedding")).collect()
-    queries = spark.createDataFrame(asked, "query_id long, query_embedding array<double>")
-    found = knn_join(distinct, queries, SCENE_RESULTS + 1, base_col="vector", order=("id",)).filter("id != query_id")
-    order = np.argsort(-(_unit(np.array([q.query_embedding for q in asked])) @ _centroids(about, path).T), axis=1, kind="stable")
-    places = {q.query_id: np.argsort(cells) for q, cells in zip(asked, order, strict=True)}
-    needed = sorted(int(places[hit.query_id][hit.in_cell]) + 1 for hit in found.select("query_id", "in_cell").collect())
-    return needed[int(np.ceil(_RECALL * len(needed))) - 1] if needed else None
+def ivf_candidates(spark: SparkSession, path: str | Clustered, query: Sequence[float], nprobe: int | None = None) -> DataFrame:
+    """Rows of the cells nearest to the query, as many as measured unless ``nprobe`` is given; the other cells' folders are not read."""
+    table = _opened(spark, path)
+    return _rows(table).drop("toward").filter(_near_cells(table, query, nprobe))
 
 
-def ivf_candidates(spark: SparkSession, path: str, query: Sequence[float], nprobe: int | None = None) -> DataFrame:
-    """Rows of the cells nearest to the query, as many as measured at the build unless ``nprobe`` is given; the other cells' folders are not read."""
-    about = _about(spark, path)
-    chosen = np.flatnonzero(_probed(_centroids(about, path), np.array([query], dtype=np.float64), nprobe or about.nprobe)[0])
-    return _rows(spark, path, about).filter(F.col("cell").isin([NO_CELL, *chosen.tolist()]))
+def _near_cells(table: Clustered, query: Sequence[float], nprobe: int | None) -> Column:
+    probes = _probes(table, nprobe)
+    if probes is None:
+        return F.lit(True)
+    near = nearest(_centroids(table).select("cell", "centre"), query, probes, vec_col="centre", order=("cell",))
+    return F.col("cell").isin([NO_CELL, *sorted(r.cell for r in near.select("cell").collect())])
 
 
 def ivf_search(
     spark: SparkSession,
-    path: str,
+    path: str | Clustered,
     query: Sequence[float],
     k: int = SCENE_RESULTS,
     nprobe: int | None = None,
@@ -225,13 +411,65 @@ def ivf_search(
 
     Texts are read from the files that hold a winner only.
     """
-    return scene_search_places(with_place(ivf_candidates(spark, path, query, nprobe)), query, k, bucket=bucket)
+    table = _opened(spark, path)
+    rows = _rows(table, True).filter(_near_cells(table, query, nprobe))
+    return scenes_at(rows, nearest_places(rows, query, k), bucket)
+
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
+def ivf_reaching(table: Clustered, query: Sequence[float], close: float) -> DataFrame:
+    """The cells that may hold a row as close to the query as ``close``, with that ``bound``, the nearest first.
+
+    The angle between the query and a row is at least that to the centroid less the widest angle of any row
+    of the cell to it.
+    """
+    length = math.sqrt(sum(x * x for x in query))
+    if not 0 < length < math.inf:
+        # Without a direction every row is as close as any other.
+        return ivf_reach(table).withColumn("bound", F.lit(0.0)).filter(F.lit(close <= 0))
+    unit = F.array(*[F.lit(float(x) / length) for x in query])
+    toward_query = F.aggregate(F.zip_with("centre", unit, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    apart = _angle(toward_query) - _angle(F.col("toward")) - F.lit(_ANGLE_SLACK)
+    bound = F.when(apart <= 0, F.lit(1.0)).otherwise(F.cos(apart))
+    cells = ivf_reach(table).join(_centroids(table), "cell").select("cell", "n_rows", bound.alias("bound"))
+    return cells.filter(F.col("bound") >= F.lit(close)).orderBy(F.desc("bound"))
+
+
+def ivf_search_exact(
+    spark: SparkSession,
+    path: str | Clustered,
+    query: Sequence[float],
+    k: int = SCENE_RESULTS,
+    bucket: str | None = None,
+    nprobe: int | None = None,
+) -> DataFrame:
+    """``scene_search`` by cosine, exact, reading only the cells that may hold one of the nearest.
+
+    The nearest cells are searched first; how close their k-th best row is decides which others are opened.
+    """
+    table = _opened(spark, path)
+    rows, probes = _rows(table, True), _probes(table, nprobe)
+    if probes is None:
+        return scenes_at(rows, nearest_places(rows, query, k), bucket)
+    near = nearest(_centroids(table).select("cell", "centre"), query, probes, vec_col="centre", order=("cell",))
+    first = [NO_CELL, *sorted(r.cell for r in near.select("cell").collect())]
+    found = nearest_places(rows.filter(F.col("cell").isin(first)), query, k)
+    close = found[-1]["_close"] if len(found) == k else -math.inf
+    more = [r.cell for r in ivf_reaching(table, query, close).filter(~F.col("cell").isin(first)).select("cell").collect()]
+    if more:
+        found += nearest_places(rows.filter(F.col("cell").isin(more)), query, k)
+        # NULL comes first, as in Spark.
+        found.sort(key=lambda r: (-r["_close"], *((r[c] is not None, r[c] or "") for c in SCENE_ORDER)))
+    return scenes_at(rows.filter(F.col("cell").isin(first + more)), found[:k], bucket)
 
 
 def ivf_prompt_search(
     spark: SparkSession,
-    by_video: str,
-    by_text: str,
+    by_video: str | Clustered,
+    by_text: str | Clustered,
     query: Sequence[float],
     branch_k: int = PROMPT_BRANCH_RESULTS,
     k: int = PROMPT_RESULTS,
@@ -242,9 +480,19 @@ def ivf_prompt_search(
     return prompt_search(video_rows, query, branch_k, k, by_text=text_rows)
 
 
+def _asked(table: Clustered, queries: DataFrame, probes: int, query_id: str, query_vec: str, query_cut: str | None = None) -> DataFrame:
+    """The queries, stored, with the ``cells`` that each looks into: those of its nearest centroids."""
+    kept = written(queries.select(query_id, query_vec, *([query_cut] if query_cut else [])), "queries")
+    near = knn_join(
+        _centroids(table).select("cell", "centre"), kept, probes, base_col="centre", query_id=query_id, query_vec=query_vec, order=("cell",)
+    )
+    cells = near.groupBy(query_id).agg(F.collect_list("cell").alias("cells"))  # ``probes`` numbers
+    return written(kept.join(cells, query_id, "left"), "queries")
+
+
 def ivf_search_batch(
     spark: SparkSession,
-    path: str,
+    path: str | Clustered,
     queries: DataFrame,
     k: int = SCENE_RESULTS,
     nprobe: int | None = None,
@@ -254,26 +502,115 @@ def ivf_search_batch(
     key: list[str] | None = None,
 ) -> DataFrame:
     """Approximate nearest-neighbour join: each row is scored for the queries that probe its cell."""
-    about = _about(spark, path)
-    centroids, probes = _centroids(about, path), nprobe or about.nprobe
-
-    def probe(block: QueryBlock) -> QueryBlock:
-        return block._replace(probed=_probed(centroids, block.vectors, probes))
-
-    rows = _rows(spark, path, about).drop("norm")
-    rows = with_place(rows) if key == ROW_PLACE else rows
-    return knn_join(
-        rows,
-        queries,
-        k,
-        base_col=about.vec_col,
-        query_id=query_id,
-        query_vec=query_vec,
-        order=order,
-        key=key,
-        cell_col="cell",
-        probe=probe,
-    )
+    table = _opened(spark, path)
+    rows = _rows(table, key == ROW_PLACE).drop("norm", "toward")
+    common = dict(base_col=table.about.vec_col, query_id=query_id, query_vec=query_vec, order=order, key=key)
+    probes = _probes(table, nprobe)
+    if probes is None:
+        return knn_join(rows.drop("cell"), queries, k, **common)
+    asked = _asked(table, queries, probes, query_id, query_vec)
+    return knn_join(rows, asked, k, cell_col="cell", query_cells="cells", **common)
+
+
+def ivf_search_batch_exact(
+    spark: SparkSession,
+    path: str | Clustered,
+    queries: DataFrame,
+    k: int = SCENE_RESULTS,
+    nprobe: int | None = None,
+    query_id: str = "query_id",
+    query_vec: str = "query_embedding",
+    order: tuple[str, ...] = SCENE_ORDER,
+    key: list[str] | None = None,
+    columns: list[str] | None = None,
+    query_cut: str | None = None,
+    closeness: bool = False,
+) -> DataFrame:
+    """The exact nearest-neighbour join: a first search of the nearest cells, and a second of those that may hold more.
+
+    The second search opens for each query the cells whose bound reaches its k-th best row of the first. ``columns``
+    are those of a row to return, all unless given. ``query_cut`` and ``closeness`` are as in ``knn_join``.
+    """
+    table = _opened(spark, path)
+    rows = _rows(table, key == ROW_PLACE).drop("norm", "toward")
+    rows = rows if columns is None else rows.select(*columns, table.about.vec_col, "cell")
+    common = dict(base_col=table.about.vec_col, query_id=query_id, query_vec=query_vec, order=order, key=key, query_cut=query_cut)
+    probes = _probes(table, nprobe)
+    if probes is None:
+        return knn_join(rows.drop("cell"), queries, k, closeness=closeness, **common)
+    asked = _asked(table, queries, probes, query_id, query_vec, query_cut)
+    first = written(knn_join(rows, asked, k, cell_col="cell", query_cells="cells", closeness=True, **common), "winners")
+    kth = first.filter(F.col("rank") == k).select(F.col(query_id).alias("_id"), F.col("_close").alias("_kth"))
+    cut = F.greatest("_kth", F.lit(None).cast("double") if query_cut is None else query_cut)
+    known = asked.join(kth, asked[query_id].eqNullSafe(kth["_id"]), "left").select(query_id, query_vec, "cells", cut.alias("cut"))
+    open_cells = written(_reaching_cells(table, known, query_id, query_vec), "queries")
+    again = common | {"query_cut": "cut"}
+    more = knn_join(rows.filter(F.col("cell") >= 0), open_cells, k, cell_col="cell", query_cells="cells", closeness=True, **again)
+    best = Window.partitionBy(query_id).orderBy(F.desc("_close"), *order)
+    both = first.unionByName(more.select(*first.columns)).withColumn("rank", F.row_number().over(best).cast("bigint"))
+    found = both.filter(F.col("rank") <= k)
+    return found if closeness else found.drop("_close")
+
+
+def ivf_prompt_search_batch(
+    spark: SparkSession,
+    by_video: str | Clustered,
+    by_text: str | Clustered,
+    queries: DataFrame,
+    branch_k: int = PROMPT_BRANCH_RESULTS,
+    k: int = PROMPT_RESULTS,
+    query_id: str = "query_id",
+    query_vec: str = "query_embedding",
+) -> DataFrame:
+    """``prompt_search_batch``, exact, on two clustered tables of the prompts, one per vector column.
+
+    What the k-th best prompt by video vector reaches is what a text vector has to reach, so the second table is
+    opened only where that is possible.
+    """
+    kept = written(queries.select(query_id, query_vec), "queries")
+    common = dict(query_id=query_id, query_vec=query_vec, order=("id",), columns=PROMPT_COLUMNS, closeness=True)
+    videos = written(ivf_search_batch_exact(spark, by_video, kept, branch_k, **common), "winners")
+    reached = videos.filter(F.col("rank") == k).select(F.col(query_id).alias("_id"), F.col("_close").alias("cut"))
+    known = kept.join(reached, kept[query_id].eqNullSafe(reached["_id"]), "left").drop("_id")
+    texts = ivf_search_batch_exact(spark, by_text, known, branch_k, query_cut="cut", **common)
+    return best_prompts(videos.unionByName(texts.select(*videos.columns)), k, query_id)
+
+
+def _reaching_cells(table: Clustered, known: DataFrame, query_id: str, query_vec: str) -> DataFrame:
+    """The queries with their ``cut`` and, as ``cells``, those that may hold a row as close as that and were not among ``cells``.
+
+    Blocks of queries and chunks of centroids meet in tasks; neither passes the driver.
+    """
+    dims, id_field = table.about.dims, known.schema[query_id]
+    cells = ivf_reach(table).join(_centroids(table), "cell").select("cell", "toward", "centre")
+    asked = known.select(F.col(query_id).alias("id"), F.col(query_vec).cast("array<double>").alias("v"), "cut", "cells").filter(usable(F.col("v"), dims))
+    n_blocks = int(max(1, -(-asked.count() * dims * 8 // QUERY_BLOCK_BYTES)))
+    schema = T.StructType([T.StructField("id", id_field.dataType), T.StructField("found", T.ArrayType(T.IntegerType()))])
+    nothing = table.spark.createDataFrame([], schema).toArrow()
+
+    def task(some: pa.Table, block: pa.Table) -> pa.Table:
+        if not some.num_rows or not block.num_rows:
+            return nothing
+        vectors = levels.unit(levels.rows_of(block.column("v").combine_chunks(), dims))
+        centres = levels.rows_of(some.column("centre").combine_chunks(), dims)
+        numbers, wide = some.column("cell").to_numpy(), np.arccos(np.clip(some.column("toward").to_numpy(), -1, 1))
+        found, cuts = [], block.column("cut").to_numpy(zero_copy_only=False).astype(np.float64)
+        cuts = np.nan_to_num(cuts, nan=-np.inf)
+        for at in range(0, len(vectors), 256):
+            part = vectors[at : at + 256]
+            apart = np.arccos(np.clip(part @ centres.T, -1, 1)) - wide - _ANGLE_SLACK
+            bound = np.where(apart <= 0, 1.0, np.cos(np.maximum(apart, 0)))
+            # A query without a direction is as close to any row as to any other.
+            bound[~part.any(axis=1)] = 0.0
+            near = bound >= cuts[at : at + 256, None]
+            for i in range(len(part)):
+                found.append(np.setdiff1d(numbers[near[i]], block.column("cells")[at + i].as_py() or []).astype(np.int32))
+        return pa.table({"id": block.column("id"), "found": pa.array(found, pa.list_(pa.int32()))})
+
+    met = deal(cells, chunks_of(table.about.n_cells, dims), asked, n_blocks).applyInArrow(task, schema)
+    lists = met.groupBy(F.col("id").alias("_id")).agg(F.flatten(F.collect_list("found")).alias("found"))  # at most all cells
+    joined = known.drop("cells").join(lists, known[query_id].eqNullSafe(lists["_id"]), "left")
+    return joined.select(query_id, query_vec, "cut", F.col("found").alias("cells")).filter(F.size("cells") > 0)
 
 
 def ivf_recall(exact: DataFrame, approximate: DataFrame, key: list[str], query_id: str = "query_id") -> DataFrame:

@@ -19,18 +19,19 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps as GroupedPair
 
 from clipatlas.functions.vectors import usable
-from clipatlas.operators.blocks import QueryBlock, TaskTopK, row_blocks, to_matrix
-from clipatlas.workdir import file_system, work_folder
+from clipatlas.operators.blocks import QueryBlock, TaskTopK, probed_pairs, row_blocks, to_matrix
+from clipatlas.workdir import work_folder
 
 SCENE_ORDER = ("video_id", "timestamp_start", "title")
 QUERY_BLOCK_BYTES = 64 << 20
 _RANK_SLOTS = 64
 # What a found row is taken to need for each of its columns while it waits in a task.
 _COLUMN_BYTES = 64
-# Rows that a task holds while it goes through several query blocks.
-HELD_ROW_BYTES = 256 << 20
+# Vectors of a chunk of rows that meets one block after the other, each in a task of its own.
+ROW_CHUNK_BYTES = 64 << 20
 # With more cores than this, some rows are searched first, which bounds what the many tasks emit.
 BOUND_FROM_CORES, BOUND_ROWS = 256, 50_000
 
@@ -72,9 +73,35 @@ def _emitted(top: TaskTopK) -> Iterator[pa.RecordBatch]:
         yield from result.to_batches(max_chunksize=10_000)
 
 
-def _score_stored(
+def _block_of(queries: pa.Table, dims: int) -> QueryBlock:
+    """Queries ``id, v, cut`` and, for a clustered table, ``cells``, without those whose vector has NULL numbers."""
+    vectors, whole = to_matrix(queries.column("v").combine_chunks(), dims)
+    if not whole.all():
+        queries, vectors = queries.filter(pa.array(whole)), vectors[whole]
+    probed = probed_pairs(queries.column("cells").combine_chunks()) if "cells" in queries.column_names else None
+    return QueryBlock(queries.column("id").combine_chunks(), vectors, probed, queries.column("cut").to_numpy().copy())
+
+
+def deal(rows: DataFrame, n_chunks: int, queries: DataFrame, n_blocks: int, query_id: str = "id") -> GroupedPair:
+    """Chunks of rows and blocks of queries by a shuffle, so that each pair of them is one group of a task.
+
+    Rows are dealt by their place in the input, so that equal rows spread; queries by their id.
+    """
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_chunks)).cast("int")
+    block = F.pmod(F.xxhash64(query_id), F.lit(n_blocks)).cast("int")
+    blocks, chunks = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (n_blocks, n_chunks))
+    dealt = rows.withColumn("_chunk", chunk).withColumn("_block", blocks)
+    asked = queries.withColumn("_block", block).withColumn("_chunk", chunks)
+    return dealt.groupBy("_chunk", "_block").cogroup(asked.groupBy("_chunk", "_block"))
+
+
+def chunks_of(n_rows: int, dims: int) -> int:
+    return int(max(1, -(-n_rows * dims * 8 // ROW_CHUNK_BYTES)))
+
+
+def _score_dealt(
     base: DataFrame,
-    folder: str,
+    queries: DataFrame,
     n_blocks: int,
     dims: int,
     k: int,
@@ -83,46 +110,22 @@ def _score_stored(
     order: list[str],
     id_field: T.StructField,
     cell_col: str | None,
-    probe,
 ) -> DataFrame:
-    """As ``_score`` for many blocks, which the tasks read from the shared folder, one after the other.
-
-    One scan of the table serves all blocks. A task holds rows of bounded size and one block at a time.
-    """
-
-    def stored_block(i: int) -> QueryBlock | None:
-        from pyarrow import fs, parquet
-
-        system, path = file_system(f"{folder}/block={i}")
-        if system.get_file_info(path).type == fs.FileType.NotFound:
-            return None
-        table = parquet.read_table(path, filesystem=system, partitioning=None, columns=["id", "v", "cut"])
-        vectors, whole = to_matrix(table.column("v").combine_chunks(), dims)
-        ids, cuts = table.column("id").combine_chunks(), table.column("cut").to_numpy()
-        block = QueryBlock(ids.filter(pa.array(whole)), vectors[whole], None, cuts[whole].copy())
-        return block if probe is None else probe(block)
-
-    def search(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        for i in range(n_blocks):
-            block = stored_block(i)
-            if block is not None and len(block.vectors):
-                top = TaskTopK(block, k, metric, vec_col, order, cell_col)
-                for table in held:
-                    top.add(table)
-                yield from _emitted(top)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for table in row_blocks(batches, vec_col, dims):
-            held.append(table)
-            size += table.nbytes
-            if size >= HELD_ROW_BYTES:
-                yield from search(held)
-                held, size = [], 0
-        if held:
-            yield from search(held)
+    """As ``_score`` for many blocks. A task holds one chunk of rows and one block of queries."""
+    schema = _task_schema(base, {vec_col, cell_col}, id_field)
+    rows = base.filter(usable(F.col(vec_col), dims))
+    names, nothing = schema.fieldNames(), base.sparkSession.createDataFrame([], schema).toArrow()
+
+    def task(some: pa.Table, block: pa.Table) -> pa.Table:
+        if not some.num_rows or not block.num_rows:
+            return nothing
+        top = TaskTopK(_block_of(block, dims), k, metric, vec_col, order, cell_col)
+        for table in row_blocks(iter(some.drop_columns(["_chunk", "_block"]).to_batches(max_chunksize=10_000)), vec_col, dims):
+            top.add(table)
+        found = top.result()
+        return nothing if found is None else found.select(names)
 
-    return base.filter(usable(F.col(vec_col), dims)).mapInArrow(task, _task_schema(base, {vec_col, cell_col}, id_field))
+    return deal(rows, chunks_of(rows.count(), dims), queries, n_blocks).applyInArrow(task, schema)
 
 
 def _rank(scored: DataFrame, k: int, order: list[str]) -> DataFrame:
@@ -174,9 +177,9 @@ def _check_metric(metric: str) -> None:
         raise ValueError(f"unknown metric {metric!r}")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a stored table: computed once, and of a size Spark knows before it plans a join."""
-    path = work_folder(df.sparkSession, "winners")
+    path = work_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -193,19 +196,24 @@ def _winners(
     travel: list[str],
     block_bytes: int,
     cell_col: str | None,
-    probe,
+    query_cells: str | None,
+    query_cut: str | None = None,
     bounded: bool = False,
 ) -> DataFrame:
     """Ranked rows ``_query, rank, _close`` and the travelling columns. ``bounded``: they are themselves a bound."""
     id_field = queries.schema[query_id]
     vec = F.col(query_vec).cast("array<double>")
     # Kept while it is read, since the vectors may come from a model.
-    kept = queries.select(F.col(query_id).alias("id"), vec.alias("v")).persist()
+    probing = [] if query_cells is None else [F.coalesce(query_cells, F.array().cast("array<int>")).alias("cells")]
+    lowest = F.lit(float("-inf"))
+    cut = lowest if query_cut is None else F.coalesce(query_cut, lowest)
+    kept = queries.select(F.col(query_id).alias("id"), vec.alias("v"), cut.alias("cut"), *probing).persist()
     try:
         usable_queries = kept.filter(usable(F.col("v")))
         facts = usable_queries.agg(
             F.count("*").alias("n"), F.countDistinct("id").alias("ids"),
             F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("dims"),
+            (F.sum(F.size("cells")) if probing else F.lit(0)).alias("pairs"),
         ).first()
         if not facts.n:
             return narrow.select(*travel).limit(0).select(
@@ -217,33 +225,27 @@ def _winners(
         if facts.ids != facts.n:
             raise ValueError("query ids are not unique")
 
-        cuts = usable_queries.withColumn("cut", F.lit(float("-inf")))
+        cuts = usable_queries
         if not bounded and narrow.sparkSession.sparkContext.defaultParallelism > BOUND_FROM_CORES:
             some = _winners(
-                narrow.limit(BOUND_ROWS), kept, k, metric, base_col, "id", "v", order, travel, block_bytes, cell_col, probe, True
+                narrow.limit(BOUND_ROWS), kept, k, metric, base_col, "id", "v", order, travel, block_bytes, cell_col, query_cells and "cells", None, True
             )
             least = some.filter(F.col("rank") == k).select(F.col("_query").alias("id"), F.col("_close").alias("least"))
-            cuts = usable_queries.join(least, "id", "left").select("id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("cut"))
+            cuts = usable_queries.join(least, "id", "left").withColumn("cut", F.greatest("cut", F.coalesce("least", lowest))).drop("least")
 
-        size = facts.n * (facts.dims * 8 + k * _COLUMN_BYTES * len(travel))
+        size = facts.n * (facts.dims * 8 + k * _COLUMN_BYTES * len(travel)) + 4 * facts.pairs
         if size <= block_bytes:
-            table = cuts.toArrow()  # at most block_bytes
-            vectors, whole = to_matrix(table.column("v").combine_chunks(), facts.dims)
-            ids, cut = table.column("id").combine_chunks(), table.column("cut").to_numpy()
-            block = QueryBlock(ids.filter(pa.array(whole)), vectors[whole], None, cut[whole].copy())
+            block = _block_of(cuts.toArrow(), facts.dims)  # at most block_bytes
             rows = narrow
-            if probe is not None:
-                block = probe(block)
-                wanted = np.flatnonzero(block.probed.any(axis=0)).tolist()
+            if probing:
                 # Reads the folders of the cells some query looks into, and the rows outside the cells.
-                rows = narrow.filter(F.col(cell_col).isin(wanted) | (F.col(cell_col) < 0))
+                rows = narrow.filter(F.col(cell_col).isin(np.unique(block.probed[0]).tolist()) | (F.col(cell_col) < 0))
             scored = _score(rows, block, k, metric, base_col, order, id_field, cell_col)
         else:
-            n_blocks = -(-2 * size // block_bytes)  # half full on average, so that an uneven hash does not pass the limit
-            folder = work_folder(narrow.sparkSession, "queries")
-            dealt = cuts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-            dealt.repartition("block").write.partitionBy("block").parquet(folder)
-            scored = _score_stored(narrow, folder, n_blocks, facts.dims, k, metric, base_col, order, id_field, cell_col, probe)
+            n_blocks = int(-(-2 * size // block_bytes))  # half full on average, so that an uneven hash does not pass the limit
+            # Stored, since the vectors may come from a model and ``kept`` goes.
+            asked = written(cuts, "queries")
+            scored = _score_dealt(narrow, asked, n_blocks, facts.dims, k, metric, base_col, order, id_field, cell_col)
     finally:
         kept.unpersist()
     return _rank(scored, k, order)
@@ -262,7 +264,8 @@ def knn_join(
     key: list[str] | None = None,
     block_bytes: int = QUERY_BLOCK_BYTES,
     cell_col: str | None = None,
-    probe=None,
+    query_cells: str | None = None,
+    query_cut: str | None = None,
     closeness: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``base`` for every query: ``query_id, rank, distance`` and the row.
@@ -271,9 +274,10 @@ def knn_join(
     and ``order`` travel with the vectors; the winners are written to the work folder and the other columns
     joined to them, by broadcast if the written table is small, from the cells of the winners if there are
     cells. Queries up to ``block_bytes``, with what their results need in a task, are sent to all tasks; more
-    are dealt into blocks in the work folder, which the tasks read, so there is one scan of ``base`` for any
-    number of queries and none of them pass the driver. ``probe`` turns a block into one restricted to cells
-    (see ``ivf``). ``closeness`` keeps ``_close``, the number that the rows are ranked by.
+    are dealt into blocks, each of which meets each chunk of ``base`` in one task of a shuffle, so none of them
+    pass the driver. ``query_cells`` names a column of ``queries`` with the cells that a query looks into, among
+    those in ``cell_col`` (see ``ivf``), and ``query_cut`` one with a closeness below which nothing is
+    wanted. ``closeness`` keeps ``_close``, the number that the rows are ranked by.
     """
     _check_metric(metric)
     hidden = [c for c in (base_col, cell_col) if c]
@@ -285,14 +289,14 @@ def knn_join(
     narrow = base.select(*travel, *placed, vectors, *([cell_col] if cell_col else []))
     travelling = [*travel, *(["_cell"] if placed else [])]
     winners = _winners(
-        narrow, queries, k, metric, base_col, query_id, query_vec, list(order), travelling, block_bytes, cell_col, probe
+        narrow, queries, k, metric, base_col, query_id, query_vec, list(order), travelling, block_bytes, cell_col, query_cells, query_cut
     )
 
     shown = ["_close"] if closeness else []
     hits = winners.select(F.col("_query").alias(query_id), "rank", distance_of("_close", metric).alias("distance"), *shown, *travelling)
     if not others:
         return hits
-    hits = _written(hits)
+    hits = written(hits, "winners")
     rows = base
     if placed:
         # At most as many numbers as there are cells; the other folders are not read again.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipatlas.functions.labels import tags_split
@@ -20,7 +20,7 @@ PROMPT_RESULTS = 3
 PROMPT_BRANCH_RESULTS = 3
 
 PROMPT_VECTORS = ("video_embedding", "prompt_embedding")
-_PROMPT_COLUMNS = ["id", "gcs_video_path", "prompt_text", "created_at"]
+PROMPT_COLUMNS = ["id", "gcs_video_path", "prompt_text", "created_at"]
 
 
 def scene_results(hits: DataFrame, bucket: str | None = None, lead: Sequence[str] = ()) -> DataFrame:
@@ -73,9 +73,18 @@ def scene_search_places(
     The first reads the vectors and the tie-break columns only and finds where the winners lie. The
     second reads the text columns of the at most ``k`` files that hold a winner.
     """
+    return scenes_at(stored, nearest_places(stored, query, k, metric), bucket)
+
+
+def nearest_places(stored: DataFrame, query: Sequence[float], k: int, metric: str = "cosine") -> list[Row]:
+    """Where the ``k`` nearest of stored scenes lie, best first, with what ranks them."""
     narrow = stored.select(*ROW_PLACE, *SCENE_ORDER, "embedding")
-    found = nearest(narrow, query, k, metric).select(*ROW_PLACE, "distance").collect()
-    places = [(*place, rank) for rank, place in enumerate(found)]
+    return nearest(narrow, query, k, metric, closeness=True).collect()
+
+
+def scenes_at(stored: DataFrame, found: Sequence[Row], bucket: str | None = None) -> DataFrame:
+    """The scenes at the places that ``nearest_places`` gives, in their order."""
+    places = [(*(place[c] for c in (*ROW_PLACE, "distance")), rank) for rank, place in enumerate(found)]
     files = sorted({place[0] for place in places})
     winners = stored.sparkSession.createDataFrame(places, "_file string, _row bigint, distance double, _rank int")
     rows = stored.filter(F.col("_file").isin(files)).drop("embedding")
@@ -106,7 +115,7 @@ def prompt_matches(prompts: DataFrame, query: Sequence[float]) -> DataFrame:
     branches = [
         F.struct(F.lit(c).alias("matched_on"), _cosine_or_null(c, query).alias("distance")) for c in PROMPT_VECTORS
     ]
-    scored = prompts.select(*_PROMPT_COLUMNS, F.inline(F.array(*branches)))
+    scored = prompts.select(*PROMPT_COLUMNS, F.inline(F.array(*branches)))
     return scored.filter(F.col("distance").isNotNull())
 
 
@@ -126,9 +135,9 @@ def search_candidates(
 
 def _candidates(prompts: DataFrame, query: Sequence[float], branch_k: int, by_text: DataFrame | None) -> DataFrame:
     def branch(rows: DataFrame, vec_col: str) -> DataFrame:
-        narrow = rows.select(*_PROMPT_COLUMNS, vec_col)
+        narrow = rows.select(*PROMPT_COLUMNS, vec_col)
         hits = nearest(narrow, query, branch_k, vec_col=vec_col, order=("id",), closeness=True)
-        return hits.select(*_PROMPT_COLUMNS, F.lit(vec_col).alias("matched_on"), "distance", "_close")
+        return hits.select(*PROMPT_COLUMNS, F.lit(vec_col).alias("matched_on"), "distance", "_close")
 
     by_video, by_prompt = PROMPT_VECTORS
     return branch(prompts, by_video).unionByName(branch(prompts if by_text is None else by_text, by_prompt))
@@ -146,7 +155,7 @@ def best_match_per_id(matches: DataFrame) -> DataFrame:
 
 def _closest_per(matches: DataFrame, *by: str) -> DataFrame:
     """One row per id, and per column of ``by``, with its largest closeness, which ranks it."""
-    columns = [F.any_value(c).alias(c) for c in _PROMPT_COLUMNS if c != "id"]
+    columns = [F.any_value(c).alias(c) for c in PROMPT_COLUMNS if c != "id"]
     return matches.groupBy(*by, "id").agg(*columns, F.max("_close").alias("_close"))
 
 
@@ -177,7 +186,7 @@ def prompt_search_single_pass(prompts: DataFrame, query: Sequence[float], k: int
     ``2 * k`` rows hold the best ``k`` ids.
     """
     both = F.explode(F.array(*[F.col(c).cast("array<double>") for c in PROMPT_VECTORS]))
-    rows = prompts.select(*_PROMPT_COLUMNS, both.alias("vector"))
+    rows = prompts.select(*PROMPT_COLUMNS, both.alias("vector"))
     hits = nearest(rows, query, 2 * k, vec_col="vector", order=("id",), closeness=True)
     return _prompt_results(_closest_per(hits), k)
 
@@ -193,12 +202,17 @@ def prompt_search_batch(
     """``prompt_search`` for a table of queries, in one job per vector column."""
     found = [
         knn_join(
-            prompts.select(*_PROMPT_COLUMNS, c), queries, branch_k, base_col=c,
+            prompts.select(*PROMPT_COLUMNS, c), queries, branch_k, base_col=c,
             query_id=query_id, query_vec=query_vec, order=("id",), closeness=True,
         )
         for c in PROMPT_VECTORS
     ]
-    best = _closest_per(found[0].unionByName(found[1]), query_id)
+    return best_prompts(found[0].unionByName(found[1]), k, query_id)
+
+
+def best_prompts(matches: DataFrame, k: int, query_id: str) -> DataFrame:
+    """From matches by either vector the ``k`` best prompts of each query."""
+    best = _closest_per(matches, query_id)
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("_close"), "id"))
     top = best.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k)
     top = top.withColumn("best_distance", distance_of("_close")).drop("_close")

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clipatlas.functions.vectors import decode_embedding
 from clipatlas.schemas import PROMPTS, SCENE_REQUIRED, SCENE_TEXT_COLUMNS, SCENES
@@ -41,21 +39,6 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROMPTS).parquet(path)
 
 
-def stored_or_empty(spark: SparkSession, path: str, schema: T.StructType, placed: bool = False) -> DataFrame:
-    """The rows of all files below a folder, or none when it does not exist. The folder is listed once.
-
-    ``placed`` adds the ``ROW_PLACE`` columns.
-    """
-    try:
-        stored = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-        return with_place(stored) if placed else stored
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        empty = spark.createDataFrame([], schema)
-        return empty.withColumns({"_file": F.lit(""), "_row": F.lit(0).cast("bigint")}) if placed else empty
-
-
 def split_required(rows: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows that have every required column, and the others. Parquet does not enforce this itself."""
     missing = F.exists(F.array(*[F.col(c).isNull() for c in required]), lambda absent: absent)

@@ -82,12 +82,12 @@ def test_matches_brute_force(data, metric, k):
 def test_small_blocks_give_the_same(data, monkeypatch):
     rows, queries, base, vectors = data
     want = brute(rows, queries, 5, "cosine")
-    # Queries in many blocks that the tasks read, with one scan for all of them.
-    monkeypatch.setattr(knn, "HELD_ROW_BYTES", 8000)
+    # Queries in many blocks and rows in many chunks, which a shuffle brings together.
+    monkeypatch.setattr(knn, "ROW_CHUNK_BYTES", 8000)
     several = knn_join(base, vectors, 5, block_bytes=12_000)
     assert listed(several) == want
     plan = several._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan
     # Rows, scores and pairs in small pieces within a task.
     for name, value in (("ROW_BLOCK_BYTES", 480), ("_SCORE_BLOCK", 64), ("_PAIR_BLOCK_BYTES", 200)):
         monkeypatch.setattr(blocks, name, value)
@@ -110,7 +110,8 @@ def test_one_scan_for_sixteen_blocks(spark, data, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/base")
     found = knn_join(stored, vectors, 5, block_bytes=size // 8 + 1)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
+    # One scan of the rows and one of the stored queries, and no files read by the tasks themselves.
+    assert plan.count("FileScan") == 2 and plan.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow" not in plan
     assert listed(found) == brute(rows, queries, 5, "cosine")
 
 

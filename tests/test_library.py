@@ -2,10 +2,14 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from clipatlas import library as library_module
 from clipatlas.library import Library
+from clipatlas.operators import ivf
 from clipatlas.schemas import RESPONSE_SCENE_FIELDS
+from clipatlas.streaming import ingest
 from clipatlas.workdir import work_folder
 
 
@@ -85,6 +89,81 @@ def test_library(spark):
     assert copy.scenes.count() == 5 and copy.rejects.count() == 2 and copy.prompts.count() == 2
 
 
+def documents(spark, *rows):
+    return spark.createDataFrame([(v, "gcs", response(d)) for v, d in rows], "video_id string, source string, response string")
+
+
+def titles(library, spark, text="scene", **more):
+    found = library.search(spark.createDataFrame([(1, text)], "query_id int, query string"), k=50, **more)
+    return sorted(r.title for r in found.collect())
+
+
+def test_batches_stored_while_an_index_is_built(spark, monkeypatch):
+    library = Library(spark, work_folder(spark, "library"))
+    library.add_responses(documents(spark, ("a", "scene one"), ("b", "scene two")), batch="first")
+    build = ivf.ivf_write_build
+
+    def slow_build(*args, **more):
+        built = build(*args, **more)
+        library.add_responses(documents(spark, ("c", "scene three")), batch="meanwhile")
+        library.add_responses(documents(spark, ("d", "scene four")), batch="first")
+        return built
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ivf, "ivf_write_build", slow_build)
+        # The second pass over what came meanwhile is left out first.
+        patch.setattr(Library, "_extend", lambda *_: None)
+        library.build_index(nlist=2)
+    # Stored meanwhile, and so in no cell; replaced meanwhile, and so in a cell but not to be found.
+    want = ["scene four", "scene three"]
+    for more in ({}, {"nprobe": 5}, {"metric": "euclidean"}):
+        assert titles(library, spark, **more) == want
+    assert sorted(r.title for r in library.find("scene", k=9).collect()) == want
+    library.extend_indexes()
+    table = library._clustered(library_module._SCENES)
+    assert table.loose is None and len(table.rows) == 3
+    assert titles(library, spark) == want == titles(library, spark, nprobe=5)
+    library.build_index(nlist=2)
+    table = library._clustered(library_module._SCENES)
+    assert table.loose is None and not table.stale and titles(library, spark) == want
+
+
+def test_a_failure_between_the_writes_shows_nothing(spark, monkeypatch):
+    library = Library(spark, work_folder(spark, "library"))
+    library.add_responses(documents(spark, ("a", "scene one"), (None, "scene of nobody")), batch="x")
+    library.build_index(nlist=2)
+    for place in ("scene_writer", "into_cells", "commit"):
+        with monkeypatch.context() as patch:
+            patch.setattr(ingest, place, lambda *_, **__: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                library.add_responses(documents(spark, ("b", "scene two"), (None, "another of nobody")), batch="x")
+        assert [r.title for r in library.scenes.collect()] == titles(library, spark) == ["scene one"]
+        assert library.rejects.count() == 1
+    library.add_responses(documents(spark, ("b", "scene two")), batch="x")
+    assert [r.title for r in library.scenes.collect()] == titles(library, spark) == ["scene two"] and library.rejects.count() == 0
+
+
+def test_prompt_indexes(spark):
+    library = Library(spark, work_folder(spark, "library"))
+    uploads = [spark.createDataFrame([(f"{c} {n}", f"{c}{n}.mp4") for n in names], "prompt_text string, filename string").withColumn(
+        "video_embedding", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * F.length("prompt_text") + F.ascii("prompt_text")))
+    ) for c, names in (("red", ["car", "dog", "house"]), ("green", ["tree", "car", "sea"]))]
+    queries = spark.createDataFrame([(1, "red car"), (2, "sea"), (3, "the dog")], "query_id int, query string")
+    found = lambda: sorted((r.query_id, r["rank"], r.video_url, round(r.best_distance, 9)) for r in library.prompt_search(queries).collect())
+    library.add_prompts(uploads[0], "b", batch="one")
+    library.build_prompt_index(nlist=2)
+    library.add_prompts(uploads[1], "b", batch="two")
+    library.add_prompts(uploads[1], "b", batch="two")
+    assert library.prompts.count() == 6
+    got = found()
+    plain = Library(spark, work_folder(spark, "library"))
+    plain.add_prompts(uploads[0].unionByName(uploads[1]), "b")
+    want = sorted((r.query_id, r["rank"], r.video_url, round(r.best_distance, 9)) for r in plain.prompt_search(queries).collect())
+    assert got == want
+    library.add_prompts(uploads[0].limit(1), "b", batch="two")
+    assert library.prompts.count() == 4 and {u for _, _, u, _ in found()} <= {f"https://storage.mtls.cloud.google.com/b/genAI_videos/red{n}.mp4" for n in ("car", "dog", "house")}
+
+
 def test_asset_skips_files_of_other_videos(spark):
     library = Library(spark, work_folder(spark, "library"))
     for i in range(6):

@@ -5,7 +5,7 @@ from clipatlas.operators import stats
 from clipatlas.operators.catalog import asset_detail, first_scene, list_assets, scene_notes, with_display_defaults
 from clipatlas.plans.relations import relation
 from clipatlas.schemas import PROMPTS, SCENE_TEXT_COLUMNS, SCENES
-from clipatlas.sources.tables import stored_or_empty
+from clipatlas.sources.commits import Snapshot
 
 LOOSE = ", ".join(f"{c} string" for c in SCENE_TEXT_COLUMNS)
 
@@ -17,7 +17,7 @@ def make(spark, *rows):
 
 def test_nothing_gives_zeros(spark):
     nothing = spark.createDataFrame([], SCENES)
-    document = stats.stats_document(stats.stats(nothing, stored_or_empty(spark, "/no/such/table", PROMPTS))).first()
+    document = stats.stats_document(stats.stats(nothing, Snapshot(spark, "/no/such/library").read("prompts", PROMPTS, []))).first()
     assert document.asDict() == {
         "total_assets": 0, "total_scenes": 0, "average_scenes_per_asset": 0.0,
         "source_breakdown": {}, "total_duration_seconds": 0, "avg_scene_duration_seconds": 0, "top_tags": {},
