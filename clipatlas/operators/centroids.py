@@ -112,23 +112,32 @@ class CoarseCentroids:
 
         return coarse(vector)
 
+    def above(self, cells: list[int]) -> list[int]:
+        """The coarse centroids of some cells."""
+        return np.unique(np.searchsorted(self.first_cell, [c for c in cells if c >= 0], side="right") - 1).tolist()
+
 
 def load_coarse(spark: SparkSession, folder: str) -> CoarseCentroids:
-    level = spark.read.schema(_COARSE).parquet(f"{folder}/coarse").orderBy("coarse").collect()  # at most SENT_BYTES
+    level = sorted(spark.read.schema(_COARSE).parquet(f"{folder}/coarse").collect())  # at most SENT_BYTES
     return CoarseCentroids(np.array([r.centre for r in level]), np.array([r.first_cell for r in level]))
 
 
-def two_levels(coarse: CoarseCentroids, fine: list[Row]) -> Callable[[Column], Column]:
-    """For few centroids: a function that gives ``cell`` and ``toward`` of a vector, from both levels at once.
+def load_fine(spark: SparkSession, folder: str, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For few centroids: cells, the coarse centroid of each, and the centroids, by cell."""
+    table = spark.read.schema(CENTROIDS).parquet(f"{folder}/centroids").toArrow().sort_by("cell")
+    return table.column("cell").to_numpy(), table.column("coarse").to_numpy(), rows_of(table.column("centre").combine_chunks(), dims)
+
+
+def two_levels(coarse: CoarseCentroids, fine: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Callable[[Column], Column]:
+    """For few centroids: a function that gives ``coarse``, ``cell`` and ``toward`` of a vector, from both levels at once.
 
-    The cell is -1 for a missing vector and for one without a direction.
+    Both numbers are -1 for a missing vector and for one without a direction.
     """
-    centres = np.array([r.centre for r in fine])
-    cells, above = np.array([r.cell for r in fine]), np.array([r.coarse for r in fine])
+    cells, above, centres = fine
     upper = coarse.centres
     begins = np.searchsorted(above, np.arange(len(upper) + 1))
 
-    @F.arrow_udf("cell int, toward double")
+    @F.arrow_udf("coarse int, cell int, toward double")
     def place(vectors: pa.Array) -> pa.Array:
         rows = unit(rows_of(vectors, centres.shape[1]))
         which, _ = nearest_of(rows, upper)
@@ -138,7 +147,7 @@ def two_levels(coarse: CoarseCentroids, fine: list[Row]) -> Callable[[Column], C
             members = np.flatnonzero(which == c)
             best, cosine = nearest_of(rows[members], centres[begins[c] : begins[c + 1]])
             cell[members], toward[members] = cells[begins[c] + best], cosine
-        return pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(toward)], ["cell", "toward"])
+        return pa.StructArray.from_arrays([pa.array(which, pa.int32()), pa.array(cell, pa.int32()), pa.array(toward)], ["coarse", "cell", "toward"])
 
     return place
 
@@ -154,6 +163,34 @@ def place_below(vectors: pa.Array, below: pa.Table, dims: int) -> tuple[np.ndarr
     return np.where(directed, below.column("cell").to_numpy()[best], -1), np.where(directed, cosine, 0.0)
 
 
+def _below(size: int, n: int, nlist: int) -> int:
+    """Fine centroids below a coarse one that ``size`` of ``n`` sampled vectors are nearest to."""
+    return min(FINE_MOST, size, max(1, round(nlist * size / n)))
+
+
+def _fit_at_once(sample: DataFrame, dims: int, nlist: int, n_coarse: int, folder: str, seed: int) -> int:
+    """Both levels as one task's work, for a sample of at most COARSE_BYTES."""
+    spark = sample.sparkSession
+
+    def both(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = unit(np.array(frame["vector"].tolist(), np.float64).reshape(len(frame), dims))
+        upper = fit_centres(rows, n_coarse, seed)
+        which, _ = nearest_of(rows, upper)
+        parts, cell = [], 0
+        for number, c in enumerate(np.unique(which)):
+            members = rows[which == c]
+            centres = fit_centres(members, _below(len(members), len(rows), nlist), seed)
+            parts.append(pd.DataFrame({"cell": np.arange(cell, cell + len(centres)), "coarse": number, "centre": centres.tolist(), "first": [upper[c].tolist()] + [None] * (len(centres) - 1)}))
+            cell += len(centres)
+        return pd.concat(parts)
+
+    fitted = sample.groupBy().applyInPandas(both, "cell int, coarse int, centre array<double>, first array<double>").collect()
+    spark.createDataFrame([r[:3] for r in fitted], CENTROIDS).coalesce(1).write.parquet(f"{folder}/centroids")
+    level = [(r.coarse, r.first, r.cell) for r in fitted if r.first is not None]
+    spark.createDataFrame(level, _COARSE).coalesce(1).write.parquet(f"{folder}/coarse")
+    return len(fitted)
+
+
 def fit(vectors: DataFrame, dims: int, nlist: int, folder: str, seed: int) -> int:
     """Fit about ``nlist`` cells on ``vectors`` (vector) and write both levels as tables to ``folder``; how many cells there are.
 
@@ -167,6 +204,8 @@ def fit(vectors: DataFrame, dims: int, nlist: int, folder: str, seed: int) -> in
         return 0
     n_coarse = int(max(1, min(round(nlist**0.5), SENT_BYTES // (8 * dims), n)))
     share = min(1.0, COARSE_BYTES / (8 * dims * n))
+    if share == 1:
+        return _fit_at_once(sample, dims, nlist, n_coarse, folder, seed)
 
     def coarse_level(rows: pd.DataFrame) -> pd.DataFrame:
         centres = fit_centres(unit(np.array(rows["vector"].tolist(), np.float64).reshape(len(rows), dims)), n_coarse, seed)
@@ -174,13 +213,13 @@ def fit(vectors: DataFrame, dims: int, nlist: int, folder: str, seed: int) -> in
 
     # By the hash of the vector, so that a task that is done again sees the same rows, COARSE_BYTES of them.
     hashed = F.pmod(F.xxhash64("vector", F.lit(seed)), F.lit(1 << 20))
-    some = sample if share == 1 else sample.filter(hashed < max(1, round(share * (1 << 20))))
+    some = sample.filter(hashed < max(1, round(share * (1 << 20))))
     fitted = some.groupBy().applyInPandas(coarse_level, "centre array<double>").collect()
     coarse = CoarseCentroids(np.array([r.centre for r in fitted]), np.zeros(0, np.int64))
     sample.withColumn("coarse", coarse.place(F.col("vector"))).write.parquet(f"{folder}/placed")
     placed = spark.read.schema(f"{_VECTOR}, coarse int").parquet(f"{folder}/placed")
     sizes = {r.coarse: r["count"] for r in placed.groupBy("coarse").count().collect()}  # one row for each coarse centroid
-    fine = np.array([min(FINE_MOST, sizes.get(c, 0), max(1, round(nlist * sizes.get(c, 0) / n))) for c in range(len(fitted))], np.int64)
+    fine = np.array([_below(sizes.get(c, 0), n, nlist) for c in range(len(fitted))], np.int64)
     begins, many = np.append(0, np.cumsum(fine)).tolist(), fine.tolist()
     # Coarse centroids that no vector is nearest to go; the others are numbered anew.
     number = {c: i for i, c in enumerate(sorted(sizes))}

@@ -1,4 +1,4 @@
-"""Clustered vector tables: rows stored by their nearest centroid, searched a few cells at a time.
+"""Clustered vector tables: rows stored by their nearest centroids, searched a few cells at a time.
 
 The centroids are a table (see ``centroids``). Beside its rows a build, and every batch that is added, keeps for each cell
 how many rows it has and the least cosine of any of them to the centroid, which bounds how near a row of the cell
@@ -14,7 +14,7 @@ import json
 import math
 import sys
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from clipatlas.functions.vectors import norm, usable
 from clipatlas.operators import centroids as levels
-from clipatlas.operators.knn import QUERY_BLOCK_BYTES, SCENE_ORDER, chunks_of, deal, knn_join, nearest, written
+from clipatlas.operators.knn import QUERY_BLOCK_BYTES, SCENE_ORDER, chunks_of, deal, knn_join, nearest, nearest_each, written
 from clipatlas.operators.search import (
     PROMPT_BRANCH_RESULTS,
     PROMPT_COLUMNS,
@@ -91,6 +91,11 @@ class Clustered(NamedTuple):
     stale: tuple[str, ...] = ()
 
 
+def _outside() -> dict[str, Column]:
+    """What rows outside the cells have for a place."""
+    return {"toward": F.lit(0.0), "cell": F.lit(NO_CELL), "coarse": F.lit(NO_CELL)}
+
+
 def _directed(length: Column) -> Column:
     # NaN is the largest number to Spark, so it fails the second test.
     return (length > 0) & (length < float("inf"))
@@ -151,7 +156,7 @@ def ivf_write_build(
         share = min(1.0, wanted / facts.n) if training_fraction is None else training_fraction
         directed = rows.filter(usable(vec)).filter(_directed(norm(vec))).select(vec.cast("array<double>").alias("vector"))
         n_cells = levels.fit((directed if share == 1.0 else directed.sample(share, seed)).distinct(), facts.dims, nlist, f"{path}/{version}", seed)
-    stored = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("norm", "toward")], T.StructField("cell", T.IntegerType())])
+    stored = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("norm", "toward")], *[T.StructField(n, T.IntegerType()) for n in ("cell", "coarse")]])
     about = About(vec_col, facts.dims, stored.json(), version, None, n_cells)
     folders = ivf_write(rows, path, about)
     built = Clustered(spark, path, about, [folders["rows"]], [folders["reach"]])
@@ -220,9 +225,11 @@ def _centroids(table: Clustered) -> DataFrame:
 def ivf_write(rows: DataFrame, path: str, about: About) -> dict[str, str]:
     """Assign a cell to every row with a usable vector and write the rows by cell, and the reach of the cells.
 
-    Rows are gathered by cell and the writing tasks evened out by adaptive execution: small cells
-    share a task, and a cell that holds a large part of the table, such as many copies of one
-    vector, is split by where its rows come from. Nothing is visible until the folders are committed.
+    Folders are those of the coarse centroids, and rows are sorted by cell in their files, so that a search reads few
+    folders and, of a file, the pages of its cells; there are no more files than the tasks that write make folders.
+    Rows are gathered by coarse centroid and the writing tasks evened out by adaptive execution: small ones share
+    a task, and one that holds a large part of the table, such as many copies of one vector, is split by
+    where its rows come from. Nothing is visible until the folders are committed.
     """
     spark, home = rows.sparkSession, f"{path}/{about.version}"
     vec, dims = F.col(about.vec_col), about.dims
@@ -230,10 +237,10 @@ def ivf_write(rows: DataFrame, path: str, about: About) -> dict[str, str]:
     if about.n_cells:
         placed = _assigned(kept, path, about)
     else:
-        placed = kept.withColumns({"toward": F.lit(0.0), "cell": F.lit(NO_CELL)})
+        placed = kept.withColumns(_outside())
     folders = {"rows": fresh("rows"), "reach": fresh("reach")}
-    gathered = placed.select(*rows.columns, "norm", "toward", "cell").hint("rebalance", "cell")
-    gathered.write.partitionBy("cell").parquet(f"{home}/{folders['rows']}")
+    gathered = placed.select(*about.schema.fieldNames()).hint("rebalance", "coarse").sortWithinPartitions("coarse", "cell")
+    gathered.write.partitionBy("coarse").parquet(f"{home}/{folders['rows']}")
     read = _read_rows(spark, path, about, [folders["rows"]])
     cells = read.groupBy("cell").agg(F.count("*").alias("n_rows"), F.min("toward").alias("toward"))
     cells.write.parquet(f"{home}/{folders['reach']}")
@@ -245,27 +252,27 @@ def _assigned(kept: DataFrame, path: str, about: About) -> DataFrame:
     spark, dims, home = kept.sparkSession, about.dims, f"{path}/{about.version}"
     vec, directed = F.col(about.vec_col).cast("array<double>"), _directed(F.col("norm"))
     coarse = levels.load_coarse(spark, home)
-    table = spark.read.schema(levels.CENTROIDS).parquet(f"{home}/centroids")
     if about.n_cells * dims * 8 <= SENT_CENTROIDS:
-        place = levels.two_levels(coarse, table.orderBy("cell").collect())(F.when(directed, vec))
+        place = levels.two_levels(coarse, levels.load_fine(spark, home, dims))(F.when(directed, vec))
         placed = kept.withColumn("_place", place)
-        return placed.withColumns({"cell": F.col("_place.cell"), "toward": F.col("_place.toward")}).drop("_place")
-    rows = kept.withColumn("_coarse", coarse.place(F.when(directed, vec)))
-    sizes = {r["_coarse"]: r["count"] for r in rows.groupBy("_coarse").count().collect()}  # one row for each coarse centroid
+        return placed.withColumns({c: F.col(f"_place.{c}") for c in ("coarse", "cell", "toward")}).drop("_place")
+    table = spark.read.schema(levels.CENTROIDS).parquet(f"{home}/centroids")
+    rows = kept.withColumn("coarse", coarse.place(F.when(directed, vec)))
+    sizes = {r["coarse"]: r["count"] for r in rows.groupBy("coarse").count().collect()}  # one row for each coarse centroid
     parts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, chunks_of(n, dims))]) if sizes else F.lit(None).cast("map<int,int>")
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts[F.col("_coarse")]).cast("int")
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts[F.col("coarse")]).cast("int")
     dealt = rows.withColumn("_part", part)
     asked = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(parts[F.col("coarse")], F.lit(1)) - 1)))
-    schema = T.StructType([*kept.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("toward", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("toward", T.DoubleType())])
     vec_col, nothing = about.vec_col, spark.createDataFrame([], schema).toArrow()
 
     def task(some: pa.Table, below: pa.Table) -> pa.Table:
         if not some.num_rows:
             return nothing
         cell, toward = levels.place_below(some.column(vec_col).combine_chunks(), below, dims)
-        return some.drop_columns(["_coarse", "_part"]).append_column("cell", pa.array(cell, pa.int32())).append_column("toward", pa.array(toward))
+        return some.drop_columns(["_part"]).append_column("cell", pa.array(cell, pa.int32())).append_column("toward", pa.array(toward))
 
-    return dealt.groupBy("_coarse", "_part").cogroup(asked.groupBy("coarse", "_part")).applyInArrow(task, schema)
+    return dealt.groupBy("coarse", "_part").cogroup(asked.groupBy("coarse", "_part")).applyInArrow(task, schema)
 
 
 def _read_rows(spark: SparkSession, path: str, about: About, folders: list[str]) -> DataFrame:
@@ -283,8 +290,20 @@ def _rows(table: Clustered, placed: bool = False) -> DataFrame:
     if table.loose is None:
         return rows
     vec = F.col(table.about.vec_col)
-    outside = {"norm": norm(vec), "toward": F.lit(0.0), "cell": F.lit(NO_CELL)}
-    return rows.unionByName(table.loose.filter(usable(vec, table.about.dims)).withColumns(outside).select(*rows.columns))
+    loose = table.loose.filter(usable(vec, table.about.dims)).withColumns({"norm": norm(vec), **_outside()})
+    return rows.unionByName(loose.select(*rows.columns))
+
+
+def _of_cells(table: Clustered) -> Callable[[DataFrame, list[int]], DataFrame]:
+    """Restricts rows to some cells, by their folders first, and to those outside the cells."""
+    if not table.about.n_cells:
+        return lambda rows, cells: rows
+    coarse = levels.load_coarse(table.spark, f"{table.path}/{table.about.version}")
+
+    def restricted(rows: DataFrame, cells: list[int]) -> DataFrame:
+        return rows.filter(F.col("coarse").isin([NO_CELL, *coarse.above(cells)]) & F.col("cell").isin([NO_CELL, *cells]))
+
+    return restricted
 
 
 def _opened(spark: SparkSession, path: str | Clustered) -> Clustered:
@@ -292,7 +311,7 @@ def _opened(spark: SparkSession, path: str | Clustered) -> Clustered:
 
 
 def ivf_rows(spark: SparkSession, path: str | Clustered) -> DataFrame:
-    return _rows(_opened(spark, path)).drop("toward")
+    return _rows(_opened(spark, path)).drop("toward", "coarse")
 
 
 def ivf_reach(table: Clustered) -> DataFrame:
@@ -336,28 +355,34 @@ def _measured_probes(table: Clustered) -> int | None:
     for added in range(2 if len(table.rows) > 1 else 1):
         first = distinct.filter(F.col("added") == added).orderBy("id").limit(_MEASURED)
         asked += first.select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("query_embedding"), "added").collect()
-    queries = table.spark.createDataFrame([r[:2] for r in asked], "query_id long, query_embedding array<double>")
-    found = knn_join(distinct.drop("added"), queries, SCENE_RESULTS + 1, base_col="vector", order=("id",)).filter("id != query_id")
-    hits = found.select("query_id", "in_cell").collect()
+    vectors = np.array([q.query_embedding for q in asked])
+    found = nearest_each(distinct.drop("added"), [q.query_id for q in asked], vectors, SCENE_RESULTS + 1, "vector", ("id",))
+    hits = found.filter("id != query_id").select("query_id", "in_cell").collect()
     if not hits:
         return None
     place = {q.query_id: i for i, q in enumerate(asked)}
-    vectors = levels.unit(np.array([q.query_embedding for q in asked]))
-    own = {r.cell: np.array(r.centre) for r in _centroids(table).filter(F.col("cell").isin(sorted({h.in_cell for h in hits}))).collect()}
+    vectors = levels.unit(vectors)
     # How near the centroid of each hit is to the query, and then how many centroids are nearer.
-    of = np.array([place[h.query_id] for h in hits])
+    small = about.n_cells * about.dims * 8 <= SENT_CENTROIDS
+    table_of = _centroids(table).select("cell", "centre")
+    own_rows = table_of.toArrow() if small else table_of.filter(F.col("cell").isin(sorted({h.in_cell for h in hits}))).toArrow()
+    own = dict(zip(own_rows.column("cell").to_pylist(), levels.rows_of(own_rows.column("centre").combine_chunks(), about.dims), strict=True))
+    of, dims = np.array([place[h.query_id] for h in hits]), about.dims
     near = np.einsum("ij,ij->i", vectors[of], np.array([own[h.in_cell] for h in hits]))
 
     def nearer(batches):
         total = np.zeros(len(of), np.int64)
         for batch in batches:
-            centres = np.array(batch.column("centre").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            centres = levels.rows_of(batch.column("centre"), dims)
             for at in range(0, len(centres), 4096):
                 total += ((vectors @ centres[at : at + 4096].T)[of] > near[:, None] + 1e-12).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(of))), pa.array(total)], ["hit", "n"])
 
-    counts = _centroids(table).select("centre").mapInArrow(nearer, "hit long, n long").groupBy("hit").agg(F.sum("n").alias("n"))
-    needs = {r.hit: int(r.n) + 1 for r in counts.collect()}
+    if small:
+        needs = dict(enumerate(n + 1 for batch in nearer(iter(own_rows.to_batches())) for n in batch.column("n").to_pylist()))
+    else:
+        counts = table_of.mapInArrow(nearer, "hit long, n long").groupBy("hit").agg(F.sum("n").alias("n"))
+        needs = {r.hit: int(r.n) + 1 for r in counts.collect()}
     most = 0
     for added in range(2):
         needed = sorted(n for hit, n in needs.items() if asked[of[hit]].added == added)
@@ -388,15 +413,17 @@ def _probes(table: Clustered, nprobe: int | None) -> int | None:
 def ivf_candidates(spark: SparkSession, path: str | Clustered, query: Sequence[float], nprobe: int | None = None) -> DataFrame:
     """Rows of the cells nearest to the query, as many as measured unless ``nprobe`` is given; the other cells' folders are not read."""
     table = _opened(spark, path)
-    return _rows(table).drop("toward").filter(_near_cells(table, query, nprobe))
+    return _near_rows(table, _rows(table), query, nprobe).drop("toward", "coarse")
 
 
-def _near_cells(table: Clustered, query: Sequence[float], nprobe: int | None) -> Column:
+def _near_rows(table: Clustered, rows: DataFrame, query: Sequence[float], nprobe: int | None) -> DataFrame:
     probes = _probes(table, nprobe)
-    if probes is None:
-        return F.lit(True)
+    return rows if probes is None else _of_cells(table)(rows, _nearest_cells(table, query, probes))
+
+
+def _nearest_cells(table: Clustered, query: Sequence[float], probes: int) -> list[int]:
     near = nearest(_centroids(table).select("cell", "centre"), query, probes, vec_col="centre", order=("cell",))
-    return F.col("cell").isin([NO_CELL, *sorted(r.cell for r in near.select("cell").collect())])
+    return sorted(r.cell for r in near.select("cell").collect())
 
 
 def ivf_search(
@@ -412,7 +439,7 @@ def ivf_search(
     Texts are read from the files that hold a winner only.
     """
     table = _opened(spark, path)
-    rows = _rows(table, True).filter(_near_cells(table, query, nprobe))
+    rows = _near_rows(table, _rows(table, True), query, nprobe)
     return scenes_at(rows, nearest_places(rows, query, k), bucket)
 
 
@@ -454,16 +481,15 @@ def ivf_search_exact(
     rows, probes = _rows(table, True), _probes(table, nprobe)
     if probes is None:
         return scenes_at(rows, nearest_places(rows, query, k), bucket)
-    near = nearest(_centroids(table).select("cell", "centre"), query, probes, vec_col="centre", order=("cell",))
-    first = [NO_CELL, *sorted(r.cell for r in near.select("cell").collect())]
-    found = nearest_places(rows.filter(F.col("cell").isin(first)), query, k)
+    of_cells, first = _of_cells(table), _nearest_cells(table, query, probes)
+    found = nearest_places(of_cells(rows, first), query, k)
     close = found[-1]["_close"] if len(found) == k else -math.inf
     more = [r.cell for r in ivf_reaching(table, query, close).filter(~F.col("cell").isin(first)).select("cell").collect()]
     if more:
-        found += nearest_places(rows.filter(F.col("cell").isin(more)), query, k)
+        found += nearest_places(of_cells(rows, more).filter(F.col("cell") != NO_CELL), query, k)
         # NULL comes first, as in Spark.
         found.sort(key=lambda r: (-r["_close"], *((r[c] is not None, r[c] or "") for c in SCENE_ORDER)))
-    return scenes_at(rows.filter(F.col("cell").isin(first + more)), found[:k], bucket)
+    return scenes_at(of_cells(rows, first + more), found[:k], bucket)
 
 
 def ivf_prompt_search(
@@ -507,9 +533,14 @@ def ivf_search_batch(
     common = dict(base_col=table.about.vec_col, query_id=query_id, query_vec=query_vec, order=order, key=key)
     probes = _probes(table, nprobe)
     if probes is None:
-        return knn_join(rows.drop("cell"), queries, k, **common)
+        return knn_join(rows.drop("cell", "coarse"), queries, k, **common)
     asked = _asked(table, queries, probes, query_id, query_vec)
-    return knn_join(rows, asked, k, cell_col="cell", query_cells="cells", **common)
+    return knn_join(rows, asked, k, query_cells="cells", **_by_cell(table), **common)
+
+
+def _by_cell(table: Clustered) -> dict:
+    """For ``knn_join``: which columns say where rows lie, and how some cells are read."""
+    return dict(cell_col="cell", layout=("coarse",), cell_rows=_of_cells(table))
 
 
 def ivf_search_batch_exact(
@@ -533,19 +564,19 @@ def ivf_search_batch_exact(
     """
     table = _opened(spark, path)
     rows = _rows(table, key == ROW_PLACE).drop("norm", "toward")
-    rows = rows if columns is None else rows.select(*columns, table.about.vec_col, "cell")
+    rows = rows if columns is None else rows.select(*columns, table.about.vec_col, "cell", "coarse")
     common = dict(base_col=table.about.vec_col, query_id=query_id, query_vec=query_vec, order=order, key=key, query_cut=query_cut)
     probes = _probes(table, nprobe)
     if probes is None:
-        return knn_join(rows.drop("cell"), queries, k, closeness=closeness, **common)
+        return knn_join(rows.drop("cell", "coarse"), queries, k, closeness=closeness, **common)
     asked = _asked(table, queries, probes, query_id, query_vec, query_cut)
-    first = written(knn_join(rows, asked, k, cell_col="cell", query_cells="cells", closeness=True, **common), "winners")
+    by_cell = _by_cell(table) | {"query_cells": "cells", "closeness": True}
+    first = written(knn_join(rows, asked, k, **by_cell, **common), "winners")
     kth = first.filter(F.col("rank") == k).select(F.col(query_id).alias("_id"), F.col("_close").alias("_kth"))
     cut = F.greatest("_kth", F.lit(None).cast("double") if query_cut is None else query_cut)
     known = asked.join(kth, asked[query_id].eqNullSafe(kth["_id"]), "left").select(query_id, query_vec, "cells", cut.alias("cut"))
     open_cells = written(_reaching_cells(table, known, query_id, query_vec), "queries")
-    again = common | {"query_cut": "cut"}
-    more = knn_join(rows.filter(F.col("cell") >= 0), open_cells, k, cell_col="cell", query_cells="cells", closeness=True, **again)
+    more = knn_join(rows.filter(F.col("cell") >= 0), open_cells, k, **by_cell, **(common | {"query_cut": "cut"}))
     best = Window.partitionBy(query_id).orderBy(F.desc("_close"), *order)
     both = first.unionByName(more.select(*first.columns)).withColumn("rank", F.row_number().over(best).cast("bigint"))
     found = both.filter(F.col("rank") <= k)

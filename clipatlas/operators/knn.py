@@ -11,7 +11,7 @@ that is shown is worked out last.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +168,16 @@ def nearest(
     return found if closeness else found.drop("_close")
 
 
+def nearest_each(
+    rows: DataFrame, ids: list[int], vectors: np.ndarray, k: int, vec_col: str, order: tuple[str, ...]
+) -> DataFrame:
+    """``query_id``, ``rank`` and the ``k`` rows nearest, by cosine, to each of a few vectors that travel with the job."""
+    typed = rows.withColumn(vec_col, F.col(vec_col).cast("array<double>"))
+    block = QueryBlock(pa.array(ids, pa.int64()), vectors)
+    scored = _score(typed, block, k, "cosine", vec_col, list(order), T.StructField("_query", T.LongType()), None)
+    return _rank(scored, k, list(order)).withColumnRenamed("_query", "query_id").drop("_close")
+
+
 def distance_of(close: str, metric: str = "cosine") -> Column:
     return F.lit(1.0) - F.col(close) if metric == "cosine" else -F.col(close)
 
@@ -185,7 +195,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def _winners(
-    narrow: DataFrame,
+    narrow_of: Callable[[list[int] | None], DataFrame],
     queries: DataFrame,
     k: int,
     metric: str,
@@ -200,7 +210,11 @@ def _winners(
     query_cut: str | None = None,
     bounded: bool = False,
 ) -> DataFrame:
-    """Ranked rows ``_query, rank, _close`` and the travelling columns. ``bounded``: they are themselves a bound."""
+    """Ranked rows ``_query, rank, _close`` and the travelling columns. ``bounded``: they are themselves a bound.
+
+    ``narrow_of`` gives the rows to score, of some cells or all.
+    """
+    narrow = narrow_of(None)
     id_field = queries.schema[query_id]
     vec = F.col(query_vec).cast("array<double>")
     # Kept while it is read, since the vectors may come from a model.
@@ -228,7 +242,7 @@ def _winners(
         cuts = usable_queries
         if not bounded and narrow.sparkSession.sparkContext.defaultParallelism > BOUND_FROM_CORES:
             some = _winners(
-                narrow.limit(BOUND_ROWS), kept, k, metric, base_col, "id", "v", order, travel, block_bytes, cell_col, query_cells and "cells", None, True
+                lambda _: narrow.limit(BOUND_ROWS), kept, k, metric, base_col, "id", "v", order, travel, block_bytes, cell_col, query_cells and "cells", None, True
             )
             least = some.filter(F.col("rank") == k).select(F.col("_query").alias("id"), F.col("_close").alias("least"))
             cuts = usable_queries.join(least, "id", "left").withColumn("cut", F.greatest("cut", F.coalesce("least", lowest))).drop("least")
@@ -236,10 +250,8 @@ def _winners(
         size = facts.n * (facts.dims * 8 + k * _COLUMN_BYTES * len(travel)) + 4 * facts.pairs
         if size <= block_bytes:
             block = _block_of(cuts.toArrow(), facts.dims)  # at most block_bytes
-            rows = narrow
-            if probing:
-                # Reads the folders of the cells some query looks into, and the rows outside the cells.
-                rows = narrow.filter(F.col(cell_col).isin(np.unique(block.probed[0]).tolist()) | (F.col(cell_col) < 0))
+            # Reads the cells some query looks into, and the rows outside the cells.
+            rows = narrow_of(np.unique(block.probed[0]).tolist()) if probing else narrow
             scored = _score(rows, block, k, metric, base_col, order, id_field, cell_col)
         else:
             n_blocks = int(-(-2 * size // block_bytes))  # half full on average, so that an uneven hash does not pass the limit
@@ -266,6 +278,8 @@ def knn_join(
     cell_col: str | None = None,
     query_cells: str | None = None,
     query_cut: str | None = None,
+    cell_rows: Callable[[DataFrame, list[int]], DataFrame] | None = None,
+    layout: tuple[str, ...] = (),
     closeness: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``base`` for every query: ``query_id, rank, distance`` and the row.
@@ -277,19 +291,25 @@ def knn_join(
     are dealt into blocks, each of which meets each chunk of ``base`` in one task of a shuffle, so none of them
     pass the driver. ``query_cells`` names a column of ``queries`` with the cells that a query looks into, among
     those in ``cell_col`` (see ``ivf``), and ``query_cut`` one with a closeness below which nothing is
-    wanted. ``closeness`` keeps ``_close``, the number that the rows are ranked by.
+    wanted. ``cell_rows`` restricts ``base`` to some cells and the rows outside them, by columns that only say where
+    rows lie if need be; these are ``layout``. ``closeness`` keeps ``_close``, the number that the rows are ranked by.
     """
     _check_metric(metric)
-    hidden = [c for c in (base_col, cell_col) if c]
+    hidden = [c for c in (base_col, cell_col, *layout) if c]
+    cell_rows = cell_rows or (lambda rows, cells: rows.filter(F.col(cell_col).isin(cells) | (F.col(cell_col) < 0)))
     payload = [c for c in base.columns if c not in hidden]
     travel = payload if key is None else list(dict.fromkeys([*key, *order]))
     vectors = F.col(base_col).cast("array<double>").alias(base_col)
     others = [] if key is None else [c for c in payload if c not in travel]
     placed = [F.col(cell_col).alias("_cell")] if cell_col and others else []
-    narrow = base.select(*travel, *placed, vectors, *([cell_col] if cell_col else []))
+
+    def narrow_of(cells: list[int] | None) -> DataFrame:
+        rows = base if cells is None else cell_rows(base, cells)
+        return rows.select(*travel, *placed, vectors, *([cell_col] if cell_col else []))
+
     travelling = [*travel, *(["_cell"] if placed else [])]
     winners = _winners(
-        narrow, queries, k, metric, base_col, query_id, query_vec, list(order), travelling, block_bytes, cell_col, query_cells, query_cut
+        narrow_of, queries, k, metric, base_col, query_id, query_vec, list(order), travelling, block_bytes, cell_col, query_cells, query_cut
     )
 
     shown = ["_close"] if closeness else []
@@ -301,7 +321,7 @@ def knn_join(
     if placed:
         # At most as many numbers as there are cells; the other folders are not read again.
         cells = [r["_cell"] for r in hits.select("_cell").distinct().collect()]
-        rows = base.filter(F.col(cell_col).isin(cells))
+        rows = cell_rows(base, cells)
     rows = rows.select(*[F.col(c).alias(f"_k_{c}") for c in key], *others)
     same = [hits[c].eqNullSafe(rows[f"_k_{c}"]) for c in key]
     return hits.join(rows, same).select(query_id, "rank", "distance", *shown, *payload)

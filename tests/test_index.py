@@ -62,6 +62,7 @@ def test_rows_go_to_the_nearest_centroid_below_the_nearest_coarse_one(spark, tab
 def test_many_centroids_are_dealt_with_the_rows(spark, stored, table, tmp_path, monkeypatch):
     """Above the stated size centroids are not sent to all tasks; rows get the same cells."""
     monkeypatch.setattr(ivf, "SENT_CENTROIDS", 0)
+    assert ivf.ivf_measured(table) == table.about
     monkeypatch.setattr("clipatlas.operators.knn.ROW_CHUNK_BYTES", 20_000)
     seen = []
     monkeypatch.setattr(centroids, "two_levels", lambda *a: seen.append(a))

@@ -170,7 +170,8 @@ def test_batch_reads_only_probed_folders(spark, sf, cells):
     vectors = relation(spark, sf, "query_vectors").filter("query_id = 9")
     found = ivf.ivf_search_batch(spark, path, vectors, nprobe=2)
     assert found.count() == 5
-    assert "PartitionFilters: [(cell" in found._jdf.queryExecution().executedPlan().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [coarse" in plan and "In(cell" in plan
 
 
 def test_only_probed_folders_are_read(spark, sf, cells):
@@ -179,7 +180,7 @@ def test_only_probed_folders_are_read(spark, sf, cells):
     read = {r.cell for r in found.select("cell").distinct().collect()}
     assert len(read - {ivf.NO_CELL}) <= 2
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [cell" in plan
+    assert "PartitionFilters: [coarse" in plan and "In(cell" in plan
 
 
 def test_append_to_cells(spark, sf, scenes):
@@ -223,4 +224,4 @@ def test_batch_search_reads_the_cells_of_the_winners_again(spark, sf, cells):
     assert sorted(rows(found.select(shown))) == sorted(rows(want.select(shown)))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan.replace("PartitionFilters: [], PushedFilters: [], ReadSchema: struct<query_id", "")
-    assert "PartitionFilters: [cell" in plan or "PartitionFilters: [(cell" in plan
+    assert "PartitionFilters: [coarse" in plan
