@@ -315,13 +315,20 @@ def whole_repeats(spark: SparkSession, docs: DataFrame, folder: str, min_words:
     )
 
 
+def unused_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for n in (f"{'_' * i}{name}" for i in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans cut out of ``text``, with the white space after them; ``n_chars`` follows if there. All rows stay."""
-    lists = spans.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("version").alias("_version")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans")  # at most the units of one text
+    row_id, row_version, found = unused_names(docs, "_id", "_version", "_spans")
+    lists = spans.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias(row_id), F.col("version").alias(row_version)).agg(
+        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(found)  # at most the units of one text
     )
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_version", _version(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(lists, ["_id", "_version"], "left").select(*docs.columns, "_spans")
+    keyed = docs.withColumn(row_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(row_version, _version(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(lists, [row_id, row_version], "left").select(*docs.columns, found)
     names, place = docs.columns, docs.columns.index("text")
     counted = names.index("n_chars") if "n_chars" in names else None
 

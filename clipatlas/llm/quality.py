@@ -41,7 +41,7 @@ LEAST_STEPS, SHRINK = 3000, 0.2
 #: Sums of one chunk are added in so many groups first.
 _GROUPS = 32
 #: Words whose slot a task remembers.
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 17
 #: Words of a text that are looked at together; a very long text is taken in pieces, its sums are the same.
 _PIECE = 1 << 16
 
@@ -298,14 +298,14 @@ def learn_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, words
     return fit_network(features, truth, kept)
 
 
-def score_quality(spark: SparkSession, docs: DataFrame, words: WordVectors, network: Network) -> DataFrame:
-    """The columns of ``docs`` and ``quality_score``, which replaces a column of that name. No shuffle; texts stay in place.
+def score_quality(spark: SparkSession, docs: DataFrame, words: WordVectors, network: Network, into: str = "quality_score") -> DataFrame:
+    """The columns of ``docs`` and ``into``, which replaces a column of that name. No shuffle; texts stay in place.
 
     Scores are rounded, since a product of matrices differs in its last bits with the number of rows in a batch.
     """
     sent = spark.sparkContext.broadcast((words.vectors, words.weights, vars(network)))
-    docs = docs.drop("quality_score")
-    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+    docs = docs.drop(into)
+    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _reader()
@@ -313,6 +313,6 @@ def score_quality(spark: SparkSession, docs: DataFrame, words: WordVectors, netw
         learned, net = WordVectors(vectors, weights), Network(**layers)
         for batch in batches:
             pooled = np.array([_pooled(read(t.as_py()), learned) for t in batch.column("text")], np.float32).reshape(batch.num_rows, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(net.scores(pooled), 9), pa.float64())], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(net.scores(pooled), 9), pa.float64())], [*batch.schema.names, into])
 
     return docs.mapInArrow(task, schema)

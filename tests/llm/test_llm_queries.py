@@ -131,5 +131,17 @@ def test_stages_on_edges(spark, sf, tmp_path):
             assert out.count() <= docs.count()
 
 
+def test_stages_pass_clashing_columns_through(spark, sf):
+    text = "A line that is long enough to be a passage of its own, with more than twenty five words in it, so that it goes wherever it is there again."
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, _version int, _spans string, _key string, quality_score double"
+    rows = [(1, text, "en", "s", len(text), "i", 7, "s", "k-a", 5.0), (2, "Own start. " + text, "en", "s", 0, "j", 8, "t", "k-b", 6.0)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert tuple(r)[5:] == rows[r["doc_id"] - 1][5:]
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
