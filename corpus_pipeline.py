@@ -17,8 +17,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(language.fold(F.col("doc_id"), 5) != 0)
     words = quality.learn_vectors(docs)
     network = quality.learn_quality(spark, docs, labels, words)
-    scored = quality.score_quality(spark, docs, words, network)
-    return scored.where(F.col("quality_score") >= quality.ACCEPTED).select(docs.columns)
+    (score,) = passages.unused_names(docs, "quality_score")
+    scored = quality.score_quality(spark, docs, words, network, score)
+    return scored.where(F.col(score) >= quality.ACCEPTED).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,10 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark. Rows without doc_id are known by their text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256))))
-    found = decontamination.contained_items(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), items, work_folder(spark, "pipeline-contained"))
-    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+    (key,) = passages.unused_names(docs, "_key")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256))))
+    found = decontamination.contained_items(spark, keyed.select(F.col(key).alias("doc_id"), "text"), items, work_folder(spark, "pipeline-contained"))
+    return keyed.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
