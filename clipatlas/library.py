@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clipatlas.functions.links import PROMPT_VIDEO_PREFIX, playback_url, scene_video_url, storage_uri
 from clipatlas.operators import catalog, ivf, stats
-from clipatlas.operators.embed import HASH_DIMS, Embedder, embed, embed_queries
+from clipatlas.operators.embed import HASH_DIMS, Embedder, embed_once, embed_queries
 from clipatlas.operators.search import (
     PROMPT_RESULTS,
     PROMPT_VECTORS,
@@ -122,7 +122,7 @@ class Library:
         """
         name = f"batch={batch or uuid.uuid4().hex}"
         path = storage_uri(bucket, F.col("filename"), PROMPT_VIDEO_PREFIX)
-        rows = embed(uploads.withColumn("gcs_video_path", path), "prompt_text", "prompt_embedding", self.load, self.dims)
+        rows = embed_once(uploads.withColumn("gcs_video_path", path), "prompt_text", "prompt_embedding", self.load, self.dims)
         folders = {"prompts": fresh(f"prompts/{name}")}
         append_prompts(rows, f"{self.root}/{folders['prompts']}")
         stored, snapshot, indexes = with_origin(self.spark.read.schema(PROMPTS).parquet(f"{self.root}/{folders['prompts']}")), self.snapshot, {}
@@ -254,7 +254,8 @@ class Library:
         once the copy is made.
         """
         copy = Library(self.spark, root, self.bucket, self.load, self.load_image, self.dims)
-        folders = {name: fresh(f"{name}/compacted") for name in ("scenes", "rejects", "prompts")}
+        folders = {name: fresh(f"{name}/compacted") for name in ("scenes", "rejects", "prompts", "figures")}
+        stats.partial_figures(self.scenes).write.parquet(f"{copy.root}/{folders['figures']}")
         append_scenes(self.scenes, f"{copy.root}/{folders['scenes']}", by_video=True, required=())
         for name, rows in (("prompts", self.prompts), ("rejects", self.rejects)):
             rows.hint("rebalance").write.parquet(f"{copy.root}/{folders[name]}")
@@ -263,4 +264,7 @@ class Library:
         return copy
 
     def stats(self) -> DataFrame:
-        return stats.stats(self.scenes, self.prompts)
+        """All figures, added up from those that were stored with each batch; no scene is read."""
+        snapshot = self.snapshot
+        partials = snapshot.read("figures", stats.FIGURES, snapshot.of("batch"))
+        return stats.stats_of(partials, snapshot.read("prompts", PROMPTS, snapshot.of("prompts")))

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipatlas.schemas import VECTOR
+from clipatlas.workdir import work_folder
 
 # A model: a batch of texts (or images) in, as many vectors out.
 Embedder = Callable[[Sequence], Sequence[Sequence[float]]]
 
 HASH_DIMS = 64
+# A text is hot if one in so many rows has it.
+HOT_TEXTS = 1000
 # Everything else counts as part of a word, in any script.
 _BREAKS = r"[\x00-/:-@\[-`{-~]+"
 
@@ -67,6 +70,35 @@ def embed(
     return rows.withColumn(out_col, run(F.col(text_col)))
 
 
+def embed_once(
+    rows: DataFrame, text_col: str, out_col: str, load: Callable[[], Embedder] | None = None, dims: int = HASH_DIMS
+) -> DataFrame:
+    """As ``embed``, with each different text given to the model once, however many rows have it.
+
+    The vectors of the texts are stored in the work folder and joined back to the rows. Texts of at least a
+    thousandth of the rows, of which there are no more than a thousand, are joined by a broadcast, and their rows
+    take no part in the shuffle by text: a hot text is no hot task. The hash embedding costs less than a
+    shuffle and stays row by row.
+    """
+    if load is None:
+        return embed(rows, text_col, out_col, load, dims)
+    spark, folder = rows.sparkSession, work_folder(rows.sparkSession, "embedded")
+    texts = rows.filter(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("_text")).agg(F.count("*").alias("_rows"))
+    embed(texts, "_text", "_vector", load, dims).write.parquet(folder)
+    stored = spark.read.schema("_text string, _rows long, _vector array<double>").parquet(folder)
+    total = stored.agg(F.sum("_rows")).scalar()
+    hot = F.col("_rows") * HOT_TEXTS >= total
+    often = F.broadcast(stored.filter(hot).select(F.col("_text").alias("_often"), F.col("_vector").alias("_known")))
+    rest = stored.filter(~hot).select("_text", "_vector", F.lit(0).alias("_spread"))
+    found = rows.join(often, F.col(text_col) == F.col("_often"), "left")
+    # Rows that need no more have no text to be joined by, and are spread.
+    done = F.col("_known").isNotNull() | F.col(text_col).isNull()
+    keyed = found.withColumns({"_key": F.when(~done, F.col(text_col)), "_at": F.when(done, F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)) + 1).otherwise(0).cast("int")})
+    joined = keyed.join(rest, (F.col("_key") == F.col("_text")) & (F.col("_at") == F.col("_spread")), "left")
+    vector = F.coalesce("_known", "_vector", F.array().cast("array<double>"))
+    return joined.select(*rows.columns, vector.alias(out_col))
+
+
 def embed_queries(
     decoded: DataFrame,
     load: Callable[[], Embedder] | None = None,

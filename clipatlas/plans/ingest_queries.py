@@ -134,6 +134,8 @@ def _stored_text(prefix: str) -> str:
 
 _SCENE_ROWS = """FROM documents_of d JOIN scenes s ON s.video_id = d.video_id AND s.summary = d.summary
   AND substr(s.title, 1, length(s.title) - 2) = d.hundred WHERE d.kind >= 6"""
+# Columns and rows of the scenes that are stored from the responses.
+STORED_SCENES = (_stored_text("s"), _SCENE_ROWS)
 
 
 @query(
@@ -157,9 +159,9 @@ def scenes_from_responses(spark: SparkSession, sf: str) -> DataFrame:
     check_sql(f"SELECT {_ALL_TEXT}, {_vector_sql('embedding')}, source IS NOT NULL AS accepted FROM scenes", "scenes"),
 )
 def append_scenes_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Two appends, one per half of the sources, read back as one table; scenes without a source are rejects."""
+    """Two appends of stored scenes, one per half of the sources, read back as one table; scenes without a source are rejects."""
     path = work_folder(spark, "appended")
-    scenes = relation(spark, sf, "scenes", heavy=True)
+    scenes = read_scenes(spark, stored_scenes(spark, sf))
     hosted = F.coalesce(F.col("source").startswith("http"), F.lit(False))
     append_scenes(scenes.filter(hosted), f"{path}/scenes", rejects=f"{path}/rejects")
     append_scenes(scenes.filter(~hosted), f"{path}/scenes", rejects=f"{path}/rejects")

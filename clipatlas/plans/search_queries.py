@@ -57,12 +57,12 @@ def _euclidean(a: str, b: str) -> str:
     return f"list_distance({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
+def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), 6) for n in names})
 
 
-def _shown(results: DataFrame) -> DataFrame:
-    return _rounded(results, "distance", "similarity").withColumn("tags", F.array_join("tags", "|"))
+def scenes_found(results: DataFrame) -> DataFrame:
+    return rounded(results, "distance", "similarity").withColumn("tags", F.array_join("tags", "|"))
 
 
 def _scene_search_check(distance: str) -> str:
@@ -79,19 +79,19 @@ _COSINE_SEARCH = _scene_search_check("1 - " + _cosine("embedding", _Q))
 
 @query("scene_search", _COSINE_SEARCH)
 def scene_search_query(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(scene_search(relation(spark, sf, "scenes", heavy=True), query_vector(spark, sf), bucket="bucket"))
+    return scenes_found(scene_search(relation(spark, sf, "scenes", heavy=True), query_vector(spark, sf), bucket="bucket"))
 
 
 @query("euclidean_search", _scene_search_check(_euclidean("embedding", _Q)))
 def euclidean_search(spark: SparkSession, sf: str) -> DataFrame:
     scenes = relation(spark, sf, "scenes", heavy=True)
-    return _shown(scene_search(scenes, query_vector(spark, sf), metric="euclidean", bucket="bucket"))
+    return scenes_found(scene_search(scenes, query_vector(spark, sf), metric="euclidean", bucket="bucket"))
 
 
 @query("scene_search_stored", _COSINE_SEARCH)
 def scene_search_stored_query(spark: SparkSession, sf: str) -> DataFrame:
     path = stored_scenes(spark, sf)
-    return _shown(scene_search_stored(spark, path, query_vector(spark, sf), bucket="bucket"))
+    return scenes_found(scene_search_stored(spark, path, query_vector(spark, sf), bucket="bucket"))
 
 
 @query(
@@ -158,14 +158,14 @@ _NARROW = "query_id, rank, video_id, timestamp_start, title, round(d, 6) + 0 AS
 @query("knn_join", _join_check("1 - " + _cosine("s.embedding", "q.query_embedding"), _NARROW))
 def knn_join_query(spark: SparkSession, sf: str) -> DataFrame:
     scenes = relation(spark, sf, "scenes", heavy=True).select("video_id", "timestamp_start", "title", "embedding")
-    return _rounded(knn_join(scenes, relation(spark, sf, "query_vectors"), k=5), "distance")
+    return rounded(knn_join(scenes, relation(spark, sf, "query_vectors"), k=5), "distance")
 
 
 @query("knn_join_euclidean", _join_check(_euclidean("s.embedding", "q.query_embedding"), _NARROW))
 def knn_join_euclidean(spark: SparkSession, sf: str) -> DataFrame:
     scenes = relation(spark, sf, "scenes", heavy=True).select("video_id", "timestamp_start", "title", "embedding")
     joined = knn_join(scenes, relation(spark, sf, "query_vectors"), k=5, metric="euclidean")
-    return _rounded(joined, "distance")
+    return rounded(joined, "distance")
 
 
 @query(
@@ -177,7 +177,7 @@ def knn_join_euclidean(spark: SparkSession, sf: str) -> DataFrame:
 )
 def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     scenes = with_place(read_scenes(spark, stored_scenes(spark, sf)))
-    return _shown(scene_search_batch(scenes, relation(spark, sf, "query_vectors"), bucket="bucket", key=ROW_PLACE))
+    return scenes_found(scene_search_batch(scenes, relation(spark, sf, "query_vectors"), bucket="bucket", key=ROW_PLACE))
 
 
 _BRANCHES = f"""
@@ -201,7 +201,7 @@ def _created() -> F.Column:
 )
 def search_candidates_query(spark: SparkSession, sf: str) -> DataFrame:
     found = search_candidates(relation(spark, sf, "prompts"), query_vector(spark, sf))
-    return _rounded(found.select("id", "matched_on", "distance"), "distance")
+    return rounded(found.select("id", "matched_on", "distance"), "distance")
 
 
 @query(
@@ -215,7 +215,7 @@ def search_candidates_query(spark: SparkSession, sf: str) -> DataFrame:
 def best_match_per_id_query(spark: SparkSession, sf: str) -> DataFrame:
     matches = prompt_matches(relation(spark, sf, "prompts"), query_vector(spark, sf))
     best = best_match_per_id(matches).select("id", "gcs_video_path", "prompt_text", "best_distance")
-    return _rounded(best, "best_distance")
+    return rounded(best, "best_distance")
 
 
 _PROMPT_TOP = f"""SELECT id, any_value(gcs_video_path) AS gcs_video_path, any_value(prompt_text) AS prompt_text,
@@ -229,7 +229,7 @@ _PROMPT_CHECK = check_sql(
 
 
 def _prompts_shown(found: DataFrame) -> DataFrame:
-    return _rounded(found, "best_distance").select(
+    return rounded(found, "best_distance").select(
         "id", "gcs_video_path", "prompt_text", _created(), "best_distance", "video_url"
     )
 
@@ -265,7 +265,7 @@ def forget_indexes() -> None:
     _INDEXES.clear()
 
 
-def _index(spark: SparkSession, sf: str, name: str = "scenes", vec_col: str = "embedding") -> str:
+def index_of(spark: SparkSession, sf: str, name: str = "scenes", vec_col: str = "embedding") -> str:
     """Folder of a relation as a clustered table, built once per application."""
     at = (spark.sparkContext.applicationId, sf, name, vec_col)
     if at not in _INDEXES:
@@ -284,7 +284,7 @@ def _index(spark: SparkSession, sf: str, name: str = "scenes", vec_col: str = "e
     ),
 )
 def ivf_build_query(spark: SparkSession, sf: str) -> DataFrame:
-    stored = ivf.ivf_rows(spark, _index(spark, sf))
+    stored = ivf.ivf_rows(spark, index_of(spark, sf))
     counted = stored.groupBy("title").agg(F.round(F.max("norm"), 6).alias("norm"), F.count("*").alias("times_stored"))
     return counted.withColumn("times_stored", F.col("times_stored").cast("int"))
 
@@ -295,7 +295,7 @@ def ivf_build_query(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ivf_cells_query(spark: SparkSession, sf: str) -> DataFrame:
     """The cells hold all rows with a vector, and their shares add up to one."""
-    cells = ivf.ivf_cells(spark, _index(spark, sf))
+    cells = ivf.ivf_cells(spark, index_of(spark, sf))
     return cells.agg(
         F.sum("n_rows").alias("n_rows"), F.round(F.sum("share"), 6).alias("share"), (F.count("*") > 1).alias("several")
     )
@@ -308,8 +308,8 @@ _ALL_CELLS = 1 << 20
 @query("ivf_search", _COSINE_SEARCH)
 def ivf_search_query(spark: SparkSession, sf: str) -> DataFrame:
     """Probing every cell, which has to give the exact result."""
-    found = ivf.ivf_search(spark, _index(spark, sf), query_vector(spark, sf), nprobe=_ALL_CELLS, bucket="bucket")
-    return _shown(found)
+    found = ivf.ivf_search(spark, index_of(spark, sf), query_vector(spark, sf), nprobe=_ALL_CELLS, bucket="bucket")
+    return scenes_found(found)
 
 
 @query(
@@ -318,7 +318,7 @@ def ivf_search_query(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ivf_search_probed(spark: SparkSession, sf: str) -> DataFrame:
     """The scenes found in as many cells as the build has measured, held against the distances of all scenes by column expressions."""
-    found = ivf.ivf_search(spark, _index(spark, sf), query_vector(spark, sf)).select("title", "distance")
+    found = ivf.ivf_search(spark, index_of(spark, sf), query_vector(spark, sf)).select("title", "distance")
     scenes = relation(spark, sf, "scenes").select("title", distance_to(F.col("embedding"), query_vector(spark, sf)).alias("true_distance"))
     least = scenes.agg(F.min("true_distance")).scalar()
     joined = found.join(scenes, "title")
@@ -333,8 +333,8 @@ def ivf_search_probed(spark: SparkSession, sf: str) -> DataFrame:
 def ivf_search_batch_query(spark: SparkSession, sf: str) -> DataFrame:
     """Probing every cell, which has to give the exact result."""
     vectors = relation(spark, sf, "query_vectors")
-    found = ivf.ivf_search_batch(spark, _index(spark, sf), vectors, nprobe=_ALL_CELLS, key=["title"])
-    return _rounded(found.select("query_id", "rank", "video_id", "timestamp_start", "title", "distance"), "distance")
+    found = ivf.ivf_search_batch(spark, index_of(spark, sf), vectors, nprobe=_ALL_CELLS, key=["title"])
+    return rounded(found.select("query_id", "rank", "video_id", "timestamp_start", "title", "distance"), "distance")
 
 
 # What the cells that the build has measured find of the exact neighbours on average, at least.
@@ -361,7 +361,7 @@ def ivf_recall_query(spark: SparkSession, sf: str) -> DataFrame:
 @query("ivf_prompt_search", _PROMPT_CHECK)
 def ivf_prompt_search_query(spark: SparkSession, sf: str) -> DataFrame:
     """Probing every cell of both clustered tables, which has to give the exact result."""
-    by_video, by_text = (_index(spark, sf, "prompts", c) for c in PROMPT_VECTORS)
+    by_video, by_text = (index_of(spark, sf, "prompts", c) for c in PROMPT_VECTORS)
     return _prompts_shown(ivf.ivf_prompt_search(spark, by_video, by_text, query_vector(spark, sf), nprobe=_ALL_CELLS))
 
 
@@ -402,7 +402,8 @@ _BATCH = " UNION ALL ".join(
     ),
 )
 def prompt_search_batch_query(spark: SparkSession, sf: str) -> DataFrame:
-    found = prompt_search_batch(relation(spark, sf, "prompts", heavy=True), relation(spark, sf, "query_vectors"))
-    return _rounded(found, "best_distance").select(
-        "query_id", "rank", "id", "prompt_text", "best_distance", "video_url"
-    )
+    return prompts_found(prompt_search_batch(relation(spark, sf, "prompts", heavy=True), relation(spark, sf, "query_vectors")))
+
+
+def prompts_found(found: DataFrame) -> DataFrame:
+    return rounded(found, "best_distance").select("query_id", "rank", "id", "prompt_text", "best_distance", "video_url")

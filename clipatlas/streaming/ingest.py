@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clipatlas.operators.embed import HASH_DIMS, embed
+from clipatlas.operators.embed import HASH_DIMS, embed_once
 from clipatlas.operators.ivf import About, ivf_fitting, ivf_write, named
+from clipatlas.operators.stats import partial_figures
 from clipatlas.schemas import BROKEN_RECORD, RESPONSE_RECORD, SCENES
 from clipatlas.sources.commits import Snapshot, commit, fresh
 from clipatlas.sources.responses import parse_responses, to_scene_rows
@@ -29,7 +30,7 @@ def parsed_documents(documents: DataFrame) -> DataFrame:
 def scenes_and_rejects(parsed: DataFrame, load=None, dims: int = HASH_DIMS) -> tuple[DataFrame, DataFrame]:
     """Scene rows with embeddings, and the rejected documents as they came, of ``parsed_documents``."""
     rows = to_scene_rows(parsed.filter("accepted"))
-    scenes = embed(rows, "description", "embedding", load, dims).select(*SCENES.fieldNames())
+    scenes = embed_once(rows, "description", "embedding", load, dims).select(*SCENES.fieldNames())
     return scenes, parsed.filter("NOT accepted").drop("accepted", "analysis")
 
 
@@ -46,8 +47,8 @@ def with_origin(stored: DataFrame) -> DataFrame:
 def store_documents(documents: DataFrame, target: str, batch: str, load=None, dims: int = HASH_DIMS) -> dict[str, str]:
     """Store a batch of documents as scenes and rejects below ``target``; their folders, by table.
 
-    Both, and the rows in cells if the scenes have a clustered table, become visible at once, by a commit that comes
-    last. A batch that is stored again under its name replaces what it stored before. The documents are parsed once.
+    Both, the figures of the batch, and the rows in cells if the scenes have a clustered table, become visible at once,
+    by a commit that comes last. A batch that is stored again under its name replaces what it stored before. The documents are parsed once.
     """
     spark = documents.sparkSession
     folders = {name: fresh(f"{name}/{batch}") for name in ("scenes", "rejects")}
@@ -59,6 +60,8 @@ def store_documents(documents: DataFrame, target: str, batch: str, load=None, di
     finally:
         parsed.unpersist()
     stored = with_origin(spark.read.schema(SCENES).parquet(f"{target}/{folders['scenes']}"))
+    folders["figures"] = fresh(f"figures/{batch}")
+    partial_figures(stored).write.parquet(f"{target}/{folders['figures']}")
     cells, indexes = into_cells(Snapshot(spark, target), SCENE_INDEX, stored, f"{target}/{CELLS}")
     commit(spark, target, "batch", batch, folders | cells, indexes)
     return folders

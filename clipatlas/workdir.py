@@ -2,28 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
-# Tasks use this module too; it goes to the workers by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def file_system(uri: str):
-    """For a task that reads or writes files itself: the file system of ``uri`` and the path in it.
-
-    Any store that pyarrow reads will do: local and mounted folders, HDFS, S3, GCS.
-    """
-    from pyarrow import fs
-
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
-
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new, empty folder path for one run, inside the shared folder the cluster names.

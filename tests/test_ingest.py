@@ -1,12 +1,13 @@
 import json
 import os
+import uuid
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipatlas.operators.embed import embed
+from clipatlas.operators.embed import embed, embed_once
 from clipatlas.plans.relations import relation, responses
 from clipatlas.schemas import PROMPTS, RESPONSE_SCENE_FIELDS, SCENE_REQUIRED, SCENES
 from clipatlas.sources.tables import (
@@ -98,6 +99,33 @@ def test_pluggable_model(spark):
     assert {r.id: r.v for r in embed(df, "text", "v", load).collect()} == {1: [3.0, 1.0], 2: [], 3: [0.0, 1.0]}
 
 
+@pytest.mark.parametrize("hot_texts", [1000, 0])
+def test_each_text_is_embedded_once(spark, tmp_path, monkeypatch, hot_texts):
+    monkeypatch.setattr("clipatlas.operators.embed.HOT_TEXTS", hot_texts)
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def load():
+        def model(batch):
+            (seen / uuid.uuid4().hex).write_text("\n".join(batch))
+            return [[float(len(t)), 1.0] for t in batch]
+
+        return model
+
+    texts = ["hot text"] * 2000 + [f"text {i % 700}" for i in range(3000)] + [None] * 500 + [""] * 5
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, text string, other string").repartition(5)
+    got = embed_once(df, "text", "v", load)
+    rows = got.collect()
+    assert got.columns == ["id", "text", "other", "v"] and len(rows) == len(texts)
+    assert {r.id: r.v for r in rows} == {i: [] if t is None else [float(len(t)), 1.0] for i, t in enumerate(texts)}
+    asked = [line for f in seen.iterdir() for line in f.read_text().split("\n")]
+    assert sorted(asked) == sorted(set(t for t in texts if t is not None))
+    assert embed_once(df.limit(0), "text", "v", load).count() == 0
+    if hot_texts:
+        hot = got.filter("text = 'hot text'").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert hot > 1
+
+
 def test_stream_equals_batch_and_repeats_nothing(spark, sf):
     inbox, target, progress = (work_folder(spark, n) for n in ("inbox", "target", "progress"))
     documents = responses(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipatlas import library as library_module
 from clipatlas.library import Library
-from clipatlas.operators import ivf
+from clipatlas.operators import ivf, stats
 from clipatlas.schemas import RESPONSE_SCENE_FIELDS
 from clipatlas.streaming import ingest
 from clipatlas.workdir import work_folder
@@ -85,7 +85,11 @@ def test_library(spark):
     trees = spark.createDataFrame([(1, "purple tree")], "query_id int, query string")
     assert [r.title for r in library.search(trees, k=2, nprobe=9).orderBy("rank").collect()][0] == "a purple tree"
     assert library.search(trees, k=10, nprobe=9).count() == 5
+    figures = lambda df: sorted(map(repr, df.collect()))
+    whole = figures(stats.stats(library.scenes, library.prompts))
+    assert figures(library.stats()) == whole
     copy = library.compact(work_folder(spark, "copy"))
+    assert figures(copy.stats()) == whole
     assert copy.scenes.count() == 5 and copy.rejects.count() == 2 and copy.prompts.count() == 2
 
 
@@ -141,6 +145,7 @@ def test_a_failure_between_the_writes_shows_nothing(spark, monkeypatch):
         assert library.rejects.count() == 1
     library.add_responses(documents(spark, ("b", "scene two")), batch="x")
     assert [r.title for r in library.scenes.collect()] == titles(library, spark) == ["scene two"] and library.rejects.count() == 0
+    assert sorted(map(repr, library.stats().collect())) == sorted(map(repr, stats.stats(library.scenes, library.prompts).collect()))
 
 
 def test_prompt_indexes(spark):

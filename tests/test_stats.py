@@ -107,3 +107,25 @@ def test_hot_tag_text_is_counted_before_it_is_split(spark):
     assert {r.tag: r.n for r in stats.tag_frequency(df).collect()}["a"] == 6667
     plan = stats.tag_frequency(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.rindex("Aggregate")
+
+
+def test_figures_of_batches_add_up(spark, sf, scenes_of_batches):
+    """Partial figures of batches, one of them repeated and replaced, against a full scan."""
+    batches, prompts = scenes_of_batches
+    partials = None
+    for batch in batches:
+        part = stats.partial_figures(batch)
+        assert part.schema.fieldNames() == stats.FIGURES.fieldNames()
+        partials = part if partials is None else partials.unionByName(part)
+    everything = batches[0].unionByName(batches[1]).unionByName(batches[2])
+    got, want = (sorted(map(repr, df.collect())) for df in (stats.stats_of(partials, prompts), stats.stats(everything, prompts)))
+    assert got == want
+    none = partials.limit(0)
+    assert sorted(map(repr, stats.stats_of(none).collect())) == sorted(map(repr, stats.stats(batches[0].limit(0)).collect()))
+
+
+@pytest.fixture
+def scenes_of_batches(spark, sf):
+    scenes = relation(spark, sf, "scenes")
+    number = F.col("title").substr(7, 12).cast("int") % 5
+    return [scenes.filter(number == 0), scenes.filter(number == 1), scenes.filter(number >= 1)], relation(spark, sf, "prompts")
