@@ -135,20 +135,27 @@ def own_licenses(spark: SparkSession, files: DataFrame, templates: dict[str, lis
     frequency = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
 
     marks, full_marks = (F.array(*[F.lit(w) for w in sorted(anchors[whole])]) for whole in (False, True))
+    either = F.array(*[F.lit(w) for w in sorted(anchors[False] | anchors[True])])
+
+    def may_have(text: Column, some: Column) -> Column:
+        # A word of a text is a piece of it in lower case. The outer function holds that, so that it is made once.
+        return F.exists(F.array(F.lower(text)), lambda low: F.exists(some, lambda word: F.contains(low, word)))
+
     lines = F.split("text", "\n")
     paragraphs = F.split("text", r"\n[ \t\r]*\n")
     sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, r"(?<=[.!?;:])\s+")))
-    parts = (
-        texts.where(F.arrays_overlap(_words(F.col("text")), marks))
-        .select("doc_id", "version", F.posexplode(F.array_distinct(F.concat(lines, paragraphs, sentences))).alias("unit", "text"))
-        .select("doc_id", "version", "unit", _words(F.col("text")).alias("words"))
-        .where(F.arrays_overlap("words", marks))
-    )
-    in_full = (
-        texts.select("doc_id", "version", F.lit(-1).alias("unit"), _words(F.col("text")).alias("words"))
-        .where(F.arrays_overlap("words", full_marks))
+    pieces = F.transform(F.array_distinct(F.concat(lines, paragraphs, sentences)), lambda piece: F.struct(F.lit(False).alias("whole"), piece.alias("text")))
+    cut = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text"))), pieces)
+    wanted = F.when(F.col("piece.whole"), full_marks).otherwise(marks)
+    # The whole text is unit -1. Only what has an anchor somewhere is split into words.
+    units = (
+        texts.where(may_have(F.col("text"), either))
+        .select("doc_id", "version", F.posexplode(cut).alias("unit", "piece"))
+        .where(may_have(F.col("piece.text"), wanted))
+        .select("doc_id", "version", (F.col("unit") - 1).alias("unit"), _words(F.col("piece.text")).alias("words"), wanted.alias("wanted"))
+        .where(F.arrays_overlap("words", "wanted")).drop("wanted")
+        .distinct()
     )
-    units = parts.unionByName(in_full).distinct()
     vector = (
         units.select("doc_id", "version", "unit", F.explode("words").alias("word")).groupBy("doc_id", "version", "unit", "word").agg(F.count("*").alias("n"))
         .join(F.broadcast(frequency), "word", "left")  # the words of the templates
