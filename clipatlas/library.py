@@ -177,10 +177,20 @@ class Library:
         about = ivf.ivf_measured(ivf.ivf_of(snapshot, index.name, f"{self.root}/{index.folder}"))
         commit(self.spark, self.root, "index", index.name, row.folders, {}, json.dumps(about), row.covers)
 
+    def rebalance_indexes(self) -> None:
+        """Let the cells follow the rows: split those that grew since the build and dissolve those that shrank."""
+        for index in (_SCENES, *_PROMPT_INDEXES):
+            snapshot = self.snapshot
+            row, table = snapshot.index(index.name), self._clustered(index)
+            changed = None if table is None else ivf.ivf_write_rebalanced(table)
+            if changed is not None:
+                inside = [r.folders[index.table] for r in snapshot.of(index.kind) if r.indexes.get(index.name) == table.about.identity]
+                ivf.ivf_commit(self.spark, self.root, index.name, *changed, sorted({*row.covers, *inside}))
+
     def _outside(self, index: Index, snapshot: Snapshot) -> list[Row]:
         """Commits whose rows are in no cell of the index."""
         row = snapshot.index(index.name)
-        covers, version = set(row.covers), ivf.About(*json.loads(row.about)).version
+        covers, version = set(row.covers), ivf.About(*json.loads(row.about)).identity
         return [
             r for r in snapshot.of(index.kind)
             if index.table in r.folders and r.folders[index.table] not in covers and r.indexes.get(index.name) != version

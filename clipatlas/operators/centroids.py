@@ -39,7 +39,7 @@ CENTROIDS = T.StructType(
     [T.StructField("cell", T.IntegerType()), T.StructField("coarse", T.IntegerType()), T.StructField("centre", T.ArrayType(T.DoubleType()))]
 )
 _VECTOR = "vector array<double>"
-_COARSE = "coarse int, centre array<double>, first_cell int"
+_COARSE = "coarse int, centre array<double>"
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -95,10 +95,10 @@ def rows_of(column: pa.Array, dims: int) -> np.ndarray:
 
 
 class CoarseCentroids:
-    """The coarse level, and where the cells below each of its centroids begin."""
+    """The coarse level."""
 
-    def __init__(self, centres: np.ndarray, first_cell: np.ndarray):
-        self.centres, self.first_cell = centres, first_cell
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
 
     def place(self, vector: Column) -> Column:
         """The nearest coarse centroid; -1 for a vector without a direction."""
@@ -112,19 +112,15 @@ class CoarseCentroids:
 
         return coarse(vector)
 
-    def above(self, cells: list[int]) -> list[int]:
-        """The coarse centroids of some cells."""
-        return np.unique(np.searchsorted(self.first_cell, [c for c in cells if c >= 0], side="right") - 1).tolist()
-
 
 def load_coarse(spark: SparkSession, folder: str) -> CoarseCentroids:
     level = sorted(spark.read.schema(_COARSE).parquet(f"{folder}/coarse").collect())  # at most SENT_BYTES
-    return CoarseCentroids(np.array([r.centre for r in level]), np.array([r.first_cell for r in level]))
+    return CoarseCentroids(np.array([r.centre for r in level]))
 
 
 def load_fine(spark: SparkSession, folder: str, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For few centroids: cells, the coarse centroid of each, and the centroids, by cell."""
-    table = spark.read.schema(CENTROIDS).parquet(f"{folder}/centroids").toArrow().sort_by("cell")
+    """For few centroids: cells, the coarse centroid of each, and the centroids, by coarse centroid and cell."""
+    table = spark.read.schema(CENTROIDS).parquet(folder).toArrow().sort_by([("coarse", "ascending"), ("cell", "ascending")])
     return table.column("cell").to_numpy(), table.column("coarse").to_numpy(), rows_of(table.column("centre").combine_chunks(), dims)
 
 
@@ -186,7 +182,7 @@ def _fit_at_once(sample: DataFrame, dims: int, nlist: int, n_coarse: int, folder
 
     fitted = sample.groupBy().applyInPandas(both, "cell int, coarse int, centre array<double>, first array<double>").collect()
     spark.createDataFrame([r[:3] for r in fitted], CENTROIDS).coalesce(1).write.parquet(f"{folder}/centroids")
-    level = [(r.coarse, r.first, r.cell) for r in fitted if r.first is not None]
+    level = [(r.coarse, r.first) for r in fitted if r.first is not None]
     spark.createDataFrame(level, _COARSE).coalesce(1).write.parquet(f"{folder}/coarse")
     return len(fitted)
 
@@ -215,7 +211,7 @@ def fit(vectors: DataFrame, dims: int, nlist: int, folder: str, seed: int) -> in
     hashed = F.pmod(F.xxhash64("vector", F.lit(seed)), F.lit(1 << 20))
     some = sample.filter(hashed < max(1, round(share * (1 << 20))))
     fitted = some.groupBy().applyInPandas(coarse_level, "centre array<double>").collect()
-    coarse = CoarseCentroids(np.array([r.centre for r in fitted]), np.zeros(0, np.int64))
+    coarse = CoarseCentroids(np.array([r.centre for r in fitted]))
     sample.withColumn("coarse", coarse.place(F.col("vector"))).write.parquet(f"{folder}/placed")
     placed = spark.read.schema(f"{_VECTOR}, coarse int").parquet(f"{folder}/placed")
     sizes = {r.coarse: r["count"] for r in placed.groupBy("coarse").count().collect()}  # one row for each coarse centroid
@@ -233,6 +229,6 @@ def fit(vectors: DataFrame, dims: int, nlist: int, folder: str, seed: int) -> in
     share_of = {c: max(1, round((1 << 20) * min(1.0, PER_CENTROID * many[c] / size))) for c, size in sizes.items()}
     limit = F.create_map(*[F.lit(x) for pair in share_of.items() for x in pair])[F.col("coarse")]
     placed.filter(hashed < limit).groupBy("coarse").applyInPandas(fine_level, CENTROIDS).write.parquet(f"{folder}/centroids")
-    level = [(number[c], r.centre, begins[c]) for c, r in enumerate(fitted) if c in number]
+    level = [(number[c], r.centre) for c, r in enumerate(fitted) if c in number]
     spark.createDataFrame(level, _COARSE).coalesce(1).write.parquet(f"{folder}/coarse")
     return begins[-1]

@@ -18,6 +18,7 @@ from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,6 +51,8 @@ _CURRENT = "current"
 # Cells that a search looks into are set at the build so that it finds this share of the nearest distinct vectors,
 # on average over so many stored vectors that are searched for, among those of so many rows.
 _RECALL, _MEASURED, _MEASURED_ROWS = 0.95, 200, 1_000_000
+# A cell is split if it has more than so many times the mean rows, and dissolved if the mean is more than so many times its.
+_GROWN, _SHRUNK = 4, 16
 # Sampled rows at least, if there are so many.
 _LEAST_SAMPLE = 4096
 # Up to this size centroids are sent to the tasks that assign rows; more are dealt out with the rows.
@@ -71,6 +74,20 @@ class About(NamedTuple):
     nprobe: int | None
     # Cells with a centroid; 0 if the vectors could not be told apart.
     n_cells: int
+    # Folder of the centroids in use, and the number that the next new cell gets.
+    centroids: str = "centroids"
+    next_cell: int = 0
+    # For each time that cells were split or merged, those whose rows were moved to other cells.
+    retired: list[list[int]] = []
+
+    @property
+    def identity(self) -> str:
+        """What rows have to be added for, to be looked for in the right cells."""
+        return f"{self.version}/{self.centroids}"
+
+    def moved(self, generation: int) -> list[int]:
+        """Cells that folders written after so many changes of the cells still hold rows of, which lie elsewhere now."""
+        return sorted({c for cells in self.retired[generation:] for c in cells})
 
     @property
     def schema(self) -> T.StructType:
@@ -85,6 +102,9 @@ class Clustered(NamedTuple):
     about: About
     rows: list[str]
     reach: list[str]
+    # For each folder of rows, after how many changes of the cells it was written; those of the index itself come first.
+    generations: list[int]
+    own: int = 1
     # Rows that are stored elsewhere and not in a cell yet, with their place. Every search looks at them.
     loose: DataFrame | None = None
     # Values of the column ``origin`` whose rows have been replaced since; no search finds them.
@@ -157,9 +177,9 @@ def ivf_write_build(
         directed = rows.filter(usable(vec)).filter(_directed(norm(vec))).select(vec.cast("array<double>").alias("vector"))
         n_cells = levels.fit((directed if share == 1.0 else directed.sample(share, seed)).distinct(), facts.dims, nlist, f"{path}/{version}", seed)
     stored = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("norm", "toward")], *[T.StructField(n, T.IntegerType()) for n in ("cell", "coarse")]])
-    about = About(vec_col, facts.dims, stored.json(), version, None, n_cells)
+    about = About(vec_col, facts.dims, stored.json(), version, None, n_cells, next_cell=n_cells, retired=[])
     folders = ivf_write(rows, path, about)
-    built = Clustered(spark, path, about, [folders["rows"]], [folders["reach"]])
+    built = Clustered(spark, path, about, [folders["rows"]], [folders["reach"]], [0])
     return ivf_measured(built), folders
 
 
@@ -175,12 +195,15 @@ def ivf_append(rows: DataFrame, path: str, batch: str | None = None) -> None:
     about = ivf_fitting(rows, table.about)
     if about != table.about:
         ivf_commit(spark, path, _CURRENT, about, _base(table))
-    commit(spark, path, "batch", batch or uuid.uuid4().hex, named(_CURRENT, ivf_write(rows, path, about)), {_CURRENT: about.version})
+    commit(spark, path, "batch", batch or uuid.uuid4().hex, named(_CURRENT, ivf_write(rows, path, about)), {_CURRENT: about.identity})
 
 
 def _base(table: Clustered) -> dict[str, str]:
-    """Folders of the build itself, without the batches added."""
-    return {"rows": table.rows[0], "reach": table.reach[0]}
+    """Folders of the index itself, without the batches added since."""
+    folders = {}
+    for i, generation in enumerate(table.generations[: table.own]):
+        folders |= {f"{kind}.{generation}.{i}": names[i] for kind, names in (("rows", table.rows), ("reach", table.reach))}
+    return folders
 
 
 def ivf_fitting(rows: DataFrame, about: About) -> About:
@@ -210,16 +233,19 @@ def ivf_of(snapshot: Snapshot, name: str, path: str) -> Clustered | None:
     if index is None:
         return None
     about = About(*json.loads(index.about))
-    parts = [index, *(r for r in snapshot.rows if r.indexes.get(name) == about.version)]
-    rows, reach = ([r.folders[f"{name}.{kind}"] for r in parts] for kind in ("rows", "reach"))
-    return Clustered(snapshot.spark, path, about, rows, reach)
+    # Folders of the index are called rows for the build, and rows.<generation>.<number> once cells have been changed.
+    own = sorted((int(g or 0), int(i or 0), kind) for kind in index.folders if kind.startswith(f"{name}.rows") for g, i in [(kind[len(name) + 6 :] + ".").split(".")[:2]])
+    added = [r for r in snapshot.rows if r.indexes.get(name) == about.identity]
+    rows = [index.folders[kind] for *_, kind in own] + [r.folders[f"{name}.rows"] for r in added]
+    reach = [index.folders[kind.replace(f"{name}.rows", f"{name}.reach")] for *_, kind in own] + [r.folders[f"{name}.reach"] for r in added]
+    return Clustered(snapshot.spark, path, about, rows, reach, [g for g, *_ in own] + [len(about.retired)] * len(added), len(own))
 
 
 def _centroids(table: Clustered) -> DataFrame:
     """cell, coarse, centre: unit vectors; none if the table is not clustered."""
     if not table.about.n_cells:
         return table.spark.createDataFrame([], levels.CENTROIDS)
-    return table.spark.read.schema(levels.CENTROIDS).parquet(f"{table.path}/{table.about.version}/centroids")
+    return table.spark.read.schema(levels.CENTROIDS).parquet(f"{table.path}/{table.about.identity}")
 
 
 def ivf_write(rows: DataFrame, path: str, about: About) -> dict[str, str]:
@@ -253,10 +279,10 @@ def _assigned(kept: DataFrame, path: str, about: About) -> DataFrame:
     vec, directed = F.col(about.vec_col).cast("array<double>"), _directed(F.col("norm"))
     coarse = levels.load_coarse(spark, home)
     if about.n_cells * dims * 8 <= SENT_CENTROIDS:
-        place = levels.two_levels(coarse, levels.load_fine(spark, home, dims))(F.when(directed, vec))
+        place = levels.two_levels(coarse, levels.load_fine(spark, f"{path}/{about.identity}", dims))(F.when(directed, vec))
         placed = kept.withColumn("_place", place)
         return placed.withColumns({c: F.col(f"_place.{c}") for c in ("coarse", "cell", "toward")}).drop("_place")
-    table = spark.read.schema(levels.CENTROIDS).parquet(f"{home}/centroids")
+    table = spark.read.schema(levels.CENTROIDS).parquet(f"{path}/{about.identity}")
     rows = kept.withColumn("coarse", coarse.place(F.when(directed, vec)))
     sizes = {r["coarse"]: r["count"] for r in rows.groupBy("coarse").count().collect()}  # one row for each coarse centroid
     parts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, chunks_of(n, dims))]) if sizes else F.lit(None).cast("map<int,int>")
@@ -281,10 +307,23 @@ def _read_rows(spark: SparkSession, path: str, about: About, folders: list[str])
     return read.select(*about.schema.fieldNames())
 
 
+def _by_generation(table: Clustered, folders: list[str]) -> list[tuple[list[str], Column]]:
+    """Folders written after as many changes of the cells, and which of their rows are still looked for there."""
+    found = []
+    for generation in sorted(set(table.generations)):
+        moved = table.about.moved(generation)
+        same = [f for f, g in zip(folders, table.generations, strict=True) if g == generation]
+        found.append((same, ~F.col("cell").isin(moved) if moved else F.lit(True)))
+    return found
+
+
 def _rows(table: Clustered, placed: bool = False) -> DataFrame:
     """All rows: those of the cells, and the loose ones as rows outside the cells. ``placed`` adds the ``ROW_PLACE`` columns."""
-    rows = _read_rows(table.spark, table.path, table.about, table.rows)
-    rows = with_place(rows) if placed else rows
+    rows = None
+    for folders, there in _by_generation(table, table.rows):
+        part = _read_rows(table.spark, table.path, table.about, folders)
+        part = (with_place(part) if placed else part).filter(there)
+        rows = part if rows is None else rows.unionByName(part)
     if table.stale:
         rows = rows.filter(~F.col("origin").isin(*table.stale))
     if table.loose is None:
@@ -298,10 +337,10 @@ def _of_cells(table: Clustered) -> Callable[[DataFrame, list[int]], DataFrame]:
     """Restricts rows to some cells, by their folders first, and to those outside the cells."""
     if not table.about.n_cells:
         return lambda rows, cells: rows
-    coarse = levels.load_coarse(table.spark, f"{table.path}/{table.about.version}")
 
     def restricted(rows: DataFrame, cells: list[int]) -> DataFrame:
-        return rows.filter(F.col("coarse").isin([NO_CELL, *coarse.above(cells)]) & F.col("cell").isin([NO_CELL, *cells]))
+        above = _centroids(table).filter(F.col("cell").isin(cells)).select("coarse").distinct().collect()
+        return rows.filter(F.col("coarse").isin([NO_CELL, *sorted(r.coarse for r in above)]) & F.col("cell").isin([NO_CELL, *cells]))
 
     return restricted
 
@@ -316,8 +355,10 @@ def ivf_rows(spark: SparkSession, path: str | Clustered) -> DataFrame:
 
 def ivf_reach(table: Clustered) -> DataFrame:
     """cell, n_rows, toward: for each cell how many rows it has, and the least cosine of any to the centroid."""
-    home = f"{table.path}/{table.about.version}"
-    read = table.spark.read.schema(_REACH).parquet(*[f"{home}/{f}" for f in table.reach])
+    home, read = f"{table.path}/{table.about.version}", None
+    for folders, there in _by_generation(table, table.reach):
+        part = table.spark.read.schema(_REACH).parquet(*[f"{home}/{f}" for f in folders]).filter(there)
+        read = part if read is None else read.unionByName(part)
     return read.groupBy("cell").agg(F.sum("n_rows").alias("n_rows"), F.min("toward").alias("toward"))
 
 
@@ -341,7 +382,11 @@ def _measured_probes(table: Clustered) -> int | None:
         return None
     n = ivf_reach(table).agg(F.sum("n_rows")).first()[0]
     share = min(1.0, _MEASURED_ROWS / max(1, n))
-    parts = [table._replace(rows=table.rows[:1], loose=None), table._replace(rows=table.rows[1:], loose=None)]
+    own = table.own
+    parts = [
+        table._replace(rows=table.rows[at], reach=table.reach[at], generations=table.generations[at], loose=None)
+        for at in (slice(own), slice(own, None))
+    ]
     some = None
     for added, part in enumerate(parts):
         if part.rows:
@@ -352,7 +397,7 @@ def _measured_probes(table: Clustered) -> int | None:
     distinct = some.groupBy("vector").agg(F.min("cell").alias("in_cell"), F.min("added").alias("added")).withColumn("id", F.xxhash64("vector"))
     distinct = written(distinct, "distinct")
     asked = []
-    for added in range(2 if len(table.rows) > 1 else 1):
+    for added in range(2 if len(table.rows) > own else 1):
         first = distinct.filter(F.col("added") == added).orderBy("id").limit(_MEASURED)
         asked += first.select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("query_embedding"), "added").collect()
     vectors = np.array([q.query_embedding for q in asked])
@@ -404,6 +449,81 @@ def ivf_measured(table: Clustered) -> About:
     return table.about._replace(nprobe=_measured_probes(table))
 
 
+def ivf_rebalance(spark: SparkSession, path: str) -> bool:
+    """Let the cells follow the rows: split those that grew and dissolve those that shrank. Not while rows are appended.
+
+    Says whether there was anything to do.
+    """
+    table = ivf_open(spark, path)
+    changed = ivf_write_rebalanced(table)
+    if changed is not None:
+        ivf_commit(spark, path, _CURRENT, *changed)
+    return changed is not None
+
+
+def ivf_write_rebalanced(table: Clustered) -> tuple[About, dict[str, str]] | None:
+    """The files of ``ivf_rebalance``, for a caller that commits them: the new description and all folders.
+
+    A cell with more than ``_GROWN`` times the mean gets centroids of its own, fitted on a sample of its different
+    vectors; one with less than the mean by ``_SHRUNK`` loses its centroid, unless no other lies below the same coarse
+    one. Only the rows of these cells are read and written anew. The driver sees their numbers and sizes.
+    """
+    spark, about = table.spark, table.about
+    if not about.n_cells:
+        return None
+    sizes = ivf_reach(table).filter(F.col("cell") != NO_CELL)
+    mean = (sizes.agg(F.sum("n_rows")).first()[0] or 0) / about.n_cells
+    grown = {r.cell: r.n_rows for r in sizes.filter(F.col("n_rows") > _GROWN * mean).collect()}
+    split = _split(table, grown, mean) if grown else None
+    pieces = {} if split is None else {r.parent: r.n for r in split.groupBy("parent").agg(F.count("*").alias("n")).collect()}
+    whole = _centroids(table).join(sizes, "cell", "left").filter(~F.col("cell").isin(list(pieces)) if pieces else F.lit(True))
+    # The largest cell below each coarse centroid stays.
+    place = F.row_number().over(Window.partitionBy("coarse").orderBy(F.desc_nulls_last("n_rows"), "cell"))
+    small = (F.coalesce("n_rows", F.lit(0)) * _SHRUNK < mean) & (place > 1)
+    ranked = written(whole.withColumn("small", small), "centroids")
+    gone = [r.cell for r in ranked.filter("small").select("cell").collect()]
+    if not gone and not pieces:
+        return None
+    kept = ranked.filter("NOT small").select(*levels.CENTROIDS.fieldNames())
+    after = about._replace(centroids=f"centroids-{uuid.uuid4().hex}", next_cell=about.next_cell + sum(pieces.values()), retired=[*about.retired, [*gone, *pieces]])
+    (kept if split is None else kept.unionByName(split.drop("parent"))).write.parquet(f"{table.path}/{after.identity}")
+    n_cells = spark.read.schema(levels.CENTROIDS).parquet(f"{table.path}/{after.identity}").count()
+    after = after._replace(n_cells=n_cells)
+    moving = _rows(table._replace(loose=None)).filter(F.col("cell").isin([*gone, *pieces]))
+    added = ivf_write(moving.drop("norm", "toward", "cell", "coarse"), table.path, after)
+    rows, reach = [*table.rows, added["rows"]], [*table.reach, added["reach"]]
+    changed = table._replace(about=after, rows=rows, reach=reach, generations=[*table.generations, len(after.retired)], own=len(rows), loose=None)
+    return ivf_measured(changed), _base(changed)
+
+
+def _split(table: Clustered, grown: dict[int, int], mean: float) -> DataFrame | None:
+    """Centroids (parent, cell, coarse, centre) in the place of those of cells that grew; none for copies of one vector."""
+    about, seed = table.about, len(table.about.retired)
+    many = {cell: min(levels.FINE_MOST, math.ceil(n / mean)) for cell, n in grown.items()}
+    share = F.create_map(*[F.lit(x) for cell, n in grown.items() for x in (cell, min(1.0, levels.PER_CENTROID * many[cell] / n))])
+    # By the place of a row in the table, so that copies of one vector do not all come.
+    rows = _rows(table._replace(loose=None)).filter(F.col("cell").isin(list(grown)))
+    some = rows.filter(F.rand(seed) < share[F.col("cell")]).select("cell", F.col(about.vec_col).cast("array<double>").alias("vector")).distinct()
+    above = _centroids(table).select("cell", "coarse")
+    dims, schema = about.dims, "parent int, coarse int, nth int, centre array<double>"
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        cell = int(frame["cell"].iloc[0])
+        centres = levels.fit_centres(levels.unit(np.array(frame["vector"].tolist(), np.float64).reshape(len(frame), dims)), many[cell], seed)
+        centres = centres if len(centres) > 1 else centres[:0]
+        return pd.DataFrame({"parent": cell, "coarse": int(frame["coarse"].iloc[0]), "nth": np.arange(len(centres)), "centre": centres.tolist()})
+
+    fitted = written(some.join(above, "cell").groupBy("cell").applyInPandas(fit, schema), "centroids")
+    if fitted.isEmpty():
+        return None
+    sizes = fitted.groupBy("parent").agg(F.count("*").alias("n")).orderBy("parent").collect()  # as many as cells that grew
+    begins, at = {}, about.next_cell
+    for r in sizes:
+        begins[r.parent], at = at, at + r.n
+    first = F.create_map(*[F.lit(x) for pair in begins.items() for x in pair])[F.col("parent")]
+    return fitted.select("parent", (first + F.col("nth")).cast("int").alias("cell"), "coarse", "centre")
+
+
 def _probes(table: Clustered, nprobe: int | None) -> int | None:
     """How many cells to look into; None for all."""
     n = nprobe or table.about.nprobe

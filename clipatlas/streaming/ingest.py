@@ -83,7 +83,7 @@ def into_cells(snapshot: Snapshot, name: str, rows: DataFrame, path: str) -> tup
         fits = False
     if not fits:
         return {}, {}
-    return named(name, ivf_write(rows, path, about)), {name: about.version}
+    return named(name, ivf_write(rows, path, about)), {name: about.identity}
 
 
 def stream_ingest(

@@ -129,6 +129,40 @@ def test_probes_are_measured_again(spark, stored, tmp_path):
     assert ivf.ivf_rows(spark, path).count() == sum(r[3] is not None for r in ROWS) + 400
 
 
+def test_cells_follow_the_rows(spark, stored, tmp_path):
+    """Many rows of another distribution: their cells are split, emptied ones dissolved, and nothing is lost or found twice."""
+    path = str(tmp_path / "cells")
+    ivf.ivf_build(stored, path, nlist=24)
+    far = np.random.default_rng(12).normal(size=(60, 16)) + 3
+    more = [(f"w{r[0]}", "00:00", f"x{r[2]}", r[3]) for r in around(far, 4000, 0.05, 13)]
+    spark.createDataFrame(more, SCHEMA).write.parquet(f"{tmp_path}/more")
+    extra = spark.read.parquet(f"{tmp_path}/more")
+    ivf.ivf_append(extra, path, "more")
+    uneven = max(r.n_rows for r in ivf.ivf_cells(spark, path).collect() if r.cell >= 0)
+    queries = spark.createDataFrame([(i, (v + 0.02).tolist()) for i, v in enumerate(np.concatenate([far[:15], CENTRES[:15]]))], "query_id int, query_embedding array<double>")
+    everything = stored.unionByName(extra)
+    want = sorted(map(tuple, knn_join(everything, queries, 5).select("query_id", "rank", "title", "distance").collect()))
+    titles = sorted(r[2] for r in ROWS + more if r[3] is not None)
+    for _ in range(2):
+        ivf.ivf_rebalance(spark, path)
+        table = ivf.ivf_open(spark, path)
+        assert sorted(r.title for r in ivf.ivf_rows(spark, path).select("title").collect()) == titles
+        rows = ivf._rows(table).groupBy("cell").agg(F.count("*").alias("n"), F.min("toward").alias("t")).collect()
+        assert {r.cell: (r.n_rows, r.toward) for r in ivf.ivf_reach(table).collect()} == {r.cell: (r.n, r.t) for r in rows}
+        assert {r.cell for r in rows} - {ivf.NO_CELL} <= {r.cell for r in ivf._centroids(table).collect()}
+        for found in (ivf.ivf_search_batch_exact(spark, table, queries), ivf.ivf_search_batch(spark, path, queries, nprobe=10**6)):
+            assert sorted(map(tuple, found.select("query_id", "rank", "title", "distance").collect())) == want
+        recall = ivf.ivf_recall(knn_join(everything, queries, 5), ivf.ivf_search_batch(spark, path, queries), ["title"])
+        assert recall.agg(F.avg("recall")).first()[0] >= 0.9
+        # What is added from now on goes to the new cells.
+        ivf.ivf_append(spark.createDataFrame([("z", "00:00", "zz", far[0].tolist())], SCHEMA), path, "last")
+        assert ivf.ivf_rows(spark, path).filter("title = 'zz'").count() == 1
+        ivf.ivf_append(extra.limit(0), path, "last")
+    assert table.about.retired and len(table.rows) > 2
+    largest = sorted((r.n_rows for r in ivf.ivf_cells(spark, path).collect() if r.cell >= 0), reverse=True)
+    assert largest[2] < uneven / 2  # the two largest hold copies of one vector
+
+
 def test_prompts_by_both_indexes(spark, tmp_path):
     draw = np.random.default_rng(3)
     pick = lambda: (CENTRES[draw.integers(40)] + 0.1 * draw.normal(size=16)).tolist()
