@@ -235,7 +235,8 @@ class TaskTopK:
 
     def _best_of(self, rows, norms, tie, distinct, left, part):
         """The best k of the distinct vectors for each query: query, place in ``distinct``, closeness."""
-        which, col = np.nonzero(self.scorer.may_reach(left, part, self._cut_for(left, part)))
+        # Found in the flat matrix, which takes a fraction of the time of a search by rows and columns.
+        which, col = np.divmod(np.flatnonzero(self.scorer.may_reach(left, part, self._cut_for(left, part))), len(part))
         query, row = part[col], distinct[which]
         exact = np.empty(len(row))
         step = max(1, _PAIR_BLOCK_BYTES // (8 * rows.shape[1]))

@@ -2,7 +2,8 @@
 
 Every task scores its rows against blocks of queries with one matrix product per block of rows and keeps
 only the best k rows of each query, so a task never emits more than k rows per query. The rows that
-remain are ranked by Spark in two steps. The vectors of the table are never shuffled.
+remain are ranked by Spark in two steps. For few queries the vectors of the table are not shuffled; for many,
+the rows of one vector are gathered first, so that each different vector is scored once in the whole table.
 
 Rows are ranked by closeness and then by the columns named, in the tasks and after them alike; the distance
 that is shown is worked out last.
@@ -34,6 +35,9 @@ _COLUMN_BYTES = 64
 ROW_CHUNK_BYTES = 64 << 20
 # With more cores than this, some rows are searched first, which bounds what the many tasks emit.
 BOUND_FROM_CORES, BOUND_ROWS = 256, 50_000
+# From so many queries on, scoring a row costs more than shuffling it, and rows are gathered by vector if on average
+# so many or more share one. Not for a larger k, since up to k rows of a vector are kept beside it.
+GATHER_FROM, GATHER_COPIES, GATHER_MOST = 4096, 2, 64
 
 # The function the tasks run is defined here; it goes to the workers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,6 +103,39 @@ def chunks_of(n_rows: int, dims: int) -> int:
     return int(max(1, -(-n_rows * dims * 8 // ROW_CHUNK_BYTES)))
 
 
+def _gathered(rows: DataFrame, k: int, vec_col: str, order: list[str], travel: list[str], cell_col: str | None, dims: int) -> DataFrame | None:
+    """A stored table with one row for each different vector of a cell, or None if few rows share one.
+
+    ``_rows`` holds the first k rows of the vector in ``order``; no others can be among the best k of a query. ``_no`` numbers the vectors,
+    which are told apart by two hashes of 64 bits. Every task of the scan keeps at most k rows of a vector before the shuffle, so a hot
+    vector is no hot task.
+    """
+    hashes = {"_hash": F.xxhash64(vec_col), "_other": F.xxhash64(F.lit(GATHER_FROM), vec_col)}
+    held = rows.filter(usable(F.col(vec_col), dims)).withColumns(hashes)
+    copies = held.agg((F.count("*") >= F.lit(GATHER_COPIES) * F.approx_count_distinct("_hash")).alias("many")).first()
+    if not copies.many:
+        return None
+    same = [*hashes, *([cell_col] if cell_col else [])]
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(*order))
+    first = held.withColumn("_nth", place).filter(F.col("_nth") <= k)
+    listed = F.sort_array(F.collect_list(F.struct("_nth", *travel))).alias("_rows")  # at most k
+    nested = first.groupBy(*same).agg(F.any_value(vec_col).alias(vec_col), listed)
+    return written(nested.drop(*hashes).withColumn("_no", F.monotonically_increasing_id()), "vectors")
+
+
+def _leading(vectors: DataFrame, vec_col: str, order: list[str], cell_col: str | None) -> DataFrame:
+    """The vectors of a gathered table to score, each with what ranks its first row."""
+    first = F.get("_rows", F.lit(0))
+    return vectors.select("_no", *[first[c].alias(c) for c in order], vec_col, *([cell_col] if cell_col else []))
+
+
+def _spread_out(scored: DataFrame, vectors: DataFrame, k: int, order: list[str], travel: list[str]) -> DataFrame:
+    """From the scored vectors the rows to rank. The best k rows of a query are rows of its best k vectors by their first rows."""
+    best = _rank(scored, k, order).select("_query", "_close", F.col("_no").alias("_of"))
+    rows = vectors.select("_no", F.inline("_rows")).select("_no", *travel)
+    return best.join(rows, best["_of"] == rows["_no"]).select(*travel, "_close", "_query")
+
+
 def _score_dealt(
     base: DataFrame,
     queries: DataFrame,
@@ -110,8 +147,9 @@ def _score_dealt(
     order: list[str],
     id_field: T.StructField,
     cell_col: str | None,
+    part: int,
 ) -> DataFrame:
-    """As ``_score`` for many blocks. A task holds one chunk of rows and one block of queries."""
+    """As ``_score`` for many blocks. A task holds one chunk of rows and one block of queries, of which it scores ``part`` at a time."""
     schema = _task_schema(base, {vec_col, cell_col}, id_field)
     rows = base.filter(usable(F.col(vec_col), dims))
     names, nothing = schema.fieldNames(), base.sparkSession.createDataFrame([], schema).toArrow()
@@ -119,13 +157,19 @@ def _score_dealt(
     def task(some: pa.Table, block: pa.Table) -> pa.Table:
         if not some.num_rows or not block.num_rows:
             return nothing
-        top = TaskTopK(_block_of(block, dims), k, metric, vec_col, order, cell_col)
-        for table in row_blocks(iter(some.drop_columns(["_chunk", "_block"]).to_batches(max_chunksize=10_000)), vec_col, dims):
-            top.add(table)
-        found = top.result()
-        return nothing if found is None else found.select(names)
+        rows, found = some.drop_columns(["_chunk", "_block"]), []
+        for at in range(0, block.num_rows, part):
+            top = TaskTopK(_block_of(block.slice(at, part), dims), k, metric, vec_col, order, cell_col)
+            for table in row_blocks(iter(rows.to_batches(max_chunksize=10_000)), vec_col, dims):
+                top.add(table)
+            result = top.result()
+            if result is not None:
+                found.append(result.select(names))
+        return pa.concat_tables(found) if found else nothing
 
-    return deal(rows, chunks_of(rows.count(), dims), queries, n_blocks).applyInArrow(task, schema)
+    # A group for each core at least, also where few blocks and chunks hold everything.
+    n_chunks = max(chunks_of(rows.count(), dims), -(-base.sparkSession.sparkContext.defaultParallelism // n_blocks))
+    return deal(rows, n_chunks, queries, n_blocks).applyInArrow(task, schema)
 
 
 def _rank(scored: DataFrame, k: int, order: list[str]) -> DataFrame:
@@ -248,19 +292,28 @@ def _winners(
             cuts = usable_queries.join(least, "id", "left").withColumn("cut", F.greatest("cut", F.coalesce("least", lowest))).drop("least")
 
         size = facts.n * (facts.dims * 8 + k * _COLUMN_BYTES * len(travel)) + 4 * facts.pairs
+        many = facts.n >= GATHER_FROM and k <= GATHER_MOST
+        vectors = None
         if size <= block_bytes:
             block = _block_of(cuts.toArrow(), facts.dims)  # at most block_bytes
             # Reads the cells some query looks into, and the rows outside the cells.
             rows = narrow_of(np.unique(block.probed[0]).tolist()) if probing else narrow
+            vectors = _gathered(rows, k, base_col, order, travel, cell_col, facts.dims) if many else None
+            rows = rows if vectors is None else _leading(vectors, base_col, order, cell_col)
             scored = _score(rows, block, k, metric, base_col, order, id_field, cell_col)
         else:
-            n_blocks = int(-(-2 * size // block_bytes))  # half full on average, so that an uneven hash does not pass the limit
+            # A task gets as many queries as it can hold, however few it scores at a time: every further block is a copy of all rows.
+            # Half full on average, so that an uneven hash does not pass the limit.
+            n_blocks = int(-(-2 * size // max(block_bytes, QUERY_BLOCK_BYTES)))
+            part = int(max(1, block_bytes * facts.n // size))
+            vectors = _gathered(narrow, k, base_col, order, travel, cell_col, facts.dims) if many else None
+            rows = narrow if vectors is None else _leading(vectors, base_col, order, cell_col)
             # Stored, since the vectors may come from a model and ``kept`` goes.
             asked = written(cuts, "queries")
-            scored = _score_dealt(narrow, asked, n_blocks, facts.dims, k, metric, base_col, order, id_field, cell_col)
+            scored = _score_dealt(rows, asked, n_blocks, facts.dims, k, metric, base_col, order, id_field, cell_col, part)
     finally:
         kept.unpersist()
-    return _rank(scored, k, order)
+    return _rank(scored if vectors is None else _spread_out(scored, vectors, k, order, travel), k, order)
 
 
 def knn_join(
