@@ -51,6 +51,9 @@ _CURRENT = "current"
 # Cells that a search looks into are set at the build so that it finds this share of the nearest distinct vectors,
 # on average over so many stored vectors that are searched for, among those of so many rows.
 _RECALL, _MEASURED, _MEASURED_ROWS = 0.95, 200, 1_000_000
+# An exact batch search of a table that needs more than one in so many cells for that leaves the cells alone: listing them for
+# every query costs more than they spare.
+_WORTHWHILE = 4
 # A cell is split if it has more than so many times the mean rows, and dissolved if the mean is more than so many times its.
 _GROWN, _SHRUNK = 4, 16
 # Sampled rows at least, if there are so many.
@@ -680,14 +683,15 @@ def ivf_search_batch_exact(
     """The exact nearest-neighbour join: a first search of the nearest cells, and a second of those that may hold more.
 
     The second search opens for each query the cells whose bound reaches its k-th best row of the first. ``columns``
-    are those of a row to return, all unless given. ``query_cut`` and ``closeness`` are as in ``knn_join``.
+    are those of a row to return, all unless given. ``query_cut`` and ``closeness`` are as in ``knn_join``. Where the build has
+    measured that the nearest rows lie in many of the cells, all rows are searched at once, unless ``nprobe`` is given.
     """
     table = _opened(spark, path)
     rows = _rows(table, key == ROW_PLACE).drop("norm", "toward")
     rows = rows if columns is None else rows.select(*columns, table.about.vec_col, "cell", "coarse")
     common = dict(base_col=table.about.vec_col, query_id=query_id, query_vec=query_vec, order=order, key=key, query_cut=query_cut)
     probes = _probes(table, nprobe)
-    if probes is None:
+    if probes is None or (nprobe is None and probes * _WORTHWHILE > table.about.n_cells):
         return knn_join(rows.drop("cell", "coarse"), queries, k, closeness=closeness, **common)
     asked = _asked(table, queries, probes, query_id, query_vec, query_cut)
     by_cell = _by_cell(table) | {"query_cells": "cells", "closeness": True}

@@ -69,3 +69,19 @@ def test_cells_hold_their_own_vectors(data, spark, stored, tmp_path):
     found = ivf.ivf_search_batch_exact(spark, f"{tmp_path}/cells", vectors, nprobe=2)
     assert listed(found.select("query_id", "rank", "timestamp_start", "title", "note", "distance")) == brute(rows, queries, 5, "cosine")
     assert stored["vectors"] > 0
+
+
+def test_cells_that_spare_nothing_are_not_listed(spark, tmp_path, monkeypatch):
+    """Where the nearest rows lie in most cells, no list of cells is made for each query."""
+    rng = np.random.default_rng(7)
+    rows = [("v", "0", f"t{i:04}", f"note {i}", [float(x) for x in rng.normal(size=6)]) for i in range(200)]
+    queries = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(9)]
+    monkeypatch.setattr(ivf, "_measured_probes", lambda table: 5)
+    ivf.ivf_build(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/cells", nlist=8)
+    asked, listing = [], ivf._asked
+    monkeypatch.setattr(ivf, "_asked", lambda *given: asked.append(given) or listing(*given))
+    vectors = spark.createDataFrame(queries, "query_id int, query_embedding array<double>")
+    for nprobe in (None, 5):
+        found = ivf.ivf_search_batch_exact(spark, f"{tmp_path}/cells", vectors, nprobe=nprobe)
+        assert listed(found.select("query_id", "rank", "timestamp_start", "title", "note", "distance")) == brute(rows, queries, 5, "cosine")
+        assert len(asked) == (nprobe is not None)
