@@ -20,6 +20,7 @@ empty tables; further columns are not looked at.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ class _Indexes(dict):
         return index
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, list[np.ndarray], _Indexes]]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, list, list[np.ndarray], _Indexes]]:
     """block name, doc_ids, positions of each document, indexes: for each block of this task."""
     import regex
 
@@ -60,7 +61,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
             ids.append(doc_id)
             positions.append(np.fromiter(map(indexes.__getitem__, found), np.uint32, len(found)))
             size += len(text)
-            if size >= BLOCK_CHARS:
+            if size >= block_chars:
                 yield name, ids, positions, indexes
                 name += 1
                 ids, positions, indexes, size = [], [], _Indexes(), 0
@@ -68,9 +69,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
         yield name, ids, positions, indexes
 
 
-def _words(pattern: str):
+def _words(pattern: str, block_chars: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, _, indexes in _blocks(batches, pattern):
+        for name, _, _, indexes in _blocks(batches, pattern, block_chars):
             words = list(indexes)
             for begin in range(0, len(words), _ROWS):
                 part = [w.encode("utf-8", "surrogatepass") for w in words[begin : begin + _ROWS]]
@@ -88,7 +89,7 @@ def _encoded(sent: Broadcast, pattern: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary.encoder(sent, pattern)
         word, ids = None, b""
-        waiting: dict[int, list] = {}
+        waiting: dict[int, tuple[array, array, bytearray]] = {}
         held = 0
         for batch in batches:
             for next_word, block, index in zip(*(batch.column(c).to_pylist() for c in ("word", "block", "index")), strict=True):
@@ -97,9 +98,10 @@ def _encoded(sent: Broadcast, pattern: str):
                     ids = np.array(encoding.encode_ordinary(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
                 rows = waiting.get(block)
                 if rows is None:
-                    rows = waiting[block] = [[], []]
+                    rows = waiting[block] = array("I"), array("I"), bytearray()
                 rows[0].append(index)
-                rows[1].append(ids)
+                rows[1].append(len(ids) // 4)
+                rows[2].extend(ids)
                 held += 1
             if held >= 20 * _ROWS:
                 yield from _packed(waiting)
@@ -109,16 +111,16 @@ def _encoded(sent: Broadcast, pattern: str):
     return task
 
 
-def _packed(waiting: dict[int, list]) -> Iterator[pa.RecordBatch]:
+def _packed(waiting: dict[int, tuple[array, array, bytearray]]) -> Iterator[pa.RecordBatch]:
     """For each block one row: its indexes, the number of ids of each, and the ids, compressed."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    for block, (index, ids) in waiting.items():
-        order = np.argsort(np.array(index, np.uint32))
-        indexes = np.array(index, np.uint32)[order]
-        counts = np.array([len(x) // 4 for x in ids], np.uint32)[order]
-        flat = np.frombuffer(b"".join([ids[i] for i in order.tolist()]), "<u4")
+    for block, rows in waiting.items():
+        index, counts, ids = (np.frombuffer(x, "<u4") for x in rows)
+        order = np.argsort(index)
+        indexes, starts, counts = index[order], (np.cumsum(counts, dtype=np.int64) - counts)[order], counts[order]
+        flat = ids[_runs(starts, counts)]
         steps = np.diff(indexes, prepend=np.uint32(0))
         yield pa.RecordBatch.from_arrays(
             [
@@ -142,12 +144,12 @@ _NAMES = ["block", "kind", "n", "doc_ids", "data", "total"]
 _SCHEMA = "block long, kind int, n int, doc_ids array<long>, data binary, total long"
 
 
-def _positions(pattern: str):
+def _positions(pattern: str, block_chars: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for name, ids, positions, indexes in _blocks(batches, pattern):
+        for name, ids, positions, indexes in _blocks(batches, pattern, block_chars):
             counts = np.array([len(p) for p in positions], np.uint32)
             flat = np.concatenate(positions)
             # Frequent words get small numbers: the renumbering travels with the positions.
@@ -220,13 +222,16 @@ def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts.astype(np.int64) - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
-def encode(docs: DataFrame, sent: Broadcast, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit numbers) for every row of ``docs``, whole texts."""
+def encode(docs: DataFrame, sent: Broadcast, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian 32-bit numbers) for every row of ``docs``, whole texts.
+
+    A task holds a block; with a smaller ``block_chars`` it needs less memory, and more rows are shuffled.
+    """
     # The partition of the input, also where a union numbers the tasks anew.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
-    words = texts.mapInArrow(_words(pattern), "word binary, block long, index int")
+    words = texts.mapInArrow(_words(pattern, block_chars), "word binary, block long, index int")
     ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(sent, pattern), _SCHEMA)
-    positions = texts.mapInArrow(_positions(pattern), _SCHEMA)
+    positions = texts.mapInArrow(_positions(pattern, block_chars), _SCHEMA)
     return (
         ids.unionByName(positions).repartition("block").sortWithinPartitions("block", "kind")
         .mapInArrow(_reassembled, "doc_id long, n_tokens long, ids binary")

@@ -10,6 +10,8 @@ from clipatlas.llm import byte_pairs, decontamination, language, near_duplicates
 from clipatlas.workdir import work_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Characters of text that a task of the last stage encodes at a time.
+BLOCK_CHARS = 1 << 22
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +47,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text that is left, and the digests of the ids and of the bytes they decode to."""
+    """Token ids of every text that is left, and the digests of the ids and of the bytes they decode to.
+
+    The ids are stored before they are decoded, so that a task has one Python worker at a time: workers wait for the
+    next stage with what memory they have.
+    """
     sent = vocabulary.send(spark, public_tokenizers.path(RANKS))
-    encoded = byte_pairs.encode(docs, sent, public_tokenizers.PATTERN)
+    folder = work_folder(spark, "pipeline-encoded")
+    byte_pairs.encode(docs, sent, public_tokenizers.PATTERN, BLOCK_CHARS).write.parquet(folder)
+    encoded = spark.read.parquet(folder)
     return byte_pairs.decode(encoded, sent).select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
