@@ -5,6 +5,9 @@ Each text is run unchanged by Spark and, as a CTE, by DuckDB. Braces name the ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,24 +120,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 _SPLITS: dict[tuple[str, ...], int] = {}
 
 
-def spread(df: DataFrame, *at: str) -> DataFrame:
-    """Rows of a given table that Spark reads in fewer splits than there are cores, dealt out to all of them.
+def spread(df: DataFrame, *at: str, tasks: int = 0) -> DataFrame:
+    """Rows of a given table that Spark reads in fewer splits than there are cores, or ``tasks``, dealt out to all of them.
 
     For work that takes long per row. How a table is split follows from ``spark.sql.files.maxPartitionBytes`` and
     its row groups; only a table of a few row groups is dealt out anew. The splits are counted once per table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = max(tasks, df.sparkSession.sparkContext.defaultParallelism)
     if at not in _SPLITS:
         _SPLITS[at] = df.rdd.getNumPartitions()
-    return df.repartition(cores) if _SPLITS[at] < cores else df
+    return df.repartition(wanted) if _SPLITS[at] < wanted else df
 
 
-def relation(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
-    """A derived relation. ``heavy`` announces work that takes long per row."""
+def relation(spark: SparkSession, sf: str, name: str, heavy: bool = False, tasks: int = 0) -> DataFrame:
+    """A derived relation. ``heavy`` announces work that takes long per row, for so many tasks at least."""
     text = RELATIONS[name]
     used = {t: table(spark, sf, t) for t in _TABLES if "{" + t + "}" in text}
     if heavy:
-        used = {t: spread(df, spark.sparkContext.applicationId, sf, t) for t, df in used.items()}
+        used = {t: spread(df, spark.sparkContext.applicationId, sf, t, tasks=tasks) for t, df in used.items()}
     df = spark.sql(text, **used)
     for c in _VECTORS:
         if c in df.columns:
@@ -150,12 +153,36 @@ def query_vector(spark: SparkSession, sf: str) -> list[float]:
 _STORED: dict[tuple[str, str], str] = {}
 
 
+# Scenes that a task sorts at most while they are stored; a scene has a kilobyte or more.
+STORED_ROWS = 200_000
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session for what is written meanwhile."""
+    names = {n: f"spark.sql.{n.replace('__', '.')}" for n in values}
+    before = {n: spark.conf.get(names[n]) for n in values}
+    try:
+        for n, value in values.items():
+            spark.conf.set(names[n], value)
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(names[n], value)
+
+
 def stored_scenes(spark: SparkSession, sf: str) -> str:
-    """Folder of the scenes written as a table, once per application."""
+    """Folder of the scenes written as a table, once per application.
+
+    Scenes become wide when events meet their vectors, so they are not shuffled after that; a task sorts its own. The
+    number of tasks follows from the rows, since what the join reads is a small part of what it gives.
+    """
     at = (spark.sparkContext.applicationId, sf)
     if at not in _STORED:
         path = work_folder(spark, "scenes")
-        append_scenes(relation(spark, sf, "scenes", heavy=True), path, by_video=True, required=())
+        tasks = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf, "events").count() // STORED_ROWS))
+        with _settings(spark, shuffle__partitions=str(tasks), adaptive__coalescePartitions__enabled="false"):
+            append_scenes(relation(spark, sf, "scenes", heavy=True, tasks=tasks), path, required=())
         _STORED[at] = path
     return _STORED[at]
 

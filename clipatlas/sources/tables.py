@@ -51,9 +51,8 @@ def scene_writer(rows: DataFrame) -> DataFrameWriter:
     The rows of a task are sorted by video, without a shuffle, and each file has a bloom filter of its videos.
     """
     rows = rows.select(*SCENES.fieldNames()).sortWithinPartitions("video_id", "timestamp_start", "title")
-    return rows.write.option("parquet.bloom.filter.enabled#video_id", "true").option(
-        "parquet.bloom.filter.expected.ndv#video_id", 100_000
-    )
+    bloom = {"parquet.bloom.filter.enabled#video_id": "true", "parquet.bloom.filter.expected.ndv#video_id": 100_000}
+    return rows.write.options(compression="zstd", **bloom)
 
 
 def append_scenes(
