@@ -1,7 +1,7 @@
 """Repeated passages, removed by unit hashing and by windows of words.
 
 A unit is a line, cut further after a full stop, exclamation or question mark that white space follows. Units
-are normalised (lower case, runs of white space as one space) and hashed to 128 bits. Digests are grouped over
+are normalised (lower case, runs of white space as one space) and hashed to 96 bits. Digests are grouped over
 all documents; the earliest occurrence, by doc_id and then place, stays. The others are marked, and a run of
 marked units next to each other is removed if it has ``MIN_WORDS`` words or more: single short sentences repeat
 by chance and stay.
@@ -14,7 +14,7 @@ The texts are read twice and never shuffled. Each window is stood for by the sma
 words in it (winnowing), which neighbouring windows share; windows next to each other with one such hash are a
 stretch. Equal windows have equal hashes, and only hashes that occur more than once are looked at further. Where
 all stretches of a hash are equal, a stretch is a row; where they differ, at the ends of passages, each of its
-windows is. Rows are compared by 128 bits. What occurs more than once is told by bitmaps of fixed size, which
+windows is. Rows are compared by 96 bits. What occurs more than once is told by bitmaps of fixed size, which
 only let too much through.
 
 Offsets are code points of the original text. Defined cases: a null or empty text has no units and stays as
@@ -38,15 +38,23 @@ MIN_WORDS = 25
 #: Bits of the map of hashes that occur again. With many more of them it lets more through, and only costs time.
 _MAP_BITS = 1 << 25
 _ROWS_AT_A_TIME = 20_000
-_ROWS = "doc_id long, version long, whole boolean, place int, upto int, start int, stop int, word int, words int, d0 long, d1 long, again boolean"
-_KINDS = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 6, pa.int64(), pa.int64(), pa.bool_()]
+#: ``place`` and ``upto`` are the first and last word of units, and the first and last window. The words between blanks, ``word`` up to
+#: before ``after``, are named only if they do not follow from these, in scripts without blanks.
+_ROWS = "doc_id long, version long, whole boolean, place int, upto int, start int, stop int, word int, after int, d0 long, d1 int, again boolean"
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 6, pa.int64(), pa.int32(), pa.bool_()]
 _LAST = (1 << 63) - 1
-_BOUNDARY = r"\s*\n\s*|(?<=[.!?])\s+"
+#: What is shuffled of the hash of a unit or stretch and of what tells stretches apart.
+_SHORT = np.uint64((1 << 40) - 1)
+#: Keeps units apart from runs of as many words.
+_UNIT = np.uint64(0xA0761D6478BD642F)
+#: By code point; none beyond is white space.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 #: Thai to Khmer and Chinese, Japanese: scripts that put no blanks between words.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _TOKEN = rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+"
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_KNOWN_WORDS = 200_000
+#: Words are hashed so many at a time, and those that are longer than so many characters each by itself.
+_WORDS_AT_A_TIME, _CHARS = 1 << 14, 64
 
 
 def _version(text: Column) -> Column:
@@ -58,21 +66,46 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-class _Words(dict):
-    """word -> its row in ``hashes``."""
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    def __init__(self) -> None:
-        self.hashes = np.zeros((1024, 2), np.uint64)
 
-    def __missing__(self, word: str) -> int:
+def _between_blanks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and stop."""
+    blank = np.ones(len(codes) + 2, bool)
+    blank[1:-1] = _BLANK[codes if codes.dtype == np.uint8 else np.minimum(codes, len(_BLANK) - 1)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _characters(codes: np.ndarray, places: np.ndarray, base: int) -> np.ndarray:
+    """A hash of each character at its place in a word."""
+    return _mixed((codes.astype(np.uint64) * np.uint64(_CHARS) + places.astype(np.uint64) + np.uint64(1)) * np.uint64(base))
+
+
+_ASCII = [_characters(np.arange(128).repeat(_CHARS), np.tile(np.arange(_CHARS), 128), b) for b in _BASES]
+
+
+def _word_hashes(lower: str, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each word of a text in lower case."""
+    hashes = [np.empty(len(starts), np.uint64) for _ in _BASES]
+    for at in range(0, len(starts), _WORDS_AT_A_TIME):
+        part = slice(at, at + _WORDS_AT_A_TIME)
+        size = np.minimum(stops[part] - starts[part], _CHARS)
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        code = codes[np.repeat(starts[part], size) + place]
+        for i, base in enumerate(_BASES):
+            values = _ASCII[i][code.astype(np.int64) * _CHARS + place] if codes.dtype == np.uint8 else _characters(code, place, base)
+            hashes[i][part] = _mixed(np.add.reduceat(values, first))
+    long = np.flatnonzero(stops - starts > _CHARS)
+    if len(long):
         import xxhash
 
-        row = self[word] = len(self)
-        if row == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        digest = xxhash.xxh3_128_intdigest(word.lower().encode("utf-8", "surrogatepass"))
-        self.hashes[row] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
-        return row
+        for word in long.tolist():
+            digest = xxhash.xxh3_128_intdigest(lower[starts[word] : stops[word]].encode("utf-8", "surrogatepass"))
+            hashes[0][word], hashes[1][word] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
+    return hashes
 
 
 class _Runs:
@@ -102,6 +135,29 @@ def _sliding(values: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     return values
 
 
+class _Text:
+    """Where the words between blanks, the units and the tokens of a text are; ``ends`` are the words after the units."""
+
+    def __init__(self, text: str) -> None:
+        codes = _codes(text)
+        self.starts, self.stops = _between_blanks(codes)
+        n = len(self.starts)
+        if not n:
+            self.begins = self.ends = self.unit_starts = self.unit_stops = self.starts
+            return
+        # A unit ends before white space that has a newline or follows a full stop, exclamation or question mark.
+        last = codes[self.stops - 1]
+        cut = np.concatenate([[False], (last == 46) | (last == 33) | (last == 63)])
+        cut[np.searchsorted(self.starts, np.flatnonzero(codes == 10))] = True
+        self.begins = np.flatnonzero(np.concatenate([[True], cut[1:-1]]))
+        self.ends = np.append(self.begins[1:], n)
+        self.unit_starts, self.unit_stops = self.starts[self.begins], self.stops[self.ends - 1]
+        if not cut[0]:
+            self.unit_starts[0] = 0
+        if not cut[-1]:
+            self.unit_stops[-1] = len(codes)
+
+
 class _Reader:
     """Units and windows of texts, for one task."""
 
@@ -110,37 +166,36 @@ class _Reader:
 
         self.min_words, self.whole = min_words, whole
         self.run = (min_words + 1) // 2
-        self.boundary, self.token, self.unspaced = re.compile(_BOUNDARY), re.compile(_TOKEN), re.compile(f"[{_UNSPACED}]")
-        self.known, self.runs = _Words(), [_Runs(b) for b in _BASES]
-
-    def units(self, text: str) -> Iterator[tuple[int, int, int, bytes]]:
-        """start, stop, number of words and digest."""
-        import xxhash
-
-        start = 0
-        cuts = [m.span() for m in self.boundary.finditer(text)]
-        cuts.append((len(text), len(text)))
-        for stop, after in cuts:
-            words = text[start:stop].lower().split()
-            if words:
-                yield start, stop, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-            start = after
-
-    def stretches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two hashes of each word; of each stretch the hash, the first window and the window after the last."""
-        plain = text.isascii() or not self.unspaced.search(text)
-        words = (text.split() if plain else self.token.findall(text)) if self.whole else []
-        if len(words) < self.min_words:
+        self.token, self.unspaced = re.compile(_TOKEN), re.compile(f"[{_UNSPACED}]")
+        self.runs = [_Runs(b) for b in _BASES]
+
+    def _sums(self, lower: str) -> list[np.ndarray]:
+        codes = _codes(lower)
+        return [r.sums(h) for r, h in zip(self.runs, _word_hashes(lower, codes, *_between_blanks(codes)), strict=True)]
+
+    def read(self, text: str) -> None:
+        """``sums`` over the two hashes of words between blanks, and ``tokens`` over those of tokens, whose ``spans`` are None if they are the same."""
+        self.sums = self._sums(text.lower())
+        self.spans, self.tokens = None, self.sums
+        if self.whole and not text.isascii() and self.unspaced.search(text):
+            self.spans = np.array([m.span() for m in self.token.finditer(text)], np.int64).reshape(-1, 2)
+            self.tokens = self._sums(" ".join(text[a:b].lower() for a, b in self.spans.tolist()))
+
+    def units(self, at: _Text) -> list[np.ndarray]:
+        """Two hashes of each unit."""
+        first, second = (r.of(s, at.begins, at.ends) for r, s in zip(self.runs, self.sums, strict=True))
+        return [first ^ _UNIT, second]
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each stretch the hash, the first window and the window after the last."""
+        n = len(self.tokens[0]) - 1
+        if not self.whole or n < self.min_words:
             none = np.zeros(0, np.int64)
-            return np.zeros((0, 2), np.uint64), none.view(np.uint64), none, none
-        if len(self.known) > _KNOWN_WORDS:
-            self.known = _Words()
-        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        hashes = self.known.hashes[rows]
-        start = np.arange(len(words) - self.run + 1)
-        least = _sliding(self.runs[0].of(self.runs[0].sums(hashes[:, 0]), start, start + self.run), self.min_words - self.run + 1)
+            return none.view(np.uint64), none, none
+        start = np.arange(n - self.run + 1)
+        least = _sliding(self.runs[0].of(self.tokens[0], start, start + self.run), self.min_words - self.run + 1)
         begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        return hashes, least[begins], begins, np.append(begins[1:], len(least))
+        return least[begins], begins, np.append(begins[1:], len(least))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
@@ -155,23 +210,28 @@ def _hashes(batches: Iterator[pa.RecordBatch], min_words: int, whole: bool) -> I
     """The hash of each unit and stretch, and for stretches what tells them apart."""
     reader = _Reader(min_words, whole)
     parts: list[np.ndarray] = []
+    held = 0
 
     def full() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.concatenate(parts, axis=1)], ["hash", "content"])
+        return pa.RecordBatch.from_arrays([pa.array((c & _SHORT).view(np.int64)) for c in np.concatenate(parts, axis=1)], ["hash", "content"])
 
     for _, text in _texts(batches):
-        hashes, least, begins, ends = reader.stretches(text)
+        reader.read(text)
+        least, begins, ends = reader.stretches()
         if len(least):
-            content = reader.runs[0].of(reader.runs[0].sums(hashes[:, 0]), begins, ends + min_words - 1)
+            content = reader.runs[0].of(reader.tokens[0], begins, ends + min_words - 1)
             parts.append(np.stack([least, content]))
             long = ends - begins >= min_words  # may hold a passage that follows itself
             if long.any():
                 parts.append(np.stack([least[long], ~content[long]]))
-        units = np.frombuffer(b"".join(u[3][:8] for u in reader.units(text)), np.uint64)
+                held += parts[-1].shape[1]
+        units = reader.units(_Text(text))[0]
         parts.append(np.stack([units, np.zeros_like(units)]))
-        if sum(p.shape[1] for p in parts) >= _ROWS_AT_A_TIME:
+        held += len(least) + len(units)
+        if held >= _ROWS_AT_A_TIME:
             yield full()
             parts.clear()
+            held = 0
     if parts:
         yield full()
 
@@ -199,54 +259,62 @@ def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _rows(batches: Iterator[pa.RecordBatch], bitmaps: np.ndarray, min_words: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """Units, stretches and windows whose hash occurs again; those next to each other that their text had before are one row."""
-    import struct
     from zlib import crc32
 
     names = [c.split()[0] for c in _ROWS.split(", ")]
     reader = _Reader(min_words, whole)
+    parts: list[list[np.ndarray]] = []
+    held = 0
 
-    def full(rows: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS, strict=True)], names)
+    def full() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        missing = columns[names.index("after")] < 0
+        arrays = [pa.array(c, k, mask=missing if n in ("word", "after") else None) for n, c, k in zip(names, columns, _KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def add(of: tuple[int, int, bool], place, upto, start, stop, word, after, d0, d1, again) -> int:
+        joined = np.zeros(len(place), bool)
+        joined[1:] = again[1:] & again[:-1] & (upto[:-1] == place[1:] - 1)
+        first = np.flatnonzero(~joined)
+        last = np.append(first[1:], len(place)) - 1
+        columns = [place[first], upto[last], start[first], stop[last], word[first], after[last], d0[first].view(np.int64), (d1[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), again[first]]
+        parts.append([*(np.full(len(first), x) for x in of), *columns])
+        return len(first)
 
-    rows: list[list] = []
     for doc_id, text in _texts(batches):
-        version, word, own = crc32(text.encode("utf-8", "surrogatepass")), 0, len(rows)
-        seen: set[bytes] = set()
-        units = list(reader.units(text))
-        marks = _held(bitmaps[0], np.frombuffer(b"".join(u[3][:8] for u in units), np.uint64)).tolist()
-        for place, ((start, stop, words, digest), held) in enumerate(zip(units, marks, strict=True)):
-            if held:
-                again, last = digest in seen, rows[-1] if len(rows) > own else None
-                if again and last and last[-1] and last[4] == place - 1:
-                    last[4], last[6], last[8] = place, stop, last[8] + words
-                else:
-                    rows.append([doc_id, version, False, place, place, start, stop, word, words, *struct.unpack("<qq", digest), again])
-                seen.add(digest)
-            word += words
-        hashes, least, begins, ends = reader.stretches(text)
+        reader.read(text)
+        at, version = _Text(text), crc32(text.encode("utf-8", "surrogatepass"))
+        units = reader.units(at)
+        some = np.flatnonzero(_held(bitmaps[0], units[0]))
+        if len(some):
+            d0, d1 = (u[some] for u in units)
+            _, earlier, of = np.unique(d0, return_index=True, return_inverse=True)
+            none = np.full(len(some), -1)
+            held += add((doc_id, version, False), at.begins[some], at.ends[some] - 1, at.unit_starts[some], at.unit_stops[some], none, none, d0, d1, earlier[of] < np.arange(len(some)))
+        least, begins, ends = reader.stretches()
         twice, edge = _held(bitmaps[0], least), _held(bitmaps[1], least)
         if twice.any():
             size = np.where(edge, ends - begins, 1)[twice]
             first = np.repeat(begins[twice], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             upto = np.where(np.repeat(edge[twice], size), first, np.repeat(ends[twice] - 1, size))
-            d0, d1 = (r.of(r.sums(hashes[:, i]), first, upto + min_words) for i, r in enumerate(reader.runs))
+            d0, d1 = (r.of(s, first, upto + min_words) for r, s in zip(reader.runs, reader.tokens, strict=True))
             _, earlier, of = np.unique(d0, return_index=True, return_inverse=True)
             again = first - first[earlier][of] >= min_words
-            spans = [m.span() for m in reader.token.finditer(text)]
-            # The number of the word between blanks, for each word.
-            blanks = np.cumsum([0, *(a > b for (_, b), (a, _) in zip(spans, spans[1:]))]).tolist()
-            own = len(rows)
-            for place, end, one, two, had in zip(first.tolist(), upto.tolist(), d0.view(np.int64).tolist(), d1.view(np.int64).tolist(), again.tolist(), strict=True):
-                stop, last = end + min_words - 1, rows[-1] if len(rows) > own else None
-                if had and last and last[-1] and last[4] == place - 1:
-                    last[4], last[6], last[8] = end, spans[stop][1], blanks[stop] + 1 - last[7]
-                else:
-                    rows.append([doc_id, version, True, place, end, spans[place][0], spans[stop][1], blanks[place], blanks[stop] + 1 - blanks[place], one, two, had])
-        while len(rows) >= _ROWS_AT_A_TIME:
-            yield full(rows[:_ROWS_AT_A_TIME])
-            rows = rows[_ROWS_AT_A_TIME:]
-    if rows:
-        yield full(rows)
+            stop = upto + min_words - 1
+            starts, stops = (at.starts, at.stops) if reader.spans is None else reader.spans.T
+            word = after = np.full(len(first), -1)
+            if reader.spans is not None:
+                # The number of the word between blanks.
+                word, after = (np.searchsorted(at.starts, starts[x], "right") - 1 for x in (first, stop))
+                after += 1
+            held += add((doc_id, version, True), first, upto, starts[first], stops[stop], word, after, d0, d1, again)
+        if held >= _ROWS_AT_A_TIME:
+            whole_batch = full()
+            yield from (whole_batch.slice(i, _ROWS_AT_A_TIME) for i in range(0, whole_batch.num_rows, _ROWS_AT_A_TIME))
+            parts.clear()
+            held = 0
+    if parts:
+        yield full()
 
 
 def _runs(spark: SparkSession, docs: DataFrame, folder: str, min_words: int, whole: bool) -> DataFrame:
@@ -257,7 +325,7 @@ def _runs(spark: SparkSession, docs: DataFrame, folder: str, min_words: int, who
     """
     narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
     sent = spark.sparkContext.broadcast(_repeated_hashes(narrow, min_words, whole))
-    narrow.mapInArrow(lambda batches: _rows(batches, sent.value, min_words, whole), _ROWS).write.parquet(f"{folder}/units")
+    narrow.mapInArrow(lambda batches: _rows(batches, sent.value, min_words, whole), _ROWS).write.option("compression", "zstd").parquet(f"{folder}/units")
     units = spark.read.parquet(f"{folder}/units")
     # Of a unit that a document repeats only the first can be the earliest, so the smallest doc_id decides.
     earliest = (
@@ -269,18 +337,19 @@ def _runs(spark: SparkSession, docs: DataFrame, folder: str, min_words: int, who
     other = F.col("first_doc_id").isNotNull() & (F.col("doc_id") != F.col("first_doc_id"))
     marked = (
         units.join(earliest, ["d0", "d1"], "left").where(F.col("again") | other)
-        .select("doc_id", "version", "whole", "place", "upto", "start", "stop", "word", "words", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"))
+        .select("doc_id", "version", "whole", "place", "upto", "start", "stop", "word", "after", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"))
         .repartition("doc_id", "version").dropDuplicates(["doc_id", "version", "whole", "place"])
     )
     in_text = Window.partitionBy("doc_id", "version", "whole").orderBy("place")
     reach = F.when(F.col("whole"), min_words).otherwise(1)
     apart = F.coalesce(F.lag("upto").over(in_text) + reach < F.col("place"), F.lit(True))
+    word, after = F.coalesce("word", "place"), F.coalesce("after", F.col("upto") + reach)
     runs = marked.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(in_text))
     return (
         runs.groupBy("doc_id", "version", "whole", "run")
         .agg(
-            F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("word").alias("word"),
-            (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"), F.min_by("first_doc_id", "place").alias("first_doc_id"),
+            F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(word).alias("word"),
+            (F.max(after) - F.min(word)).alias("words"), F.min_by("first_doc_id", "place").alias("first_doc_id"),
         )
         .where(F.col("whole") | (F.col("words") >= min_words))
     )
