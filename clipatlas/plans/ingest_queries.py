@@ -376,7 +376,7 @@ def text_search(spark: SparkSession, sf: str) -> DataFrame:
     """
     path = work_folder(spark, "embedded")
     append_scenes(embed(relation(spark, sf, "scenes", heavy=True), "description", "embedding"), path, required=())
-    decoded = decode_queries(select_query_input(relation(spark, sf, "search_requests")))
+    decoded = decode_queries(select_query_input(relation(spark, sf, "search_requests", heavy=True)))
     found = scene_search_batch(
         read_scenes(spark, path), embed_queries(decoded).withColumnRenamed("request_id", "query_id"), key=["title"]
     )

@@ -121,14 +121,14 @@ _SPLITS: dict[tuple[str, ...], int] = {}
 
 
 def spread(df: DataFrame, *at: str, tasks: int = 0) -> DataFrame:
-    """Rows of a given table that Spark reads in fewer splits than there are cores, or ``tasks``, dealt out to all of them.
+    """Rows of a given table that Spark reads in fewer tasks than there are cores, or ``tasks``, dealt out to all of them.
 
-    For work that takes long per row. How a table is split follows from ``spark.sql.files.maxPartitionBytes`` and
-    its row groups; only a table of a few row groups is dealt out anew. The splits are counted once per table.
+    For work that takes long per row. Files are split by bytes, but a row group is read whole by one task and the other
+    splits of it are empty, so only tasks that get rows count. They are counted once per table, without reading a column.
     """
     wanted = max(tasks, df.sparkSession.sparkContext.defaultParallelism)
     if at not in _SPLITS:
-        _SPLITS[at] = df.rdd.getNumPartitions()
+        _SPLITS[at] = df.select(F.spark_partition_id().alias("task")).distinct().count()
     return df.repartition(wanted) if _SPLITS[at] < wanted else df
 
 
