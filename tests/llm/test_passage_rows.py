@@ -31,3 +31,16 @@ def test_units_with_odd_blanks_and_letters(spark, tmp_path):
     assert found == set(brute([r for r in rows if r[1]], 25))
     _, texts = cut(spark, rows, tmp_path / "whole")
     assert texts[4][:502] == f"{long}r " and texts[5][:502] == f"{long}s " and texts[6] == "\t \n"
+
+
+def test_packed_rows_are_short_and_lose_nothing(spark):
+    top = (1 << 31) - 1
+    rows = [
+        (7, (1 << 32) - 1, True, 0, 0, 0, 1, None, None, -(1 << 63), -1, False), (-7, 0, False, 70_000, 70_003, 2_000_000, 2_000_900, 3, 9, 5, 6, True),
+        (1, 2, True, top, top, top, top, top, top, 0, 0, True), (1, 2, False, 0, top, 0, top, 0, 0, 0, 0, False),
+    ]
+    packed = passages._packed(spark.createDataFrame(rows, passages._ROWS))
+    assert len(packed.columns) == 7
+    again = {r.low >> 1 & 1 for r in packed.where("doc_id = -7").collect()}
+    found = passages._unpacked(packed, "d0", "d1").collect()
+    assert again == {1} and {tuple(r) for r in found} == {r[:-1] for r in rows}
