@@ -36,6 +36,8 @@ from clipatlas.llm import vocabulary
 BLOCK_CHARS = 1 << 24
 _ROWS = 50_000
 _IDS_AT_A_TIME = 1 << 20
+#: Words that wait in a task until they are packed, and documents that are decoded at a time.
+_WAITING, _DOCUMENTS = 200_000, 500
 
 
 class _Indexes(dict):
@@ -103,7 +105,7 @@ def _encoded(sent: Broadcast, pattern: str):
                 rows[1].append(len(ids) // 4)
                 rows[2].extend(ids)
                 held += 1
-            if held >= 20 * _ROWS:
+            if held >= _WAITING:
                 yield from _packed(waiting)
                 waiting, held = {}, 0
         yield from _packed(waiting)
@@ -176,16 +178,17 @@ def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor().decompress
     block, parts = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["block"] != block:
-                block, parts = row["block"], []
-            data = memoryview(expand(row["data"]))
-            n, total = row["n"], row["total"]
-            if row["kind"] == 0:
+        for at in range(batch.num_rows):  # a batch holds many blocks, which are expanded one at a time
+            row = {name: batch.column(name)[at] for name in _NAMES}
+            name, kind, n, total = (row[x].as_py() for x in ("block", "kind", "n", "total"))
+            if name != block:
+                block, parts = name, []
+            data = memoryview(expand(row["data"].as_buffer()))
+            if kind == 0:
                 index = np.cumsum(_from_planes(data, n), dtype=np.uint32)
                 parts.append((index, _from_planes(data[4 * n :], n), _from_planes(data[8 * n :], total)))
                 continue
-            yield from _documents(row["doc_ids"], parts, data, n, total)
+            yield from _documents(row["doc_ids"].as_py(), parts, data, n, total)
             block, parts = None, []
 
 
@@ -267,6 +270,8 @@ def decode(encoded: DataFrame, sent: Broadcast, column: str = "ids") -> DataFram
             return b"".join(out)
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([decoded(x.as_py()) for x in batch.column(place)], pa.binary())], [*names, "decoded"])
+            for at in range(0, batch.num_rows, _DOCUMENTS):  # so that a batch is never decoded whole
+                part = batch.slice(at, _DOCUMENTS)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([decoded(x.as_py()) for x in part.column(place)], pa.binary())], [*names, "decoded"])
 
     return encoded.mapInArrow(task, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))

@@ -5,15 +5,12 @@ Each text is run unchanged by Spark and, as a CTE, by DuckDB. Braces name the ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipatlas.schemas import RESPONSE_SCENE_FIELDS
 from clipatlas.sources.tables import append_scenes
-from clipatlas.workdir import work_folder
+from clipatlas.workdir import settings, work_folder
 
 # One row per event; every vector of the table is that of some scene. The title is unique: twelve digits hold
 # any event id.
@@ -157,20 +154,6 @@ _STORED: dict[tuple[str, str], str] = {}
 STORED_ROWS = 200_000
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Settings of the session for what is written meanwhile."""
-    names = {n: f"spark.sql.{n.replace('__', '.')}" for n in values}
-    before = {n: spark.conf.get(names[n]) for n in values}
-    try:
-        for n, value in values.items():
-            spark.conf.set(names[n], value)
-        yield
-    finally:
-        for n, value in before.items():
-            spark.conf.set(names[n], value)
-
-
 def stored_scenes(spark: SparkSession, sf: str) -> str:
     """Folder of the scenes written as a table, once per application.
 
@@ -181,7 +164,7 @@ def stored_scenes(spark: SparkSession, sf: str) -> str:
     if at not in _STORED:
         path = work_folder(spark, "scenes")
         tasks = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf, "events").count() // STORED_ROWS))
-        with _settings(spark, shuffle__partitions=str(tasks), adaptive__coalescePartitions__enabled="false"):
+        with settings(spark, shuffle__partitions=str(tasks), adaptive__coalescePartitions__enabled="false"):
             append_scenes(relation(spark, sf, "scenes", heavy=True, tasks=tasks), path, required=())
         _STORED[at] = path
     return _STORED[at]

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipatlas.llm import byte_pairs, decontamination, language, near_duplicates, passages, quality, vocabulary
-from clipatlas.workdir import work_folder
+from clipatlas.workdir import settings, work_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text that a task of the last stage encodes at a time.
 BLOCK_CHARS = 1 << 22
+#: What goes to a worker of that stage at once; Spark's own limit is 64 MB.
+BATCH_BYTES = "4m"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     sent = vocabulary.send(spark, public_tokenizers.path(RANKS))
     folder = work_folder(spark, "pipeline-encoded")
-    byte_pairs.encode(docs, sent, public_tokenizers.PATTERN, BLOCK_CHARS).write.parquet(folder)
+    with settings(spark, execution__arrow__maxBytesPerBatch=BATCH_BYTES):
+        byte_pairs.encode(docs, sent, public_tokenizers.PATTERN, BLOCK_CHARS).write.parquet(folder)
     encoded = spark.read.parquet(folder)
     return byte_pairs.decode(encoded, sent).select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

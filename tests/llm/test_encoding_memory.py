@@ -21,3 +21,12 @@ def test_small_blocks_give_the_same_ids(spark):
         sorted(map(repr, byte_pairs.encode(docs, sent, public_tokenizers.PATTERN, *size).collect())) for size in ((), (100,))
     )
     assert small == whole and len(small) == len(ROWS)
+
+
+def test_workers_get_small_batches(spark, sf, monkeypatch):
+    limit, seen, encode = "spark.sql.execution.arrow.maxBytesPerBatch", [], byte_pairs.encode
+    before = spark.conf.get(limit)
+    monkeypatch.setattr(byte_pairs, "encode", lambda *given: seen.append(spark.conf.get(limit)) or encode(*given))
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    assert corpus_pipeline.encoding_stage(spark, docs, sf).count() == len(ROWS)
+    assert seen == [corpus_pipeline.BATCH_BYTES] and spark.conf.get(limit) == before
